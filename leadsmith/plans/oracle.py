@@ -37,3 +37,225 @@ WHERE NOT (email IN ('that.92@mail2.example.com')
            OR domain = 'ail8.example.com' OR ends_with(domain, '.ail8.example.com'))
 """,
 }
+
+
+# ============================================================================ snippets
+def q(s: str) -> str:
+    """A DuckDB string literal (no backslash processing; quotes doubled)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def norm_sql(x: str) -> str:
+    return f"lower({strip_sql(x)})"
+
+
+def domain_first_sql(e: str) -> str:
+    return f"CASE WHEN strpos({e}, '@') > 0 THEN {norm_sql(f'substr({e}, strpos({e}, {q(chr(64))}) + 1)')} END"
+
+
+def normalize_domain_sql(u: str) -> str:
+    return f"split_part(regexp_replace({norm_sql(u)}, '^(https?://)?(www\\.)?', ''), '/', 1)"
+
+
+def host_sql(u: str) -> str:
+    return (f"nullif(lower(regexp_extract({u}, "
+            f"'^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)', 1)), '')")
+
+
+def same_host_sql(u: str, d: str) -> str:
+    h = host_sql(u)
+    return f"coalesce(({h} = {d}) OR ends_with({h}, '.' || {d}), false)"
+
+
+def resolve_sql(b: str, h: str) -> str:
+    origin = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_replace({b}, '#.*$', '')"
+    no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
+    path = f"regexp_extract({no_query}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/.*)?$', 1)"
+    directory = f"regexp_replace({path}, '[^/]*$', '')"
+    return f"""CASE WHEN {h} IS NULL THEN NULL
+ WHEN {h} = '' THEN {b}
+ WHEN regexp_matches({h}, '^([A-Za-z][A-Za-z0-9+.\\-]*):') THEN {h}
+ WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || {h}
+ WHEN starts_with({h}, '/') THEN {origin} || {h}
+ WHEN starts_with({h}, '?') THEN {no_query} || {h}
+ WHEN starts_with({h}, '#') THEN {no_frag} || {h}
+ WHEN {directory} = '' THEN {origin} || '/' || {h}
+ ELSE {origin} || {directory} || {h} END"""
+
+
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
+            ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
+            ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&")]
+RULES = [(r"\s*\[\s*at\s*\]\s*", "@"), (r"\s*\(\s*at\s*\)\s*", "@"), (r"\s+at\s+", "@"),
+         (r"\s*\{\s*at\s*\}\s*", "@"), (r"\s*\[\s*dot\s*\]\s*", "."), (r"\s*\(\s*dot\s*\)\s*", "."),
+         (r"\s+dot\s+", "."), (r"\s*\{\s*dot\s*\}\s*", ".")]
+
+
+def unescape_sql(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return x
+
+
+def clean_sql(x: str) -> str:
+    x = unescape_sql(x)
+    x = f"regexp_replace({x}, '[\\x{{200b}}\\x{{200c}}\\x{{200d}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+    for pat, rep in RULES:
+        x = f"regexp_replace({x}, {q('(?i)' + pat)}, {q(rep)}, 'g')"
+    return f"regexp_replace({x}, '\\s+', ' ', 'g')"
+
+
+def strip_markup_sql(x: str) -> str:
+    for pat in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->"):
+        x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
+    return f"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')"
+
+
+def visible_sql(x: str) -> str:
+    return strip_sql(clean_sql(strip_markup_sql(x)))
+
+
+def emails_sql(x: str) -> str:
+    """Lower-cased generic matches as a list."""
+    return f"list_transform(regexp_extract_all({x}, {q(EMAIL_RE)}), lambda m: lower(m))"
+
+
+MAILTO_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
+RAW_MAILTO_RE = r"""(?i)href\s*=\s*["'](?:mailto:)\s*([^"'?]+)"""
+ANCHOR_HREF_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+IFRAME_SRC_RE = r"""(?is)<iframe\b[^>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
+CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
+CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
+JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
+JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
+LABEL_SEGMENT_RE = r"(?i)(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}"
+
+
+def mailto_sql(h: str) -> str:
+    both = (f"list_concat(regexp_extract_all({h}, {q(MAILTO_RE)}, 1), "
+            f"regexp_extract_all({h}, {q(RAW_MAILTO_RE)}, 1))")
+    cleaned = f"list_transform({both}, lambda m: lower({strip_sql(unescape_sql('m'))}))"
+    return f"list_filter({cleaned}, lambda m: m <> '')"
+
+
+def cf_decode_sql(hx: str) -> str:
+    """Hex string -> decoded address or NULL (first byte is the XOR key)."""
+    key = f"('0x' || substr({hx}, 1, 2))::INTEGER"
+    body = (f"array_to_string(list_transform(range(1, length({hx}) // 2), lambda i: "
+            f"lpad(hex(xor(('0x' || substr({hx}, 2 * i + 1, 2))::INTEGER, {key})), 2, '0')), '')")
+    dec = f"decode(unhex({body}))"
+    ok = f"(length({hx}) > 2 AND length({hx}) % 2 = 0 AND regexp_full_match({hx}, '[0-9A-Fa-f]+'))"
+    return f"CASE WHEN {ok} AND contains({dec}, '@') THEN {dec} END"
+
+
+def cf_sql(h: str) -> str:
+    hexes = (f"list_filter(list_transform(regexp_extract_all({h}, {q(CF_TAG_RE)}), "
+             f"lambda t: regexp_extract(t, {q(CF_ATTR_RE)}, 1)), lambda x: x <> '')")
+    return (f"list_filter(list_transform({hexes}, lambda x: lower({cf_decode_sql('x')})), "
+            f"lambda x: x IS NOT NULL)")
+
+
+def jsonld_sql(h: str) -> str:
+    bodies = f"regexp_extract_all({h}, {q(JSONLD_RE)}, 1)"
+    generic = f"flatten(list_transform({bodies}, lambda b: regexp_extract_all(b, {q(EMAIL_RE)})))"
+    keyed = f"flatten(list_transform({bodies}, lambda b: regexp_extract_all(b, {q(JSON_EMAIL_KEY_RE)}, 1)))"
+    return f"list_transform(list_concat({generic}, {keyed}), lambda m: lower({strip_sql('m')}))"
+
+
+def label_sql(t: str) -> str:
+    segs = f"regexp_extract_all({t}, {q(LABEL_SEGMENT_RE)})"
+    return f"flatten(list_transform({segs}, lambda s: {emails_sql('s')}))"
+
+
+def page_findings_sql(pages: str) -> str:
+    """(page_id, url, domain, text_len, source, email) for a pages relation."""
+    return f"""
+WITH p AS (
+  SELECT page_id, url, html, {normalize_domain_sql('url')} AS domain, {visible_sql('html')} AS vt
+  FROM {pages}
+), s AS (
+  SELECT page_id, url, domain, length(vt) AS text_len,
+         list_concat({cf_sql('html')}, {mailto_sql('html')}, {jsonld_sql('html')},
+                     {emails_sql('vt')}, {label_sql('vt')}, {emails_sql('html')}) AS all_emails
+  FROM p
+)
+SELECT page_id, url, domain, text_len, UNNEST(all_emails) AS email FROM s
+"""
+
+
+def prefer_domain_sql(found: str, key: str = "page_id") -> str:
+    return f"""
+SELECT * FROM (
+  SELECT *, max(ends_with(email, '@' || domain)) OVER (PARTITION BY {key}) AS any_same,
+         ends_with(email, '@' || domain) AS is_same
+  FROM (SELECT DISTINCT * FROM ({found}) WHERE email IS NOT NULL AND email <> '')
+) WHERE is_same OR NOT any_same
+"""
+
+
+# ============================================================================ batch 2
+PAGE_LINKS = f"""
+WITH h AS (SELECT page_id, url, regexp_extract_all(html, {q(ANCHOR_HREF_RE)}, 1) AS hs FROM pages),
+x AS (SELECT page_id, url, UNNEST(range(1, len(hs) + 1)) AS pos, UNNEST(hs) AS href FROM h)
+SELECT page_id, pos, {resolve_sql('url', 'href')} AS link
+FROM x WHERE href IS NOT NULL AND href <> ''
+"""
+
+SQL.update({
+    "page_links": PAGE_LINKS,
+    "page_link_first_seen": f"""
+SELECT page_id, pos, link FROM ({PAGE_LINKS})
+QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1
+""",
+    "slug_title": "SELECT page_id, replace(string_split(url, '/')[-1], '-', ' ') AS title FROM pages",
+    "same_host": f"""
+SELECT page_id, {host_sql('url')} AS host, {normalize_domain_sql('url')} AS domain,
+       {same_host_sql('url', normalize_domain_sql('url'))} AS same_as_domain,
+       {same_host_sql('url', q('example.com'))} AS under_example_com
+FROM pages
+""",
+    "title_exclude": f"""
+SELECT p_partkey, p_name FROM part
+WHERE NOT coalesce(contains({norm_sql('p_name')}, 'widget') OR contains({norm_sql('p_name')}, 'ring'), false)
+""",
+    "anti_master": """
+SELECT doc_id, lang, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id)
+""",
+    "anti_domain_master": f"""
+WITH f AS (SELECT doc_id, pos, email, {domain_first_sql('email')} AS domain FROM ({DOC_EMAILS})),
+firsts AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY domain ORDER BY doc_id, pos) = 1),
+m AS (SELECT DISTINCT {domain_first_sql('e')} AS domain
+      FROM (SELECT lower(UNNEST(regexp_extract_all(html, {q(EMAIL_RE)}))) AS e FROM pages))
+SELECT doc_id, pos, email, domain FROM firsts
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.domain IS NOT DISTINCT FROM firsts.domain)
+""",
+    "recency_0": "SELECT event_id, user_id, event_type FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-30'",
+    "recency_1": "SELECT event_id, user_id, event_type FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-29'",
+    "recency_7": """SELECT event_id, user_id, event_type FROM events
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-23' AND DATE '2024-01-30'""",
+    "drop_any_null": f"""
+SELECT * FROM (
+  SELECT d.doc_id,
+         CASE WHEN {strip_sql('d.lang')} = '' THEN NULL ELSE d.lang END AS lang,
+         CASE WHEN {strip_sql('d.source')} = '' THEN NULL ELSE d.source END AS source,
+         d.n_chars, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+) WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL
+    AND quality IS NOT NULL AND toxic IS NOT NULL
+""",
+    "conversation_clean": f"SELECT conv_id, turn, role, {clean_sql('text')} AS text_clean FROM conversations",
+    "visible_text": f"""
+SELECT page_id, length(t) AS text_len, t AS text FROM (SELECT page_id, {visible_sql('html')} AS t FROM pages)
+""",
+    "page_findings": f"""
+SELECT page_id, string_agg(email, ',' ORDER BY email) AS emails_extracted, max(text_len) AS text_len
+FROM ({prefer_domain_sql(page_findings_sql('pages'))})
+GROUP BY page_id
+""",
+})

@@ -58,3 +58,146 @@ REGISTRY = {
     "email_blocklist": q_email_blocklist,
     "email_blocklist_boundary": q_email_blocklist_boundary,
 }
+
+
+# ============================================================================ batch 2
+from leadsmith.functions.text import (  # noqa: E402
+    clean_text,
+    email_domain_first,
+    normalize_domain,
+    same_host,
+    slug_title,
+    url_host,
+    visible_text,
+    blank_to_null,
+)
+from leadsmith.operators.dedupe import anti_master  # noqa: E402
+from leadsmith.operators.extract import (  # noqa: E402
+    extract_page_findings,
+    extraction_summary,
+    page_links,
+    prefer_domain,
+)
+from leadsmith.operators.filters import (  # noqa: E402
+    drop_any_null,
+    exclude_terms,
+    recency_filter,
+)
+from leadsmith.sources.io import captured_pages, with_blank_nulls  # noqa: E402
+
+TITLE_EXCLUDE_TERMS = ["widget", "ring"]
+AS_OF = "2024-01-30"
+
+
+def q_page_links(spark, sf_dir):
+    """E8 + T3 + P10: anchors of every page, absolute, in document order."""
+    pages = read_parquet(spark, sf_dir, "pages")
+    return page_links(pages).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+
+
+def q_page_link_first_seen(spark, sf_dir):
+    """Each distinct link once, at its first (page, position)."""
+    links = q_page_links(spark, sf_dir)
+    return keep_first(links, "link", ["page_id", "pos"])
+
+
+def q_slug_title(spark, sf_dir):
+    """Title from the last URL segment."""
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select("page_id", slug_title("url").alias("title"))
+
+
+def q_same_host(spark, sf_dir):
+    """T2 + P8: page host vs its normalised domain and vs ``example.com``."""
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    d = normalize_domain("url")
+    return pages.select(
+        "page_id",
+        url_host("url").alias("host"),
+        d.alias("domain"),
+        same_host("url", d).alias("same_as_domain"),
+        same_host("url", F.lit("example.com")).alias("under_example_com"),
+    )
+
+
+def q_title_exclude(spark, sf_dir):
+    """P4 + T12: parts whose name holds none of the terms (substring, any case)."""
+    part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return exclude_terms(part, "p_name", TITLE_EXCLUDE_TERMS)
+
+
+def q_anti_master(spark, sf_dir):
+    """Documents not yet in the master (``labels``), null-safe."""
+    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    labels = read_parquet(spark, sf_dir, "labels").select("doc_id")
+    return anti_master(docs, labels, "doc_id")
+
+
+def q_anti_domain_master(spark, sf_dir):
+    """T4 -> W2 -> J2: first contact per domain for domains the page master lacks."""
+    found = _doc_emails(spark, sf_dir).select(
+        "doc_id", "pos", "email", email_domain_first("email").alias("domain"))
+    firsts = keep_first(found, "domain", ["doc_id", "pos"])
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "html")
+    master = scan_emails(pages, "html", ["page_id"]).select(
+        email_domain_first("email").alias("domain"))
+    return anti_master(firsts, master, "domain")
+
+
+def _recency(period):
+    def run(spark, sf_dir):
+        ev = read_parquet(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+        return recency_filter(ev, "ts", period, AS_OF).select("event_id", "user_id", "event_type")
+    run.__doc__ = f"P2: events of period {period} relative to {AS_OF}."
+    return run
+
+
+def q_drop_any_null(spark, sf_dir):
+    """L1 blank->null + P3: documents with their labels, complete rows only."""
+    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = read_parquet(spark, sf_dir, "labels")
+    joined = with_blank_nulls(docs.join(labels, "doc_id", "left"))
+    return drop_any_null(joined)
+
+
+def q_conversation_clean(spark, sf_dir):
+    """Unescape, zero-width, NFKC, de-obfuscation, white space."""
+    conv = read_parquet(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", "role", clean_text("text").alias("text_clean"))
+
+
+def q_visible_text(spark, sf_dir):
+    """L5 + E10: visible text of every captured page."""
+    pages = captured_pages(read_parquet(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", visible_text("html").alias("text")) \
+        .select("page_id", F.length("text").cast("long").alias("text_len"), "text")
+
+
+def q_page_findings(spark, sf_dir):
+    """U7 + A3 + A5: all finding sources per page, same-domain preference,
+    one summary row per page with findings."""
+    pages = captured_pages(read_parquet(spark, sf_dir, "pages"))
+    pages = pages.withColumn("domain", normalize_domain("url"))
+    found = extract_page_findings(pages)
+    distinct = found.select("page_id", "domain", "email", "text_len").distinct()
+    preferred = prefer_domain(distinct, "page_id")
+    return extraction_summary(preferred).select(
+        "page_id", "emails_extracted", F.col("text_len").cast("long").alias("text_len"))
+
+
+REGISTRY.update({
+    "page_links": q_page_links,
+    "page_link_first_seen": q_page_link_first_seen,
+    "slug_title": q_slug_title,
+    "same_host": q_same_host,
+    "title_exclude": q_title_exclude,
+    "anti_master": q_anti_master,
+    "anti_domain_master": q_anti_domain_master,
+    "recency_0": _recency(0),
+    "recency_1": _recency(1),
+    "recency_7": _recency(7),
+    "drop_any_null": q_drop_any_null,
+    "conversation_clean": q_conversation_clean,
+    "visible_text": q_visible_text,
+    "page_findings": q_page_findings,
+})
