@@ -51,7 +51,7 @@ def split_name(c, titles: Sequence[str] = DEFAULT_TITLES,
         lambda x: ~F.array_contains(title_set, F.lower(F.regexp_replace(x, r"\.$", ""))),
     )
     n = F.size(toks)
-    first = F.nullif(F.element_at(toks, 1), F.lit(""))
+    first = F.nullif(F.try_element_at(toks, F.lit(1)), F.lit(""))
     mid = F.slice(toks, 2, F.greatest(n - 2, F.lit(0)))
     m = F.size(mid)
     k = F.array_min(F.filter(
@@ -59,13 +59,13 @@ def split_name(c, titles: Sequence[str] = DEFAULT_TITLES,
         lambda i: F.forall(F.slice(mid, i, m - i + 1),
                            lambda x: F.array_contains(particle_set, F.lower(x))),
     ))
-    tail = F.concat(F.slice(mid, k, m - k + 1), F.array(F.element_at(toks, n)))
+    tail = F.concat(F.slice(mid, k, m - k + 1), F.array(F.try_element_at(toks, n)))
     last_plain = F.when(n >= 2, F.array_join(tail, " "))
     last = F.when(comma > 0, before).otherwise(last_plain)
 
     raw_toks = _tokens(F.replace(raw, F.lit(","), F.lit(" ")))
     fallback = last.isNull() & (F.size(raw_toks) >= 2)
-    first_out = F.when(fallback, F.coalesce(first, F.element_at(raw_toks, 1))).otherwise(first)
+    first_out = F.when(fallback, F.coalesce(first, F.try_element_at(raw_toks, F.lit(1)))).otherwise(first)
     last_out = F.when(
         fallback, F.array_join(F.slice(raw_toks, 2, F.size(raw_toks) - 1), " ")
     ).otherwise(last)

@@ -34,7 +34,7 @@ CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
 JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}"
+LABEL_SEGMENT_RE = r"(?i)\S*(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*"
 
 
 def _findings(df: DataFrame, keep: Sequence[str], arr: Column, source: str) -> DataFrame:
@@ -121,7 +121,11 @@ def text_emails(text: Column) -> Column:
 
 
 def label_emails(text: Column) -> Column:
-    """Addresses in the segment that follows a contact label in the clean text."""
+    """Addresses in the segment around a contact label in the clean text.
+
+    A segment starts at the token holding the label and runs up to 200
+    characters on, extended to the end of the last token, so an address is
+    never cut in two."""
     segs = F.regexp_extract_all(text, F.lit(LABEL_SEGMENT_RE), F.lit(0))
     return F.array_distinct(F.flatten(F.transform(segs, lambda s: text_emails(s))))
 
@@ -153,7 +157,7 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                           html_col: str = "html", domain_col: str = "domain",
-                          exact_text: bool = True) -> DataFrame:
+                          exact_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """All finding sources of a page in one scan, one ``explode``.
 
     Output ``(id, url, domain, source, email)`` plus the page's same-host
@@ -170,16 +174,17 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
         F.struct(F.lit("raw").alias("source"),
                  F.transform(email_matches(html), lambda m: F.lower(m)).alias("emails")),
     )
+    keep = list(keep)
     staged = pages.select(
-        id_col, url_col, domain_col, html_col,
+        id_col, *keep, url_col, domain_col, html_col,
         text.alias("__text"),
     ).withColumn("__text_emails", text_emails(F.col("__text")))
     return (staged.select(
-        id_col, url_col, domain_col,
+        id_col, *keep, url_col, domain_col,
         F.length("__text").alias("text_len"),
         iframe_links(html, F.col(url_col), F.col(domain_col)).alias("iframes"),
         F.explode(tagged).alias("__src"),
-    ).select(id_col, url_col, domain_col, "text_len", "iframes",
+    ).select(id_col, *keep, url_col, domain_col, "text_len", "iframes",
              F.col("__src.source").alias("source"), F.explode("__src.emails").alias("email"))
      .where(F.col("email").isNotNull() & (F.col("email") != "")))
 

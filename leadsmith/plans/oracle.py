@@ -133,7 +133,7 @@ CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
 JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}"
+LABEL_SEGMENT_RE = r"(?i)\S*(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*"
 
 
 def mailto_sql(h: str) -> str:
@@ -172,19 +172,21 @@ def label_sql(t: str) -> str:
     return f"flatten(list_transform({segs}, lambda s: {emails_sql('s')}))"
 
 
-def page_findings_sql(pages: str) -> str:
-    """(page_id, url, domain, text_len, source, email) for a pages relation."""
+def page_findings_sql(pages: str, domain_expr: str | None = None, extra: tuple = ()) -> str:
+    """(page_id, url, domain, text_len, [extra], email) for a pages relation."""
+    dom = domain_expr or normalize_domain_sql('url')
+    ex = "".join(f", {c}" for c in extra)
     return f"""
 WITH p AS (
-  SELECT page_id, url, html, {normalize_domain_sql('url')} AS domain, {visible_sql('html')} AS vt
+  SELECT page_id, url, html{ex}, {dom} AS domain, {visible_sql('html')} AS vt
   FROM {pages}
 ), s AS (
-  SELECT page_id, url, domain, length(vt) AS text_len,
+  SELECT page_id, url, domain{ex}, length(vt) AS text_len,
          list_concat({cf_sql('html')}, {mailto_sql('html')}, {jsonld_sql('html')},
                      {emails_sql('vt')}, {label_sql('vt')}, {emails_sql('html')}) AS all_emails
   FROM p
 )
-SELECT page_id, url, domain, text_len, UNNEST(all_emails) AS email FROM s
+SELECT page_id, url, domain{ex}, text_len, UNNEST(all_emails) AS email FROM s
 """
 
 
@@ -259,3 +261,148 @@ FROM ({prefer_domain_sql(page_findings_sql('pages'))})
 GROUP BY page_id
 """,
 })
+
+
+# ============================================================================ batch 3: sites
+def _when_r(n: int, expr: str) -> str:
+    return f"(CASE WHEN r = {n} THEN {expr} ELSE '' END)"
+
+
+def cf_encode_sql(addr: str, key: str) -> str:
+    return (f"lpad(hex({key}), 2, '0') || array_to_string(list_transform(string_split({addr}, ''), "
+            f"lambda c: lpad(hex(xor(ascii(c), {key})), 2, '0')), '')")
+
+
+SITES = """
+SELECT s_suppkey AS k, s_name, s_acctbal, n_regionkey AS r,
+       's' || CAST(s_suppkey AS VARCHAR) || '.' || regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') || '.example' AS d
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+_HOME = " || ".join([
+    "'<!DOCTYPE html><html><head><title>'", "s_name", "'</title>'",
+    _when_r(1, q('<script type="application/ld+json">[{"@type":"Organization","contactPoint":{"email":"Jobs@')
+            + " || d || " + q('"}},{"x":["see hr@') + " || d || " + q('"]}]</script>')),
+    q('<style>p{margin:0}</style><script>var t="q@tracker.example";</script></head><body>'),
+    q("<!-- c@comment.example --><h1>"), "s_name", q("</h1>"),
+    _when_r(0, q('<a HREF="MAILTO:Info@') + " || d || " + q('?subject=Hi%20x">Mail</a>')),
+    _when_r(1, q('<span class="__cf_email__" data-cfemail="') + " || "
+            + cf_encode_sql("'kontakt@' || d", "CAST(k % 200 + 16 AS INTEGER)") + " || "
+            + q('">[email protected]</span>')),
+    _when_r(2, q('<iframe src="/frame/kontakt"></iframe>')),
+    q("<p>Ansprechpartner: "), "'p' || CAST(k AS VARCHAR) || '.contact@' || d", q("</p>"),
+    q('<iframe src="https://other.example/b"></iframe></body></html>'),
+])
+_FRAME = " || ".join([q("<html><body><p>Kontakt: "),
+                      _when_r(2, "'office [at] ' || replace(d, '.', ' [dot] ')"),
+                      q("</p></body></html>")])
+_IMPRINT = " || ".join([q("<html><body><h2>Impressum</h2>"),
+                        _when_r(3, q("<a href='mailto:team@") + " || d || " + q("'>Team</a>")),
+                        q("<p>"), "s_name", q("</p></body></html>")])
+
+SITE_PAGES = f"""
+(WITH s AS ({SITES})
+ SELECT k * 10 + 1 AS page_id, 'https://' || d || '/' AS url, {_HOME} AS html FROM s
+ UNION ALL SELECT k * 10 + 2, 'https://' || d || '/frame/kontakt', {_FRAME} FROM s
+ UNION ALL SELECT k * 10 + 3, 'http://' || d || '/impressum', {_IMPRINT} FROM s)
+"""
+
+SITE_FINDINGS_ALL = page_findings_sql(SITE_PAGES)
+
+
+def iframes_sql(h: str, u: str, d: str, limit: int = 3) -> str:
+    srcs = (f"list_filter(list_transform(regexp_extract_all({h}, {q(IFRAME_SRC_RE)}, 1), "
+            f"lambda s: {strip_sql('s')}), lambda s: s <> '')")
+    resolved = f"list_transform({srcs}, lambda s: {resolve_sql(u, 's')})"
+    return f"list_filter({resolved}, lambda x: {same_host_sql('x', d)})[1:{limit}]"
+
+
+CONTACTS = f"""
+(WITH s AS ({SITES})
+ SELECT k AS seq, 'P' || CAST(k AS VARCHAR) || '.Contact@' || upper(d) AS email FROM s
+ UNION ALL SELECT k + 1000000000, 'sales.' || CAST(k AS VARCHAR) || '@' || d FROM s WHERE r = 0
+ UNION ALL SELECT k + 2000000000, 'x' || CAST(k AS VARCHAR) || '@jobs.aplitrak.com' FROM s WHERE s_acctbal > 9000)
+"""
+
+LOCAL_PARTS = ["info", "kontakt", "contact", "freelancer", "freelance",
+               "inbox", "recruiting", "bewerbung", "application", "applications", "projects",
+               "hello", "hi", "office", "mail", "post", "team",
+               "sales", "vertrieb", "business", "b2b", "partner", "alliances",
+               "jobs", "career", "karriere", "hr", "humanresources"]
+PATHS = ["", "kontakt", "kontakt/", "impressum", "impressum/", "imprint", "imprint/", "contact", "contact/",
+         "about", "team", "datenschutz", "datenschutz/", "privacy", "privacy/",
+         "de/impressum", "de/impressum/", "de/kontakt", "de/kontakt/",
+         "en/contact", "en/contact/", "en/privacy", "en/privacy/",
+         "legal-notice", "legal-notice/", "legal", "legal/"]
+LP_VALUES = "(VALUES " + ", ".join(f"({i + 1}, {q(p)})" for i, p in enumerate(LOCAL_PARTS)) + ") AS lp(rank, local_part)"
+GRID_VALUES = "(VALUES " + ", ".join(
+    f"({t}, {(b - 1) * 27 + i + 1}, {q(tpl + p)})"
+    for t, b, tpl in [(1, 1, "https://{d}/"), (1, 2, "https://www.{d}/"), (2, 1, "http://{d}/"), (2, 2, "http://www.{d}/")]
+    for i, p in enumerate(PATHS)) + ") AS g(tier, url_rank, tpl)"
+
+
+def best_sql(domains: str, found: str) -> str:
+    """domains(domain) + found(domain, tier, email) -> (domain, email_common)."""
+    return f"""
+WITH c AS (SELECT d.domain, lp.rank, lower(lp.local_part || '@' || d.domain) AS email
+           FROM (SELECT DISTINCT domain FROM {domains}) d, {LP_VALUES}),
+h AS (SELECT c.domain, f.tier, c.rank, c.email FROM (SELECT DISTINCT domain, tier, email FROM {found}) f
+      JOIN c ON f.domain = c.domain AND f.email = c.email),
+b AS (SELECT domain, arg_min(email, tier * 1000 + rank) AS email_common FROM h GROUP BY domain)
+SELECT d.domain, b.email_common FROM (SELECT DISTINCT domain FROM {domains}) d LEFT JOIN b ON d.domain = b.domain
+"""
+
+
+SQL.update({
+    "site_mailto": f"SELECT DISTINCT page_id, UNNEST({mailto_sql('html')}) AS email FROM {SITE_PAGES}",
+    "site_cf_decode": f"SELECT page_id, UNNEST({cf_sql('html')}) AS email FROM {SITE_PAGES}",
+    "site_jsonld": f"SELECT page_id, UNNEST(list_distinct({jsonld_sql('html')})) AS email FROM {SITE_PAGES}",
+    "site_iframes": f"""
+SELECT page_id, UNNEST(range(1, len(fs) + 1)) AS pos, UNNEST(fs) AS frame_url
+FROM (SELECT page_id, {iframes_sql('html', 'url', normalize_domain_sql('url'))} AS fs FROM {SITE_PAGES})
+""",
+    "site_findings": f"""
+SELECT page_id, string_agg(email, ',' ORDER BY email) AS emails_extracted, max(text_len) AS text_len
+FROM ({prefer_domain_sql(SITE_FINDINGS_ALL)})
+GROUP BY page_id
+""",
+    "frontier": f"""
+SELECT domain, tier, url_rank, replace(tpl, '{{d}}', domain) AS url
+FROM (SELECT DISTINCT {normalize_domain_sql('url')} AS domain FROM pages) p, {GRID_VALUES}
+WHERE domain <> ''
+""",
+    "candidates": f"""
+SELECT d AS domain, CAST(rank AS BIGINT) AS rank, lower(local_part || '@' || d) AS email
+FROM ({SITES}) s, {LP_VALUES}
+""",
+    "candidates_best": best_sql(
+        f"(SELECT d AS domain FROM ({SITES}))",
+        f"(SELECT domain, CASE WHEN starts_with(url, 'https:') THEN 1 ELSE 2 END AS tier, email FROM ({SITE_FINDINGS_ALL}))"),
+})
+
+
+COMMON_MAILBOX = f"""
+WITH c AS (SELECT seq, {domain_first_sql('email')} AS domain FROM {CONTACTS}),
+p6 AS (SELECT * FROM c WHERE NOT coalesce(contains({norm_sql('domain')}, 'aplitrak.com'), false)),
+m AS (SELECT d AS domain FROM ({SITES}) WHERE s_acctbal < 0),
+j2 AS (SELECT * FROM p6 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.domain IS NOT DISTINCT FROM p6.domain)),
+w2 AS (SELECT * FROM j2 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq) = 1),
+dm AS (SELECT domain, {normalize_domain_sql('domain')} AS sd FROM w2),
+dv AS (SELECT * FROM dm WHERE coalesce(sd <> '' AND contains(sd, '.'), false)),
+fr AS (SELECT DISTINCT sd AS domain, tier, replace(tpl, '{{d}}', sd) AS url FROM dv, {GRID_VALUES}),
+fetched AS (SELECT sp.page_id, fr.url, sp.html, fr.domain, fr.tier FROM fr JOIN {SITE_PAGES} sp ON fr.url = sp.url),
+own AS ({prefer_domain_sql(page_findings_sql('fetched', 'domain', ('tier',)))}),
+frames AS (
+  SELECT page_id, domain, tier, url, UNNEST(range(1, len(fs) + 1)) AS frame_pos, UNNEST(fs) AS frame_url
+  FROM (SELECT page_id, domain, tier, url, {iframes_sql('html', 'url', 'domain')} AS fs FROM fetched)
+),
+frame_pages AS (
+  SELECT f.url || '|' || CAST(f.frame_pos AS VARCHAR) AS page_id, f.frame_url AS url, sp.html, f.domain, f.tier
+  FROM frames f JOIN {SITE_PAGES} sp ON f.frame_url = sp.url
+),
+frame_own AS ({prefer_domain_sql(page_findings_sql('frame_pages', 'domain', ('tier',)))}),
+found AS (SELECT domain, tier, email FROM own UNION SELECT domain, tier, email FROM frame_own),
+best AS ({best_sql('(SELECT sd AS domain FROM dv)', 'found')})
+SELECT dv.domain, best.email_common FROM dv LEFT JOIN best ON dv.sd = best.domain
+"""
+SQL["common_mailbox"] = COMMON_MAILBOX

@@ -201,3 +201,103 @@ REGISTRY.update({
     "visible_text": q_visible_text,
     "page_findings": q_page_findings,
 })
+
+
+# ============================================================================ batch 3: sites
+from leadsmith.operators.extract import (  # noqa: E402
+    cfemail_emails,
+    iframe_links,
+    jsonld_emails,
+    mailto_emails,
+)
+from leadsmith.operators.mailbox import best_candidate, candidates, frontier  # noqa: E402
+from leadsmith.plans.flows import common_mailbox  # noqa: E402
+from leadsmith.sources.derived import (  # noqa: E402
+    contact_site_pages,
+    site_contacts,
+    site_domain_master,
+    suppliers_with_sites,
+)
+
+
+def _site_pages(spark, sf_dir):
+    return captured_pages(contact_site_pages(spark, sf_dir))
+
+
+def _exploded(pages, arr, name="email"):
+    return pages.select("page_id", F.explode(arr).alias(name))
+
+
+def q_site_mailto(spark, sf_dir):
+    """E2 + E3: mailto addresses (upper-case scheme, query cut, single quotes)."""
+    return _exploded(_site_pages(spark, sf_dir), mailto_emails(F.col("html"))).distinct()
+
+
+def q_site_cf_decode(spark, sf_dir):
+    """Protected addresses decoded."""
+    return _exploded(_site_pages(spark, sf_dir), cfemail_emails(F.col("html")))
+
+
+def q_site_jsonld(spark, sf_dir):
+    """E5: addresses in JSON-LD blocks (top-level arrays accepted)."""
+    return _exploded(_site_pages(spark, sf_dir), jsonld_emails(F.col("html")))
+
+
+def q_site_iframes(spark, sf_dir):
+    """E7 + W5 + T3 + P8: resolved same-host iframe URLs, at most three."""
+    p = _site_pages(spark, sf_dir)
+    arr = iframe_links(F.col("html"), F.col("url"), normalize_domain("url"))
+    return (p.select("page_id", F.posexplode(arr).alias("pos", "frame_url"))
+            .select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "frame_url"))
+
+
+def q_site_findings(spark, sf_dir):
+    """U7 + A3 + A5 over the contact sites (all six sources)."""
+    pages = _site_pages(spark, sf_dir).withColumn("domain", normalize_domain("url"))
+    found = extract_page_findings(pages)
+    distinct = found.select("page_id", "domain", "email", "text_len").distinct()
+    preferred = prefer_domain(distinct, "page_id")
+    return extraction_summary(preferred).select(
+        "page_id", "emails_extracted", F.col("text_len").cast("long").alias("text_len"))
+
+
+def q_frontier(spark, sf_dir):
+    """J4 + U3: URLs to check for every host of the driver's pages."""
+    pages = read_parquet(spark, sf_dir, "pages").select("url")
+    domains = pages.select(normalize_domain("url").alias("domain")).where(F.col("domain") != "")
+    return frontier(domains).select("domain", "tier", F.col("url_rank").cast("long").alias("url_rank"), "url")
+
+
+def q_candidates(spark, sf_dir):
+    """Ranked generic candidates for every site domain."""
+    s = suppliers_with_sites(spark, sf_dir).select("domain")
+    return candidates(s).select("domain", F.col("rank").cast("long").alias("rank"), "email")
+
+
+def q_candidates_best(spark, sf_dir):
+    """J5 + A2 + A4: best generic mailbox per site domain from all findings of
+    the site's pages (https pages tier 1, http pages tier 2)."""
+    pages = _site_pages(spark, sf_dir).withColumn("domain", normalize_domain("url"))
+    found = extract_page_findings(pages).select(
+        "domain", F.when(F.col("url").startswith("https:"), 1).otherwise(2).alias("tier"), "email")
+    domains = suppliers_with_sites(spark, sf_dir).select("domain")
+    return best_candidate(domains, found)
+
+
+def q_common_mailbox(spark, sf_dir):
+    """New contacts -> company domains -> generic mailbox via captured pages."""
+    return common_mailbox(site_contacts(spark, sf_dir), site_domain_master(spark, sf_dir),
+                          contact_site_pages(spark, sf_dir))
+
+
+REGISTRY.update({
+    "site_mailto": q_site_mailto,
+    "site_cf_decode": q_site_cf_decode,
+    "site_jsonld": q_site_jsonld,
+    "site_iframes": q_site_iframes,
+    "site_findings": q_site_findings,
+    "frontier": q_frontier,
+    "candidates": q_candidates,
+    "candidates_best": q_candidates_best,
+    "common_mailbox": q_common_mailbox,
+})
