@@ -42,3 +42,90 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
     best = best_candidate(df.select(F.col("search_domain").alias("domain")), found, local_parts)
     return (df.join(best.withColumnRenamed("domain", "search_domain"), "search_domain", "left")
             .select("domain", "email_common"))
+
+
+# ---------------------------------------------------------------------------- C1
+from leadsmith.functions.text import norm_str  # noqa: E402
+from leadsmith.operators.audit import contact_funnel, posting_funnel  # noqa: E402
+from leadsmith.operators.enrich import enrich_contacts  # noqa: E402
+from leadsmith.operators.filters import drop_any_null, email_blocklist  # noqa: E402
+from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox  # noqa: E402
+from leadsmith.operators.tables import append_union, apply_changes, delete_keys  # noqa: E402
+from leadsmith.sources.io import load_snapshot, write_snapshot  # noqa: E402
+from leadsmith.sources.lookups import CONTACT_BLOCKLIST, TITLE_TERMS  # noqa: E402
+
+CONTACT_COLS = ["company", "person", "email"]
+
+
+def clean_contacts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIST,
+                   key: str = "email", order_col: str = "ingest_seq",
+                   columns: Sequence[str] | None = None, normalize_key: bool = False) -> DataFrame:
+    """P1 -> W1 keep first per address -> J1 minus master -> P5 blocklist.
+
+    J1 and P5 depend only on the address, so they run before the keep-first
+    aggregate (same rows, smaller shuffle)."""
+    cols = list(columns) if columns is not None else [c for c in CONTACT_COLS if c in new.columns] or new.columns
+    df = new.select(*dict.fromkeys([*cols, key, order_col]))
+    df = anti_master(df, master, key)
+    df = email_blocklist(df, key, blocklist)
+    return keep_first(df, key, order_col, normalize_key=normalize_key).select(*dict.fromkeys([*cols, key]))
+
+
+def contact_funnel_counts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIST,
+                          key: str = "email") -> DataFrame:
+    """A1 for C1, in the reference's step order (duplicates, known, excluded)."""
+    per_key = new.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    m = master.select(F.col(key).alias("__mk")).distinct().withColumn("known", F.lit(True))
+    flagged = per_key.join(m, per_key[key].eqNullSafe(m["__mk"]), "left").drop("__mk")
+    passing = email_blocklist(per_key.select(key), key, blocklist) \
+        .select(F.col(key).alias("__pk")).withColumn("__pass", F.lit(True))
+    flagged = (flagged.join(passing, flagged[key].eqNullSafe(passing["__pk"]), "left")
+               .withColumn("blocked", F.col("__pass").isNull()).drop("__pk", "__pass"))
+    return contact_funnel(flagged)
+
+
+# ---------------------------------------------------------------------------- C2
+def clean_postings(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
+    """P3 drop rows with any null -> P4 title exclusion."""
+    return exclude_terms(drop_any_null(raw), title_col, title_terms)
+
+
+def posting_funnel_counts(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
+    from leadsmith.functions.text import literal_alternation
+    complete = F.lit(True)
+    for c in raw.columns:
+        complete = complete & F.col(c).isNotNull()
+    pattern = literal_alternation([t.strip().lower() for t in title_terms])
+    excluded = F.coalesce(norm_str(title_col).rlike(pattern), F.lit(False))
+    return posting_funnel(raw, complete, excluded)
+
+
+# ---------------------------------------------------------------------------- C3 / C4 / C7
+def enrich(df: DataFrame, name_gender: DataFrame, person_col: str = "person") -> DataFrame:
+    """Gender, first and last name."""
+    return enrich_contacts(df, name_gender, person_col)
+
+
+def append_master(master: DataFrame, enriched: DataFrame, key: str = "email") -> DataFrame:
+    """C4: rows not yet in the master (J1), appended by name (U2). Running it
+    twice with the same input adds nothing the second time."""
+    return append_union(master, anti_master(enriched, master, key))
+
+
+def outbox(enriched: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
+    """The mails to send, as a table."""
+    return build_outbox(enriched, template)
+
+
+# ---------------------------------------------------------------------------- C9
+def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
+                     deletes: DataFrame | None = None, key: str = "url") -> str:
+    """Load (or start) the URL state table, apply a batch of upserts and
+    deletes, and publish the result as a new snapshot. Returns its path."""
+    spark = (changes if changes is not None else deletes).sparkSession
+    state = load_snapshot(spark, table_root, schema)
+    if changes is not None:
+        state = apply_changes(state, changes, key=key)
+    if deletes is not None:
+        state = delete_keys(state, deletes, key=key)
+    return write_snapshot(state, table_root)

@@ -406,3 +406,208 @@ best AS ({best_sql('(SELECT sd AS domain FROM dv)', 'found')})
 SELECT dv.domain, best.email_common FROM dv LEFT JOIN best ON dv.sd = best.domain
 """
 SQL["common_mailbox"] = COMMON_MAILBOX
+
+
+# ============================================================================ batch 4
+FIRST_NAMES = ["Anna", "Max", "Lena", "Jan", "Maria", "Paul", "Sophie", "Lukas", "Andrea", "Kim"]
+LAST_NAMES = ["Mueller", "Schmidt", "Heide", "Berg", "Wagner", "Becker", "Hoffmann", "Koch", "Richter", "Wolf"]
+NAME_GENDER = [("Anna", "female"), ("Max", "male"), ("Lena", "female"), ("Jan", "male"),
+               ("Maria", "female"), ("Paul", "male"), ("Sophie", "mostly_female"),
+               ("Lukas", "male"), ("Andrea", "andy")]
+TITLES = ["dr", "prof", "herr", "frau", "mr", "mrs", "ms", "dipl", "ing", "mag", "sir"]
+PARTICLES = ["von", "van", "vom", "zu", "zur", "zum", "de", "der", "den", "del", "della", "du", "di"]
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(q(x) for x in xs) + "]"
+
+
+CC = f"""
+(SELECT c_custkey AS ingest_seq, c_mktsegment AS company,
+  CASE WHEN c_acctbal < 0 THEN NULL
+       WHEN c_custkey % 7 = 0 THEN f || ' ' || l
+       WHEN c_custkey % 7 = 1 THEN l || ', ' || f
+       WHEN c_custkey % 7 = 2 THEN 'Dr. ' || f || ' von der ' || l
+       WHEN c_custkey % 7 = 3 THEN f || ' Maria ' || l
+       WHEN c_custkey % 7 = 4 THEN f
+       WHEN c_custkey % 7 = 5 THEN 'Prof. Dr. ' || f || ' van den ' || l
+       ELSE '  ' END AS person,
+  lower(f) || '.' || lower(l) || '.' || CAST(c_custkey AS VARCHAR) || '@' || lower(c_mktsegment) || '.example' AS email
+ FROM (SELECT *, {_list(FIRST_NAMES)}[c_custkey % 10 + 1] AS f,
+              {_list(LAST_NAMES)}[(c_custkey // 10) % 10 + 1] AS l FROM customer))
+"""
+
+NAME_SPLIT = f"""
+WITH b AS (SELECT ingest_seq AS c_custkey, person, {strip_sql('person')} AS raw FROM {CC}),
+t AS (SELECT *, strpos(raw, ',') AS comma, nullif({strip_sql("split_part(raw, ',', 1)")}, '') AS before,
+             CASE WHEN strpos(raw, ',') > 0 THEN substr(raw, strpos(raw, ',') + 1) ELSE raw END AS body FROM b),
+u AS (SELECT *,
+        list_filter(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> ''),
+                    lambda x: NOT list_contains({_list(TITLES)}, lower(regexp_replace(x, '\\.$', '')))) AS toks,
+        list_filter(regexp_split_to_array(replace(raw, ',', ' '), '\\s+'), lambda x: x <> '') AS raw_toks
+      FROM t),
+v AS (SELECT *, len(toks) AS n, nullif(toks[1], '') AS first0,
+             CASE WHEN len(toks) >= 2 THEN toks[2:len(toks) - 1] ELSE [] END AS mid FROM u),
+w AS (SELECT *, coalesce(list_max(list_filter(range(1, len(mid) + 1),
+                   lambda i: NOT list_contains({_list(PARTICLES)}, lower(mid[i])))), 0) AS j FROM v),
+x AS (SELECT *, CASE WHEN comma > 0 THEN before
+                     WHEN n >= 2 THEN array_to_string(list_concat(mid[j + 1:len(mid)], [toks[n]]), ' ') END AS last0
+      FROM w)
+SELECT c_custkey, person,
+  CASE WHEN raw IS NULL OR raw = '' THEN NULL
+       WHEN last0 IS NULL AND len(raw_toks) >= 2 THEN coalesce(first0, raw_toks[1]) ELSE first0 END AS first_name,
+  CASE WHEN raw IS NULL OR raw = '' THEN NULL
+       WHEN last0 IS NULL AND len(raw_toks) >= 2 THEN array_to_string(raw_toks[2:], ' ') ELSE last0 END AS last_name
+FROM x
+"""
+
+GENDER_DICT = ("(SELECT lower(trim(fn)) AS fn, min(g) AS gender FROM (VALUES "
+               + ", ".join(f"({q(a)}, {q(b)})" for a, b in NAME_GENDER) + ") AS t(fn, g) GROUP BY 1)")
+
+ENRICHED = f"""
+(SELECT c.ingest_seq, c.company, c.person, c.email, coalesce(g.gender, 'unknown') AS gender,
+        n.first_name, n.last_name
+ FROM {CC} c JOIN ({NAME_SPLIT}) n ON c.ingest_seq = n.c_custkey
+ LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn)
+"""
+
+SAL = """CASE WHEN last_name IS NULL THEN 'Sehr geehrte Damen und Herren '
+     WHEN gender = 'male' THEN 'Lieber Herr ' WHEN gender = 'female' THEN 'Liebe Frau '
+     ELSE 'Sehr geehrte Damen und Herren ' END"""
+ADDR = "CASE WHEN gender IN ('male', 'female') AND last_name IS NOT NULL THEN last_name ELSE '' END"
+
+
+def _template_sql() -> str:
+    import re
+    from leadsmith.operators.outbox import DEFAULT_TEMPLATE
+    parts, pos = [], 0
+    for m in re.finditer(r"\{\{\s*(\w+)\s*(?:\|\s*default\(\s*\"([^\"]*)\"\s*\))?\s*\}\}", DEFAULT_TEMPLATE):
+        parts.append(q(DEFAULT_TEMPLATE[pos:m.start()]))
+        name, default = m.group(1), m.group(2)
+        parts.append({"ansprache": SAL, "name": ADDR}.get(name) or q(default))
+        pos = m.end()
+    parts.append(q(DEFAULT_TEMPLATE[pos:]))
+    return " || ".join(f"({p})" for p in parts)
+
+
+CONTACT_NEW = f"""(SELECT * FROM {CC} UNION ALL
+  SELECT ingest_seq + 1000000000, company, person, email FROM {CC} WHERE company = 'BUILDING')"""
+CONTACT_MASTER = f"(SELECT email FROM {CC} WHERE company = 'AUTOMOBILE')"
+BLOCKED = (f"coalesce({norm_sql('email')} IN ('anna.mueller.0@furniture.example') "
+           f"OR ends_with(string_split({norm_sql('email')}, '@')[-1], 'hinery.example'), false)")
+
+PART_POSTINGS = """
+(SELECT p_partkey AS ingest_seq,
+        'https://projects.example/projekte/projekt-' || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-') AS url,
+        p_name AS project_name, p_type AS project_description, p_brand AS company,
+        CASE WHEN p_size <= 45 THEN 'Agent ' || brand END AS person, 'jobs@' || brand || '.example' AS email
+ FROM (SELECT *, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS brand FROM part))
+"""
+POSTING_COMPLETE = ("(ingest_seq IS NOT NULL AND url IS NOT NULL AND project_name IS NOT NULL AND "
+                    "project_description IS NOT NULL AND company IS NOT NULL AND person IS NOT NULL AND email IS NOT NULL)")
+POSTING_EXCLUDED = (f"coalesce(contains({norm_sql('project_name')}, 'ring') OR "
+                    f"contains({norm_sql('project_name')}, 'bolt'), false)")
+
+URL_BASE = """(SELECT url, CAST(DATE '2024-01-01' + CAST(page_id AS INTEGER) AS VARCHAR) AS date,
+  NULL::BOOLEAN AS url_checked FROM pages)"""
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+URL_CHANGES = """(SELECT e.event_id AS seq,
+   CASE WHEN e.event_type = 'signup' THEN 'signup://' || CAST(e.user_id AS VARCHAR)
+        ELSE coalesce(p.url, 'user://' || CAST(e.user_id AS VARCHAR)) END AS url,
+   e.event_type AS col,
+   CASE WHEN e.value < 5 THEN NULL ELSE CAST(CAST(round(e.value * 100) AS BIGINT) AS VARCHAR) END AS value
+ FROM events e LEFT JOIN pages p ON e.user_id = p.page_id)"""
+
+PROFILES = {
+    "p1": {"mini": ["the", "and", "of", "to", "in", "for", "with", "that", "this", "by",
+                    "les", "des", "une", "und", "der", "die", "que", "los", "las", "del"],
+           "top": ["tion", "ment", "ing"], "heading": ["the", "le"], "exclude": ["sap"]},
+    "p2": {"mini": ["ou", "ai", "ch", "qu"], "top": ["eau", "ier"], "heading": ["de"], "exclude": ["wordpress"]},
+}
+
+
+def _hits_sql(col: str, terms) -> str:
+    return f"len(list_filter({_list(terms)}, lambda t: contains({col}, t)))"
+
+
+def _score_sql() -> str:
+    w = repr(1 / 3)
+    parts = []
+    for prof, g in sorted(PROFILES.items()):
+        score = (f"0.0 + {w} * {_hits_sql('body', g['mini'])} / {len(g['mini'])}"
+                 f" + {w} * {_hits_sql('body', g['top'])} / {len(g['top'])}"
+                 f" + {w} * (CASE WHEN {_hits_sql('heading', g['heading'])} > 0 THEN 1.0 ELSE 0.0 END)")
+        parts.append(f"""SELECT doc_id, {q(prof)} AS profile, round(s, 6) AS score, s * 100 >= 75.0 AS passes
+FROM (SELECT doc_id, {score} AS s, {_hits_sql('body', g['exclude'])} > 0 AS excluded
+      FROM (SELECT doc_id, lower(text) AS body, lower(split_part(text, chr(10), 1)) AS heading FROM documents))
+WHERE NOT excluded""")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL.update({
+    "name_split": NAME_SPLIT,
+    "gender_lookup": f"""
+SELECT n.c_custkey, n.first_name, coalesce(g.gender, 'unknown') AS gender
+FROM ({NAME_SPLIT}) n LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn
+""",
+    "enrich_contacts": f"SELECT * FROM {ENRICHED}",
+    "salutation": f"SELECT ingest_seq AS c_custkey, gender, {SAL} AS ansprache, {ADDR} AS name FROM {ENRICHED}",
+    "outbox": f"SELECT email, 'Anfrage zu Beauftragungen' AS subject, {_template_sql()} AS content FROM {ENRICHED}",
+    "clean_contacts": f"""
+WITH f AS (SELECT * FROM {CONTACT_NEW} n
+           WHERE NOT EXISTS (SELECT 1 FROM {CONTACT_MASTER} m WHERE m.email IS NOT DISTINCT FROM n.email)),
+g AS (SELECT * FROM f WHERE NOT {BLOCKED})
+SELECT company, person, email FROM g QUALIFY row_number() OVER (PARTITION BY email ORDER BY ingest_seq) = 1
+""",
+    "contact_funnel": f"""
+WITH pk AS (SELECT email, count(*) AS n FROM {CONTACT_NEW} GROUP BY email),
+fl AS (SELECT n, EXISTS (SELECT 1 FROM {CONTACT_MASTER} m WHERE m.email IS NOT DISTINCT FROM pk.email) AS known,
+              {BLOCKED} AS blocked FROM pk)
+SELECT CAST(sum(n) AS BIGINT) AS input, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+       count(*) FILTER (WHERE known) AS already_known,
+       count(*) FILTER (WHERE NOT known AND blocked) AS excluded,
+       CAST(sum(n) - count(*) FILTER (WHERE NOT known AND NOT blocked) AS BIGINT) AS removed,
+       count(*) FILTER (WHERE NOT known AND NOT blocked) AS "left"
+FROM fl
+""",
+    "clean_postings": f"SELECT * FROM {PART_POSTINGS} WHERE {POSTING_COMPLETE} AND NOT {POSTING_EXCLUDED}",
+    "posting_funnel": f"""
+SELECT count(*) AS input, count(*) FILTER (WHERE NOT {POSTING_COMPLETE}) AS incomplete,
+       count(*) FILTER (WHERE {POSTING_COMPLETE} AND {POSTING_EXCLUDED}) AS excluded,
+       count(*) FILTER (WHERE {POSTING_COMPLETE} AND NOT {POSTING_EXCLUDED}) AS "left"
+FROM {PART_POSTINGS}
+""",
+    "append_master": f"""
+SELECT * FROM {ENRICHED} WHERE company = 'AUTOMOBILE'
+UNION ALL
+SELECT * FROM {ENRICHED} e WHERE NOT EXISTS (
+  SELECT 1 FROM {ENRICHED} m WHERE m.company = 'AUTOMOBILE' AND m.email IS NOT DISTINCT FROM e.email)
+""",
+    "accumulate_merge": """
+SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, n_name FROM (
+  SELECT c_custkey, c_name, c_mktsegment, NULL::VARCHAR AS n_name FROM customer
+  UNION ALL SELECT c_custkey, c_name, c_mktsegment, NULL FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT c_custkey, c_name, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+            WHERE c_acctbal > 9000)
+""",
+    "append_union": """
+SELECT c_custkey AS id, c_name AS name, c_nationkey AS nationkey, c_mktsegment AS segment, NULL::DOUBLE AS acctbal
+FROM customer
+UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, s_acctbal FROM supplier
+""",
+    "upsert": f"""
+WITH last AS (SELECT * FROM {URL_CHANGES} WHERE url IS NOT NULL AND col IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY url, col ORDER BY seq DESC) = 1),
+pv AS (SELECT url, {", ".join(f"bool_or(col = {q(t)}) AS has_{t}, max(CASE WHEN col = {q(t)} THEN value END) AS v_{t}" for t in EVENT_TYPES)}
+       FROM last GROUP BY url)
+SELECT coalesce(b.url, pv.url) AS url, b.date, b.url_checked,
+       {", ".join(f"CASE WHEN has_{t} THEN v_{t} END AS {t}" for t in EVENT_TYPES)}
+FROM {URL_BASE} b FULL OUTER JOIN pv ON b.url = pv.url
+""",
+    "delete_key": f"""
+SELECT * FROM {URL_BASE} b WHERE NOT EXISTS (
+  SELECT 1 FROM pages p JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') e
+    ON p.page_id = e.user_id WHERE p.url = b.url)
+""",
+    "keyword_score": _score_sql(),
+})

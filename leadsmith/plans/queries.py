@@ -301,3 +301,197 @@ REGISTRY.update({
     "candidates_best": q_candidates_best,
     "common_mailbox": q_common_mailbox,
 })
+
+
+# ============================================================================ batch 4: tables, names, flows
+from leadsmith.functions.names import addressed_name, salutation_safe, split_name  # noqa: E402
+from leadsmith.operators.enrich import enrich_contacts, gender_lookup  # noqa: E402
+from leadsmith.operators.outbox import build_outbox  # noqa: E402
+from leadsmith.operators.score import keyword_scores  # noqa: E402
+from leadsmith.operators.tables import (  # noqa: E402
+    accumulate_merge,
+    append_union,
+    apply_changes,
+    delete_keys,
+)
+from leadsmith.plans.flows import (  # noqa: E402
+    append_master,
+    clean_contacts,
+    clean_postings,
+    contact_funnel_counts,
+    posting_funnel_counts,
+)
+from leadsmith.sources.derived import (  # noqa: E402
+    customer_contacts,
+    name_gender_table,
+    part_postings,
+)
+
+CONTACT_BLOCKLIST_Q = ["hinery.example", "anna.mueller.0@furniture.example"]
+POSTING_TERMS = ["ring", "bolt"]
+PROFILE_TERMS = (
+    [("p1", "mini", t, None) for t in
+     ["the", "and", "of", "to", "in", "for", "with", "that", "this", "by",
+      "les", "des", "une", "und", "der", "die", "que", "los", "las", "del"]]
+    + [("p1", "top", t, None) for t in ["tion", "ment", "ing"]]
+    + [("p1", "heading", t, None) for t in ["the", "le"]]
+    + [("p1", "exclude", "sap", None)]
+    + [("p2", "mini", t, None) for t in ["ou", "ai", "ch", "qu"]]
+    + [("p2", "top", t, None) for t in ["eau", "ier"]]
+    + [("p2", "heading", "de", None), ("p2", "exclude", "wordpress", None)]
+)
+
+
+def _contacts(spark, sf_dir):
+    return customer_contacts(spark, sf_dir)
+
+
+def q_name_split(spark, sf_dir):
+    """First / last name of every contact person."""
+    c = _contacts(spark, sf_dir)
+    n = split_name(F.col("person"))
+    return c.select(F.col("ingest_seq").alias("c_custkey"), "person",
+                    n["first_name"].alias("first_name"), n["last_name"].alias("last_name"))
+
+
+def q_gender_lookup(spark, sf_dir):
+    """J7 + T9: gender of every first name (dictionary join, miss = unknown)."""
+    names = q_name_split(spark, sf_dir).select("c_custkey", "first_name")
+    return gender_lookup(names, name_gender_table(spark))
+
+
+def q_enrich_contacts(spark, sf_dir):
+    """Contacts with gender, first and last name."""
+    return enrich_contacts(_contacts(spark, sf_dir), name_gender_table(spark))
+
+
+def q_salutation(spark, sf_dir):
+    """Salutation and addressed name (Q15: null name -> neutral)."""
+    e = q_enrich_contacts(spark, sf_dir)
+    return e.select(F.col("ingest_seq").alias("c_custkey"), "gender",
+                    salutation_safe(F.col("gender"), F.col("last_name")).alias("ansprache"),
+                    addressed_name(F.col("gender"), F.col("last_name")).alias("name"))
+
+
+def q_outbox(spark, sf_dir):
+    """T11 + C7: rendered mail per enriched contact."""
+    return build_outbox(q_enrich_contacts(spark, sf_dir))
+
+
+def q_clean_contacts(spark, sf_dir):
+    """Contacts (with repeats) minus master minus blocklist, first per address."""
+    c = _contacts(spark, sf_dir)
+    repeats = c.where(F.col("company") == "BUILDING").withColumn(
+        "ingest_seq", F.col("ingest_seq") + F.lit(1_000_000_000))
+    new = c.unionByName(repeats)
+    master = c.where(F.col("company") == "AUTOMOBILE").select("email")
+    return clean_contacts(new, master, CONTACT_BLOCKLIST_Q)
+
+
+def q_contact_funnel(spark, sf_dir):
+    """A1: rows removed per step of C1."""
+    c = _contacts(spark, sf_dir)
+    repeats = c.where(F.col("company") == "BUILDING").withColumn(
+        "ingest_seq", F.col("ingest_seq") + F.lit(1_000_000_000))
+    master = c.where(F.col("company") == "AUTOMOBILE").select("email")
+    return contact_funnel_counts(c.unionByName(repeats), master, CONTACT_BLOCKLIST_Q)
+
+
+def q_clean_postings(spark, sf_dir):
+    """Complete postings whose title holds no excluded term."""
+    return clean_postings(part_postings(spark, sf_dir), POSTING_TERMS)
+
+
+def q_posting_funnel(spark, sf_dir):
+    """A1 for C2."""
+    return posting_funnel_counts(part_postings(spark, sf_dir), POSTING_TERMS)
+
+
+def q_append_master(spark, sf_dir):
+    """C4: master (AUTOMOBILE contacts) + enriched contacts not yet in it."""
+    e = q_enrich_contacts(spark, sf_dir)
+    master = e.where(F.col("company") == "AUTOMOBILE")
+    return append_master(master, e)
+
+
+def q_accumulate_merge(spark, sf_dir):
+    """U1 + W3 + O1: customers, plus repeated BUILDING rows and rich customers
+    with their nation name as an extra column."""
+    cust = read_parquet(spark, sf_dir, "customer")
+    nation = read_parquet(spark, sf_dir, "nation")
+    base = cust.select("c_custkey", "c_name", "c_mktsegment")
+    repeats = base.where(F.col("c_mktsegment") == "BUILDING")
+    rich = (cust.where(F.col("c_acctbal") > 9000)
+            .join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey)
+            .select("c_custkey", "c_name", "c_mktsegment", "n_name"))
+    return accumulate_merge(base, repeats.unionByName(rich, allowMissingColumns=True))
+
+
+def q_append_union(spark, sf_dir):
+    """Customers and suppliers under common names; duplicates kept."""
+    c = read_parquet(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nationkey"), F.col("c_mktsegment").alias("segment"))
+    s = read_parquet(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
+    return append_union(c, s)
+
+
+def _url_state(spark, sf_dir):
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select(
+        "url",
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("page_id").cast("int")).cast("string").alias("date"),
+        F.lit(None).cast("boolean").alias("url_checked"))
+
+
+def _url_changes(spark, sf_dir):
+    ev = read_parquet(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    j = ev.join(pages, ev.user_id == pages.page_id, "left")
+    url = F.when(F.col("event_type") == "signup",
+                 F.concat(F.lit("signup://"), F.col("user_id").cast("string"))) \
+        .otherwise(F.coalesce(F.col("url"), F.concat(F.lit("user://"), F.col("user_id").cast("string"))))
+    value = F.when(F.col("value") < 5, F.lit(None).cast("string")) \
+        .otherwise(F.round(F.col("value") * 100).cast("long").cast("string"))
+    return j.select(F.col("event_id").alias("seq"), url.alias("url"),
+                    F.col("event_type").alias("column"), value.alias("value"))
+
+
+def q_upsert(spark, sf_dir):
+    """U4 + U6: events as a batch of cell changes on the URL state table."""
+    return apply_changes(_url_state(spark, sf_dir), _url_changes(spark, sf_dir))
+
+
+def q_delete_key(spark, sf_dir):
+    """URL state minus pages whose visitor id saw an error."""
+    ev = read_parquet(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id")
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    dels = pages.join(ev, pages.page_id == ev.user_id, "left_semi").select("url")
+    return delete_keys(_url_state(spark, sf_dir), dels)
+
+
+def q_keyword_score(spark, sf_dir):
+    """A6 + A7: weighted keyword score per document and profile."""
+    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return keyword_scores(docs, PROFILE_TERMS)
+
+
+REGISTRY.update({
+    "name_split": q_name_split,
+    "gender_lookup": q_gender_lookup,
+    "enrich_contacts": q_enrich_contacts,
+    "salutation": q_salutation,
+    "outbox": q_outbox,
+    "clean_contacts": q_clean_contacts,
+    "contact_funnel": q_contact_funnel,
+    "clean_postings": q_clean_postings,
+    "posting_funnel": q_posting_funnel,
+    "append_master": q_append_master,
+    "accumulate_merge": q_accumulate_merge,
+    "append_union": q_append_union,
+    "upsert": q_upsert,
+    "delete_key": q_delete_key,
+    "keyword_score": q_keyword_score,
+})

@@ -113,3 +113,57 @@ def site_domain_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(domain, email_common)`` already known: sites of suppliers in debt."""
     s = suppliers_with_sites(spark, sf_dir)
     return s.where(F.col("s_acctbal") < 0).select("domain", F.lit(None).cast("string").alias("email_common"))
+
+
+# ---------------------------------------------------------------------------
+# Contacts derived from ``customer``: a person name in one of seven shapes
+# (plain, "Last, First", titles and particles, a middle name, one word,
+# blank), null for customers in debt; the e-mail is built from the name.
+# ---------------------------------------------------------------------------
+FIRST_NAMES = ["Anna", "Max", "Lena", "Jan", "Maria", "Paul", "Sophie", "Lukas", "Andrea", "Kim"]
+LAST_NAMES = ["Mueller", "Schmidt", "Heide", "Berg", "Wagner", "Becker", "Hoffmann", "Koch", "Richter", "Wolf"]
+NAME_GENDER = [("Anna", "female"), ("Max", "male"), ("Lena", "female"), ("Jan", "male"),
+               ("Maria", "female"), ("Paul", "male"), ("Sophie", "mostly_female"),
+               ("Lukas", "male"), ("Andrea", "andy")]
+
+
+def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(ingest_seq, company, person, email)`` — one contact per customer."""
+    c = read_parquet(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    k = F.col("c_custkey")
+    first = F.element_at(F.array(*[F.lit(n) for n in FIRST_NAMES]), (k % 10 + 1).cast("int"))
+    last = F.element_at(F.array(*[F.lit(n) for n in LAST_NAMES]), (F.floor(k / 10) % 10 + 1).cast("int"))
+    shape = k % 7
+    person = (F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
+              .when(shape == 0, F.concat(first, F.lit(" "), last))
+              .when(shape == 1, F.concat(last, F.lit(", "), first))
+              .when(shape == 2, F.concat(F.lit("Dr. "), first, F.lit(" von der "), last))
+              .when(shape == 3, F.concat(first, F.lit(" Maria "), last))
+              .when(shape == 4, first)
+              .when(shape == 5, F.concat(F.lit("Prof. Dr. "), first, F.lit(" van den "), last))
+              .otherwise(F.lit("  ")))
+    email = F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("."), k.cast("string"),
+                     F.lit("@"), F.lower(F.col("c_mktsegment")), F.lit(".example"))
+    return c.select(k.alias("ingest_seq"), F.col("c_mktsegment").alias("company"),
+                    person.alias("person"), email.alias("email"))
+
+
+def name_gender_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NAME_GENDER, "first_name string, gender string")
+
+
+def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings derived from ``part``: one per part; the contact person is
+    missing for the largest sizes (so the any-null filter has work)."""
+    p = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    brand = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
+    return p.select(
+        F.col("p_partkey").alias("ingest_seq"),
+        F.concat(F.lit("https://projects.example/projekte/projekt-"), F.col("p_partkey").cast("string"),
+                 F.lit("-"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("url"),
+        F.col("p_name").alias("project_name"),
+        F.col("p_type").alias("project_description"),
+        F.col("p_brand").alias("company"),
+        F.when(F.col("p_size") <= 45, F.concat(F.lit("Agent "), brand)).alias("person"),
+        F.concat(F.lit("jobs@"), brand, F.lit(".example")).alias("email"),
+    )
