@@ -145,17 +145,22 @@ def _zero_width_class() -> str:
     return "[" + "".join(ZERO_WIDTH) + "]"
 
 
+# White space as Python's ``str.isspace`` defines it, spelled out so the Java
+# patterns need no Unicode-class flag (which makes every rule much slower).
+WS_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def deobfuscate(c: ColumnOrName) -> Column:
     """The eight ``[at]``/``dot`` rules in order, then white-space collapse."""
     col = _c(c)
     for pattern, repl in DEOBFUSCATION_RULES:
-        col = F.regexp_replace(col, "(?iU)" + pattern, repl)
-    return F.regexp_replace(col, r"(?U)\s+", " ")
+        col = F.regexp_replace(col, "(?i)" + pattern.replace(r"\s", WS_CLASS), repl)
+    return F.regexp_replace(col, WS_CLASS + "+", " ")
 
 
 _BASIC_ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&"),
+    ("&apos;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&"),
 ]
 
 
@@ -167,6 +172,55 @@ def unescape_basic(c: ColumnOrName) -> Column:
     return col
 
 
+# Entities decoded natively in clean_text; the value is what unescape + NFKC
+# would give. Any other ``&`` sequence sends the row to the exact UDF path.
+_NATIVE_ENTITY_NAMES = [
+    "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "middot", "bull", "hellip",
+    "ndash", "mdash", "laquo", "raquo", "euro", "deg", "auml", "ouml", "uuml", "Auml", "Ouml",
+    "Uuml", "szlig", "eacute", "egrave", "agrave", "ccedil", "#39", "#039", "#64", "#x40",
+    "#34", "#160", "amp",
+]
+_NATIVE_ENTITIES = [(f"&{n};", unicodedata.normalize("NFKC", _html.unescape(f"&{n};")))
+                    for n in _NATIVE_ENTITY_NAMES]
+
+
+def _nfkc_sensitive_class() -> str:
+    """Character class of code points NFKC may change or compose with.
+
+    Derived from ``unicodedata`` (a rule, not a list) for U+0080-U+02FF,
+    where Latin-script text lives: characters whose NFKC form differs. From
+    U+0300 on (combining marks, other scripts, compatibility blocks) every
+    character counts, which keeps the class to a few ranges: Java tests a
+    class range by range, so a long class would cost per character.
+    """
+    def sensitive(cp: int) -> bool:
+        if 0xD800 <= cp <= 0xDFFF:
+            return False
+        ch = chr(cp)
+        return unicodedata.normalize("NFKC", ch) != ch or unicodedata.combining(ch) != 0
+    ranges: list[tuple[int, int]] = []
+    for cp in range(0x80, 0x300):
+        if sensitive(cp):
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1] = (ranges[-1][0], cp)
+            else:
+                ranges.append((cp, cp))
+    body = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    return "[" + body + "\\x{300}-\\x{10FFFF}]"
+
+
+_NATIVE_ENTITY_ALT = "|".join(n for n in _NATIVE_ENTITY_NAMES)
+NEEDS_EXACT_RE = f"&(?!(?:{_NATIVE_ENTITY_ALT});)|{_nfkc_sensitive_class()}"
+
+
+def unescape_native(c: ColumnOrName) -> Column:
+    col = _c(c)
+    out = col
+    for ent, ch in _NATIVE_ENTITIES:
+        out = F.replace(out, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(col, "&") > 0, out).otherwise(col)
+
+
 def _unescape_nfkc_py(s: pd.Series) -> pd.Series:
     def one(v):
         if v is None:
@@ -181,17 +235,19 @@ _unescape_nfkc = F.pandas_udf(_unescape_nfkc_py, T.StringType())
 def clean_text(c: ColumnOrName, exact: bool = True) -> Column:
     """Unescape, drop zero-width, NFKC, de-obfuscate, collapse spaces.
 
-    ``exact=True`` sends only rows containing ``&`` or a non-ASCII character
-    to the Arrow UDF; the rest stay on the JVM. ``exact=False`` is fully
-    native (common entities only, no NFKC).
+    Rows whose entities are all common ones and that hold no character NFKC
+    could change stay on the JVM (native entity table). With ``exact=True``
+    the remaining rows go through one Arrow UDF (full HTML unescape + NFKC);
+    with ``exact=False`` they get the native table only. Pass a column
+    reference (not a long expression): the input is read more than once.
     """
     col = _c(c)
+    native = unescape_native(col)
     if exact:
-        needs = col.rlike(r"[&]|[^\x00-\x7F]")
-        slow = _unescape_nfkc(F.when(needs, col))
-        col = F.when(needs, slow).otherwise(col)
+        needs = col.rlike(NEEDS_EXACT_RE)
+        col = F.when(needs, _unescape_nfkc(F.when(needs, col))).otherwise(native)
     else:
-        col = unescape_basic(col)
+        col = native
     col = F.regexp_replace(col, _zero_width_class(), "")
     return deobfuscate(col)
 
@@ -219,10 +275,18 @@ def strip_markup(c: ColumnOrName) -> Column:
 
 
 def visible_text(c: ColumnOrName, exact: bool = True) -> Column:
-    """The page's visible text, cleaned (T1) and trimmed."""
+    """E10 as one expression (see ``with_visible_text`` for the staged form)."""
     return strip_ws(clean_text(strip_markup(c), exact=exact))
 
 
+def with_visible_text(df, html_col: str = "html", out_col: str = "text", exact: bool = True):
+    """E10 on a DataFrame: markup is stripped in one projection and cleaned in
+    the next, so the stripped text is computed once per row."""
+    cols = [c for c in df.columns if c != out_col]
+    staged = df.select(*cols, strip_markup(html_col).alias("__stripped"))
+    return staged.select(*cols, strip_ws(clean_text(F.col("__stripped"), exact=exact)).alias(out_col))
+
+
 def cap_bytes(c: ColumnOrName, max_bytes: int) -> Column:
     """Keep at most ``max_bytes`` UTF-8 bytes; a cut character is dropped."""
     col = _c(c)

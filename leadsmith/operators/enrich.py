@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.functions.names import split_name
+from leadsmith.functions.names import with_split_name
 
 
 def gender_lookup(df: DataFrame, name_gender: DataFrame, first_col: str = "first_name",
@@ -29,9 +29,8 @@ def gender_lookup(df: DataFrame, name_gender: DataFrame, first_col: str = "first
 
 def enrich_contacts(df: DataFrame, name_gender: DataFrame, person_col: str = "person") -> DataFrame:
     """Add ``gender``, ``first_name``, ``last_name`` (in that order)."""
-    named = df.withColumn("__n", split_name(F.col(person_col)))
-    with_first = named.withColumn("__first", F.col("__n.first_name"))
-    out = gender_lookup(with_first, name_gender, first_col="__first")
-    return (out.withColumn("first_name", F.col("__n.first_name"))
-            .withColumn("last_name", F.col("__n.last_name"))
-            .drop("__n", "__first"))
+    cols = df.columns
+    named = with_split_name(df, person_col, "__first", "__last")
+    out = gender_lookup(named, name_gender, first_col="__first")
+    return out.select(*cols, "gender", F.col("__first").alias("first_name"),
+                      F.col("__last").alias("last_name"))

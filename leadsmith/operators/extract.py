@@ -22,6 +22,7 @@ from leadsmith.functions.text import (
     strip_ws,
     unescape_basic,
     visible_text,
+    with_visible_text,
 )
 from leadsmith.sources.lookups import EMAIL_PATTERN, MAX_IFRAMES_PER_PAGE
 
@@ -164,7 +165,6 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
     iframe URLs in ``iframes`` (array) and its visible-text length.
     """
     html = F.col(html_col)
-    text = visible_text(html, exact=exact_text)
     tagged = F.array(
         F.struct(F.lit("cf").alias("source"), cfemail_emails(html).alias("emails")),
         F.struct(F.lit("mailto").alias("source"), mailto_emails(html).alias("emails")),
@@ -175,10 +175,9 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
                  F.transform(email_matches(html), lambda m: F.lower(m)).alias("emails")),
     )
     keep = list(keep)
-    staged = pages.select(
-        id_col, *keep, url_col, domain_col, html_col,
-        text.alias("__text"),
-    ).withColumn("__text_emails", text_emails(F.col("__text")))
+    staged = with_visible_text(pages.select(id_col, *keep, url_col, domain_col, html_col),
+                               html_col, "__text", exact=exact_text)
+    staged = staged.withColumn("__text_emails", text_emails(F.col("__text")))
     return (staged.select(
         id_col, *keep, url_col, domain_col,
         F.length("__text").alias("text_len"),
@@ -213,3 +212,60 @@ __all__ = [
     "jsonld_emails", "text_emails", "label_emails", "iframe_links", "page_links",
     "extract_page_findings", "prefer_domain", "extraction_summary", "norm_str",
 ]
+
+
+# --------------------------------------------------------------------------- E8 (cards) / E9 / W4
+
+POSTING_CARD_RE = r"""(?is)<search-project-card\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+
+# (field, variant, pattern): group 1 is the field's inner HTML; variant 2 is
+# used only where variant 1 is missing or empty.
+POSTING_FIELD_SPEC = [
+    ("project_name", 1,
+     r"""(?is)<h1[^>]*class\s*=\s*["']margin-bottom-xs["'][^>]*>(.*?)</h1>"""),
+    ("company", 1,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*project-header[^"']*["'][^>]*>.*?<a[^>]*onclick\s*=\s*["']window\.open[^>]*>(.*?)</a>"""),
+    ("person", 1,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*list-item-main[^"']*["'][^>]*>.*?<span[^>]*class\s*=\s*["']h5["'][^>]*>(.*?)</span>"""),
+    ("person", 2,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*media-body[^"']*["'][^>]*>.*?<div[^>]*class\s*=\s*["']col-md-6["'][^>]*>([^\n<]*)"""),
+    ("email", 1,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-sm-6 margin-bottom-sm[^"']*["'][^>]*>[^<]*E-Mail[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""),
+    ("email", 2,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-md-6[^"']*["'][^>]*>[^<]*@[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""),
+    ("project_description", 1,
+     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*panel-body highlight-text[^"']*["'][^>]*>(.*?)</div>"""),
+]
+POSTING_FIELDS = ["project_name", "project_description", "company", "person", "email"]
+
+
+def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "url",
+                  html_col: str = "html") -> DataFrame:
+    """E8 + T3 + P10: the link of every project card, in page order, absolute."""
+    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(POSTING_CARD_RE), F.lit(1))
+    return (listing.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
+            .where(F.col("href") != "")
+            .select(id_col, (F.col("pos") + 1).alias("pos"),
+                    resolve_url(F.col(url_col), F.col("href")).alias("link")))
+
+
+def _field_text(inner: Column) -> Column:
+    """Inner HTML -> text: tags removed, basic entities, stripped; '' -> null."""
+    text = strip_ws(unescape_basic(F.regexp_replace(inner, r"(?s)<[^>]+>", "")))
+    return F.nullif(text, F.lit(""))
+
+
+def posting_fields(pages: DataFrame, spec=POSTING_FIELD_SPEC, url_col: str = "url",
+                   html_col: str = "html") -> DataFrame:
+    """E9 + W4: ``(url, project_name, project_description, company, person,
+    email)`` from detail pages; per field the first non-empty variant."""
+    html = F.col(html_col)
+    fields: dict[str, list[tuple[int, str]]] = {}
+    for field, variant, pattern in spec:
+        fields.setdefault(field, []).append((variant, pattern))
+    cols = [F.col(url_col).alias("url")]
+    for field in POSTING_FIELDS:
+        variants = sorted(fields.get(field, []))
+        vals = [_field_text(F.regexp_extract(html, pattern, 1)) for _, pattern in variants]
+        cols.append((F.coalesce(*vals) if vals else F.lit(None).cast("string")).alias(field))
+    return pages.select(*cols)

@@ -162,11 +162,21 @@ def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[
 
 
 def drop_incomplete(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Keep rows where every required field is present (not null, not blank)."""
-    cond = F.lit(True)
-    for c in required:
-        cond = cond & F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
-    return df.where(cond)
+    """Keep rows where every required field is present (not null, not blank).
+
+    The test runs inside one generator (``inline`` of a filtered one-element
+    array) instead of a ``Filter``: a filter on freshly extracted fields would
+    be pushed below the extraction and repeat every extraction expression."""
+    cols = df.columns
+
+    def complete(s):
+        cond = F.lit(True)
+        for c in required:
+            cond = cond & s[c].isNotNull() & (F.trim(s[c]) != "")
+        return cond
+
+    row = F.array(F.struct(*[F.col(c) for c in cols]))
+    return df.select(F.inline(F.filter(row, complete))).select(*cols)
 
 
 def valid_domain(c) -> Column:

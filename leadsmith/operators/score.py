@@ -51,8 +51,10 @@ def keyword_scores(docs: DataFrame, terms, id_col: str = "doc_id", text_col: str
     w = dict(SCORE_GROUP_WEIGHTS)
     w.update(weights or {})
     profiles = _profiles(terms)
-    body = F.lower(F.col(text_col))
-    heading = F.lower(F.split_part(F.col(text_col), F.lit("\n"), F.lit(1)))
+    # Staged once per row: the term lambdas then only read these columns.
+    docs = docs.select(id_col, F.lower(F.col(text_col)).alias("__body"),
+                       F.lower(F.split_part(F.col(text_col), F.lit("\n"), F.lit(1))).alias("__heading"))
+    body, heading = F.col("__body"), F.col("__heading")
     rows = []
     for profile in sorted(profiles):
         g = profiles[profile]

@@ -129,3 +129,25 @@ def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
     if deletes is not None:
         state = delete_keys(state, deletes, key=key)
     return write_snapshot(state, table_root)
+
+
+# ---------------------------------------------------------------------------- C6 / C8
+from leadsmith.operators.extract import POSTING_FIELDS, posting_fields  # noqa: E402
+from leadsmith.operators.filters import drop_incomplete  # noqa: E402
+from leadsmith.operators.tables import accumulate_merge  # noqa: E402
+
+RAW_COLS = ["url", *POSTING_FIELDS]
+AGENCY_COLS = ["company", "person", "email"]
+
+
+def collect_postings(detail_pages: DataFrame, raw_base: DataFrame) -> DataFrame:
+    """E9 fields of every detail page -> P7 complete records only -> U1
+    into the accumulated raw postings table (sorted, de-duplicated)."""
+    fields = posting_fields(detail_pages).select(*RAW_COLS)
+    complete = drop_incomplete(fields, RAW_COLS)
+    return accumulate_merge(raw_base.select(*RAW_COLS), complete)
+
+
+def collect_agencies(raw: DataFrame, agency_base: DataFrame) -> DataFrame:
+    """C6 second half: the contact columns, accumulated the same way."""
+    return accumulate_merge(agency_base.select(*AGENCY_COLS), raw.select(*AGENCY_COLS))

@@ -14,14 +14,14 @@ from leadsmith.functions.text import email_domain_last
 from leadsmith.operators.dedupe import keep_first
 from leadsmith.operators.extract import scan_emails
 from leadsmith.operators.filters import email_blocklist
-from leadsmith.sources.io import read_parquet
+from leadsmith.sources.io import read_parquet, read_text_table
 
 # Query parameters (small fixed inputs applied to the full tables).
 EMAIL_BLOCKLIST = ["mail3.example.com", "ail8.example.com", "that.92@mail2.example.com"]
 
 
 def _doc_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_text_table(spark, sf_dir, "documents", ["doc_id", "text"])
     found = scan_emails(docs, "text", ["doc_id"], source="text", with_pos=True)
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "email",
                         email_domain_last("email").alias("domain"))
@@ -70,6 +70,7 @@ from leadsmith.functions.text import (  # noqa: E402
     url_host,
     visible_text,
     blank_to_null,
+    with_visible_text,
 )
 from leadsmith.operators.dedupe import anti_master  # noqa: E402
 from leadsmith.operators.extract import (  # noqa: E402
@@ -91,7 +92,7 @@ AS_OF = "2024-01-30"
 
 def q_page_links(spark, sf_dir):
     """E8 + T3 + P10: anchors of every page, absolute, in document order."""
-    pages = read_parquet(spark, sf_dir, "pages")
+    pages = read_text_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     return page_links(pages).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
@@ -138,7 +139,7 @@ def q_anti_domain_master(spark, sf_dir):
     found = _doc_emails(spark, sf_dir).select(
         "doc_id", "pos", "email", email_domain_first("email").alias("domain"))
     firsts = keep_first(found, "domain", ["doc_id", "pos"])
-    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "html")
+    pages = read_text_table(spark, sf_dir, "pages", ["page_id", "html"])
     master = scan_emails(pages, "html", ["page_id"]).select(
         email_domain_first("email").alias("domain"))
     return anti_master(firsts, master, "domain")
@@ -162,21 +163,21 @@ def q_drop_any_null(spark, sf_dir):
 
 def q_conversation_clean(spark, sf_dir):
     """Unescape, zero-width, NFKC, de-obfuscation, white space."""
-    conv = read_parquet(spark, sf_dir, "conversations")
+    conv = read_text_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     return conv.select("conv_id", "turn", "role", clean_text("text").alias("text_clean"))
 
 
 def q_visible_text(spark, sf_dir):
     """L5 + E10: visible text of every captured page."""
-    pages = captured_pages(read_parquet(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select("page_id", visible_text("html").alias("text")) \
+    pages = captured_pages(read_text_table(spark, sf_dir, "pages", ["page_id", "html"]))
+    return with_visible_text(pages, "html", "text").select("page_id", "text") \
         .select("page_id", F.length("text").cast("long").alias("text_len"), "text")
 
 
 def q_page_findings(spark, sf_dir):
     """U7 + A3 + A5: all finding sources per page, same-domain preference,
     one summary row per page with findings."""
-    pages = captured_pages(read_parquet(spark, sf_dir, "pages"))
+    pages = captured_pages(read_text_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
     pages = pages.withColumn("domain", normalize_domain("url"))
     found = extract_page_findings(pages)
     distinct = found.select("page_id", "domain", "email", "text_len").distinct()
@@ -304,7 +305,7 @@ REGISTRY.update({
 
 
 # ============================================================================ batch 4: tables, names, flows
-from leadsmith.functions.names import addressed_name, salutation_safe, split_name  # noqa: E402
+from leadsmith.functions.names import addressed_name, salutation_safe, with_split_name  # noqa: E402
 from leadsmith.operators.enrich import enrich_contacts, gender_lookup  # noqa: E402
 from leadsmith.operators.outbox import build_outbox  # noqa: E402
 from leadsmith.operators.score import keyword_scores  # noqa: E402
@@ -348,10 +349,8 @@ def _contacts(spark, sf_dir):
 
 def q_name_split(spark, sf_dir):
     """First / last name of every contact person."""
-    c = _contacts(spark, sf_dir)
-    n = split_name(F.col("person"))
-    return c.select(F.col("ingest_seq").alias("c_custkey"), "person",
-                    n["first_name"].alias("first_name"), n["last_name"].alias("last_name"))
+    c = _contacts(spark, sf_dir).select(F.col("ingest_seq").alias("c_custkey"), "person")
+    return with_split_name(c, "person")
 
 
 def q_gender_lookup(spark, sf_dir):
@@ -474,7 +473,7 @@ def q_delete_key(spark, sf_dir):
 
 def q_keyword_score(spark, sf_dir):
     """A6 + A7: weighted keyword score per document and profile."""
-    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_text_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return keyword_scores(docs, PROFILE_TERMS)
 
 
@@ -495,3 +494,47 @@ REGISTRY.update({
     "delete_key": q_delete_key,
     "keyword_score": q_keyword_score,
 })
+
+
+# ============================================================================ batch 5: postings
+from leadsmith.operators.extract import posting_fields, posting_links  # noqa: E402
+from leadsmith.operators.filters import drop_incomplete  # noqa: E402
+from leadsmith.plans.flows import collect_agencies, collect_postings, RAW_COLS  # noqa: E402
+from leadsmith.sources.derived import posting_detail_pages, posting_listing_pages  # noqa: E402
+
+
+def q_posting_links(spark, sf_dir):
+    """E8 + T3 + P10: project links from the listing pages."""
+    return posting_links(posting_listing_pages(spark, sf_dir)).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), "link")
+
+
+def q_posting_fields(spark, sf_dir):
+    """E9 + W4: posting fields of every detail page (nulls where missing)."""
+    return posting_fields(posting_detail_pages(spark, sf_dir))
+
+
+def _raw_base(spark, sf_dir):
+    detail = posting_detail_pages(spark, sf_dir)
+    part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_size")
+    earlier = detail.join(part.where(F.col("p_size") <= 25), detail.page_id == part.p_partkey, "left_semi")
+    return drop_incomplete(posting_fields(earlier), RAW_COLS)
+
+
+def q_collect_postings(spark, sf_dir):
+    """yesterday's raw table + today's complete records, merged."""
+    return collect_postings(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir))
+
+
+def q_collect_agencies(spark, sf_dir):
+    """Contact columns of the merged raw table, accumulated."""
+    raw = collect_postings(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir))
+    return collect_agencies(raw, _raw_base(spark, sf_dir))
+
+
+REGISTRY.update({
+    "posting_links": q_posting_links,
+    "posting_fields": q_posting_fields,
+    "collect_postings": q_collect_postings,
+    "collect_agencies": q_collect_agencies,
+})

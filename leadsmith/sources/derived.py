@@ -167,3 +167,76 @@ def part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") <= 45, F.concat(F.lit("Agent "), brand)).alias("person"),
         F.concat(F.lit("jobs@"), brand, F.lit(".example")).alias("email"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Job-board pages derived from ``part`` (the projects) and the first supplier
+# of each part in ``lineitem`` (the agency): one detail page per part and
+# listing pages of 100 cards. Parts without a supplier have no agency block.
+# The contact block uses layout variant 1 for even sizes, variant 2 for odd.
+# ---------------------------------------------------------------------------
+LISTING_PAGE_SIZE = 100
+
+
+def _part_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadsmith.operators.dedupe import keep_first
+    li = read_parquet(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    first = keep_first(li, "l_partkey", ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_suppkey")
+    sup = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return (part.join(first, part.p_partkey == first.l_partkey, "left")
+            .join(sup, F.col("l_suppkey") == sup.s_suppkey, "left")
+            .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "s_suppkey", "s_name"))
+
+
+def posting_url(partkey: Column, name: Column) -> Column:
+    return F.concat(F.lit("https://projects.example/projekte/projekt-"), partkey.cast("string"),
+                    F.lit("-"), F.replace(name, F.lit(" "), F.lit("-")))
+
+
+def posting_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, html)`` — one detail page per part."""
+    a = _part_agency(spark, sf_dir)
+    k = F.col("s_suppkey")
+    first = F.element_at(F.array(*[F.lit(n) for n in FIRST_NAMES]), (k % 10 + 1).cast("int"))
+    last = F.element_at(F.array(*[F.lit(n) for n in LAST_NAMES]), (F.floor(k / 10) % 10 + 1).cast("int"))
+    person = F.concat(first, F.lit(" "), last)
+    email = F.concat(F.lower(first), F.lit("@s"), k.cast("string"), F.lit(".example"))
+    v1 = F.concat(
+        F.lit('<div class="list-item-main"><span class="h5">'), person, F.lit("</span></div>"),
+        F.lit('<div class="col-sm-6 margin-bottom-sm">E-Mail: <a href="mailto:'), email, F.lit('">'),
+        email, F.lit("</a></div>"))
+    v2 = F.concat(
+        F.lit('<div class="media-body"><div class="col-md-6">'), person, F.lit("\nRecruiting</div></div>"),
+        F.lit('<div class="col-md-6">Kontakt: '), email, F.lit(' <a href="mailto:'), email, F.lit('">'),
+        email, F.lit("</a></div>"))
+    agency = F.when(k.isNull(), F.lit("")).otherwise(F.concat(
+        F.lit('<div class="project-header"><span>Projekt</span> <a onclick="window.open(\'/firma/'),
+        k.cast("string"), F.lit('\')" href="#">'), F.col("s_name"), F.lit("</a></div>"),
+        F.when(F.col("p_size") % 2 == 0, v1).otherwise(v2)))
+    html = F.concat(
+        F.lit('<html><body><div class="highlight-text"><h1 class="margin-bottom-xs"> '), F.col("p_name"),
+        F.lit(" </h1></div>"), agency,
+        F.lit('<div class="panel-body highlight-text"><p>'), F.col("p_type"), F.lit("</p> <p>"),
+        F.col("p_brand"), F.lit("</p></div></body></html>"))
+    return a.select(F.col("p_partkey").alias("page_id"),
+                    posting_url(F.col("p_partkey"), F.col("p_name")).alias("url"), html.alias("html"))
+
+
+def posting_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, html)`` — listing pages of ``LISTING_PAGE_SIZE`` cards.
+    A page gathers at most that many cards, so no group is unbounded."""
+    p = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name")
+    card = F.concat(
+        F.lit('<search-project-card><a class="small fw-semibold link-warning" href="/projekte/projekt-'),
+        F.col("p_partkey").cast("string"), F.lit("-"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
+        F.lit('">'), F.col("p_name"), F.lit("</a></search-project-card>"))
+    page_no = (F.floor(F.col("p_partkey") / LISTING_PAGE_SIZE) + 1).cast("long")
+    grouped = (p.select(page_no.alias("page_id"), F.struct("p_partkey", card.alias("card")).alias("c"))
+               .groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("cards")))
+    return grouped.select(
+        "page_id",
+        F.concat(F.lit("https://projects.example/projekte?page="), F.col("page_id").cast("string"),
+                 F.lit("&pageSize="), F.lit(str(LISTING_PAGE_SIZE))).alias("url"),
+        F.concat(F.lit("<html><body>"), F.array_join(F.transform("cards", lambda c: c["card"]), ""),
+                 F.lit("</body></html>")).alias("html"))

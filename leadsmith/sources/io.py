@@ -26,6 +26,21 @@ def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition a scan that yields fewer partitions than the
+    cluster can run at once (a small file with few row groups), so CPU-heavy
+    text work uses every core. A large scan is left as it is (no shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_text_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -> DataFrame:
+    """Read only ``columns`` of a text-heavy table, spread over the cores."""
+    return spread(read_parquet(spark, sf_dir, name).select(*columns))
+
+
 # --------------------------------------------------------------------------- L1
 
 
