@@ -156,45 +156,99 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 # --------------------------------------------------------------------------- U7 / A3
 
 
+def _page_arrays(html: Column, text: Column) -> list[tuple[str, Column]]:
+    return [
+        ("cf", cfemail_emails(html)),
+        ("mailto", mailto_emails(html)),
+        ("jsonld", jsonld_emails(html)),
+        ("text", text_emails(text)),
+        ("label", label_emails(text)),
+        ("raw", F.transform(email_matches(html), lambda m: F.lower(m))),
+    ]
+
+
+def _staged_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, domain_col: str,
+                  keep: Sequence[str], exact_text: bool) -> DataFrame:
+    """Visible text staged once, then every source array of the page, their
+    union and the page's same-domain flag (A3), all in the page's own row."""
+    staged = with_visible_text(pages.select(id_col, *keep, url_col, domain_col, html_col),
+                               html_col, "__text", exact=exact_text)
+    html = F.col(html_col)
+    arrays = _page_arrays(html, F.col("__text"))
+    staged = staged.select(
+        id_col, *keep, url_col, domain_col, html_col,
+        F.length("__text").alias("text_len"),
+        F.array(*[F.struct(F.lit(name).alias("source"), arr.alias("emails")) for name, arr in arrays])
+        .alias("__src"),
+    )
+    all_emails = F.filter(F.array_distinct(F.flatten(F.transform("__src", lambda x: x["emails"]))),
+                          lambda e: e.isNotNull() & (e != ""))
+    suffix = F.concat(F.lit("@"), F.col(domain_col))
+    return staged.select(
+        "*",
+        all_emails.alias("__all"),
+        F.coalesce(F.exists(all_emails, lambda e: e.endswith(suffix)), F.lit(False)).alias("__any_same"),
+    )
+
+
 def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                           html_col: str = "html", domain_col: str = "domain",
-                          exact_text: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+                          exact_text: bool = True, keep: Sequence[str] = (),
+                          prefer_same_domain: bool = False, with_iframes: bool = True) -> DataFrame:
     """All finding sources of a page in one scan, one ``explode``.
 
-    Output ``(id, url, domain, source, email)`` plus the page's same-host
-    iframe URLs in ``iframes`` (array) and its visible-text length.
+    Output ``(id, [keep], url, domain, text_len, [iframes], source, email)``.
+    With ``prefer_same_domain`` the A3 rule (keep only ``@domain`` addresses
+    when the page has any) is applied inside the page's row, before the
+    explode: no join and no shuffle.
     """
-    html = F.col(html_col)
-    tagged = F.array(
-        F.struct(F.lit("cf").alias("source"), cfemail_emails(html).alias("emails")),
-        F.struct(F.lit("mailto").alias("source"), mailto_emails(html).alias("emails")),
-        F.struct(F.lit("jsonld").alias("source"), jsonld_emails(html).alias("emails")),
-        F.struct(F.lit("text").alias("source"), F.col("__text_emails").alias("emails")),
-        F.struct(F.lit("label").alias("source"), label_emails(F.col("__text")).alias("emails")),
-        F.struct(F.lit("raw").alias("source"),
-                 F.transform(email_matches(html), lambda m: F.lower(m)).alias("emails")),
-    )
     keep = list(keep)
-    staged = with_visible_text(pages.select(id_col, *keep, url_col, domain_col, html_col),
-                               html_col, "__text", exact=exact_text)
-    staged = staged.withColumn("__text_emails", text_emails(F.col("__text")))
-    return (staged.select(
-        id_col, *keep, url_col, domain_col,
-        F.length("__text").alias("text_len"),
-        iframe_links(html, F.col(url_col), F.col(domain_col)).alias("iframes"),
-        F.explode(tagged).alias("__src"),
-    ).select(id_col, *keep, url_col, domain_col, "text_len", "iframes",
-             F.col("__src.source").alias("source"), F.explode("__src.emails").alias("email"))
-     .where(F.col("email").isNotNull() & (F.col("email") != "")))
+    staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, keep, exact_text)
+    extra = [iframe_links(F.col(html_col), F.col(url_col), F.col(domain_col)).alias("iframes")] \
+        if with_iframes else []
+    suffix = F.concat(F.lit("@"), F.col(domain_col))
+    rows = (staged.select(id_col, *keep, url_col, domain_col, "text_len", *extra, "__any_same",
+                          F.explode("__src").alias("__s"))
+            .select(id_col, *keep, url_col, domain_col, "text_len", *[c for c in ["iframes"] if with_iframes],
+                    "__any_same", F.col("__s.source").alias("source"), F.explode("__s.emails").alias("email"))
+            .where(F.col("email").isNotNull() & (F.col("email") != "")))
+    if prefer_same_domain:
+        rows = rows.where(~F.col("__any_same") | F.col("email").endswith(suffix))
+    return rows.drop("__any_same")
+
+
+def page_summaries(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
+                   html_col: str = "html", domain_col: str = "domain",
+                   exact_text: bool = True) -> DataFrame:
+    """U7 + A3 + A5 per page without a shuffle: ``(id, emails_extracted,
+    text_len)``; the sorted distinct addresses kept by the same-domain rule,
+    comma-joined. Pages without a finding are left out."""
+    from leadsmith.operators.filters import where_in_place
+    staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, [], exact_text)
+    summary = staged.select(id_col, kept_emails(domain_col).alias("__kept"), "text_len")
+    summary = where_in_place(summary, lambda r: F.size(r["__kept"]) > 0)
+    return summary.select(id_col, F.array_join(F.sort_array("__kept"), ",").alias("emails_extracted"),
+                          F.col("text_len").cast("long").alias("text_len"))
+
+
+def kept_emails(domain_col: str = "domain") -> Column:
+    """A3 in-row on a staged page: the page's addresses of its own domain if
+    it has any, else all of them."""
+    suffix = F.concat(F.lit("@"), F.col(domain_col))
+    return F.when(F.col("__any_same"), F.filter("__all", lambda e: e.endswith(suffix))) \
+        .otherwise(F.col("__all"))
 
 
 def prefer_domain(findings: DataFrame, group_col: str, email_col: str = "email",
                   domain_col: str = "domain") -> DataFrame:
-    """A3: per group, if any address ends with ``@domain`` keep only those."""
-    is_same = F.col(email_col).endswith(F.concat(F.lit("@"), F.col(domain_col)))
-    flagged = findings.withColumn("__same", F.coalesce(is_same, F.lit(False)))
-    any_same = flagged.groupBy(group_col).agg(F.max("__same").alias("__any_same"))
-    return (flagged.join(any_same, group_col)
+    """A3 on a findings table: per group, if any address ends with
+    ``@domain`` keep only those. A window over the group (one page's findings,
+    bounded by the page size cap); no self-join, so the input is computed once."""
+    from pyspark.sql import Window
+    is_same = F.coalesce(F.col(email_col).endswith(F.concat(F.lit("@"), F.col(domain_col))), F.lit(False))
+    flagged = findings.withColumn("__same", is_same)
+    w = Window.partitionBy(group_col)
+    return (flagged.withColumn("__any_same", F.max("__same").over(w))
             .where(F.col("__same") | ~F.col("__any_same"))
             .drop("__same", "__any_same"))
 
@@ -210,7 +264,7 @@ def extraction_summary(findings: DataFrame, id_col: str = "page_id") -> DataFram
 __all__ = [
     "EMAIL_PATTERN", "scan_emails", "mailto_emails", "decode_cfemail", "cfemail_emails",
     "jsonld_emails", "text_emails", "label_emails", "iframe_links", "page_links",
-    "extract_page_findings", "prefer_domain", "extraction_summary", "norm_str",
+    "extract_page_findings", "page_summaries", "kept_emails", "_staged_pages", "prefer_domain", "extraction_summary", "norm_str",
 ]
 
 

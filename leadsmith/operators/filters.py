@@ -161,22 +161,27 @@ def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[
 # --------------------------------------------------------------------------- P7 / P9 / P10
 
 
-def drop_incomplete(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Keep rows where every required field is present (not null, not blank).
-
-    The test runs inside one generator (``inline`` of a filtered one-element
-    array) instead of a ``Filter``: a filter on freshly extracted fields would
-    be pushed below the extraction and repeat every extraction expression."""
+def where_in_place(df: DataFrame, predicate) -> DataFrame:
+    """Filter rows with ``predicate(row_struct)`` evaluated where it stands.
+
+    A plain ``where`` on columns just computed from expensive expressions
+    (regex extraction, text cleaning) is pushed below the projection, and even
+    below a repartition, by the optimizer, which then evaluates every such
+    expression twice. Running the test inside one generator (``inline`` of a
+    filtered one-element array) keeps it after the projection."""
     cols = df.columns
+    row = F.array(F.struct(*[F.col(c) for c in cols]))
+    return df.select(F.inline(F.filter(row, predicate))).select(*cols)
+
 
+def drop_incomplete(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Keep rows where every required field is present (not null, not blank)."""
     def complete(s):
         cond = F.lit(True)
         for c in required:
             cond = cond & s[c].isNotNull() & (F.trim(s[c]) != "")
         return cond
-
-    row = F.array(F.struct(*[F.col(c) for c in cols]))
-    return df.select(F.inline(F.filter(row, complete))).select(*cols)
+    return where_in_place(df, complete)
 
 
 def valid_domain(c) -> Column:

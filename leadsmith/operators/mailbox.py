@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from collections.abc import Sequence
 
 from leadsmith.functions.text import strip_ws
-from leadsmith.operators.extract import extract_page_findings, prefer_domain
+from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
 from leadsmith.operators.dedupe import keep_first
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
 
@@ -71,41 +71,58 @@ def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: st
     return keep_first(urls, [domain_col, "tier", "url"], "url_rank")
 
 
-def fetch(front: DataFrame, pages: DataFrame) -> DataFrame:
-    """The captured page of each frontier URL (exact URL match)."""
-    return front.join(pages, "url")
+# Frontier rows up to which the frontier is broadcast to the page table (the
+# pages then stay where they are); above it both sides are shuffled on URL.
+FETCH_BROADCAST_ROWS = 2_000_000
 
 
-def site_findings(front: DataFrame, pages: DataFrame, exact_text: bool = True) -> DataFrame:
-    """Findings per (domain, tier, url): the page's own addresses (A3 applied
-    per page) plus those of its same-host iframe pages (J6, A3 per frame)."""
-    fetched = fetch(front, pages).select("domain", "tier", "url", "page_id", "html")
-    found = extract_page_findings(fetched, keep=["tier"], exact_text=exact_text)
-    own = prefer_domain(found.select("page_id", "domain", "tier", "url", "email").distinct(), "page_id")
-    frames = (found.select("page_id", "domain", "tier", "url", "iframes")
-              .dropDuplicates(["page_id", "domain", "tier", "url"])
-              .select("domain", "tier", "url", F.posexplode("iframes").alias("frame_pos", "frame_url")))
-    frame_pages = frames.join(
-        pages.select(F.col("url").alias("frame_url"), F.col("html")), "frame_url")
-    frame_found = extract_page_findings(
-        frame_pages.withColumn("fid", F.concat_ws("|", "url", F.col("frame_pos").cast("string"))),
-        id_col="fid", url_col="frame_url", keep=["tier", "url"], exact_text=exact_text)
-    frame_own = prefer_domain(
-        frame_found.select("fid", "domain", "tier", "url", "email").distinct(), "fid")
-    cols = ["domain", "tier", "url", "email"]
-    return own.select(*cols).unionByName(frame_own.select(*cols)).distinct()
+def fetch(front: DataFrame, pages: DataFrame, broadcast_rows: int = FETCH_BROADCAST_ROWS) -> DataFrame:
+    """The captured page of each frontier URL (exact URL match).
 
+    The frontier's size is checked first (a bounded ``limit`` count): a
+    frontier under ``broadcast_rows`` is broadcast, so the large page table
+    is filtered in place instead of being shuffled; a larger one is joined
+    with a shuffle on the URL."""
+    p = pages.select("url", "page_id", "html")
+    n = front.limit(broadcast_rows + 1).count()
+    if n <= broadcast_rows:
+        return p.join(F.broadcast(front), "url")
+    return p.join(front, "url")
 
-def best_candidate(domains: DataFrame, findings: DataFrame, local_parts=LOCAL_PARTS,
-                   domain_col: str = "domain") -> DataFrame:
-    """J5 + A2 + A4: the best-ranked candidate found per domain, https tier
-    first; domains without a hit get null.
-
-    Rather than building every ``lp@domain`` candidate and joining, each
-    finding is tested directly: it is a candidate iff it ends with
-    ``@domain`` and the part before is in the local-part list (rank lookup in
-    a literal map). The aggregate is partial (map-side), so a domain with
-    many findings never sits whole in one task."""
+
+def site_findings(front: DataFrame, pages: DataFrame, exact_text: bool = True) -> DataFrame:
+    """Findings ``(domain, tier, url, email)`` per frontier page: the page's
+    own addresses (A3 applied in the page's row) plus those of its same-host
+    iframe pages (J6, A3 per frame page). Rows may repeat.
+
+    One lineage, no branches: each fetched page row becomes address items
+    and iframe items; a left join attaches the iframe page's HTML to iframe
+    items; frame addresses are extracted from that HTML in the same rows."""
+    fetched = fetch(front, pages).select("domain", "tier", "url", "page_id", "html")
+    staged = _staged_pages(fetched, "page_id", "url", "html", "domain", ["tier"], exact_text)
+    frames = iframe_links(F.col("html"), F.col("url"), F.col("domain"))
+    items = F.concat(
+        F.transform(kept_emails("domain"), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value"))),
+        F.transform(frames, lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
+    )
+    rows = staged.select("domain", "tier", "url", F.inline(items))
+    fp = pages.select(F.col("url").alias("__furl"), F.col("html").alias("__fhtml"))
+    joined = rows.join(fp, (rows["value"] == fp["__furl"]) & (rows["kind"] == "frame"), "left")
+    framed = _staged_pages(joined.select("kind", "tier", "url", "value", "domain", "__fhtml"),
+                           "kind", "value", "__fhtml", "domain", ["tier", "url"], exact_text)
+    out = F.when(F.col("kind") == "email", F.array(F.col("value"))) \
+        .otherwise(F.coalesce(kept_emails("domain"), F.array().cast("array<string>")))
+    return framed.select("domain", "tier", "url", F.explode(out).alias("email"))
+
+
+def best_hits(findings: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "domain") -> DataFrame:
+    """J5 + A2 + A4: ``(domain, email_common)`` for domains with a hit.
+
+    Each finding is tested directly: it is a candidate iff it ends with
+    ``@domain`` and the part before is in the local-part list (rank from a
+    literal map), so no candidate table is built or joined. Repeated findings
+    do not change a ``min_by``, so none are removed first; the aggregate is
+    partial (map-side), so a domain never sits whole in one task."""
     parts = _clean_parts(local_parts)
     ranks: dict[str, int] = {}
     for i, p in enumerate(parts):
@@ -118,6 +135,12 @@ def best_candidate(domains: DataFrame, findings: DataFrame, local_parts=LOCAL_PA
             .where(e.endswith(suffix))
             .withColumn("rank", rank_map[local])
             .where(F.col("rank").isNotNull()))
-    best = hits.groupBy(domain_col).agg(
+    return hits.groupBy(domain_col).agg(
         F.min_by("email", F.struct("tier", "rank")).alias("email_common"))
-    return domains.select(domain_col).distinct().join(best, domain_col, "left")
+
+
+def best_candidate(domains: DataFrame, findings: DataFrame, local_parts=LOCAL_PARTS,
+                   domain_col: str = "domain") -> DataFrame:
+    """``best_hits`` for every domain of ``domains``; null where none was found."""
+    return domains.select(domain_col).distinct().join(
+        best_hits(findings, local_parts, domain_col), domain_col, "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leadsmith.functions.text import email_domain_first, normalize_domain
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.filters import exclude_terms, valid_domain
-from leadsmith.operators.mailbox import best_candidate, frontier, site_findings
+from leadsmith.operators.mailbox import best_hits, frontier, site_findings
 from leadsmith.sources.io import captured_pages
 from leadsmith.sources.lookups import DOMAIN_BAD_LIST, LOCAL_PARTS
 
@@ -39,9 +39,8 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
     df = df.where(valid_domain("search_domain"))
     front = frontier(df.select(F.col("search_domain").alias("domain")))
     found = site_findings(front, captured_pages(pages))
-    best = best_candidate(df.select(F.col("search_domain").alias("domain")), found, local_parts)
-    return (df.join(best.withColumnRenamed("domain", "search_domain"), "search_domain", "left")
-            .select("domain", "email_common"))
+    best = best_hits(found, local_parts).withColumnRenamed("domain", "search_domain")
+    return df.join(best, "search_domain", "left").select("domain", "email_common")
 
 
 # ---------------------------------------------------------------------------- C1

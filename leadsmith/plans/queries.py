@@ -75,9 +75,8 @@ from leadsmith.functions.text import (  # noqa: E402
 from leadsmith.operators.dedupe import anti_master  # noqa: E402
 from leadsmith.operators.extract import (  # noqa: E402
     extract_page_findings,
-    extraction_summary,
     page_links,
-    prefer_domain,
+    page_summaries,
 )
 from leadsmith.operators.filters import (  # noqa: E402
     drop_any_null,
@@ -176,14 +175,9 @@ def q_visible_text(spark, sf_dir):
 
 def q_page_findings(spark, sf_dir):
     """U7 + A3 + A5: all finding sources per page, same-domain preference,
-    one summary row per page with findings."""
+    one summary row per page with findings (in-row, no shuffle)."""
     pages = captured_pages(read_text_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
-    pages = pages.withColumn("domain", normalize_domain("url"))
-    found = extract_page_findings(pages)
-    distinct = found.select("page_id", "domain", "email", "text_len").distinct()
-    preferred = prefer_domain(distinct, "page_id")
-    return extraction_summary(preferred).select(
-        "page_id", "emails_extracted", F.col("text_len").cast("long").alias("text_len"))
+    return page_summaries(pages.withColumn("domain", normalize_domain("url")))
 
 
 REGISTRY.update({
@@ -255,11 +249,7 @@ def q_site_iframes(spark, sf_dir):
 def q_site_findings(spark, sf_dir):
     """U7 + A3 + A5 over the contact sites (all six sources)."""
     pages = _site_pages(spark, sf_dir).withColumn("domain", normalize_domain("url"))
-    found = extract_page_findings(pages)
-    distinct = found.select("page_id", "domain", "email", "text_len").distinct()
-    preferred = prefer_domain(distinct, "page_id")
-    return extraction_summary(preferred).select(
-        "page_id", "emails_extracted", F.col("text_len").cast("long").alias("text_len"))
+    return page_summaries(pages)
 
 
 def q_frontier(spark, sf_dir):
