@@ -611,3 +611,15 @@ SELECT * FROM {URL_BASE} b WHERE NOT EXISTS (
 """,
     "keyword_score": _score_sql(),
 })
+
+
+# ============================================================================ batch 6: streaming
+SQL.update({
+    "stream_ingest": f"""
+SELECT doc_id, pos, email, domain FROM ({KEEP_FIRST})
+WHERE NOT (email IN ('that.92@mail2.example.com')
+           OR ends_with(domain, 'mail3.example.com')
+           OR ends_with(domain, 'ail8.example.com'))
+""",
+    "stream_keep_first": "SELECT DISTINCT user_id FROM events",
+})

@@ -528,3 +528,52 @@ REGISTRY.update({
     "collect_postings": q_collect_postings,
     "collect_agencies": q_collect_agencies,
 })
+
+
+# ============================================================================ batch 6: streaming
+from leadsmith.session import scratch_path  # noqa: E402
+from leadsmith.streaming.ingest import (  # noqa: E402
+    ingest_contacts,
+    landed_files,
+    run_to_table,
+    streaming_keep_first,
+)
+
+
+def q_stream_ingest(spark, sf_dir):
+    """Documents land as files; each micro-batch extracts addresses, runs
+    the contact clean-up against the master and appends the rest."""
+    run = scratch_path(spark, "stream_ingest")
+    source = f"{sf_dir.rstrip('/')}/documents.parque[t]"  # a glob: the file source wants one
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text").schema
+
+    def prepare(stream):
+        found = scan_emails(stream.select("doc_id", "text"), "text", ["doc_id"], with_pos=True)
+        return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "email",
+                            email_domain_last("email").alias("domain"),
+                            (F.col("doc_id") * 100000 + F.col("pos")).alias("ingest_seq"))
+
+    def clean(batch, master):
+        return clean_contacts(batch, master, EMAIL_BLOCKLIST, columns=["doc_id", "pos", "domain"])
+
+    ingest_contacts(spark, source, schema, f"{run}/master", f"{run}/checkpoint", clean, prepare,
+                    base_path=sf_dir)
+    return spark.read.parquet(f"{run}/master").select("doc_id", "pos", "email", "domain")
+
+
+def q_stream_keep_first(spark, sf_dir):
+    """One row per user while the watermark holds (keys only: which
+    repeat survives inside a batch is not defined)."""
+    run = scratch_path(spark, "stream_keep_first")
+    source = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a glob: the file source wants one
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id").schema
+    stream = landed_files(spark, source, schema, base_path=sf_dir)
+    firsts = streaming_keep_first(stream, ["user_id"], "ts").select("user_id")
+    run_to_table(firsts, f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out")
+
+
+REGISTRY.update({
+    "stream_ingest": q_stream_ingest,
+    "stream_keep_first": q_stream_keep_first,
+})

@@ -80,3 +80,26 @@ def sub_path(spark: SparkSession, *parts: str) -> str:
 
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def ensure_checkpoint_root(spark: SparkSession) -> str:
+    """``checkpoint_root``, falling back to a fresh temp folder only when the
+    session runs on a local master (tests, local runs). On a cluster an unset
+    ``spark.checkpoint.dir`` is an error: a machine-local folder is not shared."""
+    if _configured_checkpoint(spark):
+        return checkpoint_root(spark)
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        return checkpoint_root(spark)  # raises with a clear message
+    import tempfile
+    root = tempfile.mkdtemp(prefix="leadsmith-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    spark.sparkContext.setCheckpointDir(root)
+    return checkpoint_root(spark)
+
+
+def scratch_path(spark: SparkSession, *parts: str) -> str:
+    """A new, unique folder under the checkpoint root for one run's tables."""
+    import uuid
+    root = ensure_checkpoint_root(spark)
+    return "/".join([root, *[p.strip("/") for p in parts], uuid.uuid4().hex])
