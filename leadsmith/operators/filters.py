@@ -87,11 +87,12 @@ def exclude_terms(df: DataFrame, column: str, terms: DataFrame | Sequence[str],
     keyed = df.withColumn("__row_value", value)
     values = keyed.select("__row_value").where(F.col("__row_value").isNotNull()).distinct()
     v = F.col("__row_value")
-    pieces = F.flatten(F.array(*[
-        F.transform(F.filter(F.sequence(F.lit(1), F.length(v)), lambda i, n=n: i + n - 1 <= F.length(v)),
-                    lambda i, n=n: F.substr(v, i, F.lit(n)))
-        for n in sorted(lengths)
-    ]))
+    def substrings_of_length(n: int) -> Column:
+        # (one-argument lambdas only: PySpark reads a second parameter as the index)
+        starts = F.filter(F.sequence(F.lit(1), F.length(v)), lambda i: i + n - 1 <= F.length(v))
+        return F.transform(starts, lambda i: F.substr(v, i, F.lit(n)))
+
+    pieces = F.flatten(F.array(*[substrings_of_length(n) for n in sorted(lengths)]))
     hit_values = (values.select("__row_value", F.explode(pieces).alias("__term"))
                   .join(t, "__term", "left_semi").select("__row_value").distinct())
     return keyed.join(hit_values, "__row_value", "left_anti").drop("__row_value")
