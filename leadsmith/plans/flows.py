@@ -118,11 +118,20 @@ def outbox(enriched: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
 
 # ---------------------------------------------------------------------------- C9
 def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
-                     deletes: DataFrame | None = None, key: str = "url") -> str:
+                     deletes: DataFrame | None = None, key: str = "url",
+                     initial: DataFrame | None = None) -> str:
     """Load (or start) the URL state table, apply a batch of upserts and
-    deletes, and publish the result as a new snapshot. Returns its path."""
-    spark = (changes if changes is not None else deletes).sparkSession
-    state = load_snapshot(spark, table_root, schema)
+    deletes, and publish the result as a new snapshot. Returns its path.
+    ``initial`` seeds a table that has no snapshot yet."""
+    frames = [f for f in (changes, deletes, initial) if f is not None]
+    if not frames:
+        raise ValueError("nothing to apply")
+    spark = frames[0].sparkSession
+    from leadsmith.sources.io import current_snapshot
+    if initial is not None and current_snapshot(spark, table_root) is None:
+        state = initial
+    else:
+        state = load_snapshot(spark, table_root, schema)
     if changes is not None:
         state = apply_changes(state, changes, key=key)
     if deletes is not None:
@@ -150,3 +159,21 @@ def collect_postings(detail_pages: DataFrame, raw_base: DataFrame) -> DataFrame:
 def collect_agencies(raw: DataFrame, agency_base: DataFrame) -> DataFrame:
     """C6 second half: the contact columns, accumulated the same way."""
     return accumulate_merge(agency_base.select(*AGENCY_COLS), raw.select(*AGENCY_COLS))
+
+
+def daily_run(detail_pages: DataFrame, raw_base: DataFrame, master: DataFrame, name_gender: DataFrame,
+              title_terms=TITLE_TERMS, blocklist=CONTACT_BLOCKLIST,
+              template: str | None = None) -> dict[str, DataFrame]:
+    """C6 collect -> C2 postings -> C1 contacts -> C3 enrich -> C4 master
+    (-> C7 outbox). Returns the lazy results by name; the caller writes them
+    (raw, postings, master as new snapshots)."""
+    raw = collect_postings(detail_pages, raw_base)
+    postings = clean_postings(raw, title_terms)
+    contacts = clean_contacts(raw.select("url", *AGENCY_COLS), master, blocklist, order_col="url")
+    enriched = enrich(contacts, name_gender)
+    new_master = append_master(master, enriched)
+    out = {"raw": raw, "postings": postings, "contacts": contacts, "enriched": enriched,
+           "master": new_master}
+    if template is not None:
+        out["outbox"] = outbox(enriched, template)
+    return out

@@ -437,8 +437,10 @@ CC = f"""
               {_list(LAST_NAMES)}[(c_custkey // 10) % 10 + 1] AS l FROM customer))
 """
 
-NAME_SPLIT = f"""
-WITH b AS (SELECT ingest_seq AS c_custkey, person, {strip_sql('person')} AS raw FROM {CC}),
+def name_split_sql(rel: str, id_col: str, person_col: str = "person") -> str:
+    """T8 over a relation: (id, person, first_name, last_name)."""
+    return f"""
+WITH b AS (SELECT {id_col}, {person_col} AS person, {strip_sql(person_col)} AS raw FROM {rel}),
 t AS (SELECT *, strpos(raw, ',') AS comma, nullif({strip_sql("split_part(raw, ',', 1)")}, '') AS before,
              CASE WHEN strpos(raw, ',') > 0 THEN substr(raw, strpos(raw, ',') + 1) ELSE raw END AS body FROM b),
 u AS (SELECT *,
@@ -453,7 +455,7 @@ w AS (SELECT *, coalesce(list_max(list_filter(range(1, len(mid) + 1),
 x AS (SELECT *, CASE WHEN comma > 0 THEN before
                      WHEN n >= 2 THEN array_to_string(list_concat(mid[j + 1:len(mid)], [toks[n]]), ' ') END AS last0
       FROM w)
-SELECT c_custkey, person,
+SELECT {id_col}, person,
   CASE WHEN raw IS NULL OR raw = '' THEN NULL
        WHEN last0 IS NULL AND len(raw_toks) >= 2 THEN coalesce(first0, raw_toks[1]) ELSE first0 END AS first_name,
   CASE WHEN raw IS NULL OR raw = '' THEN NULL
@@ -461,6 +463,9 @@ SELECT c_custkey, person,
 FROM x
 """
 
+
+NAME_SPLIT = name_split_sql(f"(SELECT ingest_seq AS c_custkey, person FROM {CC})", "c_custkey")
+
 GENDER_DICT = ("(SELECT lower(trim(fn)) AS fn, min(g) AS gender FROM (VALUES "
                + ", ".join(f"({q(a)}, {q(b)})" for a, b in NAME_GENDER) + ") AS t(fn, g) GROUP BY 1)")
 
@@ -623,3 +628,106 @@ WHERE NOT (email IN ('that.92@mail2.example.com')
 """,
     "stream_keep_first": "SELECT DISTINCT user_id FROM events",
 })
+
+
+# ============================================================================ batch 7: postings, url state
+POSTING_CARD_RE = r"""(?is)<search-project-card\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+FIELD_RES = {
+    "project_name": [r"""(?is)<h1[^>]*class\s*=\s*["']margin-bottom-xs["'][^>]*>(.*?)</h1>"""],
+    "company": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*project-header[^"']*["'][^>]*>.*?<a[^>]*onclick\s*=\s*["']window\.open[^>]*>(.*?)</a>"""],
+    "person": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*list-item-main[^"']*["'][^>]*>.*?<span[^>]*class\s*=\s*["']h5["'][^>]*>(.*?)</span>""",
+               r"""(?is)<div[^>]*class\s*=\s*["'][^"']*media-body[^"']*["'][^>]*>.*?<div[^>]*class\s*=\s*["']col-md-6["'][^>]*>([^\n<]*)"""],
+    "email": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-sm-6 margin-bottom-sm[^"']*["'][^>]*>[^<]*E-Mail[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>""",
+              r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-md-6[^"']*["'][^>]*>[^<]*@[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""],
+    "project_description": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*panel-body highlight-text[^"']*["'][^>]*>(.*?)</div>"""],
+}
+BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
+                  ("&apos;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&")]
+
+
+def _field_sql(pattern: str) -> str:
+    x = f"regexp_replace(regexp_extract(html, {q(pattern)}, 1), '(?s)<[^>]+>', '', 'g')"
+    for ent, ch in BASIC_ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return f"nullif({strip_sql(x)}, '')"
+
+
+PART_AGENCY = """
+(WITH li AS (SELECT l_partkey, l_suppkey FROM lineitem
+             QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1)
+ SELECT p.p_partkey, p.p_name, p.p_brand, p.p_type, p.p_size, s.s_suppkey, s.s_name
+ FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey LEFT JOIN supplier s ON li.l_suppkey = s.s_suppkey)
+"""
+
+_FN = f"{_list(FIRST_NAMES)}[s_suppkey % 10 + 1]"
+_LN = f"{_list(LAST_NAMES)}[(s_suppkey // 10) % 10 + 1]"
+_PERSON = f"{_FN} || ' ' || {_LN}"
+_MAIL = f"lower({_FN}) || '@s' || CAST(s_suppkey AS VARCHAR) || '.example'"
+_V1 = (f"""'<div class="list-item-main"><span class="h5">' || {_PERSON} || '</span></div>'"""
+       f""" || '<div class="col-sm-6 margin-bottom-sm">E-Mail: <a href="mailto:' || {_MAIL} || '">'"""
+       f""" || {_MAIL} || '</a></div>'""")
+_V2 = (f"""'<div class="media-body"><div class="col-md-6">' || {_PERSON} || chr(10) || 'Recruiting</div></div>'"""
+       f""" || '<div class="col-md-6">Kontakt: ' || {_MAIL} || ' <a href="mailto:' || {_MAIL} || '">'"""
+       f""" || {_MAIL} || '</a></div>'""")
+DETAIL_PAGES = f"""
+(SELECT p_partkey AS page_id,
+        'https://projects.example/projekte/projekt-' || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-') AS url,
+        '<html><body><div class="highlight-text"><h1 class="margin-bottom-xs"> ' || p_name || ' </h1></div>'
+        || CASE WHEN s_suppkey IS NULL THEN '' ELSE
+             '<div class="project-header"><span>Projekt</span> <a onclick="window.open(''/firma/'
+             || CAST(s_suppkey AS VARCHAR) || ''')" href="#">' || s_name || '</a></div>'
+             || CASE WHEN p_size % 2 = 0 THEN {_V1} ELSE {_V2} END END
+        || '<div class="panel-body highlight-text"><p>' || p_type || '</p> <p>' || p_brand || '</p></div></body></html>' AS html
+ FROM {PART_AGENCY})
+"""
+
+POSTING_FIELDS_SQL = f"""
+SELECT url,
+       {_field_sql(FIELD_RES['project_name'][0])} AS project_name,
+       {_field_sql(FIELD_RES['project_description'][0])} AS project_description,
+       {_field_sql(FIELD_RES['company'][0])} AS company,
+       coalesce({_field_sql(FIELD_RES['person'][0])}, {_field_sql(FIELD_RES['person'][1])}) AS person,
+       coalesce({_field_sql(FIELD_RES['email'][0])}, {_field_sql(FIELD_RES['email'][1])}) AS email
+FROM {DETAIL_PAGES}
+"""
+COMPLETE_FIELDS = f"""(SELECT * FROM ({POSTING_FIELDS_SQL}) WHERE
+  {" AND ".join(f"{c} IS NOT NULL AND trim({c}) <> ''" for c in ["url", "project_name", "project_description", "company", "person", "email"])})"""
+
+LISTING_PAGES = """
+(SELECT page_id, 'https://projects.example/projekte?page=' || CAST(page_id AS VARCHAR) || '&pageSize=100' AS url,
+        '<html><body>' || string_agg(card, '' ORDER BY p_partkey) || '</body></html>' AS html
+ FROM (SELECT CAST(floor(p_partkey / 100) + 1 AS BIGINT) AS page_id, p_partkey,
+              '<search-project-card><a class="small fw-semibold link-warning" href="/projekte/projekt-'
+              || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-') || '">' || p_name
+              || '</a></search-project-card>' AS card FROM part)
+ GROUP BY page_id)
+"""
+
+SQL.update({
+    "posting_links": f"""
+WITH h AS (SELECT page_id, url, regexp_extract_all(html, {q(POSTING_CARD_RE)}, 1) AS hs FROM {LISTING_PAGES}),
+x AS (SELECT page_id, url, UNNEST(range(1, len(hs) + 1)) AS pos, UNNEST(hs) AS href FROM h)
+SELECT page_id, pos, {resolve_sql('url', 'href')} AS link FROM x WHERE href <> ''
+""",
+    "posting_fields": POSTING_FIELDS_SQL,
+    "collect_postings": f"SELECT DISTINCT * FROM {COMPLETE_FIELDS}",
+    "collect_agencies": f"SELECT DISTINCT company, person, email FROM {COMPLETE_FIELDS}",
+    "url_state": f"""
+SELECT * FROM ({SQL['upsert']}) u WHERE NOT EXISTS (
+  SELECT 1 FROM pages p JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') e
+    ON p.page_id = e.user_id WHERE p.url = u.url)
+""",
+})
+
+
+CONTACT_BLOCK_DEFAULT = ["concordcobalt.de", "ferchau.com", "hays.de", "hays.at", "etengo.de", "percision.de",
+                         "sparkm.de", "sw-xperts.com", "solcom.de", "varius-ti.com", "weissenberg-group.de"]
+_DR_BLOCKED = "coalesce(" + " OR ".join(
+    f"ends_with(string_split({norm_sql('email')}, '@')[-1], {q(t)})" for t in CONTACT_BLOCK_DEFAULT) + ", false)"
+SQL["daily_run"] = f"""
+WITH c AS (SELECT url, company, person, email FROM {COMPLETE_FIELDS} WHERE NOT {_DR_BLOCKED}
+           QUALIFY row_number() OVER (PARTITION BY email ORDER BY url) = 1),
+n AS ({name_split_sql('c', 'url')})
+SELECT c.company, c.person, c.email, coalesce(g.gender, 'unknown') AS gender, n.first_name, n.last_name
+FROM c JOIN n ON c.url = n.url LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn
+"""

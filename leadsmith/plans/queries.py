@@ -10,11 +10,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import email_domain_last
-from leadsmith.operators.dedupe import keep_first
-from leadsmith.operators.extract import scan_emails
-from leadsmith.operators.filters import email_blocklist
-from leadsmith.sources.io import read_parquet, read_text_table
+from leadsmith.functions.names import addressed_name, salutation_safe, with_split_name
+from leadsmith.functions.text import (
+    clean_text,
+    email_domain_first,
+    email_domain_last,
+    normalize_domain,
+    same_host,
+    slug_title,
+    url_host,
+    with_visible_text,
+)
+from leadsmith.operators.dedupe import anti_master, keep_first
+from leadsmith.operators.enrich import enrich_contacts, gender_lookup
+from leadsmith.operators.extract import (
+    cfemail_emails,
+    extract_page_findings,
+    iframe_links,
+    jsonld_emails,
+    mailto_emails,
+    page_links,
+    page_summaries,
+    posting_fields,
+    posting_links,
+    scan_emails,
+)
+from leadsmith.operators.filters import (
+    drop_any_null,
+    drop_incomplete,
+    email_blocklist,
+    exclude_terms,
+    recency_filter,
+)
+from leadsmith.operators.mailbox import best_candidate, candidates, frontier
+from leadsmith.operators.outbox import build_outbox
+from leadsmith.operators.score import keyword_scores
+from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
+from leadsmith.plans.flows import (
+    RAW_COLS,
+    append_master,
+    clean_contacts,
+    clean_postings,
+    collect_agencies,
+    collect_postings,
+    common_mailbox,
+    contact_funnel_counts,
+    daily_run,
+    posting_funnel_counts,
+    url_state_update,
+)
+from leadsmith.session import scratch_path
+from leadsmith.sources.derived import (
+    contact_site_pages,
+    customer_contacts,
+    name_gender_table,
+    part_postings,
+    posting_detail_pages,
+    posting_listing_pages,
+    site_contacts,
+    site_domain_master,
+    suppliers_with_sites,
+)
+from leadsmith.sources.io import captured_pages, load_snapshot, read_parquet, read_text_table, with_blank_nulls
+from leadsmith.streaming.ingest import (
+    ingest_contacts,
+    landed_files,
+    run_to_table,
+    streaming_keep_first,
+)
 
 # Query parameters (small fixed inputs applied to the full tables).
 EMAIL_BLOCKLIST = ["mail3.example.com", "ail8.example.com", "that.92@mail2.example.com"]
@@ -60,31 +123,6 @@ REGISTRY = {
 }
 
 
-# ============================================================================ batch 2
-from leadsmith.functions.text import (  # noqa: E402
-    clean_text,
-    email_domain_first,
-    normalize_domain,
-    same_host,
-    slug_title,
-    url_host,
-    visible_text,
-    blank_to_null,
-    with_visible_text,
-)
-from leadsmith.operators.dedupe import anti_master  # noqa: E402
-from leadsmith.operators.extract import (  # noqa: E402
-    extract_page_findings,
-    page_links,
-    page_summaries,
-)
-from leadsmith.operators.filters import (  # noqa: E402
-    drop_any_null,
-    exclude_terms,
-    recency_filter,
-)
-from leadsmith.sources.io import captured_pages, with_blank_nulls  # noqa: E402
-
 TITLE_EXCLUDE_TERMS = ["widget", "ring"]
 AS_OF = "2024-01-30"
 
@@ -198,23 +236,6 @@ REGISTRY.update({
 })
 
 
-# ============================================================================ batch 3: sites
-from leadsmith.operators.extract import (  # noqa: E402
-    cfemail_emails,
-    iframe_links,
-    jsonld_emails,
-    mailto_emails,
-)
-from leadsmith.operators.mailbox import best_candidate, candidates, frontier  # noqa: E402
-from leadsmith.plans.flows import common_mailbox  # noqa: E402
-from leadsmith.sources.derived import (  # noqa: E402
-    contact_site_pages,
-    site_contacts,
-    site_domain_master,
-    suppliers_with_sites,
-)
-
-
 def _site_pages(spark, sf_dir):
     return captured_pages(contact_site_pages(spark, sf_dir))
 
@@ -294,30 +315,6 @@ REGISTRY.update({
 })
 
 
-# ============================================================================ batch 4: tables, names, flows
-from leadsmith.functions.names import addressed_name, salutation_safe, with_split_name  # noqa: E402
-from leadsmith.operators.enrich import enrich_contacts, gender_lookup  # noqa: E402
-from leadsmith.operators.outbox import build_outbox  # noqa: E402
-from leadsmith.operators.score import keyword_scores  # noqa: E402
-from leadsmith.operators.tables import (  # noqa: E402
-    accumulate_merge,
-    append_union,
-    apply_changes,
-    delete_keys,
-)
-from leadsmith.plans.flows import (  # noqa: E402
-    append_master,
-    clean_contacts,
-    clean_postings,
-    contact_funnel_counts,
-    posting_funnel_counts,
-)
-from leadsmith.sources.derived import (  # noqa: E402
-    customer_contacts,
-    name_gender_table,
-    part_postings,
-)
-
 CONTACT_BLOCKLIST_Q = ["hinery.example", "anna.mueller.0@furniture.example"]
 POSTING_TERMS = ["ring", "bolt"]
 PROFILE_TERMS = (
@@ -486,13 +483,6 @@ REGISTRY.update({
 })
 
 
-# ============================================================================ batch 5: postings
-from leadsmith.operators.extract import posting_fields, posting_links  # noqa: E402
-from leadsmith.operators.filters import drop_incomplete  # noqa: E402
-from leadsmith.plans.flows import collect_agencies, collect_postings, RAW_COLS  # noqa: E402
-from leadsmith.sources.derived import posting_detail_pages, posting_listing_pages  # noqa: E402
-
-
 def q_posting_links(spark, sf_dir):
     """E8 + T3 + P10: project links from the listing pages."""
     return posting_links(posting_listing_pages(spark, sf_dir)).select(
@@ -530,16 +520,6 @@ REGISTRY.update({
 })
 
 
-# ============================================================================ batch 6: streaming
-from leadsmith.session import scratch_path  # noqa: E402
-from leadsmith.streaming.ingest import (  # noqa: E402
-    ingest_contacts,
-    landed_files,
-    run_to_table,
-    streaming_keep_first,
-)
-
-
 def q_stream_ingest(spark, sf_dir):
     """Documents land as files; each micro-batch extracts addresses, runs
     the contact clean-up against the master and appends the rest."""
@@ -577,3 +557,32 @@ REGISTRY.update({
     "stream_ingest": q_stream_ingest,
     "stream_keep_first": q_stream_keep_first,
 })
+
+
+def q_url_state(spark, sf_dir):
+    """The URL state table kept as snapshots: the first snapshot from
+    the pages, then one batch of upserts and deletes published as the next."""
+    root = scratch_path(spark, "url_state")
+    base = _url_state(spark, sf_dir)
+    url_state_update(root, base.schema, changes=None, deletes=None, initial=base)
+    ev = read_parquet(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id")
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    dels = pages.join(ev, pages.page_id == ev.user_id, "left_semi").select("url")
+    url_state_update(root, base.schema, changes=_url_changes(spark, sf_dir), deletes=dels)
+    schema = apply_changes(base, _url_changes(spark, sf_dir)).schema
+    return load_snapshot(spark, root, schema)
+
+
+def q_daily_run(spark, sf_dir):
+    """Collect -> clean postings -> clean contacts -> enrich -> master."""
+    master = spark.createDataFrame(
+        [], "company string, person string, email string, gender string, first_name string, last_name string")
+    out = daily_run(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir), master,
+                    name_gender_table(spark))
+    return out["master"]
+
+
+REGISTRY.update({
+    "url_state": q_url_state,
+    "daily_run": q_daily_run,
+})
