@@ -42,10 +42,13 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 def anti_master(df: DataFrame, master: DataFrame, on: str | Sequence[str],
                 master_on: str | Sequence[str] | None = None) -> DataFrame:
-    """Drop rows whose key is in the master; null matches null."""
+    """Drop rows whose key is in the master; null matches null.
+
+    No ``distinct`` on the master: repeats do not change an anti-join, and
+    de-duplicating first would cost a shuffle of its own."""
     on = [on] if isinstance(on, str) else list(on)
     master_on = on if master_on is None else ([master_on] if isinstance(master_on, str) else list(master_on))
-    m = master.select(*[F.col(mc).alias(f"__m{i}") for i, mc in enumerate(master_on)]).distinct()
+    m = master.select(*[F.col(mc).alias(f"__m{i}") for i, mc in enumerate(master_on)])
     cond = None
     for i, c in enumerate(on):
         term = df[c].eqNullSafe(m[f"__m{i}"])

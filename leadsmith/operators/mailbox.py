@@ -16,7 +16,6 @@ from collections.abc import Sequence
 
 from leadsmith.functions.text import strip_ws
 from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
-from leadsmith.operators.dedupe import keep_first
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
 
 # A priority list is turned into literal expressions; it must stay small.
@@ -51,7 +50,11 @@ def candidates(domains: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "d
 
 def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: str = "domain") -> DataFrame:
     """J4 + U3: every URL to look at per domain: tier 1 = https, tier 2 = http;
-    within a tier ``url_rank`` orders base then path; repeats keep the first."""
+    within a tier ``url_rank`` orders base then path.
+
+    Paths are de-duplicated in order (first wins) before the grid is built,
+    and the two bases of a tier differ in host, so every (domain, URL) is
+    unique by construction and needs no de-duplication pass."""
     paths: list[str] = []
     for p in [*CONTACT_PATHS, *extra_paths]:
         if p not in paths:
@@ -63,12 +66,10 @@ def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: st
                                  F.lit((base_rank - 1) * len(paths) + path_rank).alias("url_rank"),
                                  F.lit(template).alias("template"), F.lit(path).alias("path")))
     d = F.col(domain_col)
-    urls = (domains.select(domain_col).distinct()
+    return (domains.select(domain_col).distinct()
             .select(domain_col, F.inline(F.array(*grid)))
             .select(domain_col, "tier", "url_rank",
                     F.concat(F.replace(F.col("template"), F.lit("{d}"), d), F.col("path")).alias("url")))
-    # Different paths can give the same URL only through extra paths; keep the first.
-    return keep_first(urls, [domain_col, "tier", "url"], "url_rank")
 
 
 # Frontier rows up to which the frontier is broadcast to the page table (the
@@ -90,29 +91,42 @@ def fetch(front: DataFrame, pages: DataFrame, broadcast_rows: int = FETCH_BROADC
     return p.join(front, "url")
 
 
-def site_findings(front: DataFrame, pages: DataFrame, exact_text: bool = True) -> DataFrame:
+def site_findings(front: DataFrame, pages: DataFrame, exact_text: bool = True,
+                  broadcast_rows: int = FETCH_BROADCAST_ROWS) -> DataFrame:
     """Findings ``(domain, tier, url, email)`` per frontier page: the page's
     own addresses (A3 applied in the page's row) plus those of its same-host
     iframe pages (J6, A3 per frame page). Rows may repeat.
 
-    One lineage, no branches: each fetched page row becomes address items
-    and iframe items; a left join attaches the iframe page's HTML to iframe
-    items; frame addresses are extracted from that HTML in the same rows."""
-    fetched = fetch(front, pages).select("domain", "tier", "url", "page_id", "html")
+    Pass 1 turns each fetched page into small item rows (an address, or an
+    iframe URL) and writes them as a reliable checkpoint in the session's
+    checkpoint folder: the HTML work is done once and lineage is cut. Pass 2
+    fetches only the iframe pages: the page table is semi-joined with the
+    set of iframe URLs (broadcast after a bounded size check, shuffled
+    beyond it), so the full page table is not shuffled a second time."""
+    from leadsmith.session import ensure_checkpoint_root
+    ensure_checkpoint_root(front.sparkSession)
+    fetched = fetch(front, pages, broadcast_rows).select("domain", "tier", "url", "page_id", "html")
     staged = _staged_pages(fetched, "page_id", "url", "html", "domain", ["tier"], exact_text)
     frames = iframe_links(F.col("html"), F.col("url"), F.col("domain"))
     items = F.concat(
         F.transform(kept_emails("domain"), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value"))),
         F.transform(frames, lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
     )
-    rows = staged.select("domain", "tier", "url", F.inline(items))
-    fp = pages.select(F.col("url").alias("__furl"), F.col("html").alias("__fhtml"))
-    joined = rows.join(fp, (rows["value"] == fp["__furl"]) & (rows["kind"] == "frame"), "left")
-    framed = _staged_pages(joined.select("kind", "tier", "url", "value", "domain", "__fhtml"),
-                           "kind", "value", "__fhtml", "domain", ["tier", "url"], exact_text)
-    out = F.when(F.col("kind") == "email", F.array(F.col("value"))) \
-        .otherwise(F.coalesce(kept_emails("domain"), F.array().cast("array<string>")))
-    return framed.select("domain", "tier", "url", F.explode(out).alias("email"))
+    rows = staged.select("domain", "tier", "url", F.inline(items)).checkpoint(eager=True)
+
+    own = rows.where(F.col("kind") == "email").select("domain", "tier", "url", F.col("value").alias("email"))
+    frame_items = rows.where(F.col("kind") == "frame").select(
+        "domain", "tier", "url", F.col("value").alias("frame_url"))
+    frame_urls = frame_items.select(F.col("frame_url").alias("url")).distinct()
+    p = pages.select("url", "html")
+    if frame_urls.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        frame_pages = p.join(F.broadcast(frame_urls), "url")
+    else:
+        frame_pages = p.join(frame_urls, "url")
+    framed = frame_items.join(frame_pages.withColumnRenamed("url", "frame_url"), "frame_url")
+    staged_frames = _staged_pages(framed, "frame_url", "frame_url", "html", "domain", ["tier", "url"], exact_text)
+    frame_found = staged_frames.select("domain", "tier", "url", F.explode(kept_emails("domain")).alias("email"))
+    return own.unionByName(frame_found)
 
 
 def best_hits(findings: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "domain") -> DataFrame:
