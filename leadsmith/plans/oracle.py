@@ -731,3 +731,29 @@ n AS ({name_split_sql('c', 'url')})
 SELECT c.company, c.person, c.email, coalesce(g.gender, 'unknown') AS gender, n.first_name, n.last_name
 FROM c JOIN n ON c.url = n.url LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn
 """
+
+
+# ============================================================================ batch 8: A3 on documents, host blocklist
+HOSTS = f"(SELECT page_id, {host_sql('url')} AS host FROM pages)"
+SQL.update({
+    "email_strict_domain": f"""
+SELECT doc_id, pos, email, domain FROM (
+  SELECT *, bool_or(ends_with(email, '@mail2.example.com')) OVER (PARTITION BY doc_id) AS any_pref
+  FROM ({DOC_EMAILS}))
+WHERE ends_with(email, '@mail2.example.com') OR NOT any_pref
+""",
+    "host_blocklist": f"""
+SELECT page_id, host FROM {HOSTS}
+WHERE NOT coalesce(ends_with(string_split({norm_sql('host')}, '@')[-1], 'spam-farm.example.org')
+  OR ends_with(string_split({norm_sql('host')}, '@')[-1], 'cheap-pills.example.com')
+  OR ends_with(string_split({norm_sql('host')}, '@')[-1], 'ther.example.org')
+  OR ends_with(string_split({norm_sql('host')}, '@')[-1], 'hre.example.com'), false)
+""",
+    "host_blocklist_boundary": f"""
+SELECT page_id, host FROM (SELECT page_id, host, string_split({norm_sql('host')}, '@')[-1] AS d FROM {HOSTS})
+WHERE NOT coalesce(d = 'spam-farm.example.org' OR ends_with(d, '.spam-farm.example.org')
+  OR d = 'cheap-pills.example.com' OR ends_with(d, '.cheap-pills.example.com')
+  OR d = 'ther.example.org' OR ends_with(d, '.ther.example.org')
+  OR d = 'hre.example.com' OR ends_with(d, '.hre.example.com'), false)
+""",
+})

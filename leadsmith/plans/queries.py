@@ -32,6 +32,7 @@ from leadsmith.operators.extract import (
     page_links,
     page_summaries,
     posting_fields,
+    prefer_domain,
     posting_links,
     scan_emails,
 )
@@ -81,6 +82,8 @@ from leadsmith.streaming.ingest import (
 
 # Query parameters (small fixed inputs applied to the full tables).
 EMAIL_BLOCKLIST = ["mail3.example.com", "ail8.example.com", "that.92@mail2.example.com"]
+HOST_BLOCKLIST = ["spam-farm.example.org", "cheap-pills.example.com", "ther.example.org", ".hre.example.com"]
+PREFERRED_DOMAIN = "mail2.example.com"
 
 
 def _doc_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,3 +589,32 @@ REGISTRY.update({
     "url_state": q_url_state,
     "daily_run": q_daily_run,
 })
+
+
+def q_email_strict_domain(spark, sf_dir):
+    """A3: per document, keep only addresses of the preferred domain when the
+    document has one; otherwise all of its addresses."""
+    found = _doc_emails(spark, sf_dir).withColumn("pref", F.lit(PREFERRED_DOMAIN))
+    return prefer_domain(found, "doc_id", domain_col="pref").select("doc_id", "pos", "email", "domain")
+
+
+def _hosts(spark, sf_dir):
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.select("page_id", url_host("url").alias("host"))
+
+
+def q_host_blocklist(spark, sf_dir):
+    """P5 + P8 on page hosts (a value without ``@`` is tested whole; literal suffix)."""
+    return email_blocklist(_hosts(spark, sf_dir), "host", HOST_BLOCKLIST)
+
+
+def q_host_blocklist_boundary(spark, sf_dir):
+    """P5 with label boundaries on page hosts."""
+    return email_blocklist(_hosts(spark, sf_dir), "host", HOST_BLOCKLIST, boundary=True)
+
+
+REGISTRY.update({
+    "email_strict_domain": q_email_strict_domain,
+    "host_blocklist": q_host_blocklist,
+    "host_blocklist_boundary": q_host_blocklist_boundary,
+})
