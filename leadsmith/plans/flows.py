@@ -17,6 +17,7 @@ from leadsmith.functions.text import email_domain_first, normalize_domain
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.filters import exclude_terms, valid_domain
 from leadsmith.operators.mailbox import best_hits, frontier, site_findings
+from leadsmith.session import ensure_checkpoint_root
 from leadsmith.sources.io import captured_pages
 from leadsmith.sources.lookups import DOMAIN_BAD_LIST, LOCAL_PARTS
 
@@ -37,6 +38,10 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
     df = keep_first(df, "domain", order_col)
     df = df.select("domain", normalize_domain("domain").alias("search_domain"))
     df = df.where(valid_domain("search_domain"))
+    # The domain list (one row per company) is read three times below: cut its
+    # lineage once in the shared checkpoint folder instead of recomputing it.
+    ensure_checkpoint_root(df.sparkSession)
+    df = df.checkpoint(eager=True)
     front = frontier(df.select(F.col("search_domain").alias("domain")))
     found = site_findings(front, captured_pages(pages))
     best = best_hits(found, local_parts).withColumnRenamed("domain", "search_domain")
