@@ -37,8 +37,11 @@ def accumulate_merge(base: DataFrame, new: DataFrame, order_col: str | None = No
     Columns are the base's, then the new ones; equal rows are kept once (the
     first occurrence: base before new, then ``order_col``); rows are sorted by
     ``sort_col`` (default: ``lead_name`` if present, else the first column),
-    compared as text, nulls last, ties in first-occurrence order. The sort
-    column is stored as text. Empty ``new`` leaves ``base`` unchanged.
+    compared as text, nulls last. Ties keep first-occurrence order: base
+    before new, then ``order_col``; a DataFrame has no row order of its own,
+    so without ``order_col`` the remaining ties are broken by the other
+    columns (nulls last) to stay deterministic. The sort column is stored as
+    text. Empty ``new`` leaves ``base`` unchanged.
     """
     if new.isEmpty():
         return base
@@ -49,12 +52,20 @@ def accumulate_merge(base: DataFrame, new: DataFrame, order_col: str | None = No
     n = new.select(*new.columns, *tag_new)
     order = ["__src"] + (["__seq"] if order_col else [])
     both = b.unionByName(n, allowMissingColumns=True).select(*cols, *order)
-    firsts = keep_first(both, cols, order)
+    if order_col:
+        firsts = keep_first(both, cols, order)
+    else:
+        # Only base-before-new matters: a fixed-width min per distinct row,
+        # which Spark runs as a (partial) hash aggregate.
+        firsts = both.groupBy(*cols).agg(F.min("__src").alias("__src"))
     key = sort_col or (lead_name if lead_name in cols else (cols[0] if cols else None))
     if key is None:
         return firsts.drop(*order)
     out = firsts.withColumn(key, F.col(key).cast("string"))
-    return out.orderBy(F.col(key).asc_nulls_last(), *[F.col(o).asc() for o in order]).drop(*order)
+    ties = [F.col(o).asc() for o in order]
+    if not order_col:
+        ties += [F.col(c).asc_nulls_last() for c in cols if c != key]
+    return out.orderBy(F.col(key).asc_nulls_last(), *ties).drop(*order)
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: str = "url", seq_col: str = "seq",

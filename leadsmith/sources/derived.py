@@ -179,9 +179,11 @@ LISTING_PAGE_SIZE = 100
 
 
 def _part_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from leadsmith.operators.dedupe import keep_first
     li = read_parquet(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
-    first = keep_first(li, "l_partkey", ["l_orderkey", "l_linenumber"]).select("l_partkey", "l_suppkey")
+    # first line of the part by (order, line number); line numbers are below 100,
+    # so the packed long keeps that order and the aggregate stays fixed-width.
+    first = li.groupBy("l_partkey").agg(
+        F.min_by("l_suppkey", F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("l_suppkey"))
     sup = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return (part.join(first, part.p_partkey == first.l_partkey, "left")

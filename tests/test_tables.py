@@ -50,13 +50,25 @@ def test_accumulate_merge_idempotent_and_sorted(spark):
     new = spark.createDataFrame([("a", 2, "x"), ("c", 3, None), ("a", 2, "x")], "name string, n int, extra string")
     once = accumulate_merge(base, new)
     assert once.columns == ["name", "n", "extra"]
+    # ("a", 2, None) is a base row, so it precedes the new ("a", 2, "x")
     assert [tuple(r) for r in once.collect()] == [("a", 2, None), ("a", 2, "x"), ("b", 1, None), ("c", 3, None)]
     twice = accumulate_merge(once, new)
-    assert [tuple(r) for r in twice.collect()] == [tuple(r) for r in once.collect()]
+    got = [tuple(r) for r in twice.collect()]
+    # the same rows, sorted on the lead column (both "a" rows are base rows
+    # now; without an order column their relative order is not defined)
+    assert sorted(got, key=str) == sorted([tuple(r) for r in once.collect()], key=str)
+    assert [r[0] for r in got] == ["a", "a", "b", "c"]
     empty = spark.createDataFrame([], new.schema)
     assert [tuple(r) for r in accumulate_merge(base, empty).collect()] == [("b", 1), ("a", 2)]
 
 
+def test_accumulate_merge_stable_with_order_column(spark):
+    base = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), ("b", 0, 3)], "name string, v int, seq int")
+    new = spark.createDataFrame([("a", 0, 9), ("a", 1, 2)], "name string, v int, seq int")
+    out = [tuple(r) for r in accumulate_merge(base, new, order_col="seq").collect()]
+    assert out == [("a", 2, 1), ("a", 1, 2), ("a", 0, 9), ("b", 0, 3)]
+
+
 def test_append_union_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, "x")], "id long, name string")
     b = spark.createDataFrame([(1, 5.0)], "id long, score double")
