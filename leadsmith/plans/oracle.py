@@ -6,6 +6,15 @@ Written independently of the Spark code, in DuckDB's dialect (RE2 regexes,
 
 from __future__ import annotations
 
+from leadsmith.functions.names import DEFAULT_TITLES
+from leadsmith.sources.lookups import (
+    CONTACT_BLOCKLIST,
+    CONTACT_PATHS,
+    DEOBFUSCATION_RULES,
+    LOCAL_PARTS,
+    NAME_PARTICLES,
+)
+
 EMAIL_RE = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 
 DOC_EMAILS = f"""
@@ -91,9 +100,7 @@ def resolve_sql(b: str, h: str) -> str:
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
             ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
             ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&")]
-RULES = [(r"\s*\[\s*at\s*\]\s*", "@"), (r"\s*\(\s*at\s*\)\s*", "@"), (r"\s+at\s+", "@"),
-         (r"\s*\{\s*at\s*\}\s*", "@"), (r"\s*\[\s*dot\s*\]\s*", "."), (r"\s*\(\s*dot\s*\)\s*", "."),
-         (r"\s+dot\s+", "."), (r"\s*\{\s*dot\s*\}\s*", ".")]
+RULES = DEOBFUSCATION_RULES
 
 
 def unescape_sql(x: str) -> str:
@@ -324,16 +331,7 @@ CONTACTS = f"""
  UNION ALL SELECT k + 2000000000, 'x' || CAST(k AS VARCHAR) || '@jobs.aplitrak.com' FROM s WHERE s_acctbal > 9000)
 """
 
-LOCAL_PARTS = ["info", "kontakt", "contact", "freelancer", "freelance",
-               "inbox", "recruiting", "bewerbung", "application", "applications", "projects",
-               "hello", "hi", "office", "mail", "post", "team",
-               "sales", "vertrieb", "business", "b2b", "partner", "alliances",
-               "jobs", "career", "karriere", "hr", "humanresources"]
-PATHS = ["", "kontakt", "kontakt/", "impressum", "impressum/", "imprint", "imprint/", "contact", "contact/",
-         "about", "team", "datenschutz", "datenschutz/", "privacy", "privacy/",
-         "de/impressum", "de/impressum/", "de/kontakt", "de/kontakt/",
-         "en/contact", "en/contact/", "en/privacy", "en/privacy/",
-         "legal-notice", "legal-notice/", "legal", "legal/"]
+PATHS = CONTACT_PATHS
 LP_VALUES = "(VALUES " + ", ".join(f"({i + 1}, {q(p)})" for i, p in enumerate(LOCAL_PARTS)) + ") AS lp(rank, local_part)"
 GRID_VALUES = "(VALUES " + ", ".join(
     f"({t}, {(b - 1) * 27 + i + 1}, {q(tpl + p)})"
@@ -414,8 +412,8 @@ LAST_NAMES = ["Mueller", "Schmidt", "Heide", "Berg", "Wagner", "Becker", "Hoffma
 NAME_GENDER = [("Anna", "female"), ("Max", "male"), ("Lena", "female"), ("Jan", "male"),
                ("Maria", "female"), ("Paul", "male"), ("Sophie", "mostly_female"),
                ("Lukas", "male"), ("Andrea", "andy")]
-TITLES = ["dr", "prof", "herr", "frau", "mr", "mrs", "ms", "dipl", "ing", "mag", "sir"]
-PARTICLES = ["von", "van", "vom", "zu", "zur", "zum", "de", "der", "den", "del", "della", "du", "di"]
+TITLES = DEFAULT_TITLES
+PARTICLES = NAME_PARTICLES
 
 
 def _list(xs) -> str:
@@ -720,8 +718,7 @@ SELECT * FROM ({SQL['upsert']}) u WHERE NOT EXISTS (
 })
 
 
-CONTACT_BLOCK_DEFAULT = ["concordcobalt.de", "ferchau.com", "hays.de", "hays.at", "etengo.de", "percision.de",
-                         "sparkm.de", "sw-xperts.com", "solcom.de", "varius-ti.com", "weissenberg-group.de"]
+CONTACT_BLOCK_DEFAULT = CONTACT_BLOCKLIST
 _DR_BLOCKED = "coalesce(" + " OR ".join(
     f"ends_with(string_split({norm_sql('email')}, '@')[-1], {q(t)})" for t in CONTACT_BLOCK_DEFAULT) + ", false)"
 SQL["daily_run"] = f"""
