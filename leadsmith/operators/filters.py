@@ -52,8 +52,12 @@ def recency_filter(df: DataFrame, ts_col: str, period: int, as_of: str | _dt.dat
     start = {0: day, 1: day - _dt.timedelta(days=1), 7: day - _dt.timedelta(days=7)}[period]
     end = day + _dt.timedelta(days=1) if period != 1 else day
     ts = F.col(ts_col)
-    lo = F.lit(_dt.datetime.combine(start, _dt.time())).cast(df.schema[ts_col].dataType)
-    hi = F.lit(_dt.datetime.combine(end, _dt.time())).cast(df.schema[ts_col].dataType)
+    # Bounds are built from text and cast to the column's own type: no Python
+    # time zone is involved (TIMESTAMP_NTZ stays wall-clock, TIMESTAMP uses
+    # the session time zone), and the range reaches the scan as a pushed filter.
+    dtype = df.schema[ts_col].dataType
+    lo = F.lit(f"{start.isoformat()} 00:00:00").cast(dtype)
+    hi = F.lit(f"{end.isoformat()} 00:00:00").cast(dtype)
     return df.where((ts >= lo) & (ts < hi))
 
 
