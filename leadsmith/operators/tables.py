@@ -5,7 +5,9 @@
 * ``append_union`` (U2): union by name, duplicates kept.
 * ``apply_changes`` (U4 + U6): a batch of ``(seq, key, column, value)``
   changes applied at once: one pivot aggregate (last change per key and
-  column wins) and one full outer join on the key. New keys become new rows;
+  column wins), a left join on the key for existing rows and an anti-join
+  for keys the table lacks (no full outer join, which AQE cannot split
+  when one key is hot). New keys become new rows;
   new columns are added; a change to null is told apart from "not changed".
 * ``delete_keys`` (U5): anti-join; rows with a null key stay.
 """
@@ -89,21 +91,32 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str = "url", seq_col
     pivoted = (ch.groupBy(key).pivot(column_col, names)
                .agg(F.max_by(F.struct(F.col(value_col).alias("v")), F.col(seq_col))))
     pv = pivoted.select(F.col(key).alias("__ck"), *[F.col(n).alias(f"__set_{i}") for i, n in enumerate(names)])
-    joined = base.join(pv, base[key] == pv["__ck"], "full_outer")
-    out = []
-    for f in base.schema.fields:
-        if f.name == key:
-            out.append(F.coalesce(F.col(key), F.col("__ck")).alias(key))
-        elif f.name in names:
-            s = F.col(f"__set_{names.index(f.name)}")
-            out.append(F.when(s.isNotNull(), s["v"].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    for i, n in enumerate(names):
-        if n not in base_types:
-            s = F.col(f"__set_{i}")
-            out.append(F.when(s.isNotNull(), s["v"].cast(T.StringType())).alias(n))
-    return joined.select(*out)
+
+    # Existing rows: a left join (AQE can split a hot key on the base side;
+    # the change side has one row per key). New keys: changes whose key no
+    # base row has, found with an anti-join against the base's distinct keys.
+    updated = base.join(pv, base[key] == pv["__ck"], "left")
+    base_keys = base.select(F.col(key).alias("__bk")).where(F.col("__bk").isNotNull()).distinct()
+    new_keys = pv.join(base_keys, pv["__ck"] == base_keys["__bk"], "left_anti")
+
+    def assemble(frame: DataFrame, is_new: bool) -> DataFrame:
+        out = []
+        for f in base.schema.fields:
+            if f.name == key:
+                out.append((F.col("__ck") if is_new else F.col(key)).cast(f.dataType).alias(key))
+            elif f.name in names:
+                s_ = F.col(f"__set_{names.index(f.name)}")
+                old = F.lit(None).cast(f.dataType) if is_new else F.col(f.name)
+                out.append(F.when(s_.isNotNull(), s_["v"].cast(f.dataType)).otherwise(old).alias(f.name))
+            else:
+                out.append((F.lit(None).cast(f.dataType) if is_new else F.col(f.name)).alias(f.name))
+        for i, n in enumerate(names):
+            if n not in base_types:
+                s_ = F.col(f"__set_{i}")
+                out.append(F.when(s_.isNotNull(), s_["v"].cast(T.StringType())).alias(n))
+        return frame.select(*out)
+
+    return assemble(updated, False).unionByName(assemble(new_keys, True))
 
 
 def delete_keys(base: DataFrame, keys: DataFrame | Sequence[str], key: str = "url") -> DataFrame:

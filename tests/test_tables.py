@@ -85,3 +85,15 @@ def test_clean_then_append_twice_equals_once(spark):
     twice = append_master(once, clean_contacts(new, once))
     assert rows(once) == rows(twice)
     assert cleaned.join(master, "email").count() == 0
+
+
+def test_upsert_hot_key(spark):
+    base = spark.createDataFrame([("hot" if i % 3 == 0 else f"u{i}", f"d{i}", None) for i in range(3000)],
+                                 "url string, date string, flag string")
+    changes = spark.createDataFrame([(1, "hot", "flag", "a"), (2, "hot", "flag", "b"), (3, "new", "flag", "c")],
+                                    "seq long, url string, column string, value string")
+    out = apply_changes(base, changes)
+    assert out.count() == 3001
+    assert out.where("url = 'hot'").groupBy("flag").count().collect()[0]["count"] == 1000
+    assert {r.flag for r in out.where("url = 'hot'").collect()} == {"b"}
+    assert out.where("url = 'new'").first().flag == "c"
