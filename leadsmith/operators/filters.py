@@ -25,6 +25,9 @@ from leadsmith.sources.lookups import RECENCY_PERIODS
 # Lists up to this many entries are inlined into one expression; longer lists
 # are joined. The bound keeps generated code and plan size small.
 INLINE_LIST_LIMIT = 256
+# The long-list substring test explodes one substring set per distinct term
+# length; the number of lengths is bounded by the longest term, checked here.
+MAX_TERM_LENGTHS = 512
 
 
 def _small_list(terms: DataFrame | Sequence[str], column: str = "term") -> list[str] | None:
@@ -87,7 +90,9 @@ def exclude_terms(df: DataFrame, column: str, terms: DataFrame | Sequence[str],
     # into its substrings of the distinct term lengths (a small, bounded set),
     # those are semi-joined with the terms, and the hit values are anti-joined.
     t = terms.select(norm_str(term_column).alias("__term")).where(F.col("__term") != "").distinct()
-    lengths = [r[0] for r in t.select(F.length("__term")).distinct().collect()]
+    lengths = [r[0] for r in t.select(F.length("__term")).distinct().limit(MAX_TERM_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_TERM_LENGTHS:
+        raise ValueError(f"terms of more than {MAX_TERM_LENGTHS} different lengths")
     keyed = df.withColumn("__row_value", value)
     values = keyed.select("__row_value").where(F.col("__row_value").isNotNull()).distinct()
     v = F.col("__row_value")
