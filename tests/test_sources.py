@@ -55,3 +55,5 @@ def test_byte_cap_keeps_whole_characters(spark):
     out = captured_pages(df, max_bytes=5).collect()
     assert [(r.page_id, r.html) for r in out] == [(1, "abé")]
     assert captured_pages(df.drop("status", "content_type"), max_bytes=100).first().html == html
+    # by default pages are processed whole (only admission applies)
+    assert [r.html for r in captured_pages(df).collect()] == [html]
