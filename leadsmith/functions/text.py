@@ -232,6 +232,17 @@ def _unescape_nfkc_py(s: pd.Series) -> pd.Series:
 _unescape_nfkc = F.pandas_udf(_unescape_nfkc_py, T.StringType())
 
 
+def _unescaped(col: Column, exact: bool) -> Column:
+    """Unescape (+ NFKC on the exact path) and drop zero-width characters."""
+    native = unescape_native(col)
+    if exact:
+        needs = col.rlike(NEEDS_EXACT_RE)
+        col = F.when(needs, _unescape_nfkc(F.when(needs, col))).otherwise(native)
+    else:
+        col = native
+    return F.regexp_replace(col, _zero_width_class(), "")
+
+
 def clean_text(c: ColumnOrName, exact: bool = True) -> Column:
     """Unescape, drop zero-width, NFKC, de-obfuscate, collapse spaces.
 
@@ -240,16 +251,35 @@ def clean_text(c: ColumnOrName, exact: bool = True) -> Column:
     the remaining rows go through one Arrow UDF (full HTML unescape + NFKC);
     with ``exact=False`` they get the native table only. Pass a column
     reference (not a long expression): the input is read more than once.
+    ``with_clean_text`` is the staged form for DataFrames.
     """
+    return deobfuscate(_unescaped(_c(c), exact))
+
+
+def _rules(col: Column, only_spaced: bool) -> Column:
+    for pattern, repl in DEOBFUSCATION_RULES:
+        if only_spaced and any("\\" + b in pattern for b in "[({"):
+            continue
+        col = F.regexp_replace(col, "(?i)" + pattern.replace(r"\s", WS_CLASS), repl)
+    return F.regexp_replace(col, WS_CLASS + "+", " ")
+
+
+def deobfuscate_guarded(c: ColumnOrName) -> Column:
+    """``deobfuscate`` for a column reference: text without any of ``[ ( {``
+    runs only the two space-based rules (the bracket rules cannot match it,
+    and no rule inserts a bracket), all other text runs all eight."""
     col = _c(c)
-    native = unescape_native(col)
-    if exact:
-        needs = col.rlike(NEEDS_EXACT_RE)
-        col = F.when(needs, _unescape_nfkc(F.when(needs, col))).otherwise(native)
-    else:
-        col = native
-    col = F.regexp_replace(col, _zero_width_class(), "")
-    return deobfuscate(col)
+    has_bracket = (F.instr(col, "[") > 0) | (F.instr(col, "(") > 0) | (F.instr(col, "{") > 0)
+    return F.when(has_bracket, _rules(col, False)).otherwise(_rules(col, True))
+
+
+def with_clean_text(df, in_col: str, out_col: str, exact: bool = True, strip: bool = False):
+    """T1 on a DataFrame, staged: unescape/NFKC/zero-width in one projection,
+    the rules in the next (each reads a column, not a repeated expression)."""
+    cols = [c for c in df.columns if c != out_col]
+    staged = df.select(*cols, _unescaped(F.col(in_col), exact).alias("__unesc"))
+    cleaned = deobfuscate_guarded(F.col("__unesc"))
+    return staged.select(*cols, (strip_ws(cleaned) if strip else cleaned).alias(out_col))
 
 
 # --------------------------------------------------------------------------- E1 / E10
@@ -284,7 +314,7 @@ def with_visible_text(df, html_col: str = "html", out_col: str = "text", exact:
     the next, so the stripped text is computed once per row."""
     cols = [c for c in df.columns if c != out_col]
     staged = df.select(*cols, strip_markup(html_col).alias("__stripped"))
-    return staged.select(*cols, strip_ws(clean_text(F.col("__stripped"), exact=exact)).alias(out_col))
+    return with_clean_text(staged, "__stripped", out_col, exact=exact, strip=True).drop("__stripped")
 
 
 def cap_bytes(c: ColumnOrName, max_bytes: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leadsmith.functions.names import addressed_name, salutation_safe, with_split_name
 from leadsmith.functions.text import (
-    clean_text,
+    with_clean_text,
     email_domain_first,
     email_domain_last,
     normalize_domain,
@@ -204,7 +204,7 @@ def q_drop_any_null(spark, sf_dir):
 def q_conversation_clean(spark, sf_dir):
     """Unescape, zero-width, NFKC, de-obfuscation, white space."""
     conv = read_text_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    return conv.select("conv_id", "turn", "role", clean_text("text").alias("text_clean"))
+    return with_clean_text(conv, "text", "text_clean").select("conv_id", "turn", "role", "text_clean")
 
 
 def q_visible_text(spark, sf_dir):
