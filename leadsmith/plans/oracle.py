@@ -754,3 +754,9 @@ WHERE NOT coalesce(d = 'spam-farm.example.org' OR ends_with(d, '.spam-farm.examp
   OR d = 'hre.example.com' OR ends_with(d, '.hre.example.com'), false)
 """,
 })
+
+
+SQL["site_labels"] = f"""
+SELECT page_id, UNNEST(list_distinct({label_sql('vt')})) AS email
+FROM (SELECT page_id, {visible_sql('html')} AS vt FROM {SITE_PAGES})
+"""

@@ -28,6 +28,7 @@ from leadsmith.operators.extract import (
     extract_page_findings,
     iframe_links,
     jsonld_emails,
+    label_emails,
     mailto_emails,
     page_links,
     page_summaries,
@@ -618,3 +619,14 @@ REGISTRY.update({
     "host_blocklist": q_host_blocklist,
     "host_blocklist_boundary": q_host_blocklist_boundary,
 })
+
+
+def q_site_labels(spark, sf_dir):
+    """E6 (+ E10): addresses in the text segment around a contact label."""
+    pages = with_visible_text(_site_pages(spark, sf_dir).select("page_id", "html"), "html", "text")
+    return pages.select("page_id", F.explode(label_emails(F.col("text"))).alias("email"))
+
+
+REGISTRY.update({
+    "site_labels": q_site_labels,
+})
