@@ -55,7 +55,10 @@ def _configured_checkpoint(spark: SparkSession) -> str | None:
     value = spark.conf.get("spark.checkpoint.dir", None)
     if value:
         return value
-    return spark.sparkContext.getCheckpointDir() or None
+    try:
+        return spark.sparkContext.getCheckpointDir() or None
+    except Exception:  # noqa: BLE001 - no SparkContext on a remote session
+        return None
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -69,8 +72,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; configure a shared folder for the cluster"
         )
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001 - remote session: the server-side setting applies
+        pass
     return root.rstrip("/")
 
 
@@ -88,13 +94,19 @@ def ensure_checkpoint_root(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is an error: a machine-local folder is not shared."""
     if _configured_checkpoint(spark):
         return checkpoint_root(spark)
-    master = spark.sparkContext.master
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 - remote session
+        master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         return checkpoint_root(spark)  # raises with a clear message
     import tempfile
     root = tempfile.mkdtemp(prefix="leadsmith-ckpt-")
     spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    try:
+        spark.sparkContext.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001
+        pass
     return checkpoint_root(spark)
 
 

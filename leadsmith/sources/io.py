@@ -30,8 +30,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition a scan that yields fewer partitions than the
     cluster can run at once (a small file with few row groups), so CPU-heavy
     text work uses every core. A large scan is left as it is (no shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. a remote session): leave the scan as is
+        return df
+    if current < target:
         return df.repartition(target)
     return df
 
