@@ -78,10 +78,6 @@ _AUTHORITY_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 _HOST_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)"
 
 
-def url_scheme(c: ColumnOrName) -> Column:
-    return F.nullif(F.regexp_extract(_c(c), _SCHEME_RE, 1), F.lit(""))
-
-
 def url_host(c: ColumnOrName) -> Column:
     """Lower-cased host name (no port, no user info); null when there is none."""
     return F.nullif(F.lower(F.regexp_extract(_c(c), _HOST_RE, 1)), F.lit(""))

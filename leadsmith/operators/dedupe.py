@@ -1,4 +1,4 @@
-"""Keep-first de-duplication (W1-W3) and master anti-joins.
+"""Keep-first de-duplication (W1, W2) and master anti-joins.
 
 Keep-first is an aggregate, not a window: ``min_by(row, order)`` per key is
 combined map-side (partial aggregation), so a key holding a third of all rows
@@ -35,11 +35,6 @@ def keep_first(df: DataFrame, keys: Sequence[str] | str, order_by: Sequence[str]
             .select(*[F.col("__row")[c].alias(c) for c in cols]))
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Whole-row de-duplication (rows are equal, so order does not matter)."""
-    return df.distinct()
-
-
 def anti_master(df: DataFrame, master: DataFrame, on: str | Sequence[str],
                 master_on: str | Sequence[str] | None = None) -> DataFrame:
     """Drop rows whose key is in the master; null matches null.

@@ -21,7 +21,6 @@ from leadsmith.functions.text import (
     same_host,
     strip_ws,
     unescape_basic,
-    visible_text,
     with_visible_text,
 )
 from leadsmith.sources.lookups import EMAIL_PATTERN, MAX_IFRAMES_PER_PAGE
@@ -38,11 +37,6 @@ JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
 LABEL_SEGMENT_RE = r"(?i)\S*(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*"
 
 
-def _findings(df: DataFrame, keep: Sequence[str], arr: Column, source: str) -> DataFrame:
-    return (df.select(*keep, F.explode(arr).alias("email"))
-            .select(*keep, F.lit(source).alias("source"), F.col("email")))
-
-
 # --------------------------------------------------------------------------- E1
 
 
@@ -147,8 +141,9 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html") -> DataFrame:
     """E8 + T3 + P10: every anchor ``href`` in document order, made absolute."""
     hrefs = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF_RE), F.lit(1))
+    from leadsmith.operators.filters import non_empty_link
     return (pages.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
-            .where((F.col("href").isNotNull()) & (F.col("href") != ""))
+            .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
                     resolve_url(F.col(url_col), F.col("href")).alias("link")))
 
@@ -253,18 +248,10 @@ def prefer_domain(findings: DataFrame, group_col: str, email_col: str = "email",
             .drop("__same", "__any_same"))
 
 
-def extraction_summary(findings: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """A5: per page the sorted distinct addresses and the visible-text length."""
-    return findings.groupBy(id_col).agg(
-        F.array_join(F.sort_array(F.collect_set("email")), ",").alias("emails_extracted"),
-        F.max("text_len").alias("text_len"),
-    )
-
-
 __all__ = [
     "EMAIL_PATTERN", "scan_emails", "mailto_emails", "decode_cfemail", "cfemail_emails",
     "jsonld_emails", "text_emails", "label_emails", "iframe_links", "page_links",
-    "extract_page_findings", "page_summaries", "kept_emails", "_staged_pages", "prefer_domain", "extraction_summary", "norm_str",
+    "extract_page_findings", "page_summaries", "kept_emails", "_staged_pages", "prefer_domain", "norm_str",
 ]
 
 

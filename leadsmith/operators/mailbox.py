@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from collections.abc import Sequence
 
-from leadsmith.functions.text import strip_ws
 from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
 

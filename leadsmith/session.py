@@ -7,8 +7,6 @@ that run without a cluster (tests, the local bench) pass a fallback.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 _BASE_CONF = {
@@ -80,14 +78,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def sub_path(spark: SparkSession, *parts: str) -> str:
-    return "/".join([checkpoint_root(spark), *[p.strip("/") for p in parts]])
-
-
-def default_sf_dir() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-
-
 def ensure_checkpoint_root(spark: SparkSession) -> str:
     """``checkpoint_root``, falling back to a fresh temp folder only when the
     session runs on a local master (tests, local runs). On a cluster an unset

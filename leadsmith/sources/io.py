@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadsmith.functions.text import blank_to_null, cap_bytes
-from leadsmith.sources.lookups import PAGE_BYTE_CAP  # noqa: F401  (documented default for max_bytes)
 
 # Words read as missing values by spreadsheet-style loaders.
 NA_WORDS = ["NA", "N/A", "n/a", "NULL", "null", "NaN", "nan", "#N/A", "<NA>", "None"]
@@ -149,7 +148,7 @@ def captured_pages(pages: DataFrame, html_col: str = "html",
                    max_bytes: int | None = None) -> DataFrame:
     """Admit pages like a fetch would (status < 400, an HTML content type,
     when those columns exist). Pages are processed whole by default; the
-    original's fetch-time read limit (``PAGE_BYTE_CAP`` bytes) is available as
+    original's fetch-time read limit (``lookups.PAGE_BYTE_CAP`` bytes) is available as
     ``max_bytes`` for callers that want to reproduce a capped fetch."""
     cols = set(pages.columns)
     if "status" in cols:

@@ -127,29 +127,6 @@ def terms_df(spark: SparkSession, terms: Sequence[str], column: str = "term") ->
     return spark.createDataFrame([(i + 1, t) for i, t in enumerate(terms)], schema)
 
 
-def local_parts_df(spark: SparkSession, parts: Sequence[str] = LOCAL_PARTS) -> DataFrame:
-    return terms_df(spark, parts, "local_part")
-
-
-def contact_paths_df(spark: SparkSession, paths: Sequence[str] = CONTACT_PATHS,
-                     extra_paths: Sequence[str] = ()) -> DataFrame:
-    """Paths in priority order; ``extra_paths`` are appended, first occurrence wins."""
-    merged: list[str] = []
-    for p in [*paths, *extra_paths]:
-        if p not in merged:
-            merged.append(p)
-    return terms_df(spark, merged, "path").withColumnRenamed("rank", "path_rank")
-
-
-def base_templates_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("tier", T.IntegerType(), False),
-        T.StructField("base_rank", T.IntegerType(), False),
-        T.StructField("template", T.StringType(), False),
-    ])
-    return spark.createDataFrame(BASE_TEMPLATES, schema)
-
-
 def name_gender_df(spark: SparkSession, rows: Sequence[tuple[str, str]]) -> DataFrame:
     schema = T.StructType([
         T.StructField("first_name", T.StringType(), True),

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from leadsmith.functions.text import email_domain_first, email_domain_last
 from leadsmith.operators.dedupe import anti_master, keep_first

@@ -1,6 +1,5 @@
 """Keyword score, frontier, candidate priority, funnel audit."""
 
-from pyspark.sql import functions as F
 
 from leadsmith.operators.mailbox import best_candidate, candidates, frontier
 from leadsmith.operators.score import keyword_scores

@@ -1,7 +1,6 @@
 """Sources and sinks: L1 load with blank/NA -> null, L2 load-or-create,
 L3 snapshots, L5 byte cap."""
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadsmith.sources.io import (

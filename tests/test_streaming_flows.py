@@ -1,6 +1,5 @@
 """Streaming ingest idempotency, streaming keep-first, and the daily flow."""
 
-from pyspark.sql import functions as F
 
 from leadsmith.plans.flows import clean_contacts, daily_run
 from leadsmith.session import scratch_path

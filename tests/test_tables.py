@@ -1,6 +1,5 @@
 """Keyed table changes, merges and snapshots (FIXTURES.md 'URL state', 'Master')."""
 
-from pyspark.sql import functions as F
 
 from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
 from leadsmith.plans.flows import append_master, clean_contacts, url_state_update
