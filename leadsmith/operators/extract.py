@@ -215,15 +215,19 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
 def page_summaries(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", domain_col: str = "domain",
                    exact_text: bool = True) -> DataFrame:
-    """U7 + A3 + A5 per page without a shuffle: ``(id, emails_extracted,
-    text_len)``; the sorted distinct addresses kept by the same-domain rule,
-    comma-joined. Pages without a finding are left out."""
-    from leadsmith.operators.filters import where_in_place
+    """U7 + A3 + A5 per page, without a shuffle: ``(id, emails_extracted,
+    iframe_candidates, text_len)`` for every page: the sorted distinct
+    addresses kept by the same-domain rule and the same-host iframe URLs
+    (at most three, document order), comma-joined, and the length of the
+    visible text."""
     staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, [], exact_text)
-    summary = staged.select(id_col, kept_emails(domain_col).alias("__kept"), "text_len")
-    summary = where_in_place(summary, lambda r: F.size(r["__kept"]) > 0)
-    return summary.select(id_col, F.array_join(F.sort_array("__kept"), ",").alias("emails_extracted"),
-                          F.col("text_len").cast("long").alias("text_len"))
+    frames = iframe_links(F.col(html_col), F.col(url_col), F.col(domain_col))
+    return staged.select(
+        id_col,
+        F.array_join(F.sort_array(kept_emails(domain_col)), ",").alias("emails_extracted"),
+        F.array_join(frames, ",").alias("iframe_candidates"),
+        F.col("text_len").cast("long").alias("text_len"),
+    )
 
 
 def kept_emails(domain_col: str = "domain") -> Column:

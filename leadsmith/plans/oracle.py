@@ -197,6 +197,29 @@ SELECT page_id, url, domain{ex}, text_len, UNNEST(all_emails) AS email FROM s
 """
 
 
+def page_summary_sql(pages: str) -> str:
+    """A5 per page: sorted kept addresses, iframe candidates, text length."""
+    return f"""
+WITH p AS (
+  SELECT page_id, url, html, {normalize_domain_sql('url')} AS domain, {visible_sql('html')} AS vt FROM {pages}
+), a AS (
+  SELECT page_id, url, html, domain, vt,
+         list_distinct(list_filter(list_concat({cf_sql('html')}, {mailto_sql('html')}, {jsonld_sql('html')},
+                       {emails_sql('vt')}, {label_sql('vt')}, {emails_sql('html')}),
+                       lambda e: e IS NOT NULL AND e <> '')) AS all_e
+  FROM p
+), k AS (
+  SELECT *, CASE WHEN len(list_filter(all_e, lambda e: ends_with(e, '@' || domain))) > 0
+                 THEN list_filter(all_e, lambda e: ends_with(e, '@' || domain)) ELSE all_e END AS kept
+  FROM a
+)
+SELECT page_id, array_to_string(list_sort(kept), ',') AS emails_extracted,
+       array_to_string({iframes_sql('html', 'url', 'domain')}, ',') AS iframe_candidates,
+       length(vt) AS text_len
+FROM k
+"""
+
+
 def prefer_domain_sql(found: str, key: str = "page_id") -> str:
     return f"""
 SELECT * FROM (
@@ -262,11 +285,7 @@ SELECT * FROM (
     "visible_text": f"""
 SELECT page_id, length(t) AS text_len, t AS text FROM (SELECT page_id, {visible_sql('html')} AS t FROM pages)
 """,
-    "page_findings": f"""
-SELECT page_id, string_agg(email, ',' ORDER BY email) AS emails_extracted, max(text_len) AS text_len
-FROM ({prefer_domain_sql(page_findings_sql('pages'))})
-GROUP BY page_id
-""",
+    "page_findings": None,
 })
 
 
@@ -359,11 +378,7 @@ SQL.update({
 SELECT page_id, UNNEST(range(1, len(fs) + 1)) AS pos, UNNEST(fs) AS frame_url
 FROM (SELECT page_id, {iframes_sql('html', 'url', normalize_domain_sql('url'))} AS fs FROM {SITE_PAGES})
 """,
-    "site_findings": f"""
-SELECT page_id, string_agg(email, ',' ORDER BY email) AS emails_extracted, max(text_len) AS text_len
-FROM ({prefer_domain_sql(SITE_FINDINGS_ALL)})
-GROUP BY page_id
-""",
+    "site_findings": None,
     "frontier": f"""
 SELECT domain, tier, url_rank, replace(tpl, '{{d}}', domain) AS url
 FROM (SELECT DISTINCT {normalize_domain_sql('url')} AS domain FROM pages) p, {GRID_VALUES}
@@ -760,3 +775,7 @@ SQL["site_labels"] = f"""
 SELECT page_id, UNNEST(list_distinct({label_sql('vt')})) AS email
 FROM (SELECT page_id, {visible_sql('html')} AS vt FROM {SITE_PAGES})
 """
+
+
+SQL["page_findings"] = page_summary_sql("pages")
+SQL["site_findings"] = page_summary_sql(SITE_PAGES)
