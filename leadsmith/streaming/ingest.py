@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 
 from leadsmith.sources.io import path_exists
 
+# Distinct keys of one micro-batch up to which they are broadcast to filter
+# the master; above it the clean-up joins the whole master.
+BATCH_KEY_BROADCAST = 1_000_000
+
 
 def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType, master_path: str,
                     checkpoint_path: str, clean: Callable[[DataFrame, DataFrame], DataFrame],
@@ -43,10 +47,18 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
         if path_exists(sess, master_path):
-            master = sess.read.parquet(master_path)
+            master = sess.read.parquet(master_path).select(key)
+            # Only master rows with a key of this batch matter. The batch's keys
+            # are few (one micro-batch): broadcast them after a bounded count so
+            # the growing master is filtered where it lies instead of shuffled.
+            keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
+            if keys.limit(BATCH_KEY_BROADCAST + 1).count() <= BATCH_KEY_BROADCAST:
+                known = master.join(F.broadcast(keys), key, "left_semi")
+                null_key = master.where(F.col(key).isNull()).limit(1)
+                master = known.unionByName(null_key)
         else:
             master = sess.createDataFrame([], batch.schema).select(key)
-        cleaned = clean(batch, master.select(key))
+        cleaned = clean(batch, master)
         cleaned.withColumn("batch_id", F.lit(batch_id).cast("long")) \
             .write.mode("append").parquet(master_path)
 
