@@ -179,11 +179,9 @@ def _staged_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, do
     all_emails = F.filter(F.array_distinct(F.flatten(F.transform("__src", lambda x: x["emails"]))),
                           lambda e: e.isNotNull() & (e != ""))
     suffix = F.concat(F.lit("@"), F.col(domain_col))
+    staged = staged.select("*", all_emails.alias("__all"))
     return staged.select(
-        "*",
-        all_emails.alias("__all"),
-        F.coalesce(F.exists(all_emails, lambda e: e.endswith(suffix)), F.lit(False)).alias("__any_same"),
-    )
+        "*", F.coalesce(F.exists("__all", lambda e: e.endswith(suffix)), F.lit(False)).alias("__any_same"))
 
 
 def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -241,8 +239,10 @@ def kept_emails(domain_col: str = "domain") -> Column:
 def prefer_domain(findings: DataFrame, group_col: str, email_col: str = "email",
                   domain_col: str = "domain") -> DataFrame:
     """A3 on a findings table: per group, if any address ends with
-    ``@domain`` keep only those. A window over the group (one page's findings,
-    bounded by the page size cap); no self-join, so the input is computed once."""
+    ``@domain`` keep only those. A window over the group (the findings of
+    one page or document, bounded by its text); no self-join, so the input
+    is computed once. Row-level page extraction applies the same rule inside
+    the page's row instead (``kept_emails``)."""
     from pyspark.sql import Window
     is_same = F.coalesce(F.col(email_col).endswith(F.concat(F.lit("@"), F.col(domain_col))), F.lit(False))
     flagged = findings.withColumn("__same", is_same)
