@@ -9,11 +9,13 @@ is one ``min_by`` aggregate over (scheme tier, local-part rank).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collections.abc import Sequence
-
+from leadsmith.functions.text import resolve_url
+from leadsmith.operators.dedupe import keep_first
 from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
 
@@ -49,11 +51,13 @@ def candidates(domains: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "d
 
 def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: str = "domain") -> DataFrame:
     """J4 + U3: every URL to look at per domain: tier 1 = https, tier 2 = http;
-    within a tier ``url_rank`` orders base then path.
+    within a tier ``url_rank`` orders base then path; each URL is the path
+    resolved against the base.
 
-    Paths are de-duplicated in order (first wins) before the grid is built,
-    and the two bases of a tier differ in host, so every (domain, URL) is
-    unique by construction and needs no de-duplication pass."""
+    The default paths are distinct relative paths and the two bases of a
+    tier differ in host, so every (domain, URL) is unique and no
+    de-duplication pass runs. Extra paths (possibly absolute or rooted) can
+    resolve to a URL already listed; then the first by rank is kept."""
     paths: list[str] = []
     for p in [*CONTACT_PATHS, *extra_paths]:
         if p not in paths:
@@ -65,10 +69,13 @@ def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: st
                                  F.lit((base_rank - 1) * len(paths) + path_rank).alias("url_rank"),
                                  F.lit(template).alias("template"), F.lit(path).alias("path")))
     d = F.col(domain_col)
-    return (domains.select(domain_col).distinct()
+    urls = (domains.select(domain_col).distinct()
             .select(domain_col, F.inline(F.array(*grid)))
             .select(domain_col, "tier", "url_rank",
-                    F.concat(F.replace(F.col("template"), F.lit("{d}"), d), F.col("path")).alias("url")))
+                    resolve_url(F.replace(F.col("template"), F.lit("{d}"), d), F.col("path")).alias("url")))
+    if not extra_paths:
+        return urls
+    return keep_first(urls, [domain_col, "tier", "url"], "url_rank")
 
 
 # Frontier rows up to which the frontier is broadcast to the page table (the

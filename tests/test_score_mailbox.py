@@ -35,8 +35,10 @@ def test_frontier_counts_and_order(spark):
     assert f.where("tier = 1").count() == 54 and f.where("tier = 2").count() == 54
     first = f.orderBy("tier", "url_rank").first()
     assert (first.tier, first.url_rank, first.url) == (1, 1, "https://acme.example/")
-    extra = frontier(d, extra_paths=["kontakt", "jobs"])
+    extra = frontier(d, extra_paths=["kontakt", "jobs", "/kontakt", "https://acme.example/jobs"])
+    # "kontakt" is already listed; "/kontakt" and the absolute URL resolve to listed URLs
     assert extra.where("tier = 1").count() == 56
+    assert extra.where("url = 'https://acme.example/jobs' and tier = 1").first().url_rank == 28
 
 
 def test_candidates_order(spark):
