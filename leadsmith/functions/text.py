@@ -9,10 +9,12 @@ through one Arrow-batched pandas UDF for HTML-unescape and NFKC.
 from __future__ import annotations
 
 import html as _html
+import sys
 import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,6 +227,9 @@ def _unescape_nfkc_py(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+# The UDF's function is shipped to the Python workers by value (it needs only
+# the standard library there), so executors do not need this package installed.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _unescape_nfkc = F.pandas_udf(_unescape_nfkc_py, T.StringType())
 
 

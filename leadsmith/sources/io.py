@@ -84,7 +84,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _pointer(table_root: str) -> str:
-    return f"{table_root.rstrip('/')}/_CURRENT"
+    return f"{table_root.rstrip('/')}/CURRENT"
+
+
+def _write_pointer(spark: SparkSession, table_root: str, name: str) -> None:
+    """Write the pointer file: a temp file first, then a rename over the old
+    pointer (atomic on HDFS-like stores), through the Hadoop FileSystem API."""
+    fs, tmp = _fs(spark, f"{table_root.rstrip('/')}/CURRENT.tmp-{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(name.encode("utf-8")))
+    out.close()
+    _, dst = _fs(spark, _pointer(table_root))
+    if fs.exists(dst):
+        fs.delete(dst, False)
+    if not fs.rename(tmp, dst):
+        raise OSError(f"could not move the snapshot pointer into place under {table_root}")
 
 
 def current_snapshot(spark: SparkSession, table_root: str) -> str | None:
@@ -92,8 +106,10 @@ def current_snapshot(spark: SparkSession, table_root: str) -> str | None:
     ptr = _pointer(table_root)
     if not path_exists(spark, ptr):
         return None
-    name = spark.read.text(ptr).first()[0].strip()
-    return f"{table_root.rstrip('/')}/{name}"
+    first = spark.read.text(ptr).first()
+    if first is None or not first[0].strip():
+        return None
+    return f"{table_root.rstrip('/')}/{first[0].strip()}"
 
 
 def write_snapshot(df: DataFrame, table_root: str, fmt: str = "parquet",
@@ -110,8 +126,7 @@ def write_snapshot(df: DataFrame, table_root: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(
-        _pointer(table_root))
+    _write_pointer(spark, table_root, name)
     return path
 
 
