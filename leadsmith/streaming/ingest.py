@@ -54,7 +54,7 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
             keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
             if keys.limit(BATCH_KEY_BROADCAST + 1).count() <= BATCH_KEY_BROADCAST:
                 known = master.join(F.broadcast(keys), key, "left_semi")
-                null_key = master.where(F.col(key).isNull()).limit(1)
+                null_key = master.where(F.col(key).isNull()).distinct()  # at most one row
                 master = known.unionByName(null_key)
         else:
             master = sess.createDataFrame([], batch.schema).select(key)
