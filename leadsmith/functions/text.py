@@ -287,8 +287,13 @@ def with_clean_text(df, in_col: str, out_col: str, exact: bool = True, strip: bo
 
 
 def email_matches(c: ColumnOrName) -> Column:
-    """Array of all generic address matches, in text order (not lowered)."""
-    return F.regexp_extract_all(_c(c), F.lit(EMAIL_PATTERN), F.lit(0))
+    """Array of all generic address matches, in text order (not lowered).
+
+    Text without an ``@`` cannot match, so it skips the regex (a substring
+    test instead of a scan that tries every word start)."""
+    col = _c(c)
+    return F.when(F.instr(col, "@") > 0, F.regexp_extract_all(col, F.lit(EMAIL_PATTERN), F.lit(0))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 SCRIPT_RE = r"(?is)<script\b.*?</script\s*>"

@@ -34,7 +34,7 @@ CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
 JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)\S*(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*"
+LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
 
 
 # --------------------------------------------------------------------------- E1
@@ -120,8 +120,9 @@ def label_emails(text: Column) -> Column:
 
     A segment starts at the token holding the label and runs up to 200
     characters on, extended to the end of the last token, so an address is
-    never cut in two."""
-    segs = F.regexp_extract_all(text, F.lit(LABEL_SEGMENT_RE), F.lit(0))
+    never cut in two. Matches are anchored at token starts, so a long token
+    is scanned once, not once per position."""
+    segs = F.regexp_extract_all(text, F.lit(LABEL_SEGMENT_RE), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(segs, lambda s: text_emails(s))))
 
 

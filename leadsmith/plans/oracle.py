@@ -140,7 +140,7 @@ CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
 JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)\S*(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*"
+LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
 
 
 def mailto_sql(h: str) -> str:
@@ -175,7 +175,7 @@ def jsonld_sql(h: str) -> str:
 
 
 def label_sql(t: str) -> str:
-    segs = f"regexp_extract_all({t}, {q(LABEL_SEGMENT_RE)})"
+    segs = f"regexp_extract_all({t}, {q(LABEL_SEGMENT_RE)}, 1)"
     return f"flatten(list_transform({segs}, lambda s: {emails_sql('s')}))"
 
 

@@ -104,3 +104,17 @@ def test_clean_text_exact_path(spark):
     # NFKC (fullwidth, ligature) and a rare entity go through the exact path.
     got = one(spark, "ｉｎｆｏ (at) acme &lbrack;dot&rbrack; example", lambda c: clean_text(c))
     assert got == "info@acme.example"
+
+
+def test_long_tokens_do_not_backtrack(spark):
+    import time
+    from leadsmith.operators.extract import label_emails
+    long_token = "x" * 200_000 + "contact" + "y" * 10 + " info@acme.example"
+    dotted = "a." * 100_000
+    df = spark.createDataFrame([(long_token,), (dotted,)], "t string")
+    t0 = time.time()
+    got = [r.e for r in df.select(label_emails(F.col("t")).alias("e")).collect()]
+    found = [r.e for r in df.select(email_matches(F.col("t")).alias("e")).collect()]
+    assert got[0] == ["info@acme.example"] and got[1] == []
+    assert found == [["info@acme.example"], []]
+    assert time.time() - t0 < 30
