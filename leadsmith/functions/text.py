@@ -299,7 +299,7 @@ def email_matches(c: ColumnOrName) -> Column:
 SCRIPT_RE = r"(?is)<script\b.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b.*?</style\s*>"
 COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"(?s)<[^>]+>"
+TAG_RE = r"(?s)<[^<>]+>"  # stops at the next "<": a stray "<" costs no scan to the end
 
 
 def strip_markup(c: ColumnOrName) -> Column:

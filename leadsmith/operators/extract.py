@@ -297,7 +297,7 @@ def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 def _field_text(inner: Column) -> Column:
     """Inner HTML -> text: tags removed, basic entities, stripped; '' -> null."""
-    text = strip_ws(unescape_basic(F.regexp_replace(inner, r"(?s)<[^>]+>", "")))
+    text = strip_ws(unescape_basic(F.regexp_replace(inner, r"(?s)<[^<>]+>", "")))
     return F.nullif(text, F.lit(""))
 
 

@@ -120,7 +120,7 @@ def clean_sql(x: str) -> str:
 def strip_markup_sql(x: str) -> str:
     for pat in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->"):
         x = f"regexp_replace({x}, {q(pat)}, ' ', 'g')"
-    return f"regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g')"
+    return f"regexp_replace({x}, '(?s)<[^<>]+>', ' ', 'g')"
 
 
 def visible_sql(x: str) -> str:
@@ -659,7 +659,7 @@ BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
 
 
 def _field_sql(pattern: str) -> str:
-    x = f"regexp_replace(regexp_extract(html, {q(pattern)}, 1), '(?s)<[^>]+>', '', 'g')"
+    x = f"regexp_replace(regexp_extract(html, {q(pattern)}, 1), '(?s)<[^<>]+>', '', 'g')"
     for ent, ch in BASIC_ENTITIES:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
     return f"nullif({strip_sql(x)}, '')"
