@@ -26,13 +26,13 @@ from leadsmith.functions.text import (
 from leadsmith.sources.lookups import EMAIL_PATTERN, MAX_IFRAMES_PER_PAGE
 
 # Patterns (Java regex). Kept to constructs RE2 shares where an oracle needs them.
-MAILTO_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
+MAILTO_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
 RAW_MAILTO_RE = r"""(?i)href\s*=\s*["'](?:mailto:)\s*([^"'?]+)"""
-ANCHOR_HREF_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-IFRAME_SRC_RE = r"""(?is)<iframe\b[^>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
-CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
+ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
+IFRAME_SRC_RE = r"""(?is)<iframe\b[^<>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
+CF_TAG_RE = r"""(?is)<(?:a|span)\b[^<>]*__cf_email__[^<>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
-JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
+JSONLD_RE = r"""(?is)<script[^<>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^<>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
 LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
 
@@ -262,7 +262,7 @@ __all__ = [
 
 # --------------------------------------------------------------------------- E8 (cards) / E9 / W4
 
-POSTING_CARD_RE = r"""(?is)<search-project-card\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+POSTING_CARD_RE = r"""(?is)<search-project-card\b[^<>]*>\s*<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 # (field, variant, pattern): group 1 is the field's inner HTML; variant 2 is
 # used only where variant 1 is missing or empty.

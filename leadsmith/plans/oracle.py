@@ -132,13 +132,13 @@ def emails_sql(x: str) -> str:
     return f"list_transform(regexp_extract_all({x}, {q(EMAIL_RE)}), lambda m: lower(m))"
 
 
-MAILTO_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
+MAILTO_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
 RAW_MAILTO_RE = r"""(?i)href\s*=\s*["'](?:mailto:)\s*([^"'?]+)"""
-ANCHOR_HREF_RE = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-IFRAME_SRC_RE = r"""(?is)<iframe\b[^>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
-CF_TAG_RE = r"""(?is)<(?:a|span)\b[^>]*__cf_email__[^>]*>"""
+ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
+IFRAME_SRC_RE = r"""(?is)<iframe\b[^<>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
+CF_TAG_RE = r"""(?is)<(?:a|span)\b[^<>]*__cf_email__[^<>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
-JSONLD_RE = r"""(?is)<script[^>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^>]*>(.*?)</script>"""
+JSONLD_RE = r"""(?is)<script[^<>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^<>]*>(.*?)</script>"""
 JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
 LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
 
@@ -644,7 +644,7 @@ WHERE NOT (email IN ('that.92@mail2.example.com')
 
 
 # ============================================================================ batch 7: postings, url state
-POSTING_CARD_RE = r"""(?is)<search-project-card\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+POSTING_CARD_RE = r"""(?is)<search-project-card\b[^<>]*>\s*<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
 FIELD_RES = {
     "project_name": [r"""(?is)<h1[^>]*class\s*=\s*["']margin-bottom-xs["'][^>]*>(.*?)</h1>"""],
     "company": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*project-header[^"']*["'][^>]*>.*?<a[^>]*onclick\s*=\s*["']window\.open[^>]*>(.*?)</a>"""],
