@@ -10,11 +10,11 @@ is one ``min_by`` aggregate over (scheme tier, local-part rank).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import resolve_url
 from leadsmith.operators.dedupe import keep_first
 from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
@@ -62,17 +62,20 @@ def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: st
     for p in [*CONTACT_PATHS, *extra_paths]:
         if p not in paths:
             paths.append(p)
+    # The grid is a small literal list: each base + path is resolved once here
+    # (standard URL joining against a "{d}" placeholder host); per row only the
+    # domain is put in.
     grid = []
     for tier, base_rank, template in BASE_TEMPLATES:
         for path_rank, path in enumerate(paths, start=1):
             grid.append(F.struct(F.lit(tier).alias("tier"),
                                  F.lit((base_rank - 1) * len(paths) + path_rank).alias("url_rank"),
-                                 F.lit(template).alias("template"), F.lit(path).alias("path")))
+                                 F.lit(urljoin(template, path)).alias("url_template")))
     d = F.col(domain_col)
     urls = (domains.select(domain_col).distinct()
             .select(domain_col, F.inline(F.array(*grid)))
             .select(domain_col, "tier", "url_rank",
-                    resolve_url(F.replace(F.col("template"), F.lit("{d}"), d), F.col("path")).alias("url")))
+                    F.replace(F.col("url_template"), F.lit("{d}"), d).alias("url")))
     if not extra_paths:
         return urls
     return keep_first(urls, [domain_col, "tier", "url"], "url_rank")
