@@ -13,13 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import email_domain_first, normalize_domain
+from leadsmith.functions.text import email_domain_first, norm_str, normalize_domain
+from leadsmith.operators.audit import contact_funnel, posting_funnel
 from leadsmith.operators.dedupe import anti_master, keep_first
-from leadsmith.operators.filters import exclude_terms, valid_domain
+from leadsmith.operators.enrich import enrich_contacts
+from leadsmith.operators.extract import POSTING_FIELDS, posting_fields
+from leadsmith.operators.filters import (
+    drop_any_null,
+    drop_incomplete,
+    email_blocklist,
+    exclude_terms,
+    valid_domain,
+)
 from leadsmith.operators.mailbox import best_hits, frontier, site_findings
+from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox
+from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
 from leadsmith.session import ensure_checkpoint_root
-from leadsmith.sources.io import captured_pages
-from leadsmith.sources.lookups import DOMAIN_BAD_LIST, LOCAL_PARTS
+from leadsmith.sources.io import captured_pages, load_snapshot, write_snapshot
+from leadsmith.sources.lookups import CONTACT_BLOCKLIST, DOMAIN_BAD_LIST, LOCAL_PARTS, TITLE_TERMS
 
 
 def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFrame,
@@ -49,14 +60,6 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
 
 
 # ---------------------------------------------------------------------------- C1
-from leadsmith.functions.text import norm_str  # noqa: E402
-from leadsmith.operators.audit import contact_funnel, posting_funnel  # noqa: E402
-from leadsmith.operators.enrich import enrich_contacts  # noqa: E402
-from leadsmith.operators.filters import drop_any_null, email_blocklist  # noqa: E402
-from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox  # noqa: E402
-from leadsmith.operators.tables import append_union, apply_changes, delete_keys  # noqa: E402
-from leadsmith.sources.io import load_snapshot, write_snapshot  # noqa: E402
-from leadsmith.sources.lookups import CONTACT_BLOCKLIST, TITLE_TERMS  # noqa: E402
 
 CONTACT_COLS = ["company", "person", "email"]
 
@@ -145,9 +148,6 @@ def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
 
 
 # ---------------------------------------------------------------------------- C6 / C8
-from leadsmith.operators.extract import POSTING_FIELDS, posting_fields  # noqa: E402
-from leadsmith.operators.filters import drop_incomplete  # noqa: E402
-from leadsmith.operators.tables import accumulate_merge  # noqa: E402
 
 RAW_COLS = ["url", *POSTING_FIELDS]
 AGENCY_COLS = ["company", "person", "email"]
