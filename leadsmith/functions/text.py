@@ -92,12 +92,29 @@ def same_host(url: ColumnOrName, domain: ColumnOrName) -> Column:
     return F.coalesce((host == d) | host.endswith(F.concat(F.lit("."), d)), F.lit(False))
 
 
+def _remove_dot_segments(path: Column) -> Column:
+    """RFC 3986 dot-segment removal for an absolute path (``/a/b/../c`` ->
+    ``/a/c``); a trailing ``.`` or ``..`` leaves a trailing slash."""
+    segs = F.split(path, "/")
+    body = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
+    folded = F.aggregate(
+        body, F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(x == ".", acc)
+        .otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(segs, -1)
+    folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+    return F.concat(F.lit("/"), F.array_join(folded, "/"))
+
+
 def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     """Resolve ``href`` against ``base`` for the common URL shapes.
 
     absolute (``scheme:``) as is; ``//host`` takes the base scheme; ``/path``
     takes scheme and authority; ``?q`` / ``#f`` replace query / fragment;
-    anything else is joined to the base directory. Dot segments are kept.
+    anything else is joined to the base directory (empty segments in the
+    middle dropped). Rooted and relative paths then lose their ``.`` and
+    ``..`` segments; query and fragment are kept as written.
     """
     b, h = _c(base), _c(href)
     scheme = F.regexp_extract(b, _SCHEME_RE, 1)
@@ -106,16 +123,20 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
     no_query = F.regexp_replace(no_frag, r"\?.*$", "")
     path = F.regexp_extract(no_query, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/.*)?$", 1)
     directory = F.regexp_replace(path, r"[^/]*$", "")
+    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+    h_rest = F.substr(h, F.length(h_path) + 1)
+    # relative: base directory + reference, empty middle segments dropped
+    merged = F.concat(F.when(directory == "", F.lit("/")).otherwise(directory), h_path)
+    merged = F.regexp_replace(merged, "/{2,}", "/")
     return (
         F.when(h.isNull(), F.lit(None).cast("string"))
         .when(h == "", b)
         .when(h.rlike(_SCHEME_RE), h)
         .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("/"), F.concat(origin, _remove_dot_segments(h_path), h_rest))
         .when(h.startswith("?"), F.concat(no_query, h))
         .when(h.startswith("#"), F.concat(no_frag, h))
-        .when(directory == "", F.concat(origin, F.lit("/"), h))
-        .otherwise(F.concat(origin, directory, h))
+        .otherwise(F.concat(origin, _remove_dot_segments(merged), h_rest))
     )
 
 

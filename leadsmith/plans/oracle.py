@@ -80,21 +80,31 @@ def same_host_sql(u: str, d: str) -> str:
     return f"coalesce(({h} = {d}) OR ends_with({h}, '.' || {d}), false)"
 
 
+def dot_segments_sql(p: str) -> str:
+    """Remove '.' and '..' segments from an absolute path (string fold)."""
+    fold = (f"list_reduce(list_prepend('', string_split({p}, '/')[2:]), lambda acc, x: "
+            f"CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc "
+            f"ELSE acc || '/' || x END)")
+    return f"(CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN {fold} || '/' ELSE {fold} END)"
+
+
 def resolve_sql(b: str, h: str) -> str:
     origin = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
     no_frag = f"regexp_replace({b}, '#.*$', '')"
     no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
     path = f"regexp_extract({no_query}, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(/.*)?$', 1)"
     directory = f"regexp_replace({path}, '[^/]*$', '')"
+    h_path = f"regexp_extract({h}, '^([^?#]*)', 1)"
+    h_rest = f"substr({h}, length({h_path}) + 1)"
+    merged = f"regexp_replace((CASE WHEN {directory} = '' THEN '/' ELSE {directory} END) || {h_path}, '/{{2,}}', '/', 'g')"
     return f"""CASE WHEN {h} IS NULL THEN NULL
  WHEN {h} = '' THEN {b}
  WHEN regexp_matches({h}, '^([A-Za-z][A-Za-z0-9+.\\-]*):') THEN {h}
  WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || {h}
- WHEN starts_with({h}, '/') THEN {origin} || {h}
+ WHEN starts_with({h}, '/') THEN {origin} || {dot_segments_sql(h_path)} || {h_rest}
  WHEN starts_with({h}, '?') THEN {no_query} || {h}
  WHEN starts_with({h}, '#') THEN {no_frag} || {h}
- WHEN {directory} = '' THEN {origin} || '/' || {h}
- ELSE {origin} || {directory} || {h} END"""
+ ELSE {origin} || {dot_segments_sql(merged)} || {h_rest} END"""
 
 
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),

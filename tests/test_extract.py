@@ -118,3 +118,14 @@ def test_long_tokens_do_not_backtrack(spark):
     assert got[0] == ["info@acme.example"] and got[1] == []
     assert found == [["info@acme.example"], []]
     assert time.time() - t0 < 30
+
+
+def test_resolve_url_dot_segments_like_urljoin(spark):
+    from urllib.parse import urljoin
+    cases = [("https://a.example/a/b/c", "../d"), ("https://a.example/a/b/c", "./d/../e?x=1#y"),
+             ("https://a.example/a/b/", "../../../z"), ("https://a.example/a/b/c", "/x/./y/../z/"),
+             ("https://a.example/a/b/c", ".."), ("https://a.example/a/b/c", "."),
+             ("https://a.example/a//b/c", "d"), ("https://a.example/a/b/c", "/..")]
+    df = spark.createDataFrame(cases, "b string, h string")
+    for r in df.select("b", "h", resolve_url("b", "h").alias("got")).collect():
+        assert r.got == urljoin(r.b, r.h), (r.b, r.h)
