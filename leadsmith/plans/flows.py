@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import email_domain_first, norm_str, normalize_domain
+from leadsmith.functions.text import email_domain_first, literal_alternation, norm_str, normalize_domain
 from leadsmith.operators.audit import contact_funnel, posting_funnel
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.enrich import enrich_contacts
@@ -29,7 +29,7 @@ from leadsmith.operators.mailbox import best_hits, frontier, site_findings
 from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox
 from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
 from leadsmith.session import ensure_checkpoint_root
-from leadsmith.sources.io import captured_pages, load_snapshot, write_snapshot
+from leadsmith.sources.io import captured_pages, current_snapshot, load_snapshot, write_snapshot
 from leadsmith.sources.lookups import CONTACT_BLOCKLIST, DOMAIN_BAD_LIST, LOCAL_PARTS, TITLE_TERMS
 
 
@@ -98,7 +98,6 @@ def clean_postings(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "pr
 
 
 def posting_funnel_counts(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
-    from leadsmith.functions.text import literal_alternation
     complete = F.lit(True)
     for c in raw.columns:
         complete = complete & F.col(c).isNotNull()
@@ -135,7 +134,6 @@ def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
     if not frames:
         raise ValueError("nothing to apply")
     spark = frames[0].sparkSession
-    from leadsmith.sources.io import current_snapshot
     if initial is not None and current_snapshot(spark, table_root) is None:
         state = initial
     else:
