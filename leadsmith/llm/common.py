@@ -57,3 +57,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int,
             size += n
         if lo < batch.num_rows:
             yield batch.slice(lo), [b or b"" for b in texts.slice(lo).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id",
+                    text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """``(id, text, label)`` for about ``per_class`` rows of ``labels(id, label)`` of
+    each class 0 and 1 (all if there are fewer), and the classes' row counts.
+
+    Rows are taken by the hash of their id, so the sample needs no sort; its size
+    is bounded by the parameter, which makes the broadcast of its ids safe. Rows
+    with a null id or another label are no training rows."""
+    usable = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    found = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [found.get(0, 0), found.get(1, 0)]
+    share = F.when(F.col("label") == 1, per_class / max(n[1], 1)).otherwise(per_class / max(n[0], 1))
+    picked = usable.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * (1 << 30))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    rows = (texts.join(F.broadcast(picked.select("id", "label")), F.col("__id") == F.col("id"))
+            .select("id", "text", "label"))
+    return rows, n

@@ -6,10 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import table
+from leadsmith.llm import quality_mil, toxicity
+from leadsmith.llm.bpe import encode_documents
+from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
 from leadsmith.llm.sharding import shard_rows
 
+#: The rank file and pattern of the encoding query; parameters of the operator.
+BPE_RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_rows(table(spark, sf_dir, "documents"), shards=16)
@@ -17,6 +22,33 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def usable_labels(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """Labels outside the held-out fold, as ``(id, label)``."""
+    return (labels.where(F.pmod(crc_of_id("doc_id"), F.lit(folds)) != held_out)
+            .select(F.col("doc_id").alias("id"), F.col(label).cast("long").alias("label")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, usable_labels(table(spark, sf_dir, "labels"), "toxic", 3, 1))
+    return (toxicity.score(docs, model)
+            .select("doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(3)) == 1).alias("held_out"), "score", "predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_mil.fit(docs, usable_labels(table(spark, sf_dir, "labels"), "quality", 4, 2))
+    return (quality_mil.score(docs, model)
+            .select("doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2).alias("held_out"),
+                    F.col("__score").alias("score"), F.col("__predicted").alias("predicted")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+    out = encode_documents(table(spark, sf_dir, "documents"), vocabularies.path(BPE_RANKS), vocabularies.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -24,5 +56,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op7_quality": op7_quality,
+    "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
 }
