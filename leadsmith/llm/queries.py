@@ -10,6 +10,8 @@ from leadsmith.llm import quality_mil, toxicity
 from leadsmith.llm.bpe import encode_documents
 from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
+from leadsmith.llm.fingerprints import containment, edited_pairs, edited_text, sketch_text, with_sketch
+from leadsmith.llm.license_scan import scan_licenses
 from leadsmith.llm.sharding import shard_rows
 
 #: The rank file and pattern of the encoding query; parameters of the operator.
@@ -35,6 +37,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(3)) == 1).alias("held_out"), "score", "predicted"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited", edited_text("text", "next_text"))
+    pairs = with_sketch(pairs, "edited", "edited_sketch")
+    return pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        sketch_text("sketch").alias("fingerprint"),
+                        sketch_text("edited_sketch").alias("edited_fingerprint"),
+                        containment("sketch", "edited_sketch").alias("near_edited"),
+                        containment("sketch", "next_sketch").alias("near_next"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_mil.fit(docs, usable_labels(table(spark, sf_dir, "labels"), "quality", 4, 2))
@@ -57,6 +74,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
