@@ -12,6 +12,7 @@ from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
 from leadsmith.llm.fingerprints import containment, edited_pairs, edited_text, sketch_text, with_sketch
 from leadsmith.llm.license_scan import scan_licenses
+from leadsmith.llm.simhash import hex_digits, near_duplicates
 from leadsmith.llm.sharding import shard_rows
 
 #: The rank file and pattern of the encoding query; parameters of the operator.
@@ -41,6 +42,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_distance=3)
+    return out.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited", edited_text("text", "next_text"))
     pairs = with_sketch(pairs, "edited", "edited_sketch")
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
+    "op4_simhash": op4_simhash,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
