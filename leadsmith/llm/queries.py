@@ -14,6 +14,7 @@ from leadsmith.llm.fingerprints import containment, edited_pairs, edited_text, s
 from leadsmith.llm.license_scan import scan_licenses
 from leadsmith.llm.simhash import hex_digits, near_duplicates
 from leadsmith.llm.sharding import shard_rows
+from leadsmith.llm.suffix_dedup import remove_repeats
 
 #: The rank file and pattern of the encoding query; parameters of the operator.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -47,6 +48,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), min_length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited", edited_text("text", "next_text"))
     pairs = with_sketch(pairs, "edited", "edited_sketch")
@@ -82,6 +88,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
