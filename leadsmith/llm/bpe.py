@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import text_slices
+from leadsmith.llm.common import text_slices, with_fields, worker_memory
 
 #: A match that ends this close to a chunk's end may look different with more
 #: text: a contraction needs two more characters, a run of spaces one.
@@ -39,7 +39,7 @@ LOOK_AHEAD = 4
 SHORT_PIECE = 48
 NO_RANK = 1 << 40
 #: Pieces kept in a worker's memory with their ids.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: Texts above this many pieces' bytes are never kept.
 CACHE_PIECE_BYTES = 64
 
@@ -110,9 +110,7 @@ class Codec:
             raw = piece.encode()
             ids = merge_piece(raw, self.ranks)
             known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(raw) <= CACHE_PIECE_BYTES:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
+            if len(raw) <= CACHE_PIECE_BYTES and len(self.cache) < CACHE_PIECES:
                 self.cache[piece] = known
         return known
 
@@ -129,13 +127,12 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """The worker's codec; its cache of pieces outlives the task."""
+    kept = worker_memory().setdefault("codecs", {})
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Codec(path, pattern)
+    return kept[path, pattern]
 
 
 def chunk_bounds(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -195,11 +192,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     asked for, the ids themselves (little-endian unsigned 32-bit integers)."""
     lead = docs.select(F.col(id_col), *carry, F.col(text_col).alias("__text"))
     names = lead.columns[:-1]
-    kinds = {f.name: f.dataType.simpleString() for f in lead.schema.fields}
     result = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] \
         + [("ids", "binary")] * with_ids
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    schema = ", ".join([head, *(f"{n} {t}" for n, t in result)])
+    schema = with_fields(lead.schema.fields[:-1], ", ".join(f"{n} {t}" for n, t in result))
     long_text = F.coalesce(F.length("__text") > chunk_chars + overlap_chars, F.lit(False))
 
     def digests(ids_list):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadsmith.session import scratch_path
 
@@ -33,6 +36,11 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def with_fields(fields: list[T.StructField], ddl: str) -> T.StructType:
+    """A schema of kept fields, whatever their names and types, and new ones."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def stored(df: DataFrame, *name: str) -> DataFrame:
     """Write ``df`` as a parquet table below the shared checkpoint folder and
     read it back: cuts the lineage in a way that survives lost executors."""
@@ -59,6 +67,13 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int,
             yield batch.slice(lo), [b or b"" for b in texts.slice(lo).to_pylist()]
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from one task to the next. Functions are shipped
+    by value, so the globals of this package are new in every task."""
+    holder = sys.modules.setdefault("_leadsmith_worker_memory", types.ModuleType("_leadsmith_worker_memory"))
+    return holder.__dict__
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id",
                     text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """``(id, text, label)`` for about ``per_class`` rows of ``labels(id, label)`` of

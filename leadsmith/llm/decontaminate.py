@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import stored, text_slices
+from leadsmith.llm.common import stored, text_slices, with_fields
 
 #: Maps A-Z to a-z and every byte that is not part of a word to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else
@@ -175,9 +175,7 @@ def _scan_block(docs, items, id_col, text_col, carry):
     lead = docs.select(F.col(id_col), *carry, F.xxhash64(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
     fields = lead.schema.fields[:-1]
     batch_text = len(fields)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
-                        "n_words long", "hit_spans array<int>", "hit_items array<string>"])
-    return lead.mapInArrow(run, schema)
+    return lead.mapInArrow(run, with_fields(fields, "n_words long, hit_spans array<int>, hit_items array<string>"))
 
 
 def _finish(hits, id_col, carry):

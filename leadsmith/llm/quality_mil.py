@@ -19,15 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import labelled_sample, text_slices
+from leadsmith.llm.common import labelled_sample, text_slices, with_fields
 
 PASSAGE_WORDS = 40
+#: Bytes of text whose characters a worker holds at a time.
+PIECE_BYTES = 1 << 20
 #: Histogram of the 128 ASCII characters and of the rest, then four word statistics.
 N_CHARS, N_FEATURES = 129, 133
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of all passages, and the number of the text each belongs to."""
+    """Feature rows of all passages, and the number of the text each belongs to.
+    Texts are handled in runs of about PIECE_BYTES; a longer one is cut between
+    passages."""
+    rows, bags, run, numbers, size = [], [], [], [], 0
+
+    def flush():
+        if run:
+            x, bag = _passages(run)
+            rows.append(x)
+            bags.append(np.array(numbers)[bag])
+        run.clear()
+        numbers.clear()
+
+    for i, text in enumerate(texts):
+        parts = [text]
+        if len(text) > PIECE_BYTES:
+            words, each = text.split(), PASSAGE_WORDS * 4096
+            parts = [b" ".join(words[lo:lo + each]) for lo in range(0, max(len(words), 1), each)]
+        for part in parts:
+            if size + len(part) > PIECE_BYTES:
+                flush()
+                size = 0
+            run.append(part)
+            numbers.append(i)
+            size += len(part)
+    flush()
+    if not rows:
+        return np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(bags)
+
+
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -190,5 +223,4 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 [*(batch.column(j) for j in range(at)), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 names=[*(f.name for f in fields), "__score", "__predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__score double, __predicted int"])
-    return lead.mapInArrow(run, schema)
+    return lead.mapInArrow(run, with_fields(fields, "__score double, __predicted int"))

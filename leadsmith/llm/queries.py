@@ -11,6 +11,7 @@ from leadsmith.llm.bpe import encode_documents
 from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
 from leadsmith.llm.fingerprints import containment, edited_pairs, edited_text, sketch_text, with_sketch
+from leadsmith.llm.html_mincut import extract
 from leadsmith.llm.license_scan import scan_licenses
 from leadsmith.llm.simhash import hex_digits, near_duplicates
 from leadsmith.llm.sharding import shard_rows
@@ -72,25 +73,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("__score").alias("score"), F.col("__predicted").alias("predicted")))
 
 
+def bpe_vocabulary() -> tuple[str, str]:
+    """Path of the rank file (installed on every worker) and the splitting pattern."""
+    import public_tokenizers
+    return public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers as vocabularies
-    out = encode_documents(table(spark, sf_dir, "documents"), vocabularies.path(BPE_RANKS), vocabularies.PATTERN)
+    out = encode_documents(table(spark, sf_dir, "documents"), *bpe_vocabulary())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {
-    "op1_sharding": op1_sharding,
-    "op2_toxicity": op2_toxicity,
-    "op3_licenses": op3_licenses,
-    "op4_simhash": op4_simhash,
-    "op5_suffix_dedup": op5_suffix_dedup,
-    "op6_fingerprints": op6_fingerprints,
-    "op7_quality": op7_quality,
-    "op8_bpe": op8_bpe,
-    "op10_decontamination": op10_decontamination,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_sharding, op2_toxicity, op3_licenses, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_quality, op8_bpe,
+    op9_html, op10_decontamination)}

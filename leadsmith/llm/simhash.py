@@ -17,7 +17,7 @@ spanning forest of the links it has verified, never all pairs.
 Defined results: null and empty texts have fingerprint zero and are linked like
 any others; a text of fewer words than a shingle is one shingle; repeated rows
 share a fingerprint; an empty table gives an empty result; null ids count as
-the largest id; other columns of the input are ignored (``carry`` keeps some).
+the largest id; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import stored, text_slices
+from leadsmith.llm.common import row_key, stored, text_slices, with_fields
 from leadsmith.llm.graph import connected_components, star_forest
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -69,15 +69,16 @@ def simhash(text: bytes, shingle_words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``(id, fp)``: the fingerprint as a signed 64-bit number."""
-    lead = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``(id, key, fp)``: a key of (id, text), and the fingerprint as a signed number."""
+    lead = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch, texts in text_slices(batches, 1):
+        for batch, texts in text_slices(batches, 2):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([simhash(t, shingle_words) for t in texts], pa.int64())], names=["id", "fp"])
+                [batch.column(0), batch.column(1), pa.array([simhash(t, shingle_words) for t in texts], pa.int64())],
+                names=["id", "key", "fp"])
 
-    return lead.mapInArrow(run, f"id {lead.schema.fields[0].dataType.simpleString()}, fp long")
+    return lead.mapInArrow(run, with_fields(lead.schema.fields[:2], "fp long"))
 
 
 # ------------------------------------------------------------------ partitions and thresholds
@@ -345,7 +346,8 @@ def components(fps: DataFrame, max_distance: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3,
                     max_distance: int = 3) -> DataFrame:
-    """``(id, fp, component_id)``: the smallest id that links lead to."""
+    """``(id, key, fp, component_id)`` for every row: a key of (id, text), the
+    fingerprint, and the smallest id that links lead to."""
     own = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     # Nulls last, so that a component's id is null only if all its ids are.
     distinct = stored(own.groupBy("fp").agg(F.min("id").alias("first")), "simhash_distinct")
@@ -353,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     first = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     per_fp = placed.select("fp", "root").join(first, "root").select("fp", "component_id")
-    return own.join(per_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return own.join(per_fp, "fp").select(F.col("id").alias(id_col), "key", "fp", "component_id")
 
 
 def hex_digits(fp: str) -> Column:

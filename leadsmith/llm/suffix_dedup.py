@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import stored, text_slices
+from leadsmith.llm.common import stored, text_slices, with_fields
 
 SEED_BYTES = 32
 #: Windows of one very long text that are handled at a time.
@@ -421,8 +421,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                              names=[*(f.name for f in fields), *RESULT[:4 + with_text]])
 
     kinds = ["long", "long", "long", "string", "string"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
-                        *(f"{n} {k}" for n, k in list(zip(RESULT, kinds, strict=True))[:4 + with_text])])
+    schema = with_fields(fields, ", ".join(f"{n} {k}" for n, k in list(zip(RESULT, kinds, strict=True))[:4 + with_text]))
     return joined.select(*(F.col(f.name) for f in fields), "__text", "__spans").mapInArrow(run, schema)
 
 

@@ -25,13 +25,35 @@ from leadsmith.llm.common import labelled_sample, stored, text_slices
 
 GRAMS = (4, 5, 6, 7)
 BIN_BITS = 20
-
-
-def hashed_grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n of GRAMS: text number and bin of every n-gram, in lower case."""
-    chars = np.frombuffer("\0".join([*(t.decode().lower() for t in texts), ""]).encode("utf-32-le"), dtype=np.uint32)
-    number = np.cumsum(chars == 0, dtype=np.int32)
-    number[chars == 0] -= 1
+#: Characters whose n-grams a worker holds at a time.
+PIECE_CHARS = 1 << 19
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Runs of about PIECE_CHARS characters with the number of the text each string
+    comes from; a longer text is cut, with an overlap that keeps its n-grams."""
+    numbers, run, size = [], [], 0
+    for i, raw in enumerate(texts):
+        text = raw.decode().lower()
+        for lo in range(0, max(len(text), 1), PIECE_CHARS):
+            part = text[lo:lo + PIECE_CHARS + max(GRAMS) - 1]
+            if run and size + len(part) > PIECE_CHARS:
+                yield np.array(numbers), run
+                numbers, run, size = [], [], 0
+            numbers.append(i)
+            run.append(part)
+            size += len(part)
+    if run:
+        yield np.array(numbers), run
+
+
+def hashed_grams(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n of GRAMS: string number and bin of every n-gram."""
+    chars = np.frombuffer("\0".join([*strings, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(t) + 1 for t in strings])
+    number = np.repeat(np.arange(len(strings), dtype=np.int32), np.diff(ends, prepend=0))
+    final = np.zeros(len(chars), bool)
+    final[ends - 1] = True
     prime = np.uint32(0x01000193)
     h = chars * np.uint32(0x9E3779B1)
     for n in range(2, max(GRAMS) + 1):
@@ -39,7 +61,7 @@ def hashed_grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * prime + chars[n - 1:]
         if n in GRAMS:
-            ok = (number[:-n + 1] == number[n - 1:]) & (chars[n - 1:] != 0)
+            ok = (number[:-n + 1] == number[n - 1:]) & ~final[n - 1:]
             bins = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BIN_BITS)).astype(np.int32)
             yield number[:-n + 1][ok], bins[ok]
 
@@ -47,18 +69,26 @@ def hashed_grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def distinct_features(texts: list[bytes], place: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, feature) pairs, sorted. ``place`` maps a bin to a
     feature number or -1; None keeps the bins themselves."""
-    keys = []
-    for number, bins in hashed_grams(texts):
-        if place is not None:
-            bins = place[bins]
-            keep = bins >= 0
-            number, bins = number[keep], bins[keep]
-        keys.append(number.astype(np.int64) * width + bins)
-    pairs = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    found = []
+    for numbers, run in pieces(texts):
+        keys = []
+        for number, bins in hashed_grams(run):
+            if place is not None:
+                bins = place[bins]
+                keep = bins >= 0
+                number, bins = number[keep], bins[keep]
+            keys.append(numbers[number].astype(np.int64) * width + bins)
+        found.append(_sorted_distinct(keys))
+    pairs = _sorted_distinct(found)
     return pairs // width, pairs % width
 
 
+def _sorted_distinct(keys: list[np.ndarray]) -> np.ndarray:
+    pairs = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    pairs.sort()
+    return pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+
+
 @dataclass
 class ToxicityModel:
     bins: np.ndarray      # feature bins, sorted
