@@ -125,7 +125,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, regression_per_class: int = 3_000,
-        max_features: int = 16_384, min_rows: int = 5, smoothing: float = 1.0, l2: float = 1e-4,
+        max_features: int = 8_192, min_rows: int = 3, smoothing: float = 1.0, l2: float = 3e-4,
         id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on the texts of ``labels(id, label)``. Bounds, all parameters: the counts
     see about ``per_class`` rows of each class, the regression about
@@ -141,8 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, regression_
     width = float(1 << BIN_BITS)
     ratio = (F.log((F.col("toxic") + smoothing) / (sums["t"] + smoothing * width))
              - F.log((F.col("clean") + smoothing) / (sums["c"] + smoothing * width)))
-    chosen = (counts.where(F.col("toxic") + F.col("clean") >= min_rows).select("bin", ratio.alias("r"))
-              .orderBy(F.abs("r").desc(), "bin").limit(max_features).toPandas().sort_values("bin"))
+    # Features with the surest ratios: in units of its standard error.
+    error = F.sqrt(1 / (F.col("toxic") + smoothing) + 1 / (F.col("clean") + smoothing))
+    chosen = (counts.where(F.col("toxic") + F.col("clean") >= min_rows)
+              .select("bin", ratio.alias("r"), F.abs(ratio / error).alias("z"))
+              .orderBy(F.col("z").desc(), "bin").limit(max_features).toPandas().sort_values("bin"))
     bins, r = chosen["bin"].to_numpy(np.int32), chosen["r"].to_numpy(np.float64)
     if not len(bins):
         return ToxicityModel(*none, float(np.log(n[1] / n[0])))
