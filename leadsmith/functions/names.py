@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import _c, strip_ws
+from leadsmith.functions.text import _c, quote_regex, strip_ws
 from leadsmith.sources.lookups import (
     NAME_PARTICLES,
     SALUTATION_FEMALE,
@@ -23,18 +23,30 @@ from leadsmith.sources.lookups import (
 DEFAULT_TITLES = ["dr", "prof", "herr", "frau", "mr", "mrs", "ms", "dipl", "ing", "mag", "sir"]
 
 
+# Degrees and generations that follow a name (our own list).
+DEFAULT_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "phd", "ph.d", "mba", "msc", "m.sc", "bsc", "b.sc", "md", "m.d", "esq"]
+
+
+def _without_suffixes(raw: Column, suffixes: Sequence[str]) -> Column:
+    """The name without the suffixes at its end, unless nothing else is left."""
+    if not suffixes:
+        return raw
+    listed = "|".join(quote_regex(x) for x in sorted(suffixes, key=lambda x: (-len(x), x)))
+    return F.coalesce(F.nullif(F.regexp_replace(raw, rf"(?i)(?:[,\s]+(?:{listed})\.?)+$", ""), F.lit("")), raw)
+
+
 def _tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
 def split_name(c, titles: Sequence[str] = DEFAULT_TITLES,
-               particles: Sequence[str] = NAME_PARTICLES) -> Column:
+               particles: Sequence[str] = NAME_PARTICLES, suffixes: Sequence[str] = DEFAULT_SUFFIXES) -> Column:
     """``struct(first_name, last_name)`` as a single expression.
 
     Prefer ``with_split_name`` on DataFrames: it stages the intermediate
     arrays as columns, so the array lambdas never re-evaluate the parsing.
     """
-    raw = strip_ws(_c(c))
+    raw = _without_suffixes(strip_ws(_c(c)), suffixes)
     toks, raw_toks, before, comma = _parse_parts(raw, titles)
     return _assemble(raw, toks, raw_toks, before, comma, particles)
 
@@ -80,18 +92,20 @@ def _assemble(raw, toks, raw_toks, before, comma, particles):
 
 def with_split_name(df, person_col: str, first_col: str = "first_name", last_col: str = "last_name",
                     titles: Sequence[str] = DEFAULT_TITLES,
-                    particles: Sequence[str] = NAME_PARTICLES):
+                    particles: Sequence[str] = NAME_PARTICLES,
+                    suffixes: Sequence[str] = DEFAULT_SUFFIXES):
     """T8 on a DataFrame: adds ``first_col`` and ``last_col``.
 
     * null / blank -> both null
     * ``Last, First ...`` -> the whole text before the comma is the last name
     * otherwise first word / last word; middle words that are all particles
       at the end of the middle (``von der``) join the last name
+    * suffixes at the end, with or without a comma, are dropped first
     * titles are dropped; when no last name is left but the raw text has at
       least two words, word 1 / the rest
     """
     cols = [c for c in df.columns if c not in (first_col, last_col)]
-    staged = df.withColumn("__raw", strip_ws(F.col(person_col)))
+    staged = df.withColumn("__raw", _without_suffixes(strip_ws(F.col(person_col)), suffixes))
     toks, raw_toks, before, comma = _parse_parts(F.col("__raw"), titles)
     staged = staged.select(*cols, "__raw", toks.alias("__toks"), raw_toks.alias("__raw_toks"),
                            before.alias("__before"), comma.alias("__comma"))

@@ -77,6 +77,7 @@ def normalize_domain(c: ColumnOrName) -> Column:
 
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+_AUTHORITY_HEAD_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 _HOST_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^@/?#]*@)?([^:/?#]*)"
 
 
@@ -85,6 +86,17 @@ def url_host(c: ColumnOrName) -> Column:
     return F.nullif(F.lower(F.regexp_extract(_c(c), _HOST_RE, 1)), F.lit(""))
 
 
+def normalize_url(c: ColumnOrName) -> Column:
+    """Scheme and host in lower case, default port and fragment dropped, ``/`` for
+    an empty path; text that is no URL with a host stays as it is."""
+    u = _c(c)
+    head = F.lower(F.regexp_extract(u, _AUTHORITY_HEAD_RE, 1))
+    rest = F.regexp_replace(F.substr(u, F.length(F.regexp_extract(u, _AUTHORITY_HEAD_RE, 1)) + 1), "#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    path = F.when(rest == "", F.lit("/")).when(F.startswith(rest, F.lit("?")), F.concat(F.lit("/"), rest)).otherwise(rest)
+    return F.when(head == "", u).otherwise(F.concat(bare, path))
+
+
 def same_host(url: ColumnOrName, domain: ColumnOrName) -> Column:
     """Host equals the domain or is a sub-domain of it; junk URL -> false."""
     host = url_host(url)
@@ -240,11 +252,14 @@ def unescape_native(c: ColumnOrName) -> Column:
     return F.when(F.instr(col, "&") > 0, out).otherwise(col)
 
 
+_ZERO_WIDTH = dict.fromkeys(map(ord, ZERO_WIDTH))
+
+
 def _unescape_nfkc_py(s: pd.Series) -> pd.Series:
     def one(v):
         if v is None:
             return None
-        return unicodedata.normalize("NFKC", _html.unescape(v))
+        return unicodedata.normalize("NFKC", _html.unescape(v).translate(_ZERO_WIDTH))
     return s.map(one)
 
 
@@ -342,11 +357,3 @@ def with_visible_text(df, html_col: str = "html", out_col: str = "text", exact:
     cols = [c for c in df.columns if c != out_col]
     staged = df.select(*cols, strip_markup(html_col).alias("__stripped"))
     return with_clean_text(staged, "__stripped", out_col, exact=exact, strip=True).drop("__stripped")
-
-
-def cap_bytes(c: ColumnOrName, max_bytes: int) -> Column:
-    """Keep at most ``max_bytes`` UTF-8 bytes; a cut character is dropped."""
-    col = _c(c)
-    raw = F.substring(F.encode(col, "UTF-8"), 1, max_bytes)
-    text = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
-    return F.when(F.octet_length(col) <= max_bytes, col).otherwise(text)

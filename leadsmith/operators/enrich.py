@@ -1,9 +1,8 @@
 """Contact enrichment: first/last name (T8) and gender lookup.
 
 The gender dictionary is a table ``(first_name, gender)``; the lookup is a
-left equi-join on the lower-cased first name. The dictionary is broadcast
-when a bounded count shows it is under ``BROADCAST_DICT_ROWS`` and joined
-with a shuffle otherwise, so a large dictionary still works. A miss (or a null name) gives ``unknown``.
+left equi-join on the lower-cased first name; Spark broadcasts the dictionary if
+its size in bytes allows. A miss (or a null name) gives ``unknown``.
 """
 
 from __future__ import annotations
@@ -14,11 +13,6 @@ from pyspark.sql import functions as F
 from leadsmith.functions.names import with_split_name
 
 
-# Dictionaries up to this many entries are broadcast (checked with a bounded
-# count); larger ones are joined with a shuffle.
-BROADCAST_DICT_ROWS = 5_000_000
-
-
 def gender_lookup(df: DataFrame, name_gender: DataFrame, first_col: str = "first_name",
                   out_col: str = "gender") -> DataFrame:
     """Case-insensitive dictionary lookup; one entry per name (the
@@ -26,8 +20,6 @@ def gender_lookup(df: DataFrame, name_gender: DataFrame, first_col: str = "first
     dic = (name_gender.select(F.lower(F.trim("first_name")).alias("__fn"), F.col("gender"))
            .where(F.col("__fn").isNotNull())
            .groupBy("__fn").agg(F.min("gender").alias("__g")))
-    if name_gender.limit(BROADCAST_DICT_ROWS + 1).count() <= BROADCAST_DICT_ROWS:
-        dic = F.broadcast(dic)
     keyed = df.withColumn("__fn", F.lower(F.col(first_col)))
     return (keyed.join(dic, "__fn", "left")
             .withColumn(out_col, F.coalesce(F.col("__g"), F.lit("unknown")))

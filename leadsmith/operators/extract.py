@@ -1,20 +1,27 @@
 """Text -> contact extraction (E1-E10, U7, A3, A5) over page / document tables.
 
-HTML is handled with Java regular expressions, not a DOM: every extractor is a
-``regexp_extract_all`` + ``explode`` (or ``posexplode`` where order matters),
-so all of it runs inside Spark tasks with no Python on the row path. Findings
-are rows ``(<id cols>, source, email)``.
+Addresses and attribute values are found with Java patterns; whatever depends
+on the structure of a page (labels, cards, posting fields, scripts) is stated
+with array functions on the page's nodes (``functions.html``). Findings are
+rows ``(<id cols>, source, email)``.
 """
 
 from __future__ import annotations
 
+import json as _json
+import sys
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from leadsmith.functions.html import attr, first_node, has_classes, html_nodes, inside, node_text
 from leadsmith.functions.text import (
     _c,
+    clean_text,
     email_matches,
     norm_str,
     resolve_url,
@@ -24,18 +31,24 @@ from leadsmith.functions.text import (
     with_visible_text,
 )
 from leadsmith.operators.filters import non_empty_link
-from leadsmith.sources.lookups import EMAIL_PATTERN, MAX_IFRAMES_PER_PAGE
+from leadsmith.sources.lookups import CARD_LINK_CLASSES, CARD_TAG, EMAIL_PATTERN, LABEL_PATTERN
 
-# Patterns (Java regex). Kept to constructs RE2 shares where an oracle needs them.
-MAILTO_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
-RAW_MAILTO_RE = r"""(?i)href\s*=\s*["'](?:mailto:)\s*([^"'?]+)"""
-ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
-IFRAME_SRC_RE = r"""(?is)<iframe\b[^<>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
+# An attribute's value is written "..", '..' or bare.
+MAILTO_RE = r"""(?is)\bhref\s*=\s*("\s*mailto:[^"]*"|'\s*mailto:[^']*'|mailto:[^\s"'<>]*)"""
+ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 CF_TAG_RE = r"""(?is)<(?:a|span)\b[^<>]*__cf_email__[^<>]*>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
-JSONLD_RE = r"""(?is)<script[^<>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^<>]*>(.*?)</script>"""
-JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
+# Pages without any of these hold no label, JSON-LD or iframe finding.
+STRUCTURE_RE = r"(?i)ld\+json|<iframe|e-?mail|kontakt|contact|impressum"
+
+
+def _attribute_value(written: Column) -> Column:
+    return unescape_basic(F.regexp_replace(written, r"""^(["'])(.*)\1$""", "$2"))
+
+
+def page_nodes(html: Column) -> Column:
+    """The nodes of pages that may hold a structural finding; none for others."""
+    return html_nodes(F.when(html.rlike(STRUCTURE_RE), html))
 
 
 # --------------------------------------------------------------------------- E1
@@ -58,10 +71,9 @@ def scan_emails(df: DataFrame, text_col: str, keep: Sequence[str], source: str =
 def mailto_emails(html: Column) -> Column:
     """Addresses of ``mailto:`` links (any case, ``?query`` cut off),
     unescaped, stripped, lower-cased; empty ones dropped."""
-    a = F.regexp_extract_all(html, F.lit(MAILTO_RE), F.lit(1))
-    raw = F.regexp_extract_all(html, F.lit(RAW_MAILTO_RE), F.lit(1))
-    both = F.concat(a, raw)
-    cleaned = F.transform(both, lambda m: F.lower(strip_ws(unescape_basic(m))))
+    values = F.transform(F.regexp_extract_all(html, F.lit(MAILTO_RE), F.lit(1)), _attribute_value)
+    cleaned = F.transform(values, lambda v: F.lower(strip_ws(F.split_part(
+        F.regexp_replace(v, r"(?i)^\s*mailto:", ""), F.lit("?"), F.lit(1)))))
     return F.array_distinct(F.filter(cleaned, lambda m: m != ""))
 
 
@@ -98,15 +110,67 @@ def cfemail_emails(html: Column) -> Column:
 # --------------------------------------------------------------------------- E5
 
 
-def jsonld_emails(html: Column) -> Column:
-    """E5: addresses inside ``ld+json`` script bodies: generic matches over the
-    body plus any value with ``@`` under an ``email`` / ``e-mail`` key."""
-    bodies = F.regexp_extract_all(html, F.lit(JSONLD_RE), F.lit(1))
-    generic = F.flatten(F.transform(bodies, lambda b: email_matches(b)))
-    keyed = F.flatten(F.transform(
-        bodies, lambda b: F.regexp_extract_all(b, F.lit(JSON_EMAIL_KEY_RE), F.lit(1))))
-    out = F.transform(F.concat(generic, keyed), lambda m: F.lower(strip_ws(m)))
-    return F.array_distinct(out)
+def _strings(value, key=None):
+    if isinstance(value, str):
+        yield key, value
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            yield from _strings(v, k)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _strings(v)
+
+
+def _json_strings(scripts: pa.Array) -> pa.Array:
+    """String values of the JSON texts in each script body of a page, with the key
+    they stand under; from the first broken text on, the rest of that body is
+    skipped."""
+    out, decoder = [], _json.JSONDecoder()
+    for bodies in scripts.to_pylist():
+        found = []
+        for body in bodies or ():
+            at = 0
+            while at < len(body):
+                if body[at].isspace():
+                    at += 1
+                    continue
+                try:
+                    value, at = decoder.raw_decode(body, at)
+                    found.extend({"key": k, "value": v} for k, v in _strings(value))
+                except (ValueError, RecursionError):
+                    break
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))
+
+
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_json_strings.__annotations__ = {"scripts": pa.Array, "return": pa.Array}
+json_strings = F.arrow_udf(_json_strings, T.ArrayType(T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
+
+
+def jsonld_bodies(nodes: Column) -> Column:
+    """The ``ld+json`` script bodies of a page."""
+    scripts = F.filter(nodes, lambda n: (n["tag"] == "script")
+                       & F.contains(F.lower(F.coalesce(attr(n, "type"), F.lit(""))), F.lit("ld+json"))
+                       & (n["last"] > n["at"]))
+    return F.transform(scripts, lambda n: F.get(nodes, n["at"] + 1)["text"])
+
+
+def jsonld_emails(strings: Column) -> Column:
+    """E5 on ``json_strings``: generic matches in the string values, and every value
+    with ``@`` under an ``email`` / ``e-mail`` key. Keys are no values."""
+    generic = F.flatten(F.transform(strings, lambda s: email_matches(s["value"])))
+    keyed = F.transform(F.filter(strings, lambda s: F.lower(s["key"]).isin("email", "e-mail")
+                                 & F.contains(s["value"], F.lit("@"))), lambda s: s["value"])
+    return F.array_distinct(F.transform(F.concat(generic, keyed), lambda m: F.lower(strip_ws(m))))
+
+
+def with_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Adds ``__nodes`` and ``__json``: a page's nodes and JSON-LD strings, each
+    computed once per row. Pages that can hold no structural finding have none."""
+    staged = pages.select("*", page_nodes(F.col(html_col)).alias("__nodes"))
+    return staged.select("*", json_strings(jsonld_bodies(F.col("__nodes"))).alias("__json"))
 
 
 # --------------------------------------------------------------------------- E6 / E10
@@ -116,33 +180,34 @@ def text_emails(text: Column) -> Column:
     return F.transform(email_matches(text), lambda m: F.lower(m))
 
 
-def label_emails(text: Column) -> Column:
-    """Addresses in the segment around a contact label in the clean text.
-
-    A segment starts at the token holding the label and runs up to 200
-    characters on, extended to the end of the last token, so an address is
-    never cut in two. Matches are anchored at token starts, so a long token
-    is scanned once, not once per position."""
-    segs = F.regexp_extract_all(text, F.lit(LABEL_SEGMENT_RE), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(segs, lambda s: text_emails(s))))
+def label_emails(nodes: Column) -> Column:
+    """Addresses in the element around each text that holds a contact label,
+    whatever its length; the element's text is cleaned like any other (T1, without
+    the compatibility forms that the text of the page covers)."""
+    labels = F.filter(nodes, lambda n: (n["tag"] == "#text") & n["text"].rlike(LABEL_PATTERN))
+    parents = F.array_distinct(F.transform(labels, lambda n: n["parent"]))
+    segments = F.transform(parents, lambda p: clean_text(
+        node_text(nodes, F.when(p >= 0, F.get(nodes, p)), " "), exact=False))
+    return F.array_distinct(F.flatten(F.transform(segments, text_emails)))
 
 
 # --------------------------------------------------------------------------- E7 / E8
 
 
-def iframe_links(html: Column, base_url: Column, domain: Column,
-                 limit: int = MAX_IFRAMES_PER_PAGE) -> Column:
-    """E7 + W5: resolved same-host iframe URLs, document order, at most ``limit``."""
-    srcs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(IFRAME_SRC_RE), F.lit(1)),
-                                lambda s: strip_ws(s)), lambda s: s != "")
-    resolved = F.transform(srcs, lambda s: resolve_url(base_url, s))
-    return F.slice(F.filter(resolved, lambda u: same_host(u, domain)), 1, limit)
+def iframe_links(nodes: Column, base_url: Column, domain: Column, limit: int | None = None) -> Column:
+    """Resolved same-host iframe URLs in document order; with a ``limit``
+    the first ones only."""
+    srcs = F.transform(F.filter(nodes, lambda n: n["tag"] == "iframe"),
+                       lambda n: strip_ws(F.coalesce(attr(n, "src"), F.lit(""))))
+    resolved = F.transform(F.filter(srcs, lambda s: s != ""), lambda s: resolve_url(base_url, s))
+    found = F.filter(resolved, lambda u: same_host(u, domain))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html") -> DataFrame:
     """E8 + T3 + P10: every anchor ``href`` in document order, made absolute."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF_RE), F.lit(1))
+    hrefs = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF_RE), F.lit(1)), _attribute_value)
     return (pages.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
             .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
@@ -153,27 +218,30 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def _page_arrays(html: Column, text: Column) -> list[tuple[str, Column]]:
+    """The finding sources of a page staged with ``with_nodes``."""
     return [
         ("cf", cfemail_emails(html)),
         ("mailto", mailto_emails(html)),
-        ("jsonld", jsonld_emails(html)),
+        ("jsonld", jsonld_emails(F.col("__json"))),
         ("text", text_emails(text)),
-        ("label", label_emails(text)),
+        ("label", label_emails(F.col("__nodes"))),
         ("raw", F.transform(email_matches(html), lambda m: F.lower(m))),
     ]
 
 
 def _staged_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str, domain_col: str,
-                  keep: Sequence[str], exact_text: bool) -> DataFrame:
-    """Visible text staged once, then every source array of the page, their
-    union and the page's same-domain flag (A3), all in the page's own row."""
+                  keep: Sequence[str], exact_text: bool, frame_limit: int | None = None) -> DataFrame:
+    """Visible text and nodes staged once, then every source array of the page,
+    their union, its iframes and the same-domain flag (A3), all in its own row."""
     staged = with_visible_text(pages.select(id_col, *keep, url_col, domain_col, html_col),
                                html_col, "__text", exact=exact_text)
+    staged = with_nodes(staged, html_col)
     html = F.col(html_col)
     arrays = _page_arrays(html, F.col("__text"))
     staged = staged.select(
-        id_col, *keep, url_col, domain_col, html_col,
+        id_col, *keep, url_col, domain_col,
         F.length("__text").alias("text_len"),
+        iframe_links(F.col("__nodes"), F.col(url_col), F.col(domain_col), frame_limit).alias("iframes"),
         F.array(*[F.struct(F.lit(name).alias("source"), arr.alias("emails")) for name, arr in arrays])
         .alias("__src"),
     )
@@ -198,12 +266,11 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
     """
     keep = list(keep)
     staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, keep, exact_text)
-    extra = [iframe_links(F.col(html_col), F.col(url_col), F.col(domain_col)).alias("iframes")] \
-        if with_iframes else []
+    extra = ["iframes"] if with_iframes else []
     suffix = F.concat(F.lit("@"), F.col(domain_col))
     rows = (staged.select(id_col, *keep, url_col, domain_col, "text_len", *extra, "__any_same",
                           F.explode("__src").alias("__s"))
-            .select(id_col, *keep, url_col, domain_col, "text_len", *[c for c in ["iframes"] if with_iframes],
+            .select(id_col, *keep, url_col, domain_col, "text_len", *extra,
                     "__any_same", F.col("__s.source").alias("source"), F.explode("__s.emails").alias("email"))
             .where(F.col("email").isNotNull() & (F.col("email") != "")))
     if prefer_same_domain:
@@ -213,18 +280,16 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
 
 def page_summaries(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", domain_col: str = "domain",
-                   exact_text: bool = True) -> DataFrame:
+                   exact_text: bool = True, frame_limit: int | None = None) -> DataFrame:
     """U7 + A3 + A5 per page, without a shuffle: ``(id, emails_extracted,
     iframe_candidates, text_len)`` for every page: the sorted distinct
     addresses kept by the same-domain rule and the same-host iframe URLs
-    (at most three, document order), comma-joined, and the length of the
-    visible text."""
-    staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, [], exact_text)
-    frames = iframe_links(F.col(html_col), F.col(url_col), F.col(domain_col))
+    (document order), comma-joined, and the length of the visible text."""
+    staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, [], exact_text, frame_limit)
     return staged.select(
         id_col,
         F.array_join(F.sort_array(kept_emails(domain_col)), ",").alias("emails_extracted"),
-        F.array_join(frames, ",").alias("iframe_candidates"),
+        F.array_join("iframes", ",").alias("iframe_candidates"),
         F.col("text_len").cast("long").alias("text_len"),
     )
 
@@ -253,65 +318,75 @@ def prefer_domain(findings: DataFrame, group_col: str, email_col: str = "email",
             .drop("__same", "__any_same"))
 
 
-__all__ = [
-    "EMAIL_PATTERN", "scan_emails", "mailto_emails", "decode_cfemail", "cfemail_emails",
-    "jsonld_emails", "text_emails", "label_emails", "iframe_links", "page_links",
-    "extract_page_findings", "page_summaries", "kept_emails", "_staged_pages", "prefer_domain", "norm_str",
-]
-
-
 # --------------------------------------------------------------------------- E8 (cards) / E9 / W4
 
-POSTING_CARD_RE = r"""(?is)<search-project-card\b[^<>]*>\s*<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
-
-# (field, variant, pattern): group 1 is the field's inner HTML; variant 2 is
-# used only where variant 1 is missing or empty.
+# Where a posting's fields stand on its page. Per field and variant:
+# the classes of a ``div``, a text it must hold, whether all such elements count or
+# the first only, and in them the first one of the given tag with the attribute value
+# (exact, or its beginning); variant 2 is used only where variant 1 finds nothing.
 POSTING_FIELD_SPEC = [
-    ("project_name", 1,
-     r"""(?is)<h1[^>]*class\s*=\s*["']margin-bottom-xs["'][^>]*>(.*?)</h1>"""),
-    ("company", 1,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*project-header[^"']*["'][^>]*>.*?<a[^>]*onclick\s*=\s*["']window\.open[^>]*>(.*?)</a>"""),
-    ("person", 1,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*list-item-main[^"']*["'][^>]*>.*?<span[^>]*class\s*=\s*["']h5["'][^>]*>(.*?)</span>"""),
-    ("person", 2,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*media-body[^"']*["'][^>]*>.*?<div[^>]*class\s*=\s*["']col-md-6["'][^>]*>([^\n<]*)"""),
-    ("email", 1,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-sm-6 margin-bottom-sm[^"']*["'][^>]*>[^<]*E-Mail[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""),
-    ("email", 2,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-md-6[^"']*["'][^>]*>[^<]*@[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""),
-    ("project_description", 1,
-     r"""(?is)<div[^>]*class\s*=\s*["'][^"']*panel-body highlight-text[^"']*["'][^>]*>(.*?)</div>"""),
+    ("project_name", 1, (["highlight-text"], "", False), ("h1", "class", "margin-bottom-xs", True)),
+    ("company", 1, (["project-header"], "", True), ("a", "onclick", "window.open", False)),
+    ("person", 1, (["list-item-main"], "", False), ("span", "class", "h5", True)),
+    ("person", 2, (["media-body"], "", False), ("div", "class", "col-md-6", True)),
+    ("email", 1, (["col-sm-6", "margin-bottom-sm"], "E-Mail", False), ("a", "href", "mailto:", False)),
+    ("email", 2, (["col-md-6"], "@", False), ("a", "href", "mailto:", False)),
+    ("project_description", 1, (["panel-body", "highlight-text"], "", False), None),
 ]
 POSTING_FIELDS = ["project_name", "project_description", "company", "person", "email"]
 
 
 def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
-    """E8 + T3 + P10: the link of every project card, in page order, absolute."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(POSTING_CARD_RE), F.lit(1))
-    return (listing.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
-            .where(F.col("href") != "")
+    """E8 + T3 + P10: the marked link inside every project card, in page order, absolute."""
+    nodes = F.col("__nodes")
+    cards = F.filter(nodes, lambda n: n["tag"] == CARD_TAG)
+    hrefs = F.transform(cards, lambda c: attr(first_node(
+        inside(nodes, c), lambda n: (n["tag"] == "a") & has_classes(n, CARD_LINK_CLASSES)), "href"))
+    return (listing.select(id_col, url_col, html_nodes(html_col).alias("__nodes"))
+            .select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
+            .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
                     resolve_url(F.col(url_col), F.col("href")).alias("link")))
 
 
-def _field_text(inner: Column) -> Column:
-    """Inner HTML -> text: tags removed, basic entities, stripped; '' -> null."""
-    text = strip_ws(unescape_basic(F.regexp_replace(inner, r"(?s)<[^<>]+>", "")))
-    return F.nullif(text, F.lit(""))
+def _field(nodes: Column, block: tuple[list[str], str, bool], target: tuple[str, str, str, bool] | None) -> Column:
+    classes, holds, every = block
+
+    def is_block(n):
+        found = (n["tag"] == "div") & has_classes(n, classes)
+        return found & F.contains(F.lower(node_text(nodes, n)), F.lit(holds.lower())) if holds else found
+
+    def is_target(n):
+        tag, name, value, whole = target
+        v = attr(n, name)
+        return (n["tag"] == tag) & ((v == value) if whole else F.startswith(v, F.lit(value)))
+
+    found = F.filter(nodes, is_block)
+    if not every:
+        found = F.slice(found, 1, 1)
+    if target is not None:
+        found = F.flatten(F.transform(found, lambda b: F.filter(inside(nodes, b), is_target)))
+    element = F.get(found, F.lit(0))
+    return F.when(element.isNotNull(), node_text(nodes, element))
 
 
 def posting_fields(pages: DataFrame, spec=POSTING_FIELD_SPEC, url_col: str = "url",
                    html_col: str = "html") -> DataFrame:
     """E9 + W4: ``(url, project_name, project_description, company, person,
-    email)`` from detail pages; per field the first non-empty variant."""
-    html = F.col(html_col)
-    fields: dict[str, list[tuple[int, str]]] = {}
-    for field, variant, pattern in spec:
-        fields.setdefault(field, []).append((variant, pattern))
-    cols = [F.col(url_col).alias("url")]
+    email)`` from detail pages; per field the first non-empty variant. Of a
+    person's second variant only the first line counts."""
+    staged = pages.select(F.col(url_col).alias("url"), html_nodes(html_col).alias("__nodes"))
+    nodes = F.col("__nodes")
+    found = staged.select("url", *(
+        _field(nodes, block, target).alias(f"__{field}_{variant}") for field, variant, block, target in spec))
+    cols = [F.col("url")]
     for field in POSTING_FIELDS:
-        variants = sorted(fields.get(field, []))
-        vals = [_field_text(F.regexp_extract(html, pattern, 1)) for _, pattern in variants]
-        cols.append((F.coalesce(*vals) if vals else F.lit(None).cast("string")).alias(field))
-    return pages.select(*cols)
+        texts = []
+        for variant in sorted(v for f, v, _, _ in spec if f == field):
+            text = F.col(f"__{field}_{variant}")
+            if (field, variant) == ("person", 2):
+                text = F.split_part(F.regexp_replace(text, r"^\s+", ""), F.lit("\n"), F.lit(1))
+            texts.append(F.nullif(strip_ws(text), F.lit("")))
+        cols.append((F.coalesce(*texts) if texts else F.lit(None).cast("string")).alias(field))
+    return found.select(*cols)

@@ -1,9 +1,8 @@
 """Row filters.
 
-Lists (terms, blocklists) are DataFrames or Python sequences. A short list is
-turned into one codegen'd predicate; a long list goes through a join, so the
-list never has to fit in one expression and Spark picks broadcast vs shuffle
-from the table's size.
+A list given in Python becomes one predicate; a list given as a table, of any
+length, is joined and never collected. Both are normalised alike (``\\s`` of
+Java's patterns stripped at either end, lower case) and keep the same rows.
 """
 
 from __future__ import annotations
@@ -22,22 +21,12 @@ from leadsmith.functions.text import (
 )
 from leadsmith.sources.lookups import RECENCY_PERIODS
 
-# Lists up to this many entries are inlined into one expression; longer lists
-# are joined. The bound keeps generated code and plan size small.
-INLINE_LIST_LIMIT = 256
-# The long-list substring test explodes one substring set per distinct term
-# length; the number of lengths is bounded by the longest term, checked here.
-MAX_TERM_LENGTHS = 512
+# What Java's ``\\s`` matches: the characters ``norm_str`` strips.
+_SPACES = " \t\n\x0b\f\r"
 
 
-def _small_list(terms: DataFrame | Sequence[str], column: str = "term") -> list[str] | None:
-    """Return the list if it is a Python list, or a table provably under the limit."""
-    if not isinstance(terms, DataFrame):
-        return [t for t in terms if t is not None]
-    probe = terms.select(column).limit(INLINE_LIST_LIMIT + 1).collect()
-    if len(probe) > INLINE_LIST_LIMIT:
-        return None
-    return [r[0] for r in probe if r[0] is not None]
+def _normalised(terms: Sequence[str]) -> list[str]:
+    return [t.strip(_SPACES).lower() for t in terms if t is not None and t.strip(_SPACES) != ""]
 
 
 # --------------------------------------------------------------------------- P2
@@ -79,39 +68,32 @@ def exclude_terms(df: DataFrame, column: str, terms: DataFrame | Sequence[str],
                   term_column: str = "term") -> DataFrame:
     """Drop rows whose ``column`` contains any term (case-insensitive
     substring, terms taken literally). Null values are kept."""
-    small = _small_list(terms, term_column)
     value = norm_str(column)
-    if small is not None:
-        pattern = literal_alternation([t.strip().lower() for t in small])
-        if not pattern:
-            return df
-        return df.where(~F.coalesce(value.rlike(pattern), F.lit(False)))
-    # Long list: equi-join instead of a nested loop. Every distinct value is cut
-    # into its substrings of the distinct term lengths (a small, bounded set),
-    # those are semi-joined with the terms, and the hit values are anti-joined.
+    if not isinstance(terms, DataFrame):
+        pattern = literal_alternation(_normalised(terms))
+        return df.where(~F.coalesce(value.rlike(pattern), F.lit(False))) if pattern else df
+    # A value that contains a term contains the term's first k characters, k being
+    # the length of the shortest term: values meet the terms on their k-grams (one
+    # per character, whatever the list), then the whole term is looked for.
     t = terms.select(norm_str(term_column).alias("__term")).where(F.col("__term") != "").distinct()
-    lengths = [r[0] for r in t.select(F.length("__term")).distinct().limit(MAX_TERM_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_TERM_LENGTHS:
-        raise ValueError(f"terms of more than {MAX_TERM_LENGTHS} different lengths")
-    keyed = df.withColumn("__row_value", value)
-    values = keyed.select("__row_value").where(F.col("__row_value").isNotNull()).distinct()
+    k = t.agg(F.min(F.length("__term"))).first()[0]
+    if k is None:
+        return df
+    heads = t.select("__term", F.left("__term", F.lit(k)).alias("__gram"))
     v = F.col("__row_value")
-    def substrings_of_length(n: int) -> Column:
-        # (one-argument lambdas only: PySpark reads a second parameter as the index)
-        starts = F.filter(F.sequence(F.lit(1), F.length(v)), lambda i: i + n - 1 <= F.length(v))
-        return F.transform(starts, lambda i: F.substr(v, i, F.lit(n)))
-
-    pieces = F.flatten(F.array(*[substrings_of_length(n) for n in sorted(lengths)]))
-    hit_values = (values.select("__row_value", F.explode(pieces).alias("__term"))
-                  .join(t, "__term", "left_semi").select("__row_value").distinct())
-    return keyed.join(hit_values, "__row_value", "left_anti").drop("__row_value")
+    keyed = df.withColumn("__row_value", value)
+    grams = F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substr(v, i, F.lit(k)))
+    hits = (keyed.select("__row_value").where(F.length(v) >= k).distinct()
+            .select("__row_value", F.explode(F.array_distinct(grams)).alias("__gram"))
+            .join(heads, "__gram").where(F.contains(v, F.col("__term"))).select("__row_value").distinct())
+    return keyed.join(hits, "__row_value", "left_anti").drop("__row_value")
 
 
 # --------------------------------------------------------------------------- P5
 
 
 def _split_blocklist(terms: Sequence[str]) -> tuple[list[str], list[str]]:
-    items = [t.strip().lower() for t in terms if t is not None and t.strip() != ""]
+    items = _normalised(terms)
     full = sorted({t for t in items if "@" in t})
     domains = sorted({t.lstrip(".") for t in items if "@" not in t} - {""})
     return full, domains
@@ -127,7 +109,8 @@ def domain_suffixes(domain: Column, boundary: bool) -> Column:
         parts = F.split(domain, r"\.")
         return F.transform(F.sequence(F.lit(1), F.size(parts)),
                            lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
-    return F.transform(F.sequence(F.lit(1), F.length(domain)), lambda i: F.substr(domain, i))
+    return F.when(F.length(domain) > 0, F.transform(F.sequence(F.lit(1), F.length(domain)),
+                                                    lambda i: F.substr(domain, i)))
 
 
 def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[str],
@@ -141,25 +124,20 @@ def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[
     """
     email = norm_str(column)
     domain = email_domain_last(email)
-    small = _small_list(blocklist, term_column)
-    if small is not None:
-        full, domains = _split_blocklist(small)
-        hit = F.lit(False)
-        if full:
-            hit = hit | email.isin(full)
-        for d in domains:
-            if boundary:
-                hit = hit | (domain == d) | domain.endswith("." + d)
-            else:
-                hit = hit | domain.endswith(d)
+    if not isinstance(blocklist, DataFrame):
+        full, domains = _split_blocklist(blocklist)
+        hit = email.isin(full) if full else F.lit(False)
+        if domains:
+            listed = F.array(*(F.lit(d) for d in domains))
+            suffix = F.concat(F.lit("."), domain) if boundary else domain
+            hit = hit | F.exists(listed, lambda d: F.endswith(suffix, F.concat(F.lit("."), d) if boundary else d))
         return df.where(~F.coalesce(hit, F.lit(False)))
 
-    # Long list: equi anti-joins (hash join; broadcast when the list is small
-    # enough for the planner, shuffled otherwise).
+    # Equi anti-joins: Spark picks the join from the list's size in bytes.
     t = blocklist.select(norm_str(term_column).alias("__t")).where(F.col("__t") != "")
     full_t = t.where(F.col("__t").contains("@")).select(F.col("__t").alias("__email")).distinct()
     dom_t = (t.where(~F.col("__t").contains("@"))
-             .select(F.regexp_replace("__t", r"^\.+", "").alias("__suffix")).distinct())
+             .select(F.regexp_replace("__t", r"^\.+", "").alias("__suffix")).where(F.col("__suffix") != "").distinct())
     keyed = df.withColumn("__email", email).withColumn("__domain", domain)
     kept = keyed.join(full_t, "__email", "left_anti")
     exploded = (kept.select("__domain").where(F.col("__domain").isNotNull()).distinct()

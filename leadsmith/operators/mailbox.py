@@ -1,48 +1,46 @@
 """Generic-mailbox selection per company domain (J3-J6, J8, A2-A4, C5 core).
 
 Instead of fetching URLs one domain at a time, all domains are handled at
-once: the frontier (domain x base x path) is equi-joined with a table of
-captured pages on the URL, findings are extracted inside the tasks, same-host
-iframe pages are joined in the same way, and the best candidate per domain
-is one ``min_by`` aggregate over (scheme tier, local-part rank).
+once: a captured page's URL is cut into scheme, host and path, pages with a
+contact path are joined with the domains on the host (one row per domain),
+findings are extracted inside the tasks, same-host iframe pages are joined on
+their URL, and the best candidate per domain is one ``min_by`` aggregate over
+(scheme tier, local-part rank).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadsmith.functions.text import norm_str, normalize_url
 from leadsmith.operators.dedupe import keep_first
-from leadsmith.operators.extract import _staged_pages, iframe_links, kept_emails
+from leadsmith.operators.extract import _staged_pages, kept_emails
 from leadsmith.session import ensure_checkpoint_root
 from leadsmith.sources.lookups import BASE_TEMPLATES, CONTACT_PATHS, LOCAL_PARTS
 
-# A priority list is turned into literal expressions; it must stay small.
-MAX_LIST = 10_000
-
-
-def _as_list(values: DataFrame | Sequence[str], column: str, order: str = "rank") -> list[str]:
-    """A priority list from a Python list or a (size-checked) one-column table."""
-    if not isinstance(values, DataFrame):
-        return list(values)
-    rows = values.orderBy(order).select(column).limit(MAX_LIST + 1).collect()
-    if len(rows) > MAX_LIST:
-        raise ValueError(f"priority list longer than {MAX_LIST} entries")
-    return [r[0] for r in rows]
-
-
-def _clean_parts(local_parts) -> list[str]:
-    parts = _as_list(local_parts, "local_part")
-    return [p.strip().lower() for p in parts if p is not None and p.strip() != ""]
+def _ranked_parts(spark, local_parts) -> DataFrame:
+    """``(lp, rank)``: the first rank of every local part (list order)."""
+    if isinstance(local_parts, DataFrame):
+        rows = local_parts.select(F.col("local_part").alias("lp"), F.col("rank"))
+    else:
+        rows = spark.createDataFrame([(p, i + 1) for i, p in enumerate(local_parts)], "lp string, rank int")
+    return (rows.select(norm_str("lp").alias("lp"), "rank").where(F.col("lp").isNotNull() & (F.col("lp") != ""))
+            .groupBy("lp").agg(F.min("rank").alias("rank")))
 
 
 def candidates(domains: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "domain") -> DataFrame:
     """``lp@domain`` per domain and local part, lower-cased, with ``rank``
     (list order); blank local parts skipped. One explode per domain row."""
-    parts = _clean_parts(local_parts)
+    if isinstance(local_parts, DataFrame):
+        listed = local_parts.select(norm_str("local_part").alias("lp"), "rank").where(
+            F.col("lp").isNotNull() & (F.col("lp") != ""))
+        return (domains.select(domain_col).distinct().crossJoin(listed)
+                .select(domain_col, "rank", F.lower(F.concat("lp", F.lit("@"), F.col(domain_col))).alias("email")))
+    parts = [p.strip().lower() for p in local_parts if p is not None and p.strip() != ""]
     lit_parts = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.lit(p).alias("lp"))
                           for i, p in enumerate(parts)])
     return (domains.select(domain_col).distinct()
@@ -82,57 +80,60 @@ def frontier(domains: DataFrame, extra_paths: Sequence[str] = (), domain_col: st
     return keep_first(urls, [domain_col, "tier", "url"], "url_rank")
 
 
-# Frontier rows up to which the frontier is broadcast to the page table (the
-# pages then stay where they are); above it both sides are shuffled on URL.
-FETCH_BROADCAST_ROWS = 2_000_000
-
-
-def fetch(front: DataFrame, pages: DataFrame, broadcast_rows: int = FETCH_BROADCAST_ROWS) -> DataFrame:
-    """The captured page of each frontier URL (exact URL match).
-
-    The frontier's size is checked first (a bounded ``limit`` count): a
-    frontier under ``broadcast_rows`` is broadcast, so the large page table
-    is filtered in place instead of being shuffled; a larger one is joined
-    with a shuffle on the URL."""
-    p = pages.select("url", "page_id", "html")
-    n = front.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        return p.join(F.broadcast(front), "url")
-    return p.join(front, "url")
-
-
-def site_findings(front: DataFrame, pages: DataFrame, exact_text: bool = True,
-                  broadcast_rows: int = FETCH_BROADCAST_ROWS) -> DataFrame:
-    """Findings ``(domain, tier, url, email)`` per frontier page: the page's
-    own addresses (A3 applied in the page's row) plus those of its same-host
+def fetch(domains: DataFrame, pages: DataFrame, extra_paths: Sequence[str] = (),
+          domain_col: str = "domain") -> DataFrame:
+    """The captured pages of each domain's frontier, on normalised URLs (host
+    case, default port, fragment): ``(domain, tier, url_rank, url, html)``.
+
+    The contact paths are looked up in the scan; only pages that have one meet the
+    domains, on their host. Extra paths are taken below the domain."""
+    paths = list(dict.fromkeys(urlsplit(urljoin("http://host/", p)).path.lstrip("/")
+                               + (f"?{q}" if (q := urlsplit(p).query) else "")
+                               for p in [*CONTACT_PATHS, *extra_paths]))
+    path_rank = F.create_map(*[x for i, p in enumerate(paths, 1) for x in (F.lit(p), F.lit(i))])
+    parts = with_url_parts(pages.select("url", "html"), "url")
+    tier = F.when(F.col("__scheme") == "https", 1).when(F.col("__scheme") == "http", 2)
+    www = F.startswith(F.col("__host"), F.lit("www."))
+    found = (parts.where(F.col("__path").isin(paths) & tier.isNotNull())
+             .select(F.regexp_replace("__host", r"^www\.", "").alias(domain_col), tier.alias("tier"),
+                     (F.when(www, len(paths)).otherwise(0) + path_rank[F.col("__path")]).alias("url_rank"),
+                     F.col("__url").alias("url"), "html"))
+    return found.join(domains.select(domain_col).distinct(), domain_col)
+
+
+def with_url_parts(df: DataFrame, url_col: str) -> DataFrame:
+    """Adds ``__url`` (normalised), ``__scheme``, ``__host`` and ``__path`` (with its
+    query, without the leading slash)."""
+    staged = df.select("*", normalize_url(url_col).alias("__url"))
+    rest = F.regexp_extract("__url", r"^[a-z][a-z0-9+.\-]*://([^/?]*)(.*)$", 2)
+    return staged.select("*", F.split_part(F.col("__url"), F.lit(":"), F.lit(1)).alias("__scheme"),
+                         F.regexp_extract("__url", r"^[a-z][a-z0-9+.\-]*://([^/?]*)", 1).alias("__host"),
+                         F.regexp_replace(rest, "^/", "").alias("__path"))
+
+
+def site_findings(domains: DataFrame, pages: DataFrame, exact_text: bool = True, extra_paths: Sequence[str] = (),
+                  frame_limit: int | None = None) -> DataFrame:
+    """Findings ``(domain, tier, url, email)`` of the domains' captured pages: the
+    page's own addresses (A3 applied in the page's row) plus those of its same-host
     iframe pages (J6, A3 per frame page). Rows may repeat.
 
-    Pass 1 turns each fetched page into small item rows (an address, or an
-    iframe URL) and writes them as a reliable checkpoint in the session's
-    checkpoint folder: the HTML work is done once and lineage is cut. Pass 2
-    fetches only the iframe pages: the page table is semi-joined with the
-    set of iframe URLs (broadcast after a bounded size check, shuffled
-    beyond it), so the full page table is not shuffled a second time."""
-    ensure_checkpoint_root(front.sparkSession)
-    fetched = fetch(front, pages, broadcast_rows).select("domain", "tier", "url", "page_id", "html")
-    staged = _staged_pages(fetched, "page_id", "url", "html", "domain", ["tier"], exact_text)
-    frames = iframe_links(F.col("html"), F.col("url"), F.col("domain"))
+    Each fetched page becomes small item rows (an address, or an iframe URL), which
+    are the one written intermediate (a reliable checkpoint): the HTML work is done
+    once. The iframe pages are then joined on their normalised URL."""
+    ensure_checkpoint_root(pages.sparkSession)
+    fetched = fetch(domains, pages, extra_paths)
+    staged = _staged_pages(fetched, "url_rank", "url", "html", "domain", ["tier"], exact_text, frame_limit)
     items = F.concat(
         F.transform(kept_emails("domain"), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value"))),
-        F.transform(frames, lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
+        F.transform("iframes", lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
     )
     rows = staged.select("domain", "tier", "url", F.inline(items)).checkpoint(eager=True)
 
     own = rows.where(F.col("kind") == "email").select("domain", "tier", "url", F.col("value").alias("email"))
     frame_items = rows.where(F.col("kind") == "frame").select(
-        "domain", "tier", "url", F.col("value").alias("frame_url"))
-    frame_urls = frame_items.select(F.col("frame_url").alias("url")).distinct()
-    p = pages.select("url", "html")
-    if frame_urls.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        frame_pages = p.join(F.broadcast(frame_urls), "url")
-    else:
-        frame_pages = p.join(frame_urls, "url")
-    framed = frame_items.join(frame_pages.withColumnRenamed("url", "frame_url"), "frame_url")
+        "domain", "tier", "url", normalize_url("value").alias("frame_url"))
+    frame_pages = pages.select(normalize_url("url").alias("frame_url"), "html")
+    framed = frame_items.join(frame_pages, "frame_url")
     staged_frames = _staged_pages(framed, "frame_url", "frame_url", "html", "domain", ["tier", "url"], exact_text)
     frame_found = staged_frames.select("domain", "tier", "url", F.explode(kept_emails("domain")).alias("email"))
     return own.unionByName(frame_found)
@@ -142,22 +143,15 @@ def best_hits(findings: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "d
     """J5 + A2 + A4: ``(domain, email_common)`` for domains with a hit.
 
     Each finding is tested directly: it is a candidate iff it ends with
-    ``@domain`` and the part before is in the local-part list (rank from a
-    literal map), so no candidate table is built or joined. Repeated findings
-    do not change a ``min_by``, so none are removed first; the aggregate is
-    partial (map-side), so a domain never sits whole in one task."""
-    parts = _clean_parts(local_parts)
-    ranks: dict[str, int] = {}
-    for i, p in enumerate(parts):
-        ranks.setdefault(p, i + 1)
-    rank_map = F.create_map(*[x for p, r in ranks.items() for x in (F.lit(p), F.lit(r))])
+    ``@domain`` and the part before is in the local-part list, which is joined on
+    that part; no candidate table is built. Repeated findings do not change a
+    ``min_by``, so none are removed first; the aggregate is partial (map-side),
+    so a domain never sits whole in one task."""
     d, e = F.col(domain_col), F.col("email")
     suffix = F.concat(F.lit("@"), d)
-    local = F.substr(e, F.lit(1), F.length(e) - F.length(suffix))
-    hits = (findings.select(domain_col, "tier", "email")
-            .where(e.endswith(suffix))
-            .withColumn("rank", rank_map[local])
-            .where(F.col("rank").isNotNull()))
+    hits = (findings.select(domain_col, "tier", "email").where(e.endswith(suffix))
+            .withColumn("lp", F.substr(e, F.lit(1), F.length(e) - F.length(suffix)))
+            .join(_ranked_parts(findings.sparkSession, local_parts), "lp"))
     return hits.groupBy(domain_col).agg(
         F.min_by("email", F.struct("tier", "rank")).alias("email_common"))
 

@@ -13,23 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import email_domain_first, literal_alternation, norm_str, normalize_domain
+from leadsmith.functions.text import email_domain_first, literal_alternation, norm_str, normalize_domain, normalize_url
 from leadsmith.operators.audit import contact_funnel, posting_funnel
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.enrich import enrich_contacts
-from leadsmith.operators.extract import POSTING_FIELDS, posting_fields
+from leadsmith.operators.extract import POSTING_FIELDS, posting_fields, posting_links
 from leadsmith.operators.filters import (
     drop_any_null,
     drop_incomplete,
     email_blocklist,
     exclude_terms,
+    recency_filter,
     valid_domain,
 )
-from leadsmith.operators.mailbox import best_hits, frontier, site_findings
+from leadsmith.operators.mailbox import best_hits, site_findings
 from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox
 from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
-from leadsmith.session import ensure_checkpoint_root
-from leadsmith.sources.io import captured_pages, current_snapshot, load_snapshot, write_snapshot
+from leadsmith.sources.io import captured_pages, load_latest, write_version
 from leadsmith.sources.lookups import CONTACT_BLOCKLIST, DOMAIN_BAD_LIST, LOCAL_PARTS, TITLE_TERMS
 
 
@@ -49,12 +49,8 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
     df = keep_first(df, "domain", order_col)
     df = df.select("domain", normalize_domain("domain").alias("search_domain"))
     df = df.where(valid_domain("search_domain"))
-    # The domain list (one row per company) is read three times below: cut its
-    # lineage once in the shared checkpoint folder instead of recomputing it.
-    ensure_checkpoint_root(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    front = frontier(df.select(F.col("search_domain").alias("domain")))
-    found = site_findings(front, captured_pages(pages))
+    found = site_findings(df.select(F.col("search_domain").alias("domain")), captured_pages(pages),
+                          extra_paths=extra_paths)
     best = best_hits(found, local_parts).withColumnRenamed("domain", "search_domain")
     return df.join(best, "search_domain", "left").select("domain", "email_common")
 
@@ -124,25 +120,25 @@ def outbox(enriched: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- C9
-def url_state_update(table_root: str, schema, changes: DataFrame | None = None,
-                     deletes: DataFrame | None = None, key: str = "url",
-                     initial: DataFrame | None = None) -> str:
-    """Load (or start) the URL state table, apply a batch of upserts and
-    deletes, and publish the result as a new snapshot. Returns its path.
-    ``initial`` seeds a table that has no snapshot yet."""
-    frames = [f for f in (changes, deletes, initial) if f is not None]
-    if not frames:
+def url_state_create(table_root: str, initial: DataFrame) -> str:
+    """Version 1 of the URL state table. Fails if there is one already."""
+    return write_version(initial, table_root, 1)
+
+
+def url_state_update(table_root: str, changes: DataFrame | None = None, deletes: DataFrame | None = None,
+                     key: str = "url", columns: Sequence[str] | None = None) -> str:
+    """Apply a batch of upserts and deletes to the latest version of the URL
+    state table and write the result as the next one. Columns that earlier batches
+    added stay; a table that is missing raises. Returns the new version's path."""
+    if changes is None and deletes is None:
         raise ValueError("nothing to apply")
-    spark = frames[0].sparkSession
-    if initial is not None and current_snapshot(spark, table_root) is None:
-        state = initial
-    else:
-        state = load_snapshot(spark, table_root, schema)
+    spark = (changes if changes is not None else deletes).sparkSession
+    state, version = load_latest(spark, table_root)
     if changes is not None:
-        state = apply_changes(state, changes, key=key)
+        state = apply_changes(state, changes, key=key, columns=columns)
     if deletes is not None:
         state = delete_keys(state, deletes, key=key)
-    return write_snapshot(state, table_root)
+    return write_version(state, table_root, version + 1)
 
 
 # ---------------------------------------------------------------------------- C6 / C8
@@ -151,32 +147,48 @@ RAW_COLS = ["url", *POSTING_FIELDS]
 AGENCY_COLS = ["company", "person", "email"]
 
 
-def collect_postings(detail_pages: DataFrame, raw_base: DataFrame) -> DataFrame:
-    """E9 fields of every detail page -> P7 complete records only -> U1
-    into the accumulated raw postings table (sorted, de-duplicated)."""
-    fields = posting_fields(detail_pages).select(*RAW_COLS)
-    complete = drop_incomplete(fields, RAW_COLS)
-    return accumulate_merge(raw_base.select(*RAW_COLS), complete)
+def listed_details(listing: DataFrame, pages: DataFrame, period: int | None = None, as_of=None,
+                   listed_col: str = "listed_at") -> DataFrame:
+    """E8 links of the listing pages (P2: of a period, if one is given) -> the
+    captured pages they lead to, on normalised URLs."""
+    if period is not None:
+        listing = recency_filter(listing, listed_col, period, as_of)
+    links = posting_links(listing).select(normalize_url("link").alias("__link"))
+    return pages.join(links, normalize_url(pages["url"]) == links["__link"], "left_semi")
+
+
+def new_postings(listing: DataFrame, pages: DataFrame, period: int | None = None, as_of=None) -> DataFrame:
+    """E9 fields of every listed detail page -> P7 complete records only."""
+    fields = posting_fields(listed_details(listing, pages, period, as_of)).select(*RAW_COLS)
+    return drop_incomplete(fields, RAW_COLS)
+
+
+def collect_postings(new: DataFrame, raw_base: DataFrame, sort: bool = True) -> DataFrame:
+    """U1 of the new complete records into the accumulated raw postings table."""
+    return accumulate_merge(raw_base.select(*RAW_COLS), new.select(*RAW_COLS), sort=sort)
 
 
-def collect_agencies(raw: DataFrame, agency_base: DataFrame) -> DataFrame:
+def collect_agencies(new: DataFrame, agency_base: DataFrame, sort: bool = True) -> DataFrame:
     """C6 second half: the contact columns, accumulated the same way."""
-    return accumulate_merge(agency_base.select(*AGENCY_COLS), raw.select(*AGENCY_COLS))
+    return accumulate_merge(agency_base.select(*AGENCY_COLS), new.select(*AGENCY_COLS), sort=sort)
 
 
-def daily_run(detail_pages: DataFrame, raw_base: DataFrame, master: DataFrame, name_gender: DataFrame,
+def daily_run(listing: DataFrame, pages: DataFrame, raw_base: DataFrame, agency_base: DataFrame, master: DataFrame,
+              name_gender: DataFrame, out_root: str, period: int | None = None, as_of=None,
               title_terms=TITLE_TERMS, blocklist=CONTACT_BLOCKLIST,
-              template: str | None = None) -> dict[str, DataFrame]:
-    """C6 collect -> C2 postings -> C1 contacts -> C3 enrich -> C4 master
-    (-> C7 outbox). Returns the lazy results by name; the caller writes them
-    (raw, postings, master as new snapshots)."""
-    raw = collect_postings(detail_pages, raw_base)
-    postings = clean_postings(raw, title_terms)
+              template: str = DEFAULT_TEMPLATE) -> dict[str, DataFrame]:
+    """C6 collect (postings and agencies) -> C2 postings -> C1 contacts -> C3
+    enrich -> C4 master, C7 outbox. The new records are extracted and written once
+    below ``out_root``; every result reads them from there. Returns the results by
+    name; the caller writes them, sorted if wanted."""
+    spark = listing.sparkSession
+    path = f"{out_root.rstrip('/')}/new_postings"
+    found = new_postings(listing, pages, period, as_of)
+    found.write.mode("errorifexists").parquet(path)
+    new = spark.read.schema(found.schema).parquet(path)
+    raw = collect_postings(new, raw_base, sort=False)
     contacts = clean_contacts(raw.select("url", *AGENCY_COLS), master, blocklist, order_col="url")
     enriched = enrich(contacts, name_gender)
-    new_master = append_master(master, enriched)
-    out = {"raw": raw, "postings": postings, "contacts": contacts, "enriched": enriched,
-           "master": new_master}
-    if template is not None:
-        out["outbox"] = outbox(enriched, template)
-    return out
+    return {"raw": raw, "agencies": collect_agencies(new, agency_base, sort=False),
+            "postings": clean_postings(raw, title_terms), "contacts": contacts, "enriched": enriched,
+            "master": append_master(master, enriched), "outbox": outbox(enriched, template)}

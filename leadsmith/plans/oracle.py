@@ -1,19 +1,13 @@
 """DuckDB oracle SQL for the registered queries (same column names).
 
-Written independently of the Spark code, in DuckDB's dialect (RE2 regexes,
-``lambda x: ...`` lambdas). Views for the driver tables are pre-registered.
+In DuckDB's dialect (RE2 regexes, ``lambda x: ...`` lambdas). Queries over generated
+pages and contacts expect what the generator was given, from the source columns;
+the lists marked as fixed values are shared. Views for the driver tables are pre-registered.
 """
 
 from __future__ import annotations
 
-from leadsmith.functions.names import DEFAULT_TITLES
-from leadsmith.sources.lookups import (
-    CONTACT_BLOCKLIST,
-    CONTACT_PATHS,
-    DEOBFUSCATION_RULES,
-    LOCAL_PARTS,
-    NAME_PARTICLES,
-)
+from leadsmith.sources.lookups import CONTACT_BLOCKLIST, CONTACT_PATHS, DEOBFUSCATION_RULES, LOCAL_PARTS
 
 EMAIL_RE = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 
@@ -142,107 +136,24 @@ def emails_sql(x: str) -> str:
     return f"list_transform(regexp_extract_all({x}, {q(EMAIL_RE)}), lambda m: lower(m))"
 
 
-MAILTO_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']\s*mailto:\s*([^"'?]+)"""
-RAW_MAILTO_RE = r"""(?i)href\s*=\s*["'](?:mailto:)\s*([^"'?]+)"""
-ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
-IFRAME_SRC_RE = r"""(?is)<iframe\b[^<>]*?\bsrc\s*=\s*["']\s*([^"']+)"""
-CF_TAG_RE = r"""(?is)<(?:a|span)\b[^<>]*__cf_email__[^<>]*>"""
-CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
-JSONLD_RE = r"""(?is)<script[^<>]*type\s*=\s*["'][^"']*ld\+json[^"']*["'][^<>]*>(.*?)</script>"""
-JSON_EMAIL_KEY_RE = r"""(?i)"e-?mail"\s*:\s*"([^"]*@[^"]*)\""""
-LABEL_SEGMENT_RE = r"(?i)(?:^|\s)(\S*?(?:e-?mail|kontakt|contact|impressum)[^<>]{0,200}\S*)"
-
-
-def mailto_sql(h: str) -> str:
-    both = (f"list_concat(regexp_extract_all({h}, {q(MAILTO_RE)}, 1), "
-            f"regexp_extract_all({h}, {q(RAW_MAILTO_RE)}, 1))")
-    cleaned = f"list_transform({both}, lambda m: lower({strip_sql(unescape_sql('m'))}))"
-    return f"list_filter({cleaned}, lambda m: m <> '')"
-
-
-def cf_decode_sql(hx: str) -> str:
-    """Hex string -> decoded address or NULL (first byte is the XOR key)."""
-    key = f"('0x' || substr({hx}, 1, 2))::INTEGER"
-    body = (f"array_to_string(list_transform(range(1, length({hx}) // 2), lambda i: "
-            f"lpad(hex(xor(('0x' || substr({hx}, 2 * i + 1, 2))::INTEGER, {key})), 2, '0')), '')")
-    dec = f"decode(unhex({body}))"
-    ok = f"(length({hx}) > 2 AND length({hx}) % 2 = 0 AND regexp_full_match({hx}, '[0-9A-Fa-f]+'))"
-    return f"CASE WHEN {ok} AND contains({dec}, '@') THEN {dec} END"
-
-
-def cf_sql(h: str) -> str:
-    hexes = (f"list_filter(list_transform(regexp_extract_all({h}, {q(CF_TAG_RE)}), "
-             f"lambda t: regexp_extract(t, {q(CF_ATTR_RE)}, 1)), lambda x: x <> '')")
-    return (f"list_filter(list_transform({hexes}, lambda x: lower({cf_decode_sql('x')})), "
-            f"lambda x: x IS NOT NULL)")
-
-
-def jsonld_sql(h: str) -> str:
-    bodies = f"regexp_extract_all({h}, {q(JSONLD_RE)}, 1)"
-    generic = f"flatten(list_transform({bodies}, lambda b: regexp_extract_all(b, {q(EMAIL_RE)})))"
-    keyed = f"flatten(list_transform({bodies}, lambda b: regexp_extract_all(b, {q(JSON_EMAIL_KEY_RE)}, 1)))"
-    return f"list_transform(list_concat({generic}, {keyed}), lambda m: lower({strip_sql('m')}))"
-
-
-def label_sql(t: str) -> str:
-    segs = f"regexp_extract_all({t}, {q(LABEL_SEGMENT_RE)}, 1)"
-    return f"flatten(list_transform({segs}, lambda s: {emails_sql('s')}))"
-
-
-def page_findings_sql(pages: str, domain_expr: str | None = None, extra: tuple = ()) -> str:
-    """(page_id, url, domain, text_len, [extra], email) for a pages relation."""
-    dom = domain_expr or normalize_domain_sql('url')
-    ex = "".join(f", {c}" for c in extra)
-    return f"""
-WITH p AS (
-  SELECT page_id, url, html{ex}, {dom} AS domain, {visible_sql('html')} AS vt
-  FROM {pages}
-), s AS (
-  SELECT page_id, url, domain{ex}, length(vt) AS text_len,
-         list_concat({cf_sql('html')}, {mailto_sql('html')}, {jsonld_sql('html')},
-                     {emails_sql('vt')}, {label_sql('vt')}, {emails_sql('html')}) AS all_emails
-  FROM p
-)
-SELECT page_id, url, domain{ex}, text_len, UNNEST(all_emails) AS email FROM s
-"""
-
-
-def page_summary_sql(pages: str) -> str:
-    """A5 per page: sorted kept addresses, iframe candidates, text length."""
-    return f"""
-WITH p AS (
-  SELECT page_id, url, html, {normalize_domain_sql('url')} AS domain, {visible_sql('html')} AS vt FROM {pages}
-), a AS (
-  SELECT page_id, url, html, domain, vt,
-         list_distinct(list_filter(list_concat({cf_sql('html')}, {mailto_sql('html')}, {jsonld_sql('html')},
-                       {emails_sql('vt')}, {label_sql('vt')}, {emails_sql('html')}),
-                       lambda e: e IS NOT NULL AND e <> '')) AS all_e
-  FROM p
-), k AS (
-  SELECT *, CASE WHEN len(list_filter(all_e, lambda e: ends_with(e, '@' || domain))) > 0
-                 THEN list_filter(all_e, lambda e: ends_with(e, '@' || domain)) ELSE all_e END AS kept
-  FROM a
-)
-SELECT page_id, array_to_string(list_sort(kept), ',') AS emails_extracted,
-       array_to_string({iframes_sql('html', 'url', 'domain')}, ',') AS iframe_candidates,
-       length(vt) AS text_len
-FROM k
-"""
+ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
 
 
-def prefer_domain_sql(found: str, key: str = "page_id") -> str:
-    return f"""
-SELECT * FROM (
-  SELECT *, max(ends_with(email, '@' || domain)) OVER (PARTITION BY {key}) AS any_same,
-         ends_with(email, '@' || domain) AS is_same
-  FROM (SELECT DISTINCT * FROM ({found}) WHERE email IS NOT NULL AND email <> '')
-) WHERE is_same OR NOT any_same
+# The driver's pages hold no mailto link, protected address, script data or iframe:
+# what is found there is in the visible text or in the raw page.
+PAGE_SUMMARY = f"""
+WITH p AS (SELECT page_id, {normalize_domain_sql('url')} AS domain, html, {visible_sql('html')} AS vt FROM pages),
+a AS (SELECT *, list_distinct(list_concat({emails_sql('vt')}, {emails_sql('html')})) AS all_e FROM p),
+k AS (SELECT *, list_filter(all_e, lambda e: ends_with(e, '@' || domain)) AS same FROM a)
+SELECT page_id, array_to_string(list_sort(CASE WHEN len(same) > 0 THEN same ELSE all_e END), ',') AS emails_extracted,
+       '' AS iframe_candidates, length(vt) AS text_len FROM k
 """
 
 
 # ============================================================================ batch 2
 PAGE_LINKS = f"""
-WITH h AS (SELECT page_id, url, regexp_extract_all(html, {q(ANCHOR_HREF_RE)}, 1) AS hs FROM pages),
+WITH h AS (SELECT page_id, url, list_transform(regexp_extract_all(html, {q(ANCHOR_HREF_RE)}, 1),
+  lambda v: {unescape_sql("trim(v, chr(34) || chr(39))")}) AS hs FROM pages),
 x AS (SELECT page_id, url, UNNEST(range(1, len(hs) + 1)) AS pos, UNNEST(hs) AS href FROM h)
 SELECT page_id, pos, {resolve_sql('url', 'href')} AS link
 FROM x WHERE href IS NOT NULL AND href <> ''
@@ -295,70 +206,45 @@ SELECT * FROM (
     "visible_text": f"""
 SELECT page_id, length(t) AS text_len, t AS text FROM (SELECT page_id, {visible_sql('html')} AS t FROM pages)
 """,
-    "page_findings": None,
 })
 
 
 # ============================================================================ batch 3: sites
-def _when_r(n: int, expr: str) -> str:
-    return f"(CASE WHEN r = {n} THEN {expr} ELSE '' END)"
-
-
-def cf_encode_sql(addr: str, key: str) -> str:
-    return (f"lpad(hex({key}), 2, '0') || array_to_string(list_transform(string_split({addr}, ''), "
-            f"lambda c: lpad(hex(xor(ascii(c), {key})), 2, '0')), '')")
-
-
 SITES = """
 SELECT s_suppkey AS k, s_name, s_acctbal, n_regionkey AS r,
        's' || CAST(s_suppkey AS VARCHAR) || '.' || regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') || '.example' AS d
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
-_HOME = " || ".join([
-    "'<!DOCTYPE html><html><head><title>'", "s_name", "'</title>'",
-    _when_r(1, q('<script type="application/ld+json">[{"@type":"Organization","contactPoint":{"email":"Jobs@')
-            + " || d || " + q('"}},{"x":["see hr@') + " || d || " + q('"]}]</script>')),
-    q('<style>p{margin:0}</style><script>var t="q@tracker.example";</script></head><body>'),
-    q("<!-- c@comment.example --><h1>"), "s_name", q("</h1>"),
-    _when_r(0, q('<a HREF="MAILTO:Info@') + " || d || " + q('?subject=Hi%20x">Mail</a>')),
-    _when_r(1, q('<span class="__cf_email__" data-cfemail="') + " || "
-            + cf_encode_sql("'kontakt@' || d", "CAST(k % 200 + 16 AS INTEGER)") + " || "
-            + q('">[email protected]</span>')),
-    _when_r(2, q('<iframe src="/frame/kontakt"></iframe>')),
-    q("<p>Ansprechpartner: "), "'p' || CAST(k AS VARCHAR) || '.contact@' || d", q("</p>"),
-    q('<iframe src="https://other.example/b"></iframe></body></html>'),
-])
-_FRAME = " || ".join([q("<html><body><p>Kontakt: "),
-                      _when_r(2, "'office [at] ' || replace(d, '.', ' [dot] ')"),
-                      q("</p></body></html>")])
-_IMPRINT = " || ".join([q("<html><body><h2>Impressum</h2>"),
-                        _when_r(3, q("<a href='mailto:team@") + " || d || " + q("'>Team</a>")),
-                        q("<p>"), "s_name", q("</p></body></html>")])
-
-SITE_PAGES = f"""
+# What the sites were given, not what a pattern finds: (page_id, source, email).
+PERSON_MAIL = "'p' || CAST(k AS VARCHAR) || '.contact@' || d"
+GIVEN = f"""
 (WITH s AS ({SITES})
- SELECT k * 10 + 1 AS page_id, 'https://' || d || '/' AS url, {_HOME} AS html FROM s
- UNION ALL SELECT k * 10 + 2, 'https://' || d || '/frame/kontakt', {_FRAME} FROM s
- UNION ALL SELECT k * 10 + 3, 'http://' || d || '/impressum', {_IMPRINT} FROM s)
+ SELECT k * 10 + 1 AS page_id, 'text' AS source, {PERSON_MAIL} AS email FROM s
+ UNION ALL SELECT k * 10 + 1, 'label', {PERSON_MAIL} FROM s
+ UNION ALL SELECT k * 10 + 1, 'mailto', 'info@' || d FROM s WHERE r = 0
+ UNION ALL SELECT k * 10 + 1, 'mailto', 'sales@' || d FROM s WHERE r = 0 AND k % 2 = 0
+ UNION ALL SELECT k * 10 + 1, 'cf', 'kontakt@' || d FROM s WHERE r = 1
+ UNION ALL SELECT k * 10 + 1, 'jsonld', 'jobs@' || d FROM s WHERE r = 1
+ UNION ALL SELECT k * 10 + 1, 'jsonld', 'hr@' || d FROM s WHERE r = 1
+ UNION ALL SELECT k * 10 + 1, 'raw', 'key@' || d FROM s WHERE r = 1
+ UNION ALL SELECT k * 10 + 1, 'mailto', 'o''brien@' || d FROM s WHERE r = 4
+ UNION ALL SELECT k * 10 + 1, 'raw', 'brien@' || d FROM s WHERE r = 4
+ UNION ALL SELECT k * 10 + 2, 'label', 'office@' || d FROM s WHERE r = 2
+ UNION ALL SELECT k * 10 + 3, 'mailto', 'team@' || d FROM s WHERE r = 3)
 """
-
-SITE_FINDINGS_ALL = page_findings_sql(SITE_PAGES)
-
-
-def iframes_sql(h: str, u: str, d: str, limit: int = 3) -> str:
-    srcs = (f"list_filter(list_transform(regexp_extract_all({h}, {q(IFRAME_SRC_RE)}, 1), "
-            f"lambda s: {strip_sql('s')}), lambda s: s <> '')")
-    resolved = f"list_transform({srcs}, lambda s: {resolve_sql(u, 's')})"
-    return f"list_filter({resolved}, lambda x: {same_host_sql('x', d)})[1:{limit}]"
-
-
-CONTACTS = f"""
+HOME_ORIGIN = "CASE WHEN k % 3 = 0 THEN 'https://' || upper(d) || ':443' ELSE 'https://' || d END"
+FRAMES = ["/frame/a", "/frame/b", "/frame/c", "/frame/kontakt"]
+SITE_TEXTS = f"""
 (WITH s AS ({SITES})
- SELECT k AS seq, 'P' || CAST(k AS VARCHAR) || '.Contact@' || upper(d) AS email FROM s
- UNION ALL SELECT k + 1000000000, 'sales.' || CAST(k AS VARCHAR) || '@' || d FROM s WHERE r = 0
- UNION ALL SELECT k + 2000000000, 'x' || CAST(k AS VARCHAR) || '@jobs.aplitrak.com' FROM s WHERE s_acctbal > 9000)
+ SELECT k * 10 + 1 AS page_id, concat_ws(' ', s_name, s_name, CASE WHEN r = 0 THEN 'Mail' END,
+        CASE WHEN r = 0 AND k % 2 = 0 THEN 'Sales' END, CASE WHEN r = 1 THEN '[email protected]' END,
+        CASE WHEN r = 4 THEN 'B' END, 'Ansprechpartner: ' || {PERSON_MAIL}) AS vt,
+        CASE WHEN r = 2 THEN array_to_string([({HOME_ORIGIN}) || f FOR f IN {FRAMES}], ',') ELSE '' END AS frames FROM s
+ UNION ALL SELECT k * 10 + 2, CASE WHEN r = 2 THEN 'Kontakt: ' || repeat('lorem ', 50) || 'office@' || d ELSE 'Kontakt:' END, '' FROM s
+ UNION ALL SELECT k * 10 + 3, concat_ws(' ', 'Impressum', CASE WHEN r = 3 THEN 'Team' END, s_name), '' FROM s)
 """
+BEST = "CASE r WHEN 0 THEN 'info@' || d WHEN 1 THEN 'kontakt@' || d WHEN 2 THEN 'office@' || d WHEN 3 THEN 'team@' || d END"
 
 PATHS = CONTACT_PATHS
 LP_VALUES = "(VALUES " + ", ".join(f"({i + 1}, {q(p)})" for i, p in enumerate(LOCAL_PARTS)) + ") AS lp(rank, local_part)"
@@ -368,27 +254,21 @@ GRID_VALUES = "(VALUES " + ", ".join(
     for i, p in enumerate(PATHS)) + ") AS g(tier, url_rank, tpl)"
 
 
-def best_sql(domains: str, found: str) -> str:
-    """domains(domain) + found(domain, tier, email) -> (domain, email_common)."""
-    return f"""
-WITH c AS (SELECT d.domain, lp.rank, lower(lp.local_part || '@' || d.domain) AS email
-           FROM (SELECT DISTINCT domain FROM {domains}) d, {LP_VALUES}),
-h AS (SELECT c.domain, f.tier, c.rank, c.email FROM (SELECT DISTINCT domain, tier, email FROM {found}) f
-      JOIN c ON f.domain = c.domain AND f.email = c.email),
-b AS (SELECT domain, arg_min(email, tier * 1000 + rank) AS email_common FROM h GROUP BY domain)
-SELECT d.domain, b.email_common FROM (SELECT DISTINCT domain FROM {domains}) d LEFT JOIN b ON d.domain = b.domain
-"""
-
-
 SQL.update({
-    "site_mailto": f"SELECT DISTINCT page_id, UNNEST({mailto_sql('html')}) AS email FROM {SITE_PAGES}",
-    "site_cf_decode": f"SELECT page_id, UNNEST({cf_sql('html')}) AS email FROM {SITE_PAGES}",
-    "site_jsonld": f"SELECT page_id, UNNEST(list_distinct({jsonld_sql('html')})) AS email FROM {SITE_PAGES}",
+    **{f"site_{n}": f"SELECT DISTINCT page_id, email FROM {GIVEN} WHERE source = '{src}'"
+       for n, src in (("mailto", "mailto"), ("cf_decode", "cf"), ("jsonld", "jsonld"), ("labels", "label"))},
     "site_iframes": f"""
-SELECT page_id, UNNEST(range(1, len(fs) + 1)) AS pos, UNNEST(fs) AS frame_url
-FROM (SELECT page_id, {iframes_sql('html', 'url', normalize_domain_sql('url'))} AS fs FROM {SITE_PAGES})
+SELECT k * 10 + 1 AS page_id, CAST(i AS BIGINT) AS pos, ({HOME_ORIGIN}) || {FRAMES}[i] AS frame_url
+FROM ({SITES}), range(1, 5) AS t(i) WHERE r = 2
+""",
+    "site_iframes_top": f"""
+SELECT k * 10 + 1 AS page_id, ({HOME_ORIGIN}) || {FRAMES}[i] AS frame_url FROM ({SITES}), range(1, 4) AS t(i) WHERE r = 2
+""",
+    "site_findings": f"""
+SELECT t.page_id, coalesce(g.emails, '') AS emails_extracted, t.frames AS iframe_candidates, length(t.vt) AS text_len
+FROM {SITE_TEXTS} t LEFT JOIN (SELECT page_id, string_agg(DISTINCT email, ',' ORDER BY email) AS emails
+                              FROM {GIVEN} GROUP BY page_id) g ON t.page_id = g.page_id
 """,
-    "site_findings": None,
     "frontier": f"""
 SELECT domain, tier, url_rank, replace(tpl, '{{d}}', domain) AS url
 FROM (SELECT DISTINCT {normalize_domain_sql('url')} AS domain FROM pages) p, {GRID_VALUES}
@@ -398,47 +278,17 @@ WHERE domain <> ''
 SELECT d AS domain, CAST(rank AS BIGINT) AS rank, lower(local_part || '@' || d) AS email
 FROM ({SITES}) s, {LP_VALUES}
 """,
-    "candidates_best": best_sql(
-        f"(SELECT d AS domain FROM ({SITES}))",
-        f"(SELECT domain, CASE WHEN starts_with(url, 'https:') THEN 1 ELSE 2 END AS tier, email FROM ({SITE_FINDINGS_ALL}))"),
+    "candidates_best": f"SELECT d AS domain, {BEST} AS email_common FROM ({SITES})",
+    "common_mailbox": f"SELECT d AS domain, {BEST} AS email_common FROM ({SITES}) WHERE NOT coalesce(s_acctbal < 0, false)",
 })
 
 
-COMMON_MAILBOX = f"""
-WITH c AS (SELECT seq, {domain_first_sql('email')} AS domain FROM {CONTACTS}),
-p6 AS (SELECT * FROM c WHERE NOT coalesce(contains({norm_sql('domain')}, 'aplitrak.com'), false)),
-m AS (SELECT d AS domain FROM ({SITES}) WHERE s_acctbal < 0),
-j2 AS (SELECT * FROM p6 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.domain IS NOT DISTINCT FROM p6.domain)),
-w2 AS (SELECT * FROM j2 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq) = 1),
-dm AS (SELECT domain, {normalize_domain_sql('domain')} AS sd FROM w2),
-dv AS (SELECT * FROM dm WHERE coalesce(sd <> '' AND contains(sd, '.'), false)),
-fr AS (SELECT DISTINCT sd AS domain, tier, replace(tpl, '{{d}}', sd) AS url FROM dv, {GRID_VALUES}),
-fetched AS (SELECT sp.page_id, fr.url, sp.html, fr.domain, fr.tier FROM fr JOIN {SITE_PAGES} sp ON fr.url = sp.url),
-own AS ({prefer_domain_sql(page_findings_sql('fetched', 'domain', ('tier',)))}),
-frames AS (
-  SELECT page_id, domain, tier, url, UNNEST(range(1, len(fs) + 1)) AS frame_pos, UNNEST(fs) AS frame_url
-  FROM (SELECT page_id, domain, tier, url, {iframes_sql('html', 'url', 'domain')} AS fs FROM fetched)
-),
-frame_pages AS (
-  SELECT f.url || '|' || CAST(f.frame_pos AS VARCHAR) AS page_id, f.frame_url AS url, sp.html, f.domain, f.tier
-  FROM frames f JOIN {SITE_PAGES} sp ON f.frame_url = sp.url
-),
-frame_own AS ({prefer_domain_sql(page_findings_sql('frame_pages', 'domain', ('tier',)))}),
-found AS (SELECT domain, tier, email FROM own UNION SELECT domain, tier, email FROM frame_own),
-best AS ({best_sql('(SELECT sd AS domain FROM dv)', 'found')})
-SELECT dv.domain, best.email_common FROM dv LEFT JOIN best ON dv.sd = best.domain
-"""
-SQL["common_mailbox"] = COMMON_MAILBOX
-
-
 # ============================================================================ batch 4
 FIRST_NAMES = ["Anna", "Max", "Lena", "Jan", "Maria", "Paul", "Sophie", "Lukas", "Andrea", "Kim"]
 LAST_NAMES = ["Mueller", "Schmidt", "Heide", "Berg", "Wagner", "Becker", "Hoffmann", "Koch", "Richter", "Wolf"]
 NAME_GENDER = [("Anna", "female"), ("Max", "male"), ("Lena", "female"), ("Jan", "male"),
                ("Maria", "female"), ("Paul", "male"), ("Sophie", "mostly_female"),
                ("Lukas", "male"), ("Andrea", "andy")]
-TITLES = DEFAULT_TITLES
-PARTICLES = NAME_PARTICLES
 
 
 def _list(xs) -> str:
@@ -446,12 +296,12 @@ def _list(xs) -> str:
 
 
 CC = f"""
-(SELECT c_custkey AS ingest_seq, c_mktsegment AS company,
+(SELECT c_custkey AS ingest_seq, f, l, c_mktsegment AS company,
   CASE WHEN c_acctbal < 0 THEN NULL
-       WHEN c_custkey % 7 = 0 THEN f || ' ' || l
+       WHEN c_custkey % 7 = 0 THEN f || ' ' || l || CASE WHEN c_custkey % 3 = 1 THEN ' MBA' ELSE '' END
        WHEN c_custkey % 7 = 1 THEN l || ', ' || f
        WHEN c_custkey % 7 = 2 THEN 'Dr. ' || f || ' von der ' || l
-       WHEN c_custkey % 7 = 3 THEN f || ' Maria ' || l
+       WHEN c_custkey % 7 = 3 THEN f || ' Maria ' || l || CASE WHEN c_custkey % 2 = 1 THEN ', PhD' ELSE '' END
        WHEN c_custkey % 7 = 4 THEN f
        WHEN c_custkey % 7 = 5 THEN 'Prof. Dr. ' || f || ' van den ' || l
        ELSE '  ' END AS person,
@@ -460,43 +310,23 @@ CC = f"""
               {_list(LAST_NAMES)}[(c_custkey // 10) % 10 + 1] AS l FROM customer))
 """
 
-def name_split_sql(rel: str, id_col: str, person_col: str = "person") -> str:
-    """T8 over a relation: (id, person, first_name, last_name)."""
-    return f"""
-WITH b AS (SELECT {id_col}, {person_col} AS person, {strip_sql(person_col)} AS raw FROM {rel}),
-t AS (SELECT *, strpos(raw, ',') AS comma, nullif({strip_sql("split_part(raw, ',', 1)")}, '') AS before,
-             CASE WHEN strpos(raw, ',') > 0 THEN substr(raw, strpos(raw, ',') + 1) ELSE raw END AS body FROM b),
-u AS (SELECT *,
-        list_filter(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> ''),
-                    lambda x: NOT list_contains({_list(TITLES)}, lower(regexp_replace(x, '\\.$', '')))) AS toks,
-        list_filter(regexp_split_to_array(replace(raw, ',', ' '), '\\s+'), lambda x: x <> '') AS raw_toks
-      FROM t),
-v AS (SELECT *, len(toks) AS n, nullif(toks[1], '') AS first0,
-             CASE WHEN len(toks) >= 2 THEN toks[2:len(toks) - 1] ELSE [] END AS mid FROM u),
-w AS (SELECT *, coalesce(list_max(list_filter(range(1, len(mid) + 1),
-                   lambda i: NOT list_contains({_list(PARTICLES)}, lower(mid[i])))), 0) AS j FROM v),
-x AS (SELECT *, CASE WHEN comma > 0 THEN before
-                     WHEN n >= 2 THEN array_to_string(list_concat(mid[j + 1:len(mid)], [toks[n]]), ' ') END AS last0
-      FROM w)
-SELECT {id_col}, person,
-  CASE WHEN raw IS NULL OR raw = '' THEN NULL
-       WHEN last0 IS NULL AND len(raw_toks) >= 2 THEN coalesce(first0, raw_toks[1]) ELSE first0 END AS first_name,
-  CASE WHEN raw IS NULL OR raw = '' THEN NULL
-       WHEN last0 IS NULL AND len(raw_toks) >= 2 THEN array_to_string(raw_toks[2:], ' ') ELSE last0 END AS last_name
-FROM x
+# First and last name that each shape was built from.
+NAMED = f"""
+(SELECT ingest_seq, company, person, email,
+        CASE WHEN person IS NOT NULL AND ingest_seq % 7 <> 6 THEN f END AS first_name,
+        CASE WHEN person IS NULL OR ingest_seq % 7 IN (4, 6) THEN NULL WHEN ingest_seq % 7 = 2 THEN 'von der ' || l
+             WHEN ingest_seq % 7 = 5 THEN 'van den ' || l ELSE l END AS last_name
+ FROM {CC})
 """
-
-
-NAME_SPLIT = name_split_sql(f"(SELECT ingest_seq AS c_custkey, person FROM {CC})", "c_custkey")
+NAME_SPLIT = f"SELECT ingest_seq AS c_custkey, person, first_name, last_name FROM {NAMED}"
 
 GENDER_DICT = ("(SELECT lower(trim(fn)) AS fn, min(g) AS gender FROM (VALUES "
                + ", ".join(f"({q(a)}, {q(b)})" for a, b in NAME_GENDER) + ") AS t(fn, g) GROUP BY 1)")
 
 ENRICHED = f"""
 (SELECT c.ingest_seq, c.company, c.person, c.email, coalesce(g.gender, 'unknown') AS gender,
-        n.first_name, n.last_name
- FROM {CC} c JOIN ({NAME_SPLIT}) n ON c.ingest_seq = n.c_custkey
- LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn)
+        c.first_name, c.last_name
+ FROM {NAMED} c LEFT JOIN {GENDER_DICT} g ON lower(c.first_name) = g.fn)
 """
 
 SAL = """CASE WHEN last_name IS NULL THEN 'Sehr geehrte Damen und Herren '
@@ -518,7 +348,7 @@ def _template_sql() -> str:
     return " || ".join(f"({p})" for p in parts)
 
 
-CONTACT_NEW = f"""(SELECT * FROM {CC} UNION ALL
+CONTACT_NEW = f"""(SELECT ingest_seq, company, person, email FROM {CC} UNION ALL
   SELECT ingest_seq + 1000000000, company, person, email FROM {CC} WHERE company = 'BUILDING')"""
 CONTACT_MASTER = f"(SELECT email FROM {CC} WHERE company = 'AUTOMOBILE')"
 BLOCKED = (f"coalesce({norm_sql('email')} IN ('anna.mueller.0@furniture.example') "
@@ -650,31 +480,17 @@ WHERE NOT (email IN ('that.92@mail2.example.com')
            OR ends_with(domain, 'ail8.example.com'))
 """,
     "stream_keep_first": "SELECT DISTINCT user_id FROM events",
+    "stream_keep_first_batches": "SELECT DISTINCT user_id FROM events",
+    "stream_ingest_batches": f"""
+SELECT DISTINCT email, domain FROM ({DOC_EMAILS})
+WHERE NOT (email IN ('that.92@mail2.example.com')
+           OR ends_with(domain, 'mail3.example.com')
+           OR ends_with(domain, 'ail8.example.com'))
+""",
 })
 
 
 # ============================================================================ batch 7: postings, url state
-POSTING_CARD_RE = r"""(?is)<search-project-card\b[^<>]*>\s*<a\b[^<>]*?\bhref\s*=\s*["']([^"']*)["']"""
-FIELD_RES = {
-    "project_name": [r"""(?is)<h1[^>]*class\s*=\s*["']margin-bottom-xs["'][^>]*>(.*?)</h1>"""],
-    "company": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*project-header[^"']*["'][^>]*>.*?<a[^>]*onclick\s*=\s*["']window\.open[^>]*>(.*?)</a>"""],
-    "person": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*list-item-main[^"']*["'][^>]*>.*?<span[^>]*class\s*=\s*["']h5["'][^>]*>(.*?)</span>""",
-               r"""(?is)<div[^>]*class\s*=\s*["'][^"']*media-body[^"']*["'][^>]*>.*?<div[^>]*class\s*=\s*["']col-md-6["'][^>]*>([^\n<]*)"""],
-    "email": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-sm-6 margin-bottom-sm[^"']*["'][^>]*>[^<]*E-Mail[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>""",
-              r"""(?is)<div[^>]*class\s*=\s*["'][^"']*col-md-6[^"']*["'][^>]*>[^<]*@[^<]*<a[^>]*href\s*=\s*["']mailto:[^>]*>(.*?)</a>"""],
-    "project_description": [r"""(?is)<div[^>]*class\s*=\s*["'][^"']*panel-body highlight-text[^"']*["'][^>]*>(.*?)</div>"""],
-}
-BASIC_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"),
-                  ("&apos;", "'"), ("&nbsp;", " "), ("&#64;", "@"), ("&#x40;", "@"), ("&amp;", "&")]
-
-
-def _field_sql(pattern: str) -> str:
-    x = f"regexp_replace(regexp_extract(html, {q(pattern)}, 1), '(?s)<[^<>]+>', '', 'g')"
-    for ent, ch in BASIC_ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return f"nullif({strip_sql(x)}, '')"
-
-
 PART_AGENCY = """
 (WITH li AS (SELECT l_partkey, l_suppkey FROM lineitem
              QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1)
@@ -684,61 +500,40 @@ PART_AGENCY = """
 
 _FN = f"{_list(FIRST_NAMES)}[s_suppkey % 10 + 1]"
 _LN = f"{_list(LAST_NAMES)}[(s_suppkey // 10) % 10 + 1]"
-_PERSON = f"{_FN} || ' ' || {_LN}"
-_MAIL = f"lower({_FN}) || '@s' || CAST(s_suppkey AS VARCHAR) || '.example'"
-_V1 = (f"""'<div class="list-item-main"><span class="h5">' || {_PERSON} || '</span></div>'"""
-       f""" || '<div class="col-sm-6 margin-bottom-sm">E-Mail: <a href="mailto:' || {_MAIL} || '">'"""
-       f""" || {_MAIL} || '</a></div>'""")
-_V2 = (f"""'<div class="media-body"><div class="col-md-6">' || {_PERSON} || chr(10) || 'Recruiting</div></div>'"""
-       f""" || '<div class="col-md-6">Kontakt: ' || {_MAIL} || ' <a href="mailto:' || {_MAIL} || '">'"""
-       f""" || {_MAIL} || '</a></div>'""")
-DETAIL_PAGES = f"""
-(SELECT p_partkey AS page_id,
-        'https://projects.example/projekte/projekt-' || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-') AS url,
-        '<html><body><div class="highlight-text"><h1 class="margin-bottom-xs"> ' || p_name || ' </h1></div>'
-        || CASE WHEN s_suppkey IS NULL THEN '' ELSE
-             '<div class="project-header"><span>Projekt</span> <a onclick="window.open(''/firma/'
-             || CAST(s_suppkey AS VARCHAR) || ''')" href="#">' || s_name || '</a></div>'
-             || CASE WHEN p_size % 2 = 0 THEN {_V1} ELSE {_V2} END END
-        || '<div class="panel-body highlight-text"><p>' || p_type || '</p> <p>' || p_brand || '</p></div></body></html>' AS html
- FROM {PART_AGENCY})
-"""
-
-POSTING_FIELDS_SQL = f"""
-SELECT url,
-       {_field_sql(FIELD_RES['project_name'][0])} AS project_name,
-       {_field_sql(FIELD_RES['project_description'][0])} AS project_description,
-       {_field_sql(FIELD_RES['company'][0])} AS company,
-       coalesce({_field_sql(FIELD_RES['person'][0])}, {_field_sql(FIELD_RES['person'][1])}) AS person,
-       coalesce({_field_sql(FIELD_RES['email'][0])}, {_field_sql(FIELD_RES['email'][1])}) AS email
-FROM {DETAIL_PAGES}
-"""
-COMPLETE_FIELDS = f"""(SELECT * FROM ({POSTING_FIELDS_SQL}) WHERE
-  {" AND ".join(f"{c} IS NOT NULL AND trim({c}) <> ''" for c in ["url", "project_name", "project_description", "company", "person", "email"])})"""
-
-LISTING_PAGES = """
-(SELECT page_id, 'https://projects.example/projekte?page=' || CAST(page_id AS VARCHAR) || '&pageSize=100' AS url,
-        '<html><body>' || string_agg(card, '' ORDER BY p_partkey) || '</body></html>' AS html
- FROM (SELECT CAST(floor(p_partkey / 100) + 1 AS BIGINT) AS page_id, p_partkey,
-              '<search-project-card><a class="small fw-semibold link-warning" href="/projekte/projekt-'
-              || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-') || '">' || p_name
-              || '</a></search-project-card>' AS card FROM part)
- GROUP BY page_id)
+AGENT = f"{_FN} || ' ' || {_LN}"
+AGENT_MAIL = f"lower({_FN}) || '@s' || CAST(s_suppkey AS VARCHAR) || '.example'"
+PART_URL = ("'https://projects.example/projekte/projekt-' || CAST(p_partkey AS VARCHAR) || '-' || replace(p_name, ' ', '-')")
+LISTING_NO = "CAST(floor(p_partkey / 100) + 1 AS BIGINT)"
+# What each page was built from.
+POSTINGS = f"""
+(SELECT {PART_URL} AS url, trim(p_name) AS project_name, p_type || ' ' || p_brand AS project_description,
+        s_name AS company, CASE WHEN s_suppkey IS NOT NULL THEN {AGENT} END AS person,
+        CASE WHEN s_suppkey IS NOT NULL THEN {AGENT_MAIL} END AS email, p_size, {LISTING_NO} AS listing FROM {PART_AGENCY})
 """
+FIELDS = "url, project_name, project_description, company, person, email"
+# Complete records of earlier runs, or listed from 2024-01-23 to 2024-01-30.
+COLLECTED = f"(SELECT * FROM {POSTINGS} WHERE company IS NOT NULL AND (p_size <= 25 OR listing % 10 <= 7))"
 
 SQL.update({
     "posting_links": f"""
-WITH h AS (SELECT page_id, url, regexp_extract_all(html, {q(POSTING_CARD_RE)}, 1) AS hs FROM {LISTING_PAGES}),
-x AS (SELECT page_id, url, UNNEST(range(1, len(hs) + 1)) AS pos, UNNEST(hs) AS href FROM h)
-SELECT page_id, pos, {resolve_sql('url', 'href')} AS link FROM x WHERE href <> ''
+SELECT {LISTING_NO} AS page_id, row_number() OVER (PARTITION BY {LISTING_NO} ORDER BY p_partkey) AS pos, {PART_URL} AS link
+FROM part
 """,
-    "posting_fields": POSTING_FIELDS_SQL,
-    "collect_postings": f"SELECT DISTINCT * FROM {COMPLETE_FIELDS}",
-    "collect_agencies": f"SELECT DISTINCT company, person, email FROM {COMPLETE_FIELDS}",
+    "posting_fields": f"SELECT {FIELDS} FROM {POSTINGS}",
+    "collect_postings": f"SELECT DISTINCT {FIELDS} FROM {COLLECTED}",
+    "collect_agencies": f"SELECT DISTINCT company, person, email FROM {COLLECTED}",
     "url_state": f"""
-SELECT * FROM ({SQL['upsert']}) u WHERE NOT EXISTS (
-  SELECT 1 FROM pages p JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') e
-    ON p.page_id = e.user_id WHERE p.url = u.url)
+WITH second AS (
+  SELECT * FROM ({SQL['upsert']}) u WHERE NOT EXISTS (
+    SELECT 1 FROM pages p JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') e
+      ON p.page_id = e.user_id WHERE p.url = u.url)),
+f AS (SELECT url, arg_max(CAST(page_id AS VARCHAR), page_id) AS flag01 FROM pages WHERE page_id % 3 = 0 GROUP BY url),
+c AS (SELECT url, true AS checked FROM pages WHERE page_id % 10 = 0 GROUP BY url),
+k AS (SELECT url FROM f UNION SELECT url FROM c),
+ch AS (SELECT k.url, f.flag01, c.checked FROM k LEFT JOIN f ON k.url = f.url LEFT JOIN c ON k.url = c.url)
+SELECT coalesce(s.url, ch.url) AS url, s.date, coalesce(ch.checked, s.url_checked) AS url_checked,
+       {", ".join(f"s.{t}" for t in EVENT_TYPES)}, ch.flag01
+FROM second s FULL OUTER JOIN ch ON s.url = ch.url
 """,
 })
 
@@ -746,13 +541,24 @@ SELECT * FROM ({SQL['upsert']}) u WHERE NOT EXISTS (
 CONTACT_BLOCK_DEFAULT = CONTACT_BLOCKLIST
 _DR_BLOCKED = "coalesce(" + " OR ".join(
     f"ends_with(string_split({norm_sql('email')}, '@')[-1], {q(t)})" for t in CONTACT_BLOCK_DEFAULT) + ", false)"
-SQL["daily_run"] = f"""
-WITH c AS (SELECT url, company, person, email FROM {COMPLETE_FIELDS} WHERE NOT {_DR_BLOCKED}
-           QUALIFY row_number() OVER (PARTITION BY email ORDER BY url) = 1),
-n AS ({name_split_sql('c', 'url')})
-SELECT c.company, c.person, c.email, coalesce(g.gender, 'unknown') AS gender, n.first_name, n.last_name
-FROM c JOIN n ON c.url = n.url LEFT JOIN {GENDER_DICT} g ON lower(n.first_name) = g.fn
+MASTER = f"""
+(SELECT s_name AS company, {AGENT} AS person, {AGENT_MAIL} AS email, 'unknown' AS gender, {_FN} AS first_name, {_LN} AS last_name
+ FROM supplier WHERE s_suppkey % 4 = 0)
+"""
+DAY_CONTACTS = f"""
+(WITH c AS (SELECT url, company, person, email FROM {COLLECTED} WHERE NOT {_DR_BLOCKED}
+              AND email NOT IN (SELECT email FROM {MASTER})
+            QUALIFY row_number() OVER (PARTITION BY email ORDER BY url) = 1)
+ SELECT company, person, email, coalesce(g.gender, 'unknown') AS gender, split_part(person, ' ', 1) AS first_name,
+        split_part(person, ' ', 2) AS last_name
+ FROM c LEFT JOIN {GENDER_DICT} g ON lower(split_part(person, ' ', 1)) = g.fn)
 """
+SQL.update({
+    "daily_run": f"SELECT * FROM {MASTER} UNION ALL SELECT * FROM {DAY_CONTACTS}",
+    "daily_run_agencies": f"SELECT DISTINCT company, person, email FROM {COLLECTED}",
+    "daily_run_postings": f"SELECT DISTINCT {FIELDS} FROM {COLLECTED} WHERE NOT {POSTING_EXCLUDED}",
+    "daily_run_outbox": f"SELECT email, 'Anfrage zu Beauftragungen' AS subject, {_template_sql()} AS content FROM {DAY_CONTACTS}",
+})
 
 
 # ============================================================================ batch 8: A3 on documents, host blocklist
@@ -781,11 +587,29 @@ WHERE NOT coalesce(d = 'spam-farm.example.org' OR ends_with(d, '.spam-farm.examp
 })
 
 
-SQL["site_labels"] = f"""
-SELECT page_id, UNNEST(list_distinct({label_sql('vt')})) AS email
-FROM (SELECT page_id, {visible_sql('html')} AS vt FROM {SITE_PAGES})
-"""
-
+SQL["page_findings"] = PAGE_SUMMARY
 
-SQL["page_findings"] = page_summary_sql("pages")
-SQL["site_findings"] = page_summary_sql(SITE_PAGES)
+_BLOCKED_CONTACTS = f"SELECT upper(email) AS term FROM {CC} WHERE ingest_seq % 4 <> 0"
+SQL.update({
+    "exclude_term_table": """
+WITH t AS (SELECT DISTINCT UNNEST(regexp_extract_all(lower(text), '[a-z]{11,}')) AS term FROM documents)
+SELECT conv_id, turn FROM conversations c
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(lower(c.text), t.term))
+""",
+    "email_block_table": f"""
+SELECT ingest_seq, email FROM {CC}
+WHERE ingest_seq % 4 = 0 AND NOT ends_with(email, 'household.example')
+""",
+    "load_csv": f"""
+SELECT ingest_seq, CASE WHEN ingest_seq % 5 = 0 THEN NULL ELSE company END AS company,
+       CASE WHEN trim(person) = '' THEN NULL ELSE person END AS person, email FROM {CC}
+""",
+    "load_or_create": f"SELECT ingest_seq, company, person, email FROM {CC} WHERE ingest_seq % 2 = 0",
+    "append_rows": f"""
+SELECT ingest_seq, company, person, email FROM {CC}
+UNION ALL SELECT ingest_seq, company, person, email FROM {CC} WHERE ingest_seq % 3 = 0
+""",
+    "admitted_pages": """
+SELECT page_id, length(html) AS n FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 11 <> 0
+""",
+})

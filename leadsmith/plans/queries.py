@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadsmith.functions.names import addressed_name, salutation_safe, with_split_name
 from leadsmith.functions.text import (
@@ -16,6 +17,7 @@ from leadsmith.functions.text import (
     email_domain_first,
     email_domain_last,
     normalize_domain,
+    normalize_url,
     same_host,
     slug_title,
     url_host,
@@ -36,6 +38,7 @@ from leadsmith.operators.extract import (
     prefer_domain,
     posting_links,
     scan_emails,
+    with_nodes,
 )
 from leadsmith.operators.filters import (
     drop_any_null,
@@ -58,11 +61,14 @@ from leadsmith.plans.flows import (
     common_mailbox,
     contact_funnel_counts,
     daily_run,
+    new_postings,
     posting_funnel_counts,
+    url_state_create,
     url_state_update,
 )
 from leadsmith.session import scratch_path
 from leadsmith.sources.derived import (
+    agency_master,
     contact_site_pages,
     customer_contacts,
     name_gender_table,
@@ -73,12 +79,22 @@ from leadsmith.sources.derived import (
     site_domain_master,
     suppliers_with_sites,
 )
-from leadsmith.sources.io import captured_pages, load_snapshot, read_parquet, read_text_table, with_blank_nulls
+from leadsmith.sources.io import (
+    NA_WORDS,
+    append_rows,
+    captured_pages,
+    load_latest,
+    load_or_create,
+    load_table,
+    read_parquet,
+    read_text_table,
+    with_blank_nulls,
+    write_version,
+)
 from leadsmith.streaming.ingest import (
     ingest_contacts,
     landed_files,
-    run_to_table,
-    streaming_keep_first,
+    keep_first_to_table,
 )
 
 # Query parameters (small fixed inputs applied to the full tables).
@@ -244,12 +260,16 @@ def _site_pages(spark, sf_dir):
     return captured_pages(contact_site_pages(spark, sf_dir))
 
 
+def _site_domain():
+    return normalize_domain(normalize_url("url"))
+
+
 def _exploded(pages, arr, name="email"):
     return pages.select("page_id", F.explode(arr).alias(name))
 
 
 def q_site_mailto(spark, sf_dir):
-    """E2 + E3: mailto addresses (upper-case scheme, query cut, single quotes)."""
+    """E2 + E3: mailto addresses (upper-case scheme, query cut, any quoting)."""
     return _exploded(_site_pages(spark, sf_dir), mailto_emails(F.col("html"))).distinct()
 
 
@@ -259,22 +279,28 @@ def q_site_cf_decode(spark, sf_dir):
 
 
 def q_site_jsonld(spark, sf_dir):
-    """E5: addresses in JSON-LD blocks (top-level arrays accepted)."""
-    return _exploded(_site_pages(spark, sf_dir), jsonld_emails(F.col("html")))
+    """E5: addresses in the values of JSON-LD blocks (escapes, top-level arrays)."""
+    return _exploded(with_nodes(_site_pages(spark, sf_dir)), jsonld_emails(F.col("__json")))
 
 
 def q_site_iframes(spark, sf_dir):
-    """E7 + W5 + T3 + P8: resolved same-host iframe URLs, at most three."""
-    p = _site_pages(spark, sf_dir)
-    arr = iframe_links(F.col("html"), F.col("url"), normalize_domain("url"))
+    """E7 + T3 + P8: resolved same-host iframe URLs, all of them."""
+    p = with_nodes(_site_pages(spark, sf_dir))
+    arr = iframe_links(F.col("__nodes"), F.col("url"), _site_domain())
     return (p.select("page_id", F.posexplode(arr).alias("pos", "frame_url"))
             .select("page_id", (F.col("pos") + 1).cast("long").alias("pos"), "frame_url"))
 
 
+def q_site_iframes_top(spark, sf_dir):
+    """The first three iframes of a page, as an option."""
+    p = with_nodes(_site_pages(spark, sf_dir))
+    arr = iframe_links(F.col("__nodes"), F.col("url"), _site_domain(), limit=3)
+    return _exploded(p, arr, "frame_url")
+
+
 def q_site_findings(spark, sf_dir):
     """U7 + A3 + A5 over the contact sites (all six sources)."""
-    pages = _site_pages(spark, sf_dir).withColumn("domain", normalize_domain("url"))
-    return page_summaries(pages)
+    return page_summaries(_site_pages(spark, sf_dir).withColumn("domain", _site_domain()))
 
 
 def q_frontier(spark, sf_dir):
@@ -293,9 +319,9 @@ def q_candidates(spark, sf_dir):
 def q_candidates_best(spark, sf_dir):
     """J5 + A2 + A4: best generic mailbox per site domain from all findings of
     the site's pages (https pages tier 1, http pages tier 2)."""
-    pages = _site_pages(spark, sf_dir).withColumn("domain", normalize_domain("url"))
+    pages = _site_pages(spark, sf_dir).withColumn("domain", _site_domain())
     found = extract_page_findings(pages).select(
-        "domain", F.when(F.col("url").startswith("https:"), 1).otherwise(2).alias("tier"), "email")
+        "domain", F.when(F.lower("url").startswith("https:"), 1).otherwise(2).alias("tier"), "email")
     domains = suppliers_with_sites(spark, sf_dir).select("domain")
     return best_candidate(domains, found)
 
@@ -311,6 +337,7 @@ REGISTRY.update({
     "site_cf_decode": q_site_cf_decode,
     "site_jsonld": q_site_jsonld,
     "site_iframes": q_site_iframes,
+    "site_iframes_top": q_site_iframes_top,
     "site_findings": q_site_findings,
     "frontier": q_frontier,
     "candidates": q_candidates,
@@ -449,9 +476,12 @@ def _url_changes(spark, sf_dir):
                     F.col("event_type").alias("column"), value.alias("value"))
 
 
+EVENT_COLUMNS = ["click", "error", "purchase", "signup", "view"]
+
+
 def q_upsert(spark, sf_dir):
     """U4 + U6: events as a batch of cell changes on the URL state table."""
-    return apply_changes(_url_state(spark, sf_dir), _url_changes(spark, sf_dir))
+    return apply_changes(_url_state(spark, sf_dir), _url_changes(spark, sf_dir), columns=EVENT_COLUMNS)
 
 
 def q_delete_key(spark, sf_dir):
@@ -499,21 +529,28 @@ def q_posting_fields(spark, sf_dir):
 
 
 def _raw_base(spark, sf_dir):
+    """The raw table of earlier runs: parts of the smaller sizes."""
     detail = posting_detail_pages(spark, sf_dir)
     part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_size")
     earlier = detail.join(part.where(F.col("p_size") <= 25), detail.page_id == part.p_partkey, "left_semi")
     return drop_incomplete(posting_fields(earlier), RAW_COLS)
 
 
+PERIOD = 7
+
+
+def _new_postings(spark, sf_dir):
+    return new_postings(posting_listing_pages(spark, sf_dir), posting_detail_pages(spark, sf_dir), PERIOD, AS_OF)
+
+
 def q_collect_postings(spark, sf_dir):
-    """yesterday's raw table + today's complete records, merged."""
-    return collect_postings(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir))
+    """E8 links of the period's listing pages -> E9 -> P7, merged into the raw table."""
+    return collect_postings(_new_postings(spark, sf_dir), _raw_base(spark, sf_dir))
 
 
 def q_collect_agencies(spark, sf_dir):
-    """Contact columns of the merged raw table, accumulated."""
-    raw = collect_postings(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir))
-    return collect_agencies(raw, _raw_base(spark, sf_dir))
+    """The contact columns, merged into the agencies table."""
+    return collect_agencies(_new_postings(spark, sf_dir), _raw_base(spark, sf_dir))
 
 
 REGISTRY.update({
@@ -524,6 +561,17 @@ REGISTRY.update({
 })
 
 
+def _found_addresses(stream):
+    found = scan_emails(stream.select("doc_id", "text"), "text", ["doc_id"], with_pos=True)
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "email",
+                        email_domain_last("email").alias("domain"),
+                        (F.col("doc_id") * 100000 + F.col("pos")).alias("ingest_seq"))
+
+
+def _clean_addresses(batch, master):
+    return clean_contacts(batch, master, EMAIL_BLOCKLIST, columns=["doc_id", "pos", "domain"])
+
+
 def q_stream_ingest(spark, sf_dir):
     """Documents land as files; each micro-batch extracts addresses, runs
     the contact clean-up against the master and appends the rest."""
@@ -531,16 +579,7 @@ def q_stream_ingest(spark, sf_dir):
     source = f"{sf_dir.rstrip('/')}/documents.parque[t]"  # a glob: the file source wants one
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "text").schema
 
-    def prepare(stream):
-        found = scan_emails(stream.select("doc_id", "text"), "text", ["doc_id"], with_pos=True)
-        return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "email",
-                            email_domain_last("email").alias("domain"),
-                            (F.col("doc_id") * 100000 + F.col("pos")).alias("ingest_seq"))
-
-    def clean(batch, master):
-        return clean_contacts(batch, master, EMAIL_BLOCKLIST, columns=["doc_id", "pos", "domain"])
-
-    ingest_contacts(spark, source, schema, f"{run}/master", f"{run}/checkpoint", clean, prepare,
+    ingest_contacts(spark, source, schema, f"{run}/master", f"{run}/checkpoint", _clean_addresses, _found_addresses,
                     base_path=sf_dir)
     return spark.read.parquet(f"{run}/master").select("doc_id", "pos", "email", "domain")
 
@@ -552,43 +591,82 @@ def q_stream_keep_first(spark, sf_dir):
     source = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a glob: the file source wants one
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id").schema
     stream = landed_files(spark, source, schema, base_path=sf_dir)
-    firsts = streaming_keep_first(stream, ["user_id"], "ts").select("user_id")
-    run_to_table(firsts, f"{run}/out", f"{run}/checkpoint")
-    return spark.read.parquet(f"{run}/out")
+    keep_first_to_table(stream, ["user_id"], "ts", f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out").select("user_id")
+
+
+def _split_files(spark, sf_dir, name, columns, key):
+    """A table as four landed files, dealt by a key: one micro-batch each."""
+    path = scratch_path(spark, "landed", name)
+    df = read_parquet(spark, sf_dir, name).select(*columns)
+    for part in range(4):
+        df.where(F.pmod(F.xxhash64(key), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
+    return path, df.schema
+
+
+def q_stream_ingest_batches(spark, sf_dir):
+    """S1 over several micro-batches: as ``stream_ingest``, one file per trigger.
+    Which document an address comes from depends on the batches, so addresses only."""
+    run = scratch_path(spark, "stream_ingest_batches")
+    path, schema = _split_files(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
+    ingest_contacts(spark, path, schema, f"{run}/master", f"{run}/checkpoint", _clean_addresses, _found_addresses,
+                    max_files_per_trigger=1)
+    return spark.read.parquet(f"{run}/master").select("email", "domain")
+
+
+def q_stream_keep_first_batches(spark, sf_dir):
+    """S2 over several micro-batches: users whose events are spread over all files."""
+    run = scratch_path(spark, "stream_keep_first_batches")
+    path, schema = _split_files(spark, sf_dir, "events", ["event_id", "ts", "user_id"], "event_id")
+    stream = landed_files(spark, path, schema, max_files_per_trigger=1)
+    keep_first_to_table(stream, ["user_id"], "ts", f"{run}/out", f"{run}/checkpoint")
+    return spark.read.parquet(f"{run}/out").select("user_id")
 
 
 REGISTRY.update({
     "stream_ingest": q_stream_ingest,
     "stream_keep_first": q_stream_keep_first,
+    "stream_ingest_batches": q_stream_ingest_batches,
+    "stream_keep_first_batches": q_stream_keep_first_batches,
 })
 
 
 def q_url_state(spark, sf_dir):
-    """The URL state table kept as snapshots: the first snapshot from
-    the pages, then one batch of upserts and deletes published as the next."""
+    """The URL state table in versions: the first from the pages, the second
+    from a batch of upserts and deletes, the third from a batch that touches one
+    new column only; what the second added is still there."""
     root = scratch_path(spark, "url_state")
-    base = _url_state(spark, sf_dir)
-    url_state_update(root, base.schema, changes=None, deletes=None, initial=base)
+    url_state_create(root, _url_state(spark, sf_dir))
     ev = read_parquet(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id")
     pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
     dels = pages.join(ev, pages.page_id == ev.user_id, "left_semi").select("url")
-    url_state_update(root, base.schema, changes=_url_changes(spark, sf_dir), deletes=dels)
-    schema = apply_changes(base, _url_changes(spark, sf_dir)).schema
-    return load_snapshot(spark, root, schema)
-
-
-def q_daily_run(spark, sf_dir):
-    """Collect -> clean postings -> clean contacts -> enrich -> master."""
-    master = spark.createDataFrame(
-        [], "company string, person string, email string, gender string, first_name string, last_name string")
-    out = daily_run(posting_detail_pages(spark, sf_dir), _raw_base(spark, sf_dir), master,
-                    name_gender_table(spark))
-    return out["master"]
+    url_state_update(root, changes=_url_changes(spark, sf_dir), deletes=dels, columns=EVENT_COLUMNS)
+    flags = pages.where(F.col("page_id") % 3 == 0).select(
+        F.col("page_id").alias("seq"), "url", F.lit("flag01").alias("column"),
+        F.col("page_id").cast("string").alias("value"))
+    checks = pages.where(F.col("page_id") % 5 == 0).select(
+        F.col("page_id").alias("seq"), "url", F.lit("url_checked").alias("column"),
+        F.when(F.col("page_id") % 2 == 0, "true").otherwise("maybe").alias("value"))
+    url_state_update(root, changes=flags.unionByName(checks), columns=["flag01", "url_checked"])
+    return load_latest(spark, root)[0]
+
+
+def _daily_run(name):
+    def run(spark, sf_dir):
+        raw = _raw_base(spark, sf_dir)
+        return daily_run(posting_listing_pages(spark, sf_dir), posting_detail_pages(spark, sf_dir), raw, raw,
+                         agency_master(spark, sf_dir), name_gender_table(spark), scratch_path(spark, "daily_run"),
+                         PERIOD, AS_OF, title_terms=POSTING_TERMS)[name]
+    run.__doc__ = f"C8: the {name} of a day's run over a period, with a master of known contacts."
+    return run
 
 
 REGISTRY.update({
     "url_state": q_url_state,
-    "daily_run": q_daily_run,
+    "daily_run": _daily_run("master"),
+    "daily_run_agencies": _daily_run("agencies"),
+    "daily_run_postings": _daily_run("postings"),
+    "daily_run_outbox": _daily_run("outbox"),
 })
 
 
@@ -622,11 +700,82 @@ REGISTRY.update({
 
 
 def q_site_labels(spark, sf_dir):
-    """E6 (+ E10): addresses in the text segment around a contact label."""
-    pages = with_visible_text(_site_pages(spark, sf_dir).select("page_id", "html"), "html", "text")
-    return pages.select("page_id", F.explode(label_emails(F.col("text"))).alias("email"))
+    """Addresses in the element around a contact label."""
+    return _exploded(with_nodes(_site_pages(spark, sf_dir)), label_emails(F.col("__nodes")))
+
+
+def _long_words(spark, sf_dir):
+    """Every word of 11 or more ASCII letters in the documents: thousands of terms."""
+    docs = read_text_table(spark, sf_dir, "documents", ["text"])
+    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), F.lit(0))))
+                       .alias("term")).distinct()
+
+
+def q_exclude_term_table(spark, sf_dir):
+    """P6 with a table of terms: conversation turns without any of them."""
+    conv = read_text_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    return exclude_terms(conv, "text", _long_words(spark, sf_dir)).select("conv_id", "turn")
+
+
+def _block_table(spark, sf_dir):
+    c = _contacts(spark, sf_dir)
+    s = suppliers_with_sites(spark, sf_dir)
+    return (c.where(F.col("ingest_seq") % 4 != 0).select(F.upper("email").alias("term"))
+            .unionByName(s.select(F.concat(F.lit("."), F.col("domain")).alias("term")))
+            .unionByName(s.limit(1).select(F.lit("household.example ").alias("term")))
+            .unionByName(s.limit(1).select(F.lit(" . ").alias("term"))))
+
+
+def q_email_block_table(spark, sf_dir):
+    """P5 with a table of addresses and domains."""
+    return email_blocklist(_contacts(spark, sf_dir), "email", _block_table(spark, sf_dir)).select("ingest_seq", "email")
+
+
+CONTACT_SCHEMA = "ingest_seq long, company string, person string, email string"
+
+
+def q_load_csv(spark, sf_dir):
+    """L1: contacts written as CSV and loaded with a fixed schema; blank cells and NA
+    words become null."""
+    path = scratch_path(spark, "contacts_csv")
+    c = _contacts(spark, sf_dir).withColumn("company", F.when(F.col("ingest_seq") % 5 == 0, "N/A").otherwise(F.col("company")))
+    c.write.option("header", "true").csv(path)
+    return load_table(spark, path, T.StructType.fromDDL(CONTACT_SCHEMA), "csv", NA_WORDS)
+
+
+def q_load_or_create(spark, sf_dir):
+    """L2 + L3: a table that does not exist is created empty, then replaced."""
+    root = scratch_path(spark, "created")
+    empty, version = load_or_create(spark, root, T.StructType.fromDDL(CONTACT_SCHEMA))
+    write_version(append_union(empty, _contacts(spark, sf_dir).where("ingest_seq % 2 = 0")), root, version + 1)
+    return load_or_create(spark, root, T.StructType.fromDDL(CONTACT_SCHEMA))[0]
+
+
+def q_append_rows(spark, sf_dir):
+    """L4: rows appended in two writes; duplicates are kept."""
+    path = scratch_path(spark, "appended")
+    c = _contacts(spark, sf_dir)
+    append_rows(c, path)
+    append_rows(c.where("ingest_seq % 3 = 0"), path)
+    return spark.read.schema(c.schema).parquet(path)
+
+
+def q_admitted_pages(spark, sf_dir):
+    """Pages with a status below 400 and an HTML content type."""
+    pages = read_parquet(spark, sf_dir, "pages").select("page_id", "html")
+    k = F.col("page_id")
+    seen = pages.select("page_id", "html", F.when(k % 7 == 0, 404).otherwise(200).alias("status"),
+                        F.when(k % 5 == 0, F.lit("application/pdf")).when(k % 11 == 0, F.lit(None).cast("string"))
+                        .otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"))
+    return captured_pages(seen).select("page_id", F.length("html").cast("long").alias("n"))
 
 
 REGISTRY.update({
     "site_labels": q_site_labels,
+    "exclude_term_table": q_exclude_term_table,
+    "email_block_table": q_email_block_table,
+    "load_csv": q_load_csv,
+    "load_or_create": q_load_or_create,
+    "append_rows": q_append_rows,
+    "admitted_pages": q_admitted_pages,
 })

@@ -6,17 +6,20 @@ company sites that Spark builds from the supplier table: one site per
 supplier, three pages each, so the corpus grows with the data. What a site
 contains depends on the supplier's region (``n_regionkey``):
 
-* region 0 — home page: a ``MAILTO:`` link with ``?subject=`` to ``info@``
+* region 0 — home page: a ``MAILTO:`` link with ``?subject=`` to ``info@``, and for
+  even suppliers an unquoted one to ``sales@``
 * region 1 — home page: a protected ``kontakt@`` address and a JSON-LD block
-  (a top-level array) with ``Jobs@`` and ``hr@``
-* region 2 — home page: an iframe to ``/frame/kontakt`` whose page spells
-  ``office [at] … [dot] …``
+  (a top-level array) with an escaped ``Jobs@``, a text with ``hr@`` and an address
+  as a key
+* region 2 — home page: four same-host iframes, the last to ``/frame/kontakt`` whose
+  page spells ``office [at] … [dot] …`` 300 characters after its label
 * region 3 — only the http page ``/impressum`` has ``team@`` (single-quoted mailto)
-* region 4 — no generic mailbox anywhere
+* region 4 — no generic mailbox; a double-quoted mailto with an apostrophe
 
 Every home page also carries a personal address of the site's domain, a
 third-party address in a script and one in a comment (dropped by the
-same-domain preference), and an off-site iframe.
+same-domain preference), and an off-site iframe. Some URLs are written with an
+upper-case host, the default port and a fragment.
 """
 
 from __future__ import annotations
@@ -60,22 +63,26 @@ def contact_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), F.col("s_name"), F.lit("</title>"),
         when_region(1, F.concat(
-            F.lit('<script type="application/ld+json">[{"@type":"Organization","contactPoint":{"email":"Jobs@'),
-            d, F.lit('"}},{"x":["see hr@'), d, F.lit('"]}]</script>'))),
+            F.lit('<script type="application/ld+json">[{"@type":"Organization","contactPoint":{"email":"Jobs\\u0040'),
+            d, F.lit('"}},{"x":["see hr@'), d, F.lit('"],"key@'), d, F.lit('":1}]</script>'))),
         F.lit('<style>p{margin:0}</style><script>var t="q@tracker.example";</script></head><body>'),
         F.lit("<!-- c@comment.example --><h1>"), F.col("s_name"), F.lit("</h1>"),
         when_region(0, F.concat(F.lit('<a HREF="MAILTO:Info@'), d,
-                                F.lit('?subject=Hi%20x">Mail</a>'))),
+                                F.lit('?subject=Hi%20x">Mail</a>'),
+                                F.when(k % 2 == 0, F.concat(F.lit("<a href=mailto:Sales@"), d, F.lit(">Sales</a>")))
+                                .otherwise(F.lit("")))),
         when_region(1, F.concat(F.lit('<span class="__cf_email__" data-cfemail="'),
                                 cf_encode(F.concat(F.lit("kontakt@"), d), key),
                                 F.lit('">[email protected]</span>'))),
-        when_region(2, F.lit('<iframe src="/frame/kontakt"></iframe>')),
+        when_region(2, F.lit('<iframe src="/frame/a"></iframe><iframe src=/frame/b></iframe>'
+                             "<iframe src='/frame/c'></iframe>" '<iframe src="/frame/kontakt"></iframe>')),
+        when_region(4, F.concat(F.lit('<a href="mailto:O\'Brien@'), d, F.lit('">B</a>'))),
         F.lit("<p>Ansprechpartner: "), person, F.lit("</p>"),
         F.lit('<iframe src="https://other.example/b"></iframe></body></html>'),
     )
     frame = F.concat(
         F.lit("<html><body><p>Kontakt: "),
-        when_region(2, F.concat(F.lit("office [at] "), F.replace(d, F.lit("."), F.lit(" [dot] ")))),
+        when_region(2, F.concat(F.lit("<b>"), F.repeat(F.lit("lorem "), 50), F.lit("</b>office [at] "), F.replace(d, F.lit("."), F.lit(" [dot] ")))),
         F.lit("</p></body></html>"),
     )
     imprint = F.concat(
@@ -83,12 +90,16 @@ def contact_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         when_region(3, F.concat(F.lit("<a href='mailto:team@"), d, F.lit("'>Team</a>"))),
         F.lit("<p>"), F.col("s_name"), F.lit("</p></body></html>"),
     )
+    home_url = F.when(k % 3 == 0, F.concat(F.lit("https://"), F.upper(d), F.lit(":443/#top"))) \
+        .otherwise(F.concat(F.lit("https://"), d, F.lit("/")))
+    imprint_url = F.when(k % 3 == 1, F.concat(F.lit("HTTP://"), F.upper(d), F.lit(":80/impressum"))) \
+        .otherwise(F.concat(F.lit("http://"), d, F.lit("/impressum")))
     pages = F.array(
-        F.struct((k * 10 + 1).alias("page_id"), F.concat(F.lit("https://"), d, F.lit("/")).alias("url"),
+        F.struct((k * 10 + 1).alias("page_id"), home_url.alias("url"),
                  home.alias("html")),
         F.struct((k * 10 + 2).alias("page_id"), F.concat(F.lit("https://"), d, F.lit("/frame/kontakt")).alias("url"),
                  frame.alias("html")),
-        F.struct((k * 10 + 3).alias("page_id"), F.concat(F.lit("http://"), d, F.lit("/impressum")).alias("url"),
+        F.struct((k * 10 + 3).alias("page_id"), imprint_url.alias("url"),
                  imprint.alias("html")),
     )
     return s.select(F.explode(pages).alias("p")).select("p.page_id", "p.url", "p.html")
@@ -118,7 +129,7 @@ def site_domain_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Contacts derived from ``customer``: a person name in one of seven shapes
 # (plain, "Last, First", titles and particles, a middle name, one word,
-# blank), null for customers in debt; the e-mail is built from the name.
+# blank; some with a suffix), null for customers in debt; the e-mail is built from the name.
 # ---------------------------------------------------------------------------
 FIRST_NAMES = ["Anna", "Max", "Lena", "Jan", "Maria", "Paul", "Sophie", "Lukas", "Andrea", "Kim"]
 LAST_NAMES = ["Mueller", "Schmidt", "Heide", "Berg", "Wagner", "Becker", "Hoffmann", "Koch", "Richter", "Wolf"]
@@ -135,10 +146,10 @@ def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.element_at(F.array(*[F.lit(n) for n in LAST_NAMES]), (F.floor(k / 10) % 10 + 1).cast("int"))
     shape = k % 7
     person = (F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
-              .when(shape == 0, F.concat(first, F.lit(" "), last))
+              .when(shape == 0, F.concat(first, F.lit(" "), last, F.when(k % 3 == 1, F.lit(" MBA")).otherwise(F.lit(""))))
               .when(shape == 1, F.concat(last, F.lit(", "), first))
               .when(shape == 2, F.concat(F.lit("Dr. "), first, F.lit(" von der "), last))
-              .when(shape == 3, F.concat(first, F.lit(" Maria "), last))
+              .when(shape == 3, F.concat(first, F.lit(" Maria "), last, F.when(k % 2 == 1, F.lit(", PhD")).otherwise(F.lit(""))))
               .when(shape == 4, first)
               .when(shape == 5, F.concat(F.lit("Prof. Dr. "), first, F.lit(" van den "), last))
               .otherwise(F.lit("  ")))
@@ -191,6 +202,13 @@ def _part_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "s_suppkey", "s_name"))
 
 
+def _agent(k: Column) -> tuple[Column, Column, Column]:
+    """First name, last name and address of a supplier's contact."""
+    first = F.element_at(F.array(*[F.lit(n) for n in FIRST_NAMES]), (k % 10 + 1).cast("int"))
+    last = F.element_at(F.array(*[F.lit(n) for n in LAST_NAMES]), (F.floor(k / 10) % 10 + 1).cast("int"))
+    return first, last, F.concat(F.lower(first), F.lit("@s"), k.cast("string"), F.lit(".example"))
+
+
 def posting_url(partkey: Column, name: Column) -> Column:
     return F.concat(F.lit("https://projects.example/projekte/projekt-"), partkey.cast("string"),
                     F.lit("-"), F.replace(name, F.lit(" "), F.lit("-")))
@@ -200,13 +218,11 @@ def posting_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, html)`` — one detail page per part."""
     a = _part_agency(spark, sf_dir)
     k = F.col("s_suppkey")
-    first = F.element_at(F.array(*[F.lit(n) for n in FIRST_NAMES]), (k % 10 + 1).cast("int"))
-    last = F.element_at(F.array(*[F.lit(n) for n in LAST_NAMES]), (F.floor(k / 10) % 10 + 1).cast("int"))
+    first, last, email = _agent(k)
     person = F.concat(first, F.lit(" "), last)
-    email = F.concat(F.lower(first), F.lit("@s"), k.cast("string"), F.lit(".example"))
     v1 = F.concat(
         F.lit('<div class="list-item-main"><span class="h5">'), person, F.lit("</span></div>"),
-        F.lit('<div class="col-sm-6 margin-bottom-sm">E-Mail: <a href="mailto:'), email, F.lit('">'),
+        F.lit('<div class="col-sm-6 margin-bottom-sm"><b>E-Mail:</b> <a href="mailto:'), email, F.lit('">'),
         email, F.lit("</a></div>"))
     v2 = F.concat(
         F.lit('<div class="media-body"><div class="col-md-6">'), person, F.lit("\nRecruiting</div></div>"),
@@ -219,20 +235,24 @@ def posting_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(
         F.lit('<html><body><div class="highlight-text"><h1 class="margin-bottom-xs"> '), F.col("p_name"),
         F.lit(" </h1></div>"), agency,
-        F.lit('<div class="panel-body highlight-text"><p>'), F.col("p_type"), F.lit("</p> <p>"),
-        F.col("p_brand"), F.lit("</p></div></body></html>"))
+        F.lit('<div class="other"><a onclick="window.open(1)">Another company</a></div>'
+              '<div class="panel-body highlight-text"><div><p>'), F.col("p_type"), F.lit("</p></div> <div><p>"),
+        F.col("p_brand"), F.lit("</p></div></div><div>After the description</div></body></html>"))
     return a.select(F.col("p_partkey").alias("page_id"),
                     posting_url(F.col("p_partkey"), F.col("p_name")).alias("url"), html.alias("html"))
 
 
 def posting_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, url, html)`` — listing pages of ``LISTING_PAGE_SIZE`` cards.
+    """``(page_id, url, html, listed_at)`` — listing pages of ``LISTING_PAGE_SIZE`` cards.
     A page gathers at most that many cards, so no group is unbounded."""
     p = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name")
-    card = F.concat(
-        F.lit('<search-project-card><a class="small fw-semibold link-warning" href="/projekte/projekt-'),
-        F.col("p_partkey").cast("string"), F.lit("-"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
-        F.lit('">'), F.col("p_name"), F.lit("</a></search-project-card>"))
+    link = F.concat(F.lit("/projekte/projekt-"), F.col("p_partkey").cast("string"), F.lit("-"),
+                    F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))
+    card = F.when(F.col("p_partkey") % 2 == 0, F.concat(
+        F.lit('<search-project-card><a class="small fw-semibold link-warning" href="'), link, F.lit('">'))).otherwise(F.concat(
+            F.lit("<search-project-card><div><a href=/firma/1>Firma</a><p><a href='"), link,
+            F.lit("' class='link-warning fw-semibold x small'>")))
+    card = F.concat(card, F.col("p_name"), F.lit("</a></div></search-project-card>"))
     page_no = (F.floor(F.col("p_partkey") / LISTING_PAGE_SIZE) + 1).cast("long")
     grouped = (p.select(page_no.alias("page_id"), F.struct("p_partkey", card.alias("card")).alias("c"))
                .groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("cards")))
@@ -241,4 +261,15 @@ def posting_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://projects.example/projekte?page="), F.col("page_id").cast("string"),
                  F.lit("&pageSize="), F.lit(str(LISTING_PAGE_SIZE))).alias("url"),
         F.concat(F.lit("<html><body>"), F.array_join(F.transform("cards", lambda c: c["card"]), ""),
-                 F.lit("</body></html>")).alias("html"))
+                 F.lit("</body></html>")).alias("html"),
+        F.date_sub(F.lit("2024-01-30").cast("date"), (F.col("page_id") % 10).cast("int")).cast("timestamp_ntz")
+        .alias("listed_at"))
+
+
+def agency_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contact master of earlier runs: the agencies of every fourth supplier."""
+    s = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name").where(F.col("s_suppkey") % 4 == 0)
+    first, last, email = _agent(F.col("s_suppkey"))
+    return s.select(F.col("s_name").alias("company"), F.concat(first, F.lit(" "), last).alias("person"),
+                    email.alias("email"), F.lit("unknown").alias("gender"), first.alias("first_name"),
+                    last.alias("last_name"))

@@ -1,21 +1,20 @@
 """Table sources and sinks.
 
 * Reads always take an explicit schema (no inference) and map blanks to null.
-* Overwrites never touch a path the plan may be reading: each write goes to a
-  new snapshot directory and a small pointer file names the current one.
+* Overwrites never touch a path the plan may be reading: each write is a new
+  numbered folder of the table, and the highest complete number is current.
 * Appends are plain ``mode("append")`` writes (no read-rewrite of the master).
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsmith.functions.text import blank_to_null, cap_bytes
+from leadsmith.functions.text import blank_to_null
 
 # Words read as missing values by spreadsheet-style loaders.
 NA_WORDS = ["NA", "N/A", "n/a", "NULL", "null", "NaN", "nan", "#N/A", "<NA>", "None"]
@@ -71,80 +70,52 @@ def with_blank_nulls(df: DataFrame, na_words: Sequence[str] = ()) -> DataFrame:
 # --------------------------------------------------------------------------- L2 / L3 / L4
 
 
-def _fs(spark: SparkSession, path: str):
+def _versions(spark: SparkSession, table_root: str) -> list[int]:
+    """Numbers of the complete versions (``v=1``, ``v=2``, ..) below a table's folder."""
     jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, jpath
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, jpath = _fs(spark, path)
-    return bool(fs.exists(jpath))
-
-
-def _pointer(table_root: str) -> str:
-    return f"{table_root.rstrip('/')}/CURRENT"
-
-
-def _write_pointer(spark: SparkSession, table_root: str, name: str) -> None:
-    """Write the pointer file: a temp file first, then a rename over the old
-    pointer (atomic on HDFS-like stores), through the Hadoop FileSystem API."""
-    fs, tmp = _fs(spark, f"{table_root.rstrip('/')}/CURRENT.tmp-{uuid.uuid4().hex}")
-    out = fs.create(tmp, True)
-    out.write(bytearray(name.encode("utf-8")))
-    out.close()
-    _, dst = _fs(spark, _pointer(table_root))
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    if not fs.rename(tmp, dst):
-        raise OSError(f"could not move the snapshot pointer into place under {table_root}")
-
-
-def current_snapshot(spark: SparkSession, table_root: str) -> str | None:
-    """The snapshot directory the pointer names, or None for a new table."""
-    ptr = _pointer(table_root)
-    if not path_exists(spark, ptr):
-        return None
-    first = spark.read.text(ptr).first()
-    if first is None or not first[0].strip():
-        return None
-    return f"{table_root.rstrip('/')}/{first[0].strip()}"
-
-
-def write_snapshot(df: DataFrame, table_root: str, fmt: str = "parquet",
-                   partition_by: Sequence[str] = ()) -> str:
-    """L3: write ``df`` as a new snapshot, then switch the pointer to it.
-
-    The old snapshot stays readable until the pointer moves, so a plan that
-    reads the current table can safely produce its replacement.
-    """
-    spark = df.sparkSession
-    name = f"snap-{uuid.uuid4().hex}"
-    path = f"{table_root.rstrip('/')}/{name}"
+    root = jvm.org.apache.hadoop.fs.Path(table_root)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [(p.getPath().getName(), p.getPath()) for p in fs.listStatus(root) if p.isDirectory()]
+    return sorted(int(name[2:]) for name, path in found if name.startswith("v=") and name[2:].isdigit()
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")))
+
+
+def version_path(table_root: str, version: int) -> str:
+    return f"{table_root.rstrip('/')}/v={version}"
+
+
+def write_version(df: DataFrame, table_root: str, version: int, fmt: str = "parquet",
+                  partition_by: Sequence[str] = ()) -> str:
+    """L3: write ``df`` as the table's version ``version``. A version is a plain
+    folder, written once: a second writer of the same number fails instead of
+    replacing it, and earlier versions stay readable, so a plan may read the
+    version before the one it writes."""
+    path = version_path(table_root, version)
     w = df.write.mode("errorifexists").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    _write_pointer(spark, table_root, name)
     return path
 
 
-def load_snapshot(spark: SparkSession, table_root: str, schema: T.StructType,
-                  fmt: str = "parquet") -> DataFrame:
-    """L2: the current snapshot, or an empty table with ``schema`` if none exists."""
-    snap = current_snapshot(spark, table_root)
-    if snap is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).format(fmt).load(snap)
+def load_latest(spark: SparkSession, table_root: str, fmt: str = "parquet") -> tuple[DataFrame, int]:
+    """L2: the table's latest complete version, with all columns stored in it, and
+    its number. A table without any version is an error, not an empty table."""
+    versions = _versions(spark, table_root)
+    if not versions:
+        raise FileNotFoundError(f"no complete version of a table below {table_root}")
+    return spark.read.format(fmt).load(version_path(table_root, versions[-1])), versions[-1]
 
 
 def load_or_create(spark: SparkSession, table_root: str, schema: T.StructType,
-                   fmt: str = "parquet") -> DataFrame:
-    """L2: like ``load_snapshot`` but persists the empty table on first use."""
-    if current_snapshot(spark, table_root) is None:
-        write_snapshot(spark.createDataFrame([], schema), table_root, fmt)
-    return load_snapshot(spark, table_root, schema, fmt)
+                   fmt: str = "parquet") -> tuple[DataFrame, int]:
+    """L2: like ``load_latest``; a folder that does not exist or is empty gets an
+    empty version 1 with ``schema``."""
+    if not _versions(spark, table_root):
+        write_version(spark.createDataFrame([], schema), table_root, 1, fmt)
+    return load_latest(spark, table_root, fmt)
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet",
@@ -159,17 +130,12 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet",
 # --------------------------------------------------------------------------- L5
 
 
-def captured_pages(pages: DataFrame, html_col: str = "html",
-                   max_bytes: int | None = None) -> DataFrame:
+def captured_pages(pages: DataFrame) -> DataFrame:
     """Admit pages like a fetch would (status < 400, an HTML content type,
-    when those columns exist). Pages are processed whole by default; the
-    original's fetch-time read limit (``lookups.PAGE_BYTE_CAP`` bytes) is available as
-    ``max_bytes`` for callers that want to reproduce a capped fetch."""
+    when those columns exist). Pages are processed whole."""
     cols = set(pages.columns)
     if "status" in cols:
         pages = pages.where(F.col("status") < 400)
     if "content_type" in cols:
         pages = pages.where(F.coalesce(F.col("content_type").contains("text/html"), F.lit(False)))
-    if max_bytes is not None:
-        pages = pages.withColumn(html_col, cap_bytes(F.col(html_col), max_bytes))
     return pages

@@ -1,4 +1,4 @@
-"""Lookup lists shipped as defaults, and helpers that turn lists into tables.
+"""Lookup lists shipped as defaults.
 
 Lists are parameters of every operator: callers pass their own tables; these
 are only defaults. Order matters where a list is a priority (local parts,
@@ -7,11 +7,6 @@ contact paths): the row position becomes an explicit ``rank`` column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the behaviour being reproduced, so they are
 # stated as-is, in their original order.
@@ -69,9 +64,6 @@ DOMAIN_BAD_LIST = ["aplitrak.com"]
 # Surname particles joined to the last name when they sit in the middle.
 NAME_PARTICLES = ["von", "van", "vom", "zu", "zur", "zum", "de", "der", "den", "del", "della", "du", "di"]
 
-# Gender values a name lookup may return.
-GENDER_VALUES = ["male", "female", "mostly_male", "mostly_female", "andy", "unknown"]
-
 # Salutations by gender; anything else gets the neutral text and no name.
 SALUTATION_MALE = "Lieber Herr "
 SALUTATION_FEMALE = "Liebe Frau "
@@ -98,13 +90,12 @@ EMAIL_PATTERN = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 # Label words that mark a contact segment.
 LABEL_PATTERN = r"(?i)e-?mail|kontakt|contact|impressum"
 
+# Class names of the job board's pages.
+CARD_TAG, CARD_LINK_CLASSES = "search-project-card", ["small", "fw-semibold", "link-warning"]
+
 # Recency periods: 0 = the as-of day, 1 = the day before, 7 = the last 7 days.
 RECENCY_PERIODS = (0, 1, 7)
 
-# Page byte cap and iframe limit of the captured-page source.
-PAGE_BYTE_CAP = 900_000
-MAX_IFRAMES_PER_PAGE = 3
-
 # Keyword-score groups, each worth one third by default, and the hand-off
 # threshold in percent.
 SCORE_GROUP_WEIGHTS = {"mini": 1 / 3, "top": 1 / 3, "heading": 1 / 3}
@@ -112,24 +103,3 @@ SCORE_THRESHOLD = 75.0
 
 # Outbox subject line.
 MAIL_SUBJECT = "Anfrage zu Beauftragungen"
-
-# ---------------------------------------------------------------------------
-# Helpers
-# ---------------------------------------------------------------------------
-
-
-def terms_df(spark: SparkSession, terms: Sequence[str], column: str = "term") -> DataFrame:
-    """A one-column table from a list; list order becomes ``rank`` (1-based)."""
-    schema = T.StructType([
-        T.StructField("rank", T.IntegerType(), False),
-        T.StructField(column, T.StringType(), True),
-    ])
-    return spark.createDataFrame([(i + 1, t) for i, t in enumerate(terms)], schema)
-
-
-def name_gender_df(spark: SparkSession, rows: Sequence[tuple[str, str]]) -> DataFrame:
-    schema = T.StructType([
-        T.StructField("first_name", T.StringType(), True),
-        T.StructField("gender", T.StringType(), True),
-    ])
-    return spark.createDataFrame(list(rows), schema)

@@ -3,26 +3,55 @@
 S1: new raw rows land as files; ``readStream`` picks them up,
 ``trigger(availableNow=True)`` processes what is there and stops, and each
 micro-batch runs the contact clean-up against the current master and appends
-the survivors. Re-running a batch (after a failure, same ``batch_id``) adds
-nothing twice: the master anti-join drops rows already appended.
+the survivors. The master is a folder partitioned by a hash bucket of the key
+(``bucket=``): a batch reads only the buckets its keys fall into.
 
 S2: ``dropDuplicatesWithinWatermark`` keeps one row per key while the
-watermark holds the key's state; older repeats are the master anti-join's job.
+watermark holds the key's state; every micro-batch then drops the keys that
+are in the table already, so a repeat in any later batch adds nothing.
+
+Both are safe to repeat: a batch that runs again after a failure finds its
+rows in the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsmith.sources.io import path_exists
+from leadsmith.operators.dedupe import anti_master
+
+#: Buckets of a master table written by this module.
+BUCKETS = 64
+
+
+def key_bucket(keys: Sequence[str]) -> Column:
+    """Hash bucket of a key (null keys have one too)."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-# Distinct keys of one micro-batch up to which they are broadcast to filter
-# the master; above it the clean-up joins the whole master.
-BATCH_KEY_BROADCAST = 1_000_000
+
+def _known(spark: SparkSession, table_path: str, schema: T.StructType, keys: Sequence[str],
+           batch: DataFrame) -> DataFrame:
+    """Keys of the table in the buckets that the batch touches (at most BUCKETS)."""
+    buckets = sorted(r[0] for r in batch.select(key_bucket(keys).alias("b")).distinct().collect())
+    empty = spark.createDataFrame([], T.StructType([schema[k] for k in keys]))
+    try:
+        table = spark.read.option("basePath", table_path).schema(
+            T.StructType([*[schema[k] for k in keys], T.StructField("bucket", T.IntegerType())])).parquet(table_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    return table.where(F.col("bucket").isin(buckets)).select(*keys)
+
+
+def _append(rows: DataFrame, keys: Sequence[str], table_path: str) -> None:
+    (rows.withColumn("bucket", key_bucket(keys)).repartition("bucket")
+     .write.mode("append").partitionBy("bucket").parquet(table_path))
 
 
 def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType, master_path: str,
@@ -36,31 +65,16 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
     extraction); ``clean(batch, master)`` is the batch clean-up (C1); the
     master at ``master_path`` is a parquet dataset only ever appended to.
     """
-    reader = spark.readStream.schema(schema)
-    if base_path:
-        reader = reader.option("basePath", base_path)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.parquet(source_path)
+    stream = landed_files(spark, source_path, schema, base_path, max_files_per_trigger)
     rows = prepare(stream) if prepare else stream
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        sess = batch.sparkSession
-        if path_exists(sess, master_path):
-            master = sess.read.parquet(master_path).select(key)
-            # Only master rows with a key of this batch matter. The batch's keys
-            # are few (one micro-batch): broadcast them after a bounded count so
-            # the growing master is filtered where it lies instead of shuffled.
-            keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
-            if keys.limit(BATCH_KEY_BROADCAST + 1).count() <= BATCH_KEY_BROADCAST:
-                known = master.join(F.broadcast(keys), key, "left_semi")
-                null_key = master.where(F.col(key).isNull()).distinct()  # at most one row
-                master = known.unionByName(null_key)
-        else:
-            master = sess.createDataFrame([], batch.schema).select(key)
-        cleaned = clean(batch, master)
-        cleaned.withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .write.mode("append").parquet(master_path)
+        batch = batch.persist()     # prepared once; a lost part is computed again
+        try:
+            master = _known(batch.sparkSession, master_path, batch.schema, [key], batch)
+            _append(clean(batch, master).withColumn("batch_id", F.lit(batch_id).cast("long")), [key], master_path)
+        finally:
+            batch.unpersist()
 
     query = (rows.writeStream.foreachBatch(run_batch)
              .option("checkpointLocation", checkpoint_path)
@@ -80,18 +94,29 @@ def streaming_keep_first(stream: DataFrame, keys: Sequence[str], event_time: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_table(stream: DataFrame, table_path: str, checkpoint_path: str) -> None:
-    """Run a stream with ``availableNow`` into a parquet table (append)."""
-    q = (stream.writeStream.format("parquet").option("path", table_path)
-         .option("checkpointLocation", checkpoint_path)
-         .outputMode("append").trigger(availableNow=True).start())
+def keep_first_to_table(stream: DataFrame, keys: Sequence[str], event_time: str, table_path: str,
+                        checkpoint_path: str, delay: str = "1 day") -> None:
+    """S2 into a parquet table: one row per key over all micro-batches."""
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            known = _known(batch.sparkSession, table_path, batch.schema, keys, batch)
+            _append(anti_master(batch, known, keys), keys, table_path)
+        finally:
+            batch.unpersist()
+
+    q = (streaming_keep_first(stream, keys, event_time, delay).writeStream.foreachBatch(run_batch)
+         .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def landed_files(spark: SparkSession, path: str, schema: T.StructType, base_path: str | None = None) -> DataFrame:
+def landed_files(spark: SparkSession, path: str, schema: T.StructType, base_path: str | None = None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming read of parquet files under ``path`` (a folder, or a file
     or glob with ``base_path`` naming the folder)."""
     reader = spark.readStream.schema(schema)
     if base_path:
         reader = reader.option("basePath", base_path)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.parquet(path)

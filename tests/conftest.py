@@ -19,6 +19,10 @@ def spark():
     s.stop()
 
 
+def terms_df(spark, terms, column="term"):
+    return spark.createDataFrame([(t,) for t in terms], f"{column} string")
+
+
 def rows(df, *cols):
     cols = cols or df.columns
     return sorted((tuple(r[c] for c in cols) for r in df.collect()),

@@ -8,14 +8,24 @@ from leadsmith.operators.extract import (
     extract_page_findings,
     iframe_links,
     jsonld_emails,
+    label_emails,
     mailto_emails,
+    page_links,
     page_summaries,
+    posting_fields,
+    posting_links,
+    with_nodes,
 )
 from leadsmith.functions.text import clean_text, email_matches, resolve_url, visible_text
 
 BASE = "https://acme.example/"
 
 
+def on_nodes(spark, html, expr):
+    df = with_nodes(spark.createDataFrame([(html,)], "html string"))
+    return df.select(expr().alias("v")).first()["v"]
+
+
 def one(spark, html, expr):
     df = spark.createDataFrame([(html,)], "html string")
     return df.select(expr(F.col("html")).alias("v")).first()["v"]
@@ -29,7 +39,7 @@ def test_f1_mailto(spark):
 def test_f2_jsonld_top_level_array(spark):
     html = ('<script type="application/ld+json">[{"contactPoint":{"email":"Jobs@acme.example"}},'
             '{"x":["see hr@acme.example"]}]</script>')
-    assert sorted(one(spark, html, jsonld_emails)) == ["hr@acme.example", "jobs@acme.example"]
+    assert sorted(on_nodes(spark, html, lambda: jsonld_emails(F.col("__json")))) == ["hr@acme.example", "jobs@acme.example"]
 
 
 F3 = ('<html><style>p{color:red}</style><script>var t="q@no.example";</script>'
@@ -53,14 +63,73 @@ def test_f3_text_raw_and_strict_domain(spark):
 def test_f4_iframes_same_host_resolved(spark):
     html = ('<iframe src="/kontakt"></iframe><iframe src="https://sub.acme.example/a"></iframe>'
             '<iframe src="https://other.example/b"></iframe>')
-    got = one(spark, html, lambda c: iframe_links(c, F.lit(BASE), F.lit("acme.example")))
+    got = on_nodes(spark, html, lambda: iframe_links(F.col("__nodes"), F.lit(BASE), F.lit("acme.example")))
     assert got == ["https://acme.example/kontakt", "https://sub.acme.example/a"]
 
 
-def test_f4_iframe_limit_three(spark):
+def test_f4_every_iframe_unless_limited(spark):
     html = "".join(f'<iframe src="/f{i}"></iframe>' for i in range(5))
-    got = one(spark, html, lambda c: iframe_links(c, F.lit(BASE), F.lit("acme.example")))
-    assert got == [f"https://acme.example/f{i}" for i in range(3)]
+    for limit, n in ((None, 5), (3, 3)):
+        got = on_nodes(spark, html, lambda: iframe_links(F.col("__nodes"), F.lit(BASE), F.lit("acme.example"), limit))
+        assert got == [f"https://acme.example/f{i}" for i in range(n)]
+
+
+def test_mailto_in_any_quoting(spark):
+    html = ('<a href="mailto:o\'brien@x.de">a</a><a class=k href=mailto:bare@x.de?subject=1>b</a>'
+            "<A HREF = 'MAILTO: Single@x.de '>c</A><a href=\"mailto:a&#64;x.de\">d</a><a href='mailto:'>e</a>")
+    assert sorted(one(spark, html, mailto_emails)) == ["a@x.de", "bare@x.de", "o'brien@x.de", "single@x.de"]
+
+
+def test_links_in_any_quoting(spark):
+    html = '<a href=/x>1</a><a href="it\'s.html">2</a><a href="/a?b=1&amp;c=2">3</a><a href="">4</a>'
+    pages = spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")
+    assert [r.link for r in page_links(pages).orderBy("pos").collect()] == [
+        BASE + "x", BASE + "it's.html", BASE + "a?b=1&c=2"]
+
+
+def test_jsonld_values_escapes_keys_and_broken_bodies(spark):
+    html = ('<script type="application/ld+json">{"e-mail":" Info\\u0040x.de ","key@x.de":1,"n":[{"t":"ask b@x.de"}]}</script>'
+            '<script type="application/LD+JSON">{"a":"c@x.de"} {broken "d@x.de"}</script>'
+            '<script type="text/javascript">{"a":"no@x.de"}</script>')
+    got = on_nodes(spark, html, lambda: jsonld_emails(F.col("__json")))
+    assert sorted(got) == ["b@x.de", "c@x.de", "info@x.de"]
+
+
+def test_label_takes_the_whole_element(spark):
+    far = "word " * 100
+    html = (f"<div><p>Impressum {far}<b>one [at] x [dot] de</b></p><p>other@x.de</p></div>"
+            f"<section>contact <span>{far}</span>two@x.de, three@x.de</section>")
+    got = on_nodes(spark, html, lambda: label_emails(F.col("__nodes")))
+    assert sorted(got) == ["one@x.de", "three@x.de", "two@x.de"]
+
+
+DETAIL = """<div class="x highlight-text"><h1 class="margin-bottom-xs"> Title &amp; more </h1></div>
+<div class="project-header"><div><span>a</span></div></div><a onclick="window.open(1)">WRONG</a>
+<div class="project-header"><p><a onclick="window.open('/f')">Right <b>AG</b></a></p></div>
+<div class="media-body"><div class="col-md-6">
+ Ann Berg\nRecruiting</div></div>
+<div class="col-sm-6 margin-bottom-sm"><b>e-mail:</b> <i><a href="mailto:a@b.de"> a@b.de </a></i></div>
+<div class="panel-body highlight-text">one <div>two</div> three</div> four"""
+
+
+def test_posting_fields_follow_the_elements(spark):
+    pages = spark.createDataFrame([("u", DETAIL), ("v", "<p>nothing</p>"), ("w", None)], "url string, html string")
+    got = {r.url: (r.project_name, r.project_description, r.company, r.person, r.email) for r in posting_fields(pages).collect()}
+    assert got == {"u": ("Title & more", "one two three", "Right AG", "Ann Berg", "a@b.de"),
+                   "v": (None,) * 5, "w": (None,) * 5}
+
+
+def test_posting_links_inside_cards(spark):
+    html = ("<search-project-card><a class='small fw-semibold link-warning' href=/a>1</a></search-project-card>"
+            "<search-project-card><div><a href=/no>x</a><p><a class='link-warning x small fw-semibold' href=\"/b?c=1&amp;d=2\">2</a>"
+            "</p></div></search-project-card><search-project-card><a href=/none>3</a></search-project-card>"
+            "<a class='small fw-semibold link-warning' href=/outside>4</a>")
+    pages = spark.createDataFrame([(1, BASE, html)], "page_id long, url string, html string")
+    assert [(r.pos, r.link) for r in posting_links(pages).orderBy("pos").collect()] == [(1, BASE + "a"), (2, BASE + "b?c=1&d=2")]
+
+
+def test_zero_width_before_composition(spark):
+    assert one(spark, "a\u200b\u0308", lambda c: clean_text(c)) == "ä"
 
 
 def _cf_hex(addr: str, key: int = 0x5A) -> str:
@@ -108,13 +177,12 @@ def test_clean_text_exact_path(spark):
 
 def test_long_tokens_do_not_backtrack(spark):
     import time
-    from leadsmith.operators.extract import label_emails
-    long_token = "x" * 200_000 + "contact" + "y" * 10 + " info@acme.example"
+    long_token = "<p>" + "x" * 200_000 + "contact" + "y" * 10 + " info@acme.example"
     dotted = "a." * 100_000
-    df = spark.createDataFrame([(long_token,), (dotted,)], "t string")
+    df = spark.createDataFrame([(long_token,), (dotted,)], "html string")
     t0 = time.time()
-    got = [r.e for r in df.select(label_emails(F.col("t")).alias("e")).collect()]
-    found = [r.e for r in df.select(email_matches(F.col("t")).alias("e")).collect()]
+    got = [r.e for r in with_nodes(df).select(label_emails(F.col("__nodes")).alias("e")).collect()]
+    found = [r.e for r in df.select(email_matches(F.col("html")).alias("e")).collect()]
     assert got[0] == ["info@acme.example"] and got[1] == []
     assert found == [["info@acme.example"], []]
     assert time.time() - t0 < 30

@@ -13,8 +13,8 @@ from leadsmith.operators.filters import (
     exclude_terms,
     recency_filter,
 )
-from leadsmith.sources.lookups import TITLE_TERMS, terms_df
-from tests.conftest import rows
+from leadsmith.sources.lookups import TITLE_TERMS
+from tests.conftest import rows, terms_df
 
 BLOCK = ["hays.example", "x@full.example"]
 EMAILS = ["u@hays.example", "u@sub.hays.example", "u@thehays.example", " X@Full.example ",
@@ -76,8 +76,26 @@ def test_anti_master_null_safe(spark):
 def test_title_terms(spark):
     df = spark.createDataFrame([("SAP Berater",), ("Sapient Rollout",), ("Python Dev",), (None,)], "project_name string")
     assert rows(exclude_terms(df, "project_name", TITLE_TERMS)) == [("Python Dev",), (None,)]
-    long_terms = terms_df(spark, TITLE_TERMS + [f"zz{i}" for i in range(300)])
-    assert rows(exclude_terms(df, "project_name", long_terms)) == [("Python Dev",), (None,)]
+    for n in (0, 300, 2000):
+        table = terms_df(spark, TITLE_TERMS + [f"zz{i}" for i in range(n)])
+        assert rows(exclude_terms(df, "project_name", table)) == [("Python Dev",), (None,)]
+    assert rows(exclude_terms(df, "project_name", terms_df(spark, []))) == rows(df)
+
+
+def test_wild_lists_keep_the_same_rows_in_either_form(spark):
+    terms = ["\u00a0dev", " SAP ", "a.b*", "", None, "  ", "ß", "x" * 600]
+    df = spark.createDataFrame([(v,) for v in ["SAP dev", "sap", "\u00a0dev", "a.b*c", "aXb", "", None, "STRASSE ß", "x" * 700]],
+                               "v string")
+    for n in (0, 301):
+        more = terms + [f"never{i}" for i in range(n)]
+        assert rows(exclude_terms(df, "v", more)) == rows(exclude_terms(df, "v", terms_df(spark, more)))
+    block = [".", "..", " .x.de", "A@b.de", "", None, "c.de"]
+    mails = spark.createDataFrame([(v,) for v in ["", "x@", "a@b.de", "u@x.de", "u@yx.de", "c.de", None, "@c.de"]], "v string")
+    for n in (0, 301):
+        for boundary in (False, True):
+            more = block + [f"never{i}.example" for i in range(n)]
+            assert rows(email_blocklist(mails, "v", more, boundary=boundary)) == \
+                rows(email_blocklist(mails, "v", terms_df(spark, more), boundary=boundary))
 
 
 def test_drop_any_null_and_incomplete(spark):

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from leadsmith.functions.names import addressed_name, salutation_safe, split_name, with_split_name
 from leadsmith.operators.enrich import enrich_contacts
 from leadsmith.operators.outbox import build_outbox, compile_template
-from leadsmith.sources.lookups import name_gender_df
 
 CASES = [
     ("Müller, Anna", "Anna", "Müller"),
@@ -41,7 +40,7 @@ def test_salutation_fixtures(spark):
 
 
 def test_enrich_gender_lookup_case_insensitive(spark):
-    dic = name_gender_df(spark, [("anna", "female"), ("MAX", "male")])
+    dic = spark.createDataFrame([("anna", "female"), ("MAX", "male")], "first_name string, gender string")
     df = spark.createDataFrame([("Anna Berg",), ("Max Koch",), ("Kim Wolf",), (None,)], "person string")
     got = {r.person: (r.gender, r.first_name, r.last_name) for r in enrich_contacts(df, dic).collect()}
     assert got["Anna Berg"] == ("female", "Anna", "Berg")
@@ -63,3 +62,14 @@ def test_template_unknown_placeholder_fails():
     import pytest
     with pytest.raises(KeyError):
         compile_template("{{ nope }}", ["email"])
+
+
+def test_suffixes(spark):
+    cases = [("Max Mustermann, PhD", "Max", "Mustermann"), ("Max Mustermann MBA", "Max", "Mustermann"),
+             ("Mustermann, Max Jr.", "Max", "Mustermann"), ("Dr. Max von Berg, Ph.D., MBA", "Max", "von Berg"),
+             ("MBA", "MBA", None), ("Maximba Mba-Klein", "Maximba", "Mba-Klein")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "person string")
+    got = {r.person: (r.first_name, r.last_name) for r in with_split_name(df, "person").collect()}
+    assert got == {p: (f, n) for p, f, n in cases}
+    whole = with_split_name(df, "person", suffixes=[]).where("person = 'Max Mustermann MBA'").first()
+    assert whole.last_name == "MBA"

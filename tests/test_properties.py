@@ -7,8 +7,7 @@ from leadsmith.operators.dedupe import keep_first
 from leadsmith.operators.filters import email_blocklist
 from leadsmith.operators.tables import accumulate_merge, apply_changes, delete_keys
 from leadsmith.plans.flows import clean_contacts, contact_funnel_counts
-from leadsmith.sources.lookups import terms_df
-from tests.conftest import rows
+from tests.conftest import rows, terms_df
 
 LOCALS = st.sampled_from(["a", "b", "info", "X", "u.v"])
 DOMAINS = st.sampled_from(["ok.example", "hays.de", "sub.hays.de", "thehays.de", "full.example", "x.at"])

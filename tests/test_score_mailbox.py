@@ -29,6 +29,28 @@ def test_keyword_score_notes_sum(spark):
     assert out.passes is True
 
 
+def test_weights_of_single_terms(spark):
+    docs = spark.createDataFrame([(1, "x\nalpha"), (2, "x\nbeta")], "doc_id long, text string")
+    terms = [("p", "mini", "alpha", 1.0), ("p", "mini", "beta", 9.0)]
+    got = {r.doc_id: r.score for r in keyword_scores(docs, terms, weights={"mini": 1.0}).collect()}
+    assert abs(got[1] - 0.1) < 1e-6 and abs(got[2] - 0.9) < 1e-6
+    table = spark.createDataFrame(terms, "profile string, grp string, term string, weight double")
+    assert {r.doc_id: r.score for r in keyword_scores(docs, table, weights={"mini": 1.0}).collect()} == got
+
+
+def test_site_findings_on_normalised_urls_and_every_frame(spark):
+    from leadsmith.operators.mailbox import best_hits, site_findings
+    frames = "".join(f"<iframe src='/f{i}'></iframe>" for i in range(5))
+    pages = spark.createDataFrame([
+        ("HTTPS://Www.ACME.example:443/kontakt#x", frames), ("https://www.acme.example/f4", "<p>info@acme.example</p>"),
+        ("http://b.example:80", "mail team@b.example"), ("https://c.example/other", "info@c.example"),
+        ("https://c.example:8443/", "info@c.example"), ("https://d.example/?x=1", "info@d.example")],
+        "url string, html string")
+    domains = spark.createDataFrame([("acme.example",), ("b.example",), ("c.example",), ("d.example",)], "domain string")
+    got = {r.domain: r.email_common for r in best_hits(site_findings(domains, pages)).collect()}
+    assert got == {"acme.example": "info@acme.example", "b.example": "team@b.example"}
+
+
 def test_frontier_counts_and_order(spark):
     d = spark.createDataFrame([("acme.example",)], "domain string")
     f = frontier(d)

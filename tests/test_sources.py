@@ -1,5 +1,7 @@
 """Sources and sinks: L1 load with blank/NA -> null, L2 load-or-create,
-L3 snapshots, L5 byte cap."""
+L3 versions, L5 admission."""
+
+import pytest
 
 from pyspark.sql import types as T
 
@@ -7,10 +9,11 @@ from leadsmith.sources.io import (
     NA_WORDS,
     append_rows,
     captured_pages,
-    current_snapshot,
+    load_latest,
     load_or_create,
     load_table,
-    write_snapshot,
+    version_path,
+    write_version,
 )
 from tests.conftest import rows
 
@@ -25,17 +28,27 @@ def test_load_csv_blank_and_na_words(spark, tmp_path):
     assert rows(df) == [("u1", None, True), ("u2", None, False), ("u3", None, None), ("u4", "2024-01-01", True)]
 
 
-def test_load_or_create_then_snapshot(spark, tmp_path):
+def test_versions_of_a_table(spark, tmp_path):
     root = str(tmp_path / "state")
-    empty = load_or_create(spark, root, SCHEMA)
-    assert empty.count() == 0 and current_snapshot(spark, root) is not None
-    first = current_snapshot(spark, root)
+    with pytest.raises(FileNotFoundError):
+        load_latest(spark, root)
+    empty, version = load_or_create(spark, root, SCHEMA)
+    assert empty.count() == 0 and version == 1
     data = spark.createDataFrame([("u1", "d1", None)], SCHEMA)
-    # the new snapshot is produced from a plan that reads the current one
-    write_snapshot(load_or_create(spark, root, SCHEMA).unionByName(data), root)
-    assert current_snapshot(spark, root) != first
-    assert rows(load_or_create(spark, root, SCHEMA)) == [("u1", "d1", None)]
-    assert spark.read.parquet(first).count() == 0  # the old snapshot is untouched
+    # the new version is produced from a plan that reads the current one
+    write_version(empty.unionByName(data), root, 2)
+    latest, version = load_or_create(spark, root, SCHEMA)
+    assert rows(latest) == [("u1", "d1", None)] and version == 2
+    assert spark.read.schema(SCHEMA).parquet(version_path(root, 1)).count() == 0   # untouched
+    with pytest.raises(Exception, match="already exists"):      # a second writer of the same version
+        write_version(data, root, 2)
+
+
+def test_an_incomplete_version_is_not_current(spark, tmp_path):
+    root = tmp_path / "state"
+    write_version(spark.createDataFrame([("u1", "d1", None)], SCHEMA), str(root), 1)
+    (root / "v=2").mkdir()
+    assert load_latest(spark, str(root))[1] == 1
 
 
 def test_append_keeps_duplicates(spark, tmp_path):
@@ -46,13 +59,10 @@ def test_append_keeps_duplicates(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_byte_cap_keeps_whole_characters(spark):
-    html = "ab" + "é" * 5  # 2 + 10 bytes
+def test_admission(spark):
+    html = "ab" + "é" * 5
     df = spark.createDataFrame([(1, html, 200, "text/html; charset=utf-8"), (2, html, 404, "text/html"),
-                                (3, html, 200, "application/json")],
+                                (3, html, 200, "application/json"), (4, html, 200, None)],
                                "page_id long, html string, status int, content_type string")
-    out = captured_pages(df, max_bytes=5).collect()
-    assert [(r.page_id, r.html) for r in out] == [(1, "abé")]
-    assert captured_pages(df.drop("status", "content_type"), max_bytes=100).first().html == html
-    # by default pages are processed whole (only admission applies)
-    assert [r.html for r in captured_pages(df).collect()] == [html]
+    assert [(r.page_id, r.html) for r in captured_pages(df).collect()] == [(1, html)]
+    assert captured_pages(df.drop("status", "content_type")).count() == 4

@@ -3,8 +3,8 @@
 
 from leadsmith.plans.flows import clean_contacts, daily_run
 from leadsmith.session import scratch_path
-from leadsmith.sources.derived import name_gender_table, posting_detail_pages
-from leadsmith.streaming.ingest import ingest_contacts, landed_files, run_to_table, streaming_keep_first
+from leadsmith.sources.derived import name_gender_table, posting_detail_pages, posting_listing_pages
+from leadsmith.streaming.ingest import ingest_contacts, keep_first_to_table, landed_files
 from tests.conftest import SF_SMALL, rows
 
 
@@ -40,23 +40,40 @@ def test_streaming_keep_first_keys(spark, tmp_path):
     schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts", "user_id").schema
     stream = landed_files(spark, src, schema, base_path=SF_SMALL)
     out = str(tmp_path / "out")
-    run_to_table(streaming_keep_first(stream, ["user_id"], "ts").select("user_id"), out, str(tmp_path / "ck"))
-    got = spark.read.parquet(out)
+    keep_first_to_table(stream, ["user_id"], "ts", out, str(tmp_path / "ck"))
+    got = spark.read.parquet(out).select("user_id")
     want = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id").distinct()
     assert got.count() == got.distinct().count() == want.count()
 
 
+def test_streaming_keep_first_over_batches(spark, tmp_path):
+    land = str(tmp_path / "events")
+    df = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "ts", "user_id")
+    for i in range(4):
+        df.where(f"event_id % 4 = {i}").coalesce(1).write.mode("append").parquet(land)
+    out = str(tmp_path / "out")
+    for run in ("ck1", "ck2"):      # a replay adds nothing
+        stream = landed_files(spark, land, df.schema, max_files_per_trigger=1)
+        keep_first_to_table(stream, ["user_id"], "ts", out, str(tmp_path / run))
+        got = spark.read.parquet(out).select("user_id")
+        assert got.count() == got.distinct().count() == df.select("user_id").distinct().count()
+
+
 def test_daily_run_master_is_idempotent(spark):
     master = spark.createDataFrame(
         [], "company string, person string, email string, gender string, first_name string, last_name string")
-    pages = posting_detail_pages(spark, SF_SMALL)
+    listing, pages = posting_listing_pages(spark, SF_SMALL), posting_detail_pages(spark, SF_SMALL)
     raw_base = spark.createDataFrame([], "url string, project_name string, project_description string, "
                                          "company string, person string, email string")
-    first = daily_run(pages, raw_base, master, name_gender_table(spark))
+
+    def day(raw, agencies, known):
+        return daily_run(listing, pages, raw, agencies, known, name_gender_table(spark), scratch_path(spark, "day"))
+
+    first = day(raw_base, raw_base, master)
     m1 = first["master"]
     assert m1.count() == m1.select("email").distinct().count() > 0
-    second = daily_run(pages, first["raw"], m1, name_gender_table(spark))
-    assert rows(second["master"]) == rows(m1)
+    second = day(first["raw"], first["agencies"], m1)
+    assert rows(second["master"]) == rows(m1) and rows(second["agencies"]) == rows(first["agencies"])
     assert second["contacts"].count() == 0
 
 

@@ -1,9 +1,15 @@
 """Keyed table changes, merges and snapshots (FIXTURES.md 'URL state', 'Master')."""
 
 
-from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
-from leadsmith.plans.flows import append_master, clean_contacts, url_state_update
-from leadsmith.sources.io import load_snapshot, write_snapshot
+from leadsmith.operators.tables import (
+    accumulate_merge,
+    append_union,
+    apply_changes,
+    delete_keys,
+    rejected_changes,
+)
+from leadsmith.plans.flows import append_master, clean_contacts, url_state_create, url_state_update
+from leadsmith.sources.io import load_latest
 from tests.conftest import rows
 
 
@@ -35,13 +41,32 @@ def test_upsert_then_delete_leaves_other_keys(spark):
     assert rows(out, "url", "date", "flag") == rows(base, "url", "date", "flag")
 
 
-def test_url_state_snapshots(spark, tmp_path):
+def test_url_state_versions_keep_added_columns(spark, tmp_path):
     root = str(tmp_path / "url_state")
-    base = _base(spark)
-    write_snapshot(base, root)
-    url_state_update(root, base.schema, changes=_changes(spark))
-    state = load_snapshot(spark, root, base.schema)
-    assert rows(state, "url", "flag") == [("u1", "2"), ("u2", None), ("u2", None), ("u9", None), (None, "z")]
+    url_state_create(root, _base(spark))
+    url_state_update(root, changes=_changes(spark))
+    more = spark.createDataFrame([(9, "u2", "flag", "z")], "seq long, url string, column string, value string")
+    url_state_update(root, changes=more, deletes=spark.createDataFrame([("u1",)], "url string"))
+    state, version = load_latest(spark, root)
+    assert version == 3
+    assert rows(state, "url", "flag", "status") == [("u2", "z", None), ("u2", "z", None), ("u9", None, "new"),
+                                                    (None, "z", None)]
+
+
+def test_a_missing_table_is_an_error(spark, tmp_path):
+    import pytest
+    with pytest.raises(FileNotFoundError):
+        url_state_update(str(tmp_path / "none"), changes=_changes(spark))
+
+
+def test_a_bad_value_spoils_only_itself(spark):
+    base = spark.createDataFrame([("u1", None), ("u2", True)], "url string, checked boolean")
+    changes = spark.createDataFrame([(1, "u1", "checked", "true"), (2, "u1", "checked", "maybe"),
+                                     (3, "u2", "checked", None), (4, None, "checked", "true"), (5, "u3", "note", "x")],
+                                    "seq long, url string, column string, value string")
+    out = apply_changes(base, changes)
+    assert rows(out, "url", "checked", "note") == [("u1", True, None), ("u2", None, None), ("u3", None, "x")]
+    assert rows(rejected_changes(base, changes), "seq") == [(2,), (4,)]
 
 
 def test_accumulate_merge_idempotent_and_sorted(spark):
@@ -58,7 +83,9 @@ def test_accumulate_merge_idempotent_and_sorted(spark):
     assert sorted(got, key=str) == sorted([tuple(r) for r in once.collect()], key=str)
     assert [r[0] for r in got] == ["a", "a", "b", "c"]
     empty = spark.createDataFrame([], new.schema)
-    assert [tuple(r) for r in accumulate_merge(base, empty).collect()] == [("b", 1), ("a", 2)]
+    same = accumulate_merge(base, empty)
+    assert same.schema == once.schema       # whatever the inputs hold
+    assert [tuple(r) for r in same.collect()] == [("a", 2, None), ("b", 1, None)]
 
 
 def test_accumulate_merge_stable_with_order_column(spark):
