@@ -36,15 +36,14 @@ def candidates(domains: DataFrame, local_parts=LOCAL_PARTS, domain_col: str = "d
     """``lp@domain`` per domain and local part, lower-cased, with ``rank``
     (list order); blank local parts skipped. One explode per domain row."""
     if isinstance(local_parts, DataFrame):
-        listed = local_parts.select(norm_str("local_part").alias("lp"), "rank").where(
+        listed = local_parts.select("rank", norm_str("local_part").alias("lp")).where(
             F.col("lp").isNotNull() & (F.col("lp") != ""))
-        return (domains.select(domain_col).distinct().crossJoin(listed)
-                .select(domain_col, "rank", F.lower(F.concat("lp", F.lit("@"), F.col(domain_col))).alias("email")))
-    parts = [p.strip().lower() for p in local_parts if p is not None and p.strip() != ""]
-    lit_parts = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.lit(p).alias("lp"))
-                          for i, p in enumerate(parts)])
+        parts = listed.agg(F.array_sort(F.collect_list(F.struct("rank", "lp")))).scalar()
+    else:
+        named = [p.strip().lower() for p in local_parts if p is not None and p.strip() != ""]
+        parts = F.array(*[F.struct(F.lit(i + 1).alias("rank"), F.lit(p).alias("lp")) for i, p in enumerate(named)])
     return (domains.select(domain_col).distinct()
-            .select(domain_col, F.inline(lit_parts))
+            .select(domain_col, F.inline(parts))
             .select(domain_col, "rank", F.lower(F.concat("lp", F.lit("@"), F.col(domain_col))).alias("email")))
 
 

@@ -8,9 +8,9 @@ group's largest) and ``exclude`` (any hit drops the document for that profile).
 A null weight counts as 1. The score is the weighted sum of the group shares;
 ``passes`` compares it (in percent) with the threshold.
 
-The profiles' terms form one array of a single row that is joined to every
-document (a term table is a person's search profile), so scoring is one lambda
-over that array per row, whatever its length.
+The profiles' terms form one array (a term table is a person's search profile)
+that a scalar subquery hands to every row, so scoring is one lambda over that
+array per document, whatever its length.
 """
 
 from __future__ import annotations
@@ -44,8 +44,7 @@ def keyword_scores(docs: DataFrame, terms, id_col: str = "doc_id", text_col: str
     # Staged once per row: the term lambdas then only read these columns.
     docs = docs.select(id_col, F.lower(F.col(text_col)).alias("__body"),
                        F.lower(F.split_part(F.col(text_col), F.lit("\n"), F.lit(1))).alias("__heading"))
-    # One row on the right side: the profiles themselves.
-    rows = docs.join(profiles, F.lit(True)).select(id_col, "__body", "__heading", F.explode("__profiles").alias("__p"))
+    rows = docs.select(id_col, "__body", "__heading", F.explode(profiles.scalar()).alias("__p"))
     found = rows.select(id_col, F.col("__p.profile").alias("profile"), F.col("__p.terms").alias("__terms"),
                         F.filter("__p.terms", lambda t: F.when(t["grp"] == "heading", F.contains(F.col("__heading"), t["term"]))
                                  .otherwise(F.contains(F.col("__body"), t["term"]))).alias("__hits"))

@@ -67,6 +67,9 @@ def test_candidates_order(spark):
     d = spark.createDataFrame([("acme.example",)], "domain string")
     c = candidates(d, ["info", " ", "Kontakt"]).orderBy("rank").collect()
     assert [(r.rank, r.email) for r in c] == [(1, "info@acme.example"), (2, "kontakt@acme.example")]
+    table = spark.createDataFrame([(2, "Kontakt"), (1, "info"), (3, " ")], "rank int, local_part string")
+    assert [(r.rank, r.email) for r in candidates(d, table).orderBy("rank").collect()] == [
+        (1, "info@acme.example"), (2, "kontakt@acme.example")]
 
 
 def test_best_candidate_priority_and_tier(spark):
