@@ -31,3 +31,11 @@ def test_query_matches_oracle_small(spark, name):
     s = frame_digest(sdf.columns, [tuple(r) for r in sdf.collect()])
     d = frame_digest([c[0] for c in cur.description], cur.fetchall())
     assert s[:3] == d[:3]
+
+
+def test_entry_works_without_the_training_data_operators(monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "email_scan" in E.queries() and not any(k.startswith("op") or k == "pipeline" for k in E.queries()
+                                                   if k not in E._queries.REGISTRY)
+    assert set(E.oracle_sql()) <= set(E.queries())
