@@ -44,9 +44,10 @@ SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 SIDE_NAMES = frozenset("""ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner
     sidebar side aside menu nav navbar navigation navi footer foot header masthead topbar breadcrumb breadcrumbs
-    cookie cookies consent notice notices alert popup modal overlay comment comments respond replies disqus share
+    cookie cookies consent notice notices alert popup modal overlay comment comments respond reply replies disqus share
     sharing social related recommended newsletter subscribe signup login search pager pagination widget skip
     contentinfo complementary dialog toolbar disclaimer""".split())
+COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
 MAIN_NAMES = frozenset("article content main post entry story text body".split())
 
 #: Classifier weights (log-odds for content), and the weight of smoothness.
@@ -67,10 +68,11 @@ def _evidence(tag: str, attributes: str, main: bool, named: bool, side: int) ->
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             names.update(x.lower() for x in NAME_PART.findall(m[2] or m[3] or m[4] or ""))
+    if main:    # an article's own header holds its title
+        names -= {"header", "head"}
     if tag in SIDE_TAGS or (tag == "header" and not main):
         side += 1
-    elif tag not in ("html", "body", "main") and names & SIDE_NAMES and not (tag in MAIN_TAGS | {"header"} and not
-                                                                              names & {"comment", "comments"}):
+    elif names & COMMENT_NAMES or (names & SIDE_NAMES and tag not in ("html", "body", "main", "article", "header")):
         side += 1
     return main or tag in MAIN_TAGS, named or bool(names & MAIN_NAMES), side
 

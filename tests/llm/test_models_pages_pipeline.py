@@ -114,6 +114,16 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 <form><label>Mail</label></form><aside>Read this other article of ours too.</aside><footer>&copy; Us.</footer>"""
 
 
+def test_naming_habits():
+    page = """<body class="has-sidebar article"><div role="navigation"><a href=/>Home</a> <a href=/x>News of today</a></div>
+    <div class="page-header">The site of all sites.</div><div class="leftSidebar">Some text in a sidebar, a sentence.</div>
+    <article class="post"><div class="post-header"><h2>The title</h2></div><p>Text one.</p><div class="cookieBanner">Cookies, yes.</div>
+    <ul><li>Point <a href=/p>a</a></li><li>Point b</li></ul><div class="related-posts"><p>Read on here, it is good.</p></div>
+    <div id="disqus_thread">A reader writes a long comment here.</div></article>
+    <article class="comment"><p>Another reader says something.</p></article><noscript>Enable it.</noscript></body>"""
+    assert main_text(page) == "The title\nText one.\nPoint a\nPoint b"
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>one long sentence of plain page text.</p>"),
             (1, "u", PAGE), (5, "u", "<nav><a>x</a></nav><p cla")]
