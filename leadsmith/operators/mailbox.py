@@ -110,6 +110,19 @@ def with_url_parts(df: DataFrame, url_col: str) -> DataFrame:
                          F.regexp_replace(rest, "^/", "").alias("__path"))
 
 
+def page_items(domains: DataFrame, pages: DataFrame, exact_text: bool = True, extra_paths: Sequence[str] = (),
+               frame_limit: int | None = None) -> DataFrame:
+    """``(domain, tier, url, kind, value)``: the addresses (kind ``email``) and iframe
+    URLs (``frame``) of the domains' captured pages."""
+    fetched = fetch(domains, pages, extra_paths)
+    staged = _staged_pages(fetched, "url_rank", "url", "html", "domain", ["tier"], exact_text, frame_limit)
+    items = F.concat(
+        F.transform(kept_emails("domain"), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value"))),
+        F.transform("iframes", lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
+    )
+    return staged.select("domain", "tier", "url", F.inline(items))
+
+
 def site_findings(domains: DataFrame, pages: DataFrame, exact_text: bool = True, extra_paths: Sequence[str] = (),
                   frame_limit: int | None = None) -> DataFrame:
     """Findings ``(domain, tier, url, email)`` of the domains' captured pages: the
@@ -120,14 +133,7 @@ def site_findings(domains: DataFrame, pages: DataFrame, exact_text: bool = True,
     are the one written intermediate (a reliable checkpoint): the HTML work is done
     once. The iframe pages are then joined on their normalised URL."""
     ensure_checkpoint_root(pages.sparkSession)
-    fetched = fetch(domains, pages, extra_paths)
-    staged = _staged_pages(fetched, "url_rank", "url", "html", "domain", ["tier"], exact_text, frame_limit)
-    items = F.concat(
-        F.transform(kept_emails("domain"), lambda e: F.struct(F.lit("email").alias("kind"), e.alias("value"))),
-        F.transform("iframes", lambda u: F.struct(F.lit("frame").alias("kind"), u.alias("value"))),
-    )
-    rows = staged.select("domain", "tier", "url", F.inline(items)).checkpoint(eager=True)
-
+    rows = page_items(domains, pages, exact_text, extra_paths, frame_limit).checkpoint(eager=True)
     own = rows.where(F.col("kind") == "email").select("domain", "tier", "url", F.col("value").alias("email"))
     frame_items = rows.where(F.col("kind") == "frame").select(
         "domain", "tier", "url", normalize_url("value").alias("frame_url"))
