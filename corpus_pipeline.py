@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadsmith.llm import quality_mil
 from leadsmith.llm.bpe import encode_documents
-from leadsmith.llm.common import row_key, stored, table
+from leadsmith.llm.common import row_key, small_batches, stored, table
 from leadsmith.llm.decontaminate import contamination
 from leadsmith.llm.queries import bpe_vocabulary, usable_labels
 from leadsmith.llm.simhash import near_duplicates
@@ -23,8 +23,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and all other columns in one: whatever they are called,
     they meet no column of an operator."""
+    small_batches(docs.sparkSession)
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*others, F.lit(True).alias("__row")).alias("__others"))
+    return docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("__no_text")).alias("__others"))
 
 
 def _unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
@@ -55,8 +56,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 bytes that start earlier too are cut out; n_chars
     follows. A document that loses all its text stays, empty."""
-    found = remove_repeats(_packed(docs), min_length=100, carry=("text", "__others"), with_text=True)
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
+    found = remove_repeats(_packed(docs), min_length=100, carry=("__others",), with_text=True)
+    changed = {"text": F.when(~F.col("__others.__no_text"), F.col("kept_text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)) \
             .otherwise(F.col("__others.n_chars"))
@@ -71,6 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the ids of its text and the digest of their decoding."""
+    small_batches(spark)
     path, pattern = bpe_vocabulary()
     return encode_documents(docs, path, pattern, with_ids=True)
 

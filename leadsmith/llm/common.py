@@ -15,10 +15,21 @@ from leadsmith.session import scratch_path
 
 #: Bytes of text that one step of a worker handles at a time. A single longer
 #: text forms a step of its own.
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 2 * 1024 * 1024
+
+
+#: Bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is in flight to a Python worker, whatever the rows' lengths; the
+    default bound is sized for larger workers. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,15 @@ def with_fields(fields: list[T.StructField], ddl: str) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def lead_columns(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], *more) -> tuple[DataFrame, int, int]:
+    """``docs`` cut to the id, the ``carry`` columns, ``more`` and the text; how many
+    columns to keep, and the number of the text's column (one of them if carried)."""
+    kept = [F.col(id_col), *(F.col(c) for c in carry), *more]
+    if text_col in carry:
+        return docs.select(*kept), len(kept), 1 + carry.index(text_col)
+    return docs.select(*kept, F.col(text_col).alias("__text")), len(kept), len(kept)
+
+
 def stored(df: DataFrame, *name: str) -> DataFrame:
     """Write ``df`` as a parquet table below the shared checkpoint folder and
     read it back: cuts the lineage in a way that survives lost executors."""
@@ -74,6 +94,11 @@ def worker_memory() -> dict:
     return holder.__dict__
 
 
+def prior(n: list[int]) -> float:
+    """Share of class 1 among n[0] and n[1] rows, kept off 0 and 1; 0.5 for none."""
+    return 0.5 if not sum(n) else min(max(n[1] / sum(n), 0.01), 0.99)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id",
                     text_col: str = "text") -> tuple[DataFrame, list[int]]:
     """``(id, text, label)`` for about ``per_class`` rows of ``labels(id, label)`` of

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import stored, text_slices, with_fields
+from leadsmith.llm.common import lead_columns, stored, text_slices, with_fields
 
 #: Maps A-Z to a-z and every byte that is not part of a word to a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else
@@ -159,7 +159,7 @@ def _scan_block(docs, items, id_col, text_col, carry):
         for p in items:
             by_length.setdefault(len(p), []).append(p)
         searches = [WuManber(ps) for ps in by_length.values()]
-        for batch, texts in text_slices(batches, batch_text):
+        for batch, texts in text_slices(batches, text_at):
             n_words, spans, ids = [], [], []
             for text in texts:
                 words = words_of(text)
@@ -168,13 +168,12 @@ def _scan_block(docs, items, id_col, text_col, carry):
                 spans.append([x for ab in s for x in ab])
                 ids.append(sorted(i))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(j) for j in range(batch_text)), pa.array(n_words, pa.int64()),
+                [*(batch.column(j) for j in range(kept)), pa.array(n_words, pa.int64()),
                  pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))],
                 names=[*(f.name for f in fields), "n_words", "hit_spans", "hit_items"])
 
-    lead = docs.select(F.col(id_col), *carry, F.xxhash64(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
-    fields = lead.schema.fields[:-1]
-    batch_text = len(fields)
+    lead, kept, text_at = lead_columns(docs, id_col, text_col, carry, F.xxhash64(F.col(text_col)).alias("__key"))
+    fields = lead.schema.fields[:kept]
     return lead.mapInArrow(run, with_fields(fields, "n_words long, hit_spans array<int>, hit_items array<string>"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import labelled_sample, text_slices, with_fields
+from leadsmith.llm.common import labelled_sample, lead_columns, prior, text_slices, with_fields
 
 PASSAGE_WORDS = 40
 #: Bytes of text whose characters a worker holds at a time.
@@ -137,7 +137,7 @@ class QualityModel:
         return self.forward((x - self.mean) / self.scale, bag, len(texts))[-1].astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, max_train_bytes: int = 65_536, hidden: int = 24,
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1_000, max_train_bytes: int = 65_536, hidden: int = 24,
         gate: int = 12, epochs: int = 30, batch_bags: int = 64, rate: float = 0.005, l2: float = 1e-4,
         seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on the texts of ``labels(id, label)``. Bounds, both parameters: about
@@ -145,9 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, max_train_by
     ``max_train_bytes`` bytes."""
     labelled, n = labelled_sample(docs, labels, per_class, id_col, text_col)
     rng = np.random.default_rng(seed)
+    constant = QualityModel(*[np.zeros(0)] * 9, prior=prior(n))
     if not n[0] or not n[1]:
-        empty = [np.zeros(0)] * 9
-        return QualityModel(*empty, prior=0.5 if not sum(n) else min(max(n[1] / sum(n), 0.01), 0.99))
+        return constant
     usable = labelled.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_train_bytes)
 
     def encode(batches):
@@ -159,13 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2_000, max_train_by
                  pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.ravel()))],
                 names=["id", "label", "x"])
 
-    rows = usable.select("id", "label", "text").mapInArrow(encode, "id string, label long, x array<float>").toPandas()
-    rows = rows.sort_values("id", kind="stable")
-    y = rows["label"].to_numpy(np.float32)
-    bags = [np.asarray(v, np.float32).reshape(-1, N_FEATURES) for v in rows["x"]]
-    stacked = np.concatenate(bags)
-    mean, scale = stacked.mean(axis=0), stacked.std(axis=0) + 0.01
-    bags = [(b - mean) / scale for b in bags]
+    rows = usable.select("id", "label", "text").mapInArrow(encode, "id string, label long, x array<float>").toArrow()
+    rows = rows.sort_by("id").combine_chunks()
+    y = rows["label"].to_numpy().astype(np.float32)
+    if len(np.unique(y)) < 2:
+        return constant
+    xs = rows["x"].combine_chunks()
+    cuts = xs.offsets.to_numpy() // N_FEATURES
+    passages_ = xs.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).copy()
+    cuts = cuts - cuts[0]
+    del rows, xs
+    mean, scale = passages_.mean(axis=0), passages_.std(axis=0) + 0.01
+    passages_ -= mean
+    passages_ /= scale
+    bags = [passages_[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     m = [max(int((y == c).sum()), 1) for c in (0, 1)]
     weight = np.where(y == 1, n[1] / m[1], n[0] / m[0]).astype(np.float32)
     weight /= weight.mean()
@@ -212,15 +219,14 @@ def _gradient(model: QualityModel, x, bag, y, weight) -> dict[str, np.ndarray]:
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = 0.7, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, carry..., score, predicted)`` of every whole text."""
-    lead = docs.select(F.col(id_col), *carry, F.col(text_col).alias("__text"))
-    fields = lead.schema.fields[:-1]
-    at = len(fields)
+    lead, kept, text_at = lead_columns(docs, id_col, text_col, carry)
+    fields = lead.schema.fields[:kept]
 
     def run(batches):
-        for batch, texts in text_slices(batches, at):
+        for batch, texts in text_slices(batches, text_at):
             s = model.scores(texts)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(j) for j in range(at)), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                [*(batch.column(j) for j in range(kept)), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                 names=[*(f.name for f in fields), "__score", "__predicted"])
 
     return lead.mapInArrow(run, with_fields(fields, "__score double, __predicted int"))

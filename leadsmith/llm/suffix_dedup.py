@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from leadsmith.llm.common import stored, text_slices, with_fields
 
 SEED_BYTES = 32
-#: Windows of one very long text that are handled at a time.
-PIECE_BYTES = 1 << 24
+#: Bytes of text whose windows a worker handles at a time.
+PIECE_BYTES = 1 << 20
 POSITION_BITS = 26
 #: Bytes of contexts that are suffix-sorted together, at least (one anchor's contexts stay together).
 BATCH_BYTES = 1 << 20
@@ -223,7 +223,7 @@ def context_rows(docs: DataFrame, min_length: int) -> DataFrame:
     """Contexts of ``docs(id, tag, text)``: rows with strings > 0 are the first of
     their kind in a run of texts; spans of the others follow with strings = -length."""
     def run(batches):
-        for batch, texts in text_slices(batches, 2):
+        for batch, texts in text_slices(batches, 2, PIECE_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             for first, offset, part in _pieces(texts, min_length):
@@ -372,7 +372,7 @@ def compared(found: DataFrame, min_length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100,
-                   max_contexts: int = 20_000) -> DataFrame:
+                   max_contexts: int = 8_000) -> DataFrame:
     """``(id, tag, spans)``: the bytes to remove from each document that has any, as
     sorted disjoint runs."""
     if min_length < SEED_BYTES:
@@ -388,7 +388,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100,
-                   max_contexts: int = 20_000, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+                   max_contexts: int = 8_000, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per row: ``carry``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
     kept_text (bytes that no longer form a whole character are left out)."""
     spans = repeated_spans(docs, id_col, text_col, min_length, max_contexts)

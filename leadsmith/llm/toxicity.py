@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadsmith.llm.common import labelled_sample, stored, text_slices
+from leadsmith.llm.common import labelled_sample, prior, stored, text_slices
 
 GRAMS = (4, 5, 6, 7)
 BIN_BITS = 20
@@ -131,16 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, regression_
     see about ``per_class`` rows of each class, the regression about
     ``regression_per_class`` of them and ``max_features`` features."""
     labelled, n = labelled_sample(docs, labels, per_class, id_col, text_col)
-    none = np.zeros(0, np.int32), np.zeros(0)
+    constant = ToxicityModel(np.zeros(0, np.int32), np.zeros(0), float(np.log(prior(n) / (1 - prior(n)))))
     if not n[0] or not n[1]:
-        prior = 0.5 if not sum(n) else min(max(n[1] / sum(n), 0.01), 0.99)
-        return ToxicityModel(*none, float(np.log(prior / (1 - prior))))
+        return constant
 
     counts = stored(feature_counts(labelled), "toxicity_counts")
     sums = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     width = float(1 << BIN_BITS)
-    ratio = (F.log((F.col("toxic") + smoothing) / (sums["t"] + smoothing * width))
-             - F.log((F.col("clean") + smoothing) / (sums["c"] + smoothing * width)))
+    ratio = (F.log((F.col("toxic") + smoothing) / ((sums["t"] or 0) + smoothing * width))
+             - F.log((F.col("clean") + smoothing) / ((sums["c"] or 0) + smoothing * width)))
     # Features with the surest ratios: in units of its standard error.
     error = F.sqrt(1 / (F.col("toxic") + smoothing) + 1 / (F.col("clean") + smoothing))
     chosen = (counts.where(F.col("toxic") + F.col("clean") >= min_rows)
@@ -148,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, regression_
               .orderBy(F.col("z").desc(), "bin").limit(max_features).toPandas().sort_values("bin"))
     bins, r = chosen["bin"].to_numpy(np.int32), chosen["r"].to_numpy(np.float64)
     if not len(bins):
-        return ToxicityModel(*none, float(np.log(n[1] / n[0])))
+        return constant
     place = np.full(1 << BIN_BITS, -1, np.int32)
     place[bins] = np.arange(len(bins), dtype=np.int32)
 
@@ -164,6 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, regression_
     rows = few.select("label", "text").mapInArrow(features, "label long, features array<int>")
     sample = rows.toPandas()
     y = sample["label"].to_numpy(np.float64)
+    if len(np.unique(y)) < 2:
+        return constant
     lengths = sample["features"].map(len).to_numpy()
     flat = np.concatenate([np.asarray(f, np.int64) for f in sample["features"]] or [np.zeros(0, np.int64)])
     # Rows weigh as much as their class does in all labelled rows.
