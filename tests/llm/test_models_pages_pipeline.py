@@ -20,7 +20,8 @@ def labels_of(spark, rows):
 
 @pytest.mark.parametrize("module", [toxicity, quality_mil])
 def test_models_without_usable_labels_score_the_prior(messy, messy_rows, no_docs, spark, module):
-    for rows, want in (([], 0.5), ([(100, 0), (101, 0), (None, 1), (102, None)], 0.01)):
+    # no label; one class only; labels of documents that are not there
+    for rows, want in (([], 0.5), ([(100, 0), (101, 0), (None, 1), (102, None)], 0.01), ([(-5, 0), (-6, 1)], 0.5)):
         model = module.fit(messy, labels_of(spark, rows))
         scored = module.score(messy, model)
         name = "score" if "score" in scored.columns else "__score"
