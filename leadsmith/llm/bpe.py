@@ -39,7 +39,7 @@ LOOK_AHEAD = 4
 SHORT_PIECE = 48
 NO_RANK = 1 << 40
 #: Pieces kept in a worker's memory with their ids.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 #: Texts above this many pieces' bytes are never kept.
 CACHE_PIECE_BYTES = 64
 

@@ -15,11 +15,11 @@ from leadsmith.session import scratch_path
 
 #: Bytes of text that one step of a worker handles at a time. A single longer
 #: text forms a step of its own.
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 
 
 #: Bytes of one Arrow batch between Spark and a Python worker.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def small_batches(spark: SparkSession) -> None:

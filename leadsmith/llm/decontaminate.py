@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 13,
                   block_windows: int = 200_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, the
-    ``carry`` columns, ``hit_spans`` (word ranges, flat) and ``hit_items``."""
+    ``carry`` columns, ``hit_spans`` (word ranges, sorted) and ``hit_items``."""
     windows = stored(benchmark_windows(benchmark, window, item_col, item_text_col), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
     parts = []
@@ -165,30 +165,31 @@ def _scan_block(docs, items, id_col, text_col, carry):
                 words = words_of(text)
                 s, i = scan(words, searches, items) if searches else ([], set())
                 n_words.append(len(words))
-                spans.append([x for ab in s for x in ab])
+                spans.append([{"lo": a, "hi": b} for a, b in s])
                 ids.append(sorted(i))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(j) for j in range(kept)), pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))],
+                 pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
                 names=[*(f.name for f in fields), "n_words", "hit_spans", "hit_items"])
 
     lead, kept, text_at = lead_columns(docs, id_col, text_col, carry, F.xxhash64(F.col(text_col)).alias("__key"))
     fields = lead.schema.fields[:kept]
-    return lead.mapInArrow(run, with_fields(fields, "n_words long, hit_spans array<int>, hit_items array<string>"))
+    return lead.mapInArrow(run, with_fields(fields, "n_words long, hit_spans array<struct<lo: int, hi: int>>, hit_items array<string>"))
 
 
 def _finish(hits, id_col, carry):
-    @F.pandas_udf("struct<n_hit: long, hit_spans: array<int>>")
-    def joined(spans):
-        import pandas as pd
-        merged = [merge_spans(list(zip(s[::2], s[1::2], strict=True))) for s in spans]
-        return pd.DataFrame({"n_hit": [sum(b - a for a, b in m) for m in merged],
-                             "hit_spans": [[int(x) for ab in m for x in ab] for m in merged]})
-
-    done = hits.withColumn("__m", joined("hit_spans"))
-    n_hit = F.col("__m.n_hit")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("words"))
+
+    def cover(acc, span):
+        """Spans in order of their start: what reaches beyond those before counts."""
+        return F.struct(F.greatest(acc["end"], span["hi"]).alias("end"),
+                        (acc["words"] + F.greatest(span["hi"] - F.greatest(span["lo"], acc["end"]), F.lit(0))).alias("words"))
+
+    done = (hits.withColumn("hit_spans", F.array_sort("hit_spans"))
+            .withColumn("__hit", F.aggregate("hit_spans", start, cover, lambda acc: acc["words"])))
+    n_hit = F.col("__hit")
     return done.select(
         id_col, *carry, "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("hit_items")).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
-        F.col("__m.hit_spans").alias("hit_spans"), F.array_sort("hit_items").alias("hit_items"))
+        "hit_spans", F.array_sort("hit_items").alias("hit_items"))

@@ -44,7 +44,7 @@ TABLE_BITS = 16
 PROBE_COST = 20.0
 #: Rows of a bucket's block, and comparisons done at a time.
 BLOCK_ROWS = 4_096
-CHUNK_PAIRS = 1 << 21
+CHUNK_PAIRS = 1 << 19
 #: Expected candidates a bucket may hold by chance before partitions get wider.
 CHANCE_ROWS = 64
 
