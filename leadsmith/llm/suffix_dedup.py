@@ -15,8 +15,11 @@ too: in a document of a smaller id, or before it in the same document.
    intervals of its Burrows-Wheeler transform sets the common prefix lengths 0, 1,
    2, .. in turn and stops at ``min_length``. Neighbours that have got no length
    by then share at least ``min_length`` bytes.
-3. An anchor with more than ``max_contexts`` different contexts is dealt out again
-   by the hash of each of its strings, so no task gets an unbounded group.
+3. A frequent anchor (a line that many documents share, in different surroundings)
+   would bring all its contexts to one task. Anchors found frequent in a bounded
+   sample, and any other with more than ``max_contexts`` different contexts, are
+   dealt out by the hash of each of their strings instead. Equal strings have equal
+   anchors, so whichever anchors are chosen, no repeat is lost.
 
 Defined results: a null text counts as empty; rows with the same id and text are
 one document and get equal results; of rows with the same id and other texts the
@@ -42,8 +45,10 @@ SEED_BYTES = 32
 PIECE_BYTES = 1 << 20
 POSITION_BITS = 26
 #: Bytes of contexts that are suffix-sorted together, at least (one anchor's contexts stay together).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 NO_ID = -(1 << 63)
+#: Different contexts in the sample that make an anchor frequent, at least.
+FREQUENT_LEAST = 50
 _BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 ROW = "mh long, ctx long, id long, tag int, start long, strings int"
 SPAN = "id long, tag int, start long, stop long"
@@ -106,7 +111,7 @@ def _pieces(texts: list[bytes], min_length: int):
 
 
 def first_rows(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """cols: mh, ctx, id, tag, start, .. in that order of sorting. Marks the rows that
+    """cols: mh, ctx, id, tag, start, .., sorted by (mh, ctx, id, start). Marks the rows that
     start a group of (mh, ctx), and those with the group's first (id, start)."""
     mh, ctx, ids, start = cols[0], cols[1], cols[2], cols[4]
     lead = np.ones(len(mh), bool)
@@ -219,10 +224,33 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
             F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1)).cast("int").alias("tag"), text.alias("text")]
 
 
-def context_rows(docs: DataFrame, min_length: int) -> DataFrame:
+def frequent_anchors(docs: DataFrame, min_length: int, sample: int, share: float) -> np.ndarray:
+    """Anchor hashes with different contexts in at least ``share`` of about ``sample``
+    documents (taken by a hash): at most contexts in the sample / (share * sample)."""
+    n = docs.count()
+    if not n:
+        return np.zeros(0, np.int64)
+    part = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < min(1.0, sample / n) * (1 << 30))
+    found = (context_rows(part, min_length, np.zeros(0, np.int64)).where("strings > 0")
+             .groupBy("mh", "ctx").agg(F.lit(1).alias("one")).groupBy("mh").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= max(FREQUENT_LEAST, share * min(n, sample))))
+    return np.sort(np.array([r["mh"] for r in found.select("mh").collect()], np.int64))
+
+
+def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> DataFrame:
     """Contexts of ``docs(id, tag, text)``: rows with strings > 0 are the first of
-    their kind in a run of texts; spans of the others follow with strings = -length."""
+    their kind in a run of texts (of ``frequent`` anchors: single strings); spans of
+    the others follow with strings = -length."""
+    def collapsed(cols):
+        """First rows of each kind, and the spans of the others."""
+        order = np.lexsort((cols[3], cols[4], cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        _, keep = first_rows(cols)
+        gone = [c[~keep] for c in cols]
+        return [c[keep] for c in cols], (gone[2], gone[3], gone[4], gone[4] + gone[5] + min_length - 1)
+
     def run(batches):
+        digest = xxhash.xxh3_64_intdigest
         for batch, texts in text_slices(batches, 2, PIECE_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
@@ -231,19 +259,26 @@ def context_rows(docs: DataFrame, min_length: int) -> DataFrame:
                 ends = np.cumsum([len(t) for t in part])
                 begins = np.concatenate([[0], ends[:-1]])
                 doc, at, strings, mh = contexts(np.frombuffer(joined, np.uint8), ends, min_length)
-                digest = xxhash.xxh3_64_intdigest
                 ctx = np.array([digest(joined[a:b]) for a, b in zip(at.tolist(), (at + strings + min_length - 1).tolist(),
                                                                     strict=True)], np.uint64).view(np.int64)
-                cols = [mh, ctx, ids[first + doc], tags[first + doc], at - begins[doc] + offset, strings]
-                order = np.lexsort((cols[4], cols[3], cols[2], ctx, mh))
-                cols = [c[order] for c in cols]
-                _, keep = first_rows(cols)
-                gone = [c[~keep] for c in cols]
-                s_id, s_tag, s_lo, s_hi = merged(gone[2], gone[3], gone[4], gone[4] + gone[5] + min_length - 1)
+                cols, gone = collapsed([mh, ctx, ids[first + doc], tags[first + doc], at - begins[doc] + offset, strings, at])
+                many = np.isin(cols[0], frequent)
+                if many.any():
+                    few, more = [c[~many] for c in cols], [c[many] for c in cols]
+                    row = np.repeat(np.arange(len(more[0])), more[5])
+                    step = np.arange(len(row)) - np.repeat(np.cumsum(more[5]) - more[5], more[5])
+                    begin = (more[6][row] + step).tolist()
+                    single = [np.array([f(joined[b:b + min_length]) for b in begin], np.uint64).view(np.int64)
+                              for f in (xxhash.xxh64_intdigest, digest)]
+                    single, repeats = collapsed([*single, more[2][row], more[3][row], more[4][row] + step,
+                                                 np.ones(len(row), np.int64), more[6][row] + step])
+                    cols = [np.concatenate(c) for c in zip(few, single, strict=True)]
+                    gone = tuple(np.concatenate(c) for c in zip(gone, repeats, strict=True))
+                s_id, s_tag, s_lo, s_hi = merged(*gone)
                 zero = np.zeros(len(s_id), np.int64)
                 # A span's row is dealt by its document's hash, away from any one task.
-                out = [np.concatenate([c[keep], s]) for c, s in zip(
-                    cols, [s_id * 31 + s_lo, zero, s_id, s_tag, s_lo, s_lo - s_hi], strict=True)]
+                out = [np.concatenate([c, s]) for c, s in zip(
+                    cols[:6], [s_id * 31 + s_lo, zero, s_id, s_tag, s_lo, s_lo - s_hi], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c.astype(t)) for c, t in zip(out, "i8 i8 i8 i4 i8 i4".split(), strict=True)],
                     names=["mh", "ctx", "id", "tag", "start", "strings"])
@@ -372,13 +407,14 @@ def compared(found: DataFrame, min_length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 100,
-                   max_contexts: int = 8_000) -> DataFrame:
+                   max_contexts: int = 8_000, sample: int = 20_000, share: float = 0.02) -> DataFrame:
     """``(id, tag, spans)``: the bytes to remove from each document that has any, as
     sorted disjoint runs."""
     if min_length < SEED_BYTES:
         raise ValueError(f"min_length must be at least {SEED_BYTES}")
     own = docs.select(*_keys(id_col, text_col))
-    first = stored(resolve(context_rows(own, min_length), min_length), "spans")
+    frequent = frequent_anchors(own, min_length, sample, share)
+    first = stored(resolve(context_rows(own, min_length, frequent), min_length), "spans")
     found, strings = asked_texts(own, first.where("strings > 0").select("id", "tag", "start", "stop", "mh"),
                                  max_contexts, min_length)
     spans = (first.where("strings = 0").select("id", "tag", "start", "stop")

@@ -222,6 +222,15 @@ def test_remove_repeats(messy, messy_rows, length, full):
     assert counted(got, *REPEAT_COLS) == brute_repeats(messy_rows, length)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.01])
+def test_remove_repeats_with_frequent_anchors(messy, messy_rows, monkeypatch, share):
+    find = suffix_dedup.frequent_anchors
+    monkeypatch.setattr(suffix_dedup, "FREQUENT_LEAST", 1)
+    monkeypatch.setattr(suffix_dedup, "frequent_anchors", lambda d, m, sample, _: find(d, m, sample, share))
+    got = suffix_dedup.remove_repeats(messy, min_length=100)
+    assert counted(got, *REPEAT_COLS) == brute_repeats(messy_rows, 100)
+
+
 def test_remove_repeats_in_small_batches(messy, messy_rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 500)
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 2_000)
