@@ -120,9 +120,13 @@ def attr(node: Column, name: str) -> Column:
 
 
 def has_classes(node: Column, names: list[str]) -> Column:
-    """All of ``names`` are among the element's classes."""
-    own = F.split(F.coalesce(attr(node, "class"), F.lit("")), r"\s+")
-    return F.size(F.array_intersect(own, F.array(*(F.lit(n) for n in names)))) == len(names)
+    """All of ``names`` are among the element's classes. Few elements hold the names at
+    all, so their classes are split only after that."""
+    written = attr(node, "class")
+    held = written.isNotNull()
+    for n in names:
+        held = held & F.contains(written, F.lit(n))
+    return held & (F.size(F.array_intersect(F.split(written, r"\s+"), F.array(*(F.lit(n) for n in names)))) == len(names))
 
 
 def inside(nodes: Column, node: Column) -> Column:

@@ -351,6 +351,7 @@ def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 
 def _field(nodes: Column, block: tuple[list[str], str, bool], target: tuple[str, str, str, bool] | None) -> Column:
+    """The element that holds a field, or null."""
     classes, holds, every = block
 
     def is_block(n):
@@ -367,8 +368,7 @@ def _field(nodes: Column, block: tuple[list[str], str, bool], target: tuple[str,
         found = F.slice(found, 1, 1)
     if target is not None:
         found = F.flatten(F.transform(found, lambda b: F.filter(inside(nodes, b), is_target)))
-    element = F.get(found, F.lit(0))
-    return F.when(element.isNotNull(), node_text(nodes, element))
+    return F.get(found, F.lit(0))
 
 
 def posting_fields(pages: DataFrame, spec=POSTING_FIELD_SPEC, url_col: str = "url",
@@ -378,8 +378,11 @@ def posting_fields(pages: DataFrame, spec=POSTING_FIELD_SPEC, url_col: str = "ur
     person's second variant only the first line counts."""
     staged = pages.select(F.col(url_col).alias("url"), html_nodes(html_col).alias("__nodes"))
     nodes = F.col("__nodes")
-    found = staged.select("url", *(
-        _field(nodes, block, target).alias(f"__{field}_{variant}") for field, variant, block, target in spec))
+    # Staged: elements first, then their texts, so neither is computed twice.
+    names = [f"__{field}_{variant}" for field, variant, _, _ in spec]
+    found = staged.select("url", "__nodes", *(
+        _field(nodes, block, target).alias(n) for n, (_, _, block, target) in zip(names, spec, strict=True)))
+    found = found.select("url", *(F.when(F.col(n).isNotNull(), node_text(nodes, F.col(n))).alias(n) for n in names))
     cols = [F.col("url")]
     for field in POSTING_FIELDS:
         texts = []

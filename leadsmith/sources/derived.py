@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsmith.sources.io import read_parquet
+from leadsmith.sources.io import read_parquet, spread
 
 
 def site_domain(suppkey: Column, nation_name: Column) -> Column:
@@ -196,7 +196,7 @@ def _part_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = li.groupBy("l_partkey").agg(
         F.min_by("l_suppkey", F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("l_suppkey"))
     sup = read_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    part = read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = spread(read_parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     return (part.join(first, part.p_partkey == first.l_partkey, "left")
             .join(sup, F.col("l_suppkey") == sup.s_suppkey, "left")
             .select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "s_suppkey", "s_name"))
