@@ -2,9 +2,11 @@
 
 A sketch keeps every distinct shingle hash in the lowest ``fraction`` of the
 hash range, and the ``at_least`` smallest ones where that leaves fewer, so short
-texts keep one too. Sketches of parts merge by union. The share of a document's
+texts keep all of theirs. Sketches of parts merge by union. The share of a document's
 shingles that another one holds is estimated on the hashes below the lower of
-both documents' limits, however unequal they are.
+both documents' limits, however unequal they are. Where none of the own hashes is
+below it the sketches tell nothing: ``containment`` is then the value given as
+``unknown``, and ``share`` counts on the texts instead.
 
 Defined results: a null text counts as empty; a text of fewer words than a
 shingle is one shingle; without words the fingerprint is empty, which is like
@@ -17,6 +19,8 @@ each other; a single row follows itself. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,23 +28,34 @@ from pyspark.sql.window import Window
 from leadsmith.llm.common import text_or_empty
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 16
-AT_LEAST = 8
+FRACTION = 1 / 2
+AT_LEAST = 64
 LOWEST = -(1 << 63)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, also where lambdas in it read it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def word_hashes(text: str) -> Column:
+    return F.transform(F.filter(F.split(text_or_empty(text), r"[ \t-\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def shingles(hashes: str | Column) -> Column:
+    """Hashes of all shingles of a text with the given ``word_hashes``."""
+    k, n = SHINGLE_WORDS, F.size(hashes)
+    return (F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k),
+                                       lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(k)))))
+            .when(n > 0, F.array(F.xxhash64(hashes)))
+            .otherwise(F.array().cast("array<long>")))
+
+
 def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION, at_least: int = AT_LEAST) -> DataFrame:
     """Adds ``out``: the sorted sketch (signed hashes) of column ``text``."""
-    k, limit = SHINGLE_WORDS, LOWEST + int(2 ** 64 * fraction)
-    n = F.size("__h")
-    shingles = (F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k),
-                                           lambda i: F.xxhash64(*(F.get("__h", i + j) for j in range(k)))))
-                .when(n > 0, F.array(F.xxhash64("__h")))
-                .otherwise(F.array().cast("array<long>")))
+    limit = LOWEST + int(2 ** 64 * fraction)
     low = F.array_sort(F.array_distinct(F.filter("__s", lambda h: h < limit)))
-    return (df.withColumn("__h", F.transform(F.filter(F.split(text_or_empty(text), r"[ \t-\r]+"), lambda w: w != ""),
-                                             lambda w: F.xxhash64(w)))
-            .withColumn("__s", shingles).withColumn("__l", low)
+    return (df.withColumn("__h", word_hashes(text)).withColumn("__s", shingles("__h")).withColumn("__l", low)
             .withColumn(out, F.when(F.size("__l") >= at_least, F.col("__l"))
                         .otherwise(F.slice(F.array_sort(F.array_distinct("__s")), 1, at_least)))
             .drop("__h", "__s", "__l"))
@@ -54,16 +69,26 @@ def sketch_text(sketch: str) -> Column:
 def _limit(sketch: str, fraction: float, at_least: int) -> Column:
     """The largest hash up to which a sketch is complete."""
     return (F.when(F.size(sketch) < at_least, F.lit((1 << 63) - 1))
-            .otherwise(F.greatest(F.lit(LOWEST + int(2 ** 64 * fraction) - 1), F.array_max(sketch))))
+            .otherwise(F.greatest(F.lit(LOWEST + int(2 ** 64 * fraction) - 1), F.element_at(sketch, -1))))
 
 
-def containment(own: str, other: str, fraction: float = FRACTION, at_least: int = AT_LEAST) -> Column:
-    """Estimated share of ``own``'s shingles that ``other`` holds too."""
+def containment(own: str, other: str, fraction: float = FRACTION, at_least: int = AT_LEAST,
+                unknown: Column | None = None) -> Column:
+    """Estimated share of ``own``'s shingles that ``other`` holds too; ``unknown`` (0.0 if
+    not given) where none of ``own``'s hashes is below the common limit."""
     limit = F.least(_limit(own, fraction, at_least), _limit(other, fraction, at_least))
-    mine = F.filter(own, lambda h: h <= limit)
+    mine = _once(limit, lambda top: F.filter(own, lambda h: h <= top))
     return (F.when(F.col(own) == F.col(other), F.lit(1.0))
-            .when((F.size(own) == 0) | (F.size(other) == 0) | (F.size(mine) == 0), F.lit(0.0))
-            .otherwise(F.size(F.array_intersect(mine, F.col(other))) / F.size(mine)))
+            .when((F.size(own) == 0) | (F.size(other) == 0), F.lit(0.0))
+            .otherwise(_once(mine, lambda m: F.when(F.size(m) == 0, F.lit(0.0) if unknown is None else unknown)
+                             .otherwise(F.size(F.array_intersect(m, F.col(other))) / F.size(m)))))
+
+
+def share(own: str, other: str, own_text: str, other_text: str) -> Column:
+    """``containment`` of two sketches; the exact share of the texts' shingles where they tell nothing."""
+    mine, theirs = (F.array_distinct(_once(word_hashes(t), shingles)) for t in (own_text, other_text))
+    exact = _once(mine, lambda m: F.size(F.array_intersect(m, theirs)) / F.size(m))
+    return containment(own, other, unknown=exact)
 
 
 def _range_number(id_col: Column, cuts: list) -> Column:
@@ -92,7 +117,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = max(1, min(max_ranges, -(-ids.count() // rows_per_range)))
     heads = sorted(r["m"] for r in ids.where(F.col("id").isNotNull()).repartitionByRange(ranges, "id")
                    .groupBy(F.spark_partition_id()).agg(F.max("id").alias("m")).collect())
-    rows = with_sketch(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "text", "sketch")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # Range k holds the ids above heads[k-1] up to heads[k]; range 0 also null ids.
     cuts = heads[:-1]
     rows = rows.withColumn("range", _range_number(F.col("id"), cuts)).withColumn("extra", F.lit(False))
@@ -101,12 +126,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = docs.schema[id_col].dataType.simpleString()
         last = spark.createDataFrame(ends, f"head {kind}, to int")
         copies = (rows.join(F.broadcast(last), F.col("id") == F.col("head"))
-                  .select("id", "text", "sketch", F.col("to").alias("range"), F.lit(True).alias("extra")))
+                  .select("id", "text", F.col("to").alias("range"), F.lit(True).alias("extra")))
     else:  # only null ids: one range whose first row follows its last one
         copies = (rows.orderBy(F.col("text").desc()).limit(1)
-                  .select("id", "text", "sketch", F.lit(0).alias("range"), F.lit(True).alias("extra")))
-    order = Window.partitionBy("range").orderBy("extra", F.col("id").desc_nulls_last(), F.col("text").desc())
-    return (rows.unionByName(copies)
+                  .select("id", "text", F.lit(0).alias("range"), F.lit(True).alias("extra")))
+    by = ["extra", F.col("id").desc_nulls_last(), F.col("text").desc()]
+    order = Window.partitionBy("range").orderBy(*by)
+    # Sketches are made of rows that are dealt out and sorted, so none is shuffled or spilled.
+    dealt = rows.unionByName(copies).repartition("range").sortWithinPartitions("range", *by)
+    return (with_sketch(dealt, "text", "sketch")
             .select("*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))
             .where(~F.col("extra")).select(F.col("id").alias(id_col), "text", "sketch", "next_text", "next_sketch"))
 

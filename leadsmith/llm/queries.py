@@ -10,7 +10,7 @@ from leadsmith.llm import quality_mil, toxicity
 from leadsmith.llm.bpe import encode_documents
 from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
-from leadsmith.llm.fingerprints import containment, edited_pairs, edited_text, sketch_text, with_sketch
+from leadsmith.llm.fingerprints import edited_pairs, edited_text, share, sketch_text, with_sketch
 from leadsmith.llm.html_mincut import extract
 from leadsmith.llm.license_scan import scan_licenses
 from leadsmith.llm.simhash import hex_digits, near_duplicates
@@ -61,8 +61,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                         sketch_text("sketch").alias("fingerprint"),
                         sketch_text("edited_sketch").alias("edited_fingerprint"),
-                        containment("sketch", "edited_sketch").alias("near_edited"),
-                        containment("sketch", "next_sketch").alias("near_next"))
+                        share("sketch", "edited_sketch", "text", "edited").alias("near_edited"),
+                        share("sketch", "next_sketch", "text", "next_text").alias("near_next"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

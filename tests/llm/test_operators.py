@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from leadsmith.llm import bpe, fingerprints, simhash, suffix_dedup
 from leadsmith.llm.decontaminate import contamination
@@ -302,6 +303,32 @@ def test_containment_estimates_the_share(spark):
     assert (r["xy"], r["xe"], r["ee"]) == (1.0, 0.0, 1.0)
 
 
+def test_share_of_short_texts_inside_long_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (1, 3, 5, 6, 10, 20, 30, 54, 104, 300):
+        for _ in range(20):
+            words = [f"w{i}" for i in rng.integers(0, 10**9, n)]
+            around = [f"v{i}" for i in rng.integers(0, 10**9, 2000)]
+            # whole inside; half of it inside
+            rows.append((n, " ".join(words), " ".join(around[:900] + words + around[900:]),
+                         " ".join(around + words[:n // 2])))
+    df = spark.createDataFrame(rows, "n int, s string, l string, h string")
+    for c in "slh":
+        df = fingerprints.with_sketch(df, c, f"k_{c}")
+    for r in df.select("n", fingerprints.share("k_s", "k_l", "s", "l").alias("whole"),
+                       fingerprints.share("k_s", "k_h", "s", "h").alias("part")).collect():
+        assert r["whole"] == (1.0 if r["n"] >= 5 else 0.0), r       # fewer words than a shingle: another one
+        if r["n"] >= 300:
+            assert abs(r["part"] - (r["n"] // 2 - 4) / (r["n"] - 4)) < 0.2
+    unknown = spark.createDataFrame([([1 << 62], list(range(-9, 0)), "a b c d e", "x a b c d e")],
+                                    "o array<long>, t array<long>, a string, b string")
+    below = unknown.withColumn("t", F.expr("transform(sequence(1, 99), i -> -9223372036854775807L + i)"))
+    got = below.select(fingerprints.containment("o", "t", unknown=F.lit(-1.0)).alias("c"),
+                       fingerprints.share("o", "t", "a", "b").alias("s")).first()
+    assert got["c"] == -1.0 and got["s"] == 1.0
+
+
 # ---------------------------------------------------------------- byte-level BPE
 
 @pytest.mark.parametrize("chunk,overlap", [(32_768, 1_024), (64, 24)])
