@@ -22,7 +22,7 @@ too: in a document of a smaller id, or before it in the same document.
    anchors, so whichever anchors are chosen, no repeat is lost.
 
 Defined results: a null text counts as empty; rows with the same id and text are
-one document and get equal results; of rows with the same id and other texts the
+one document, looked at once however often it stands there, and get equal results; of rows with the same id and other texts the
 smaller start is the earlier one, equal starts both stay; a null id is smaller
 than any other; ids are integers; an empty table gives an empty result; other
 columns of the input are ignored (``carry`` keeps those named).
@@ -50,8 +50,8 @@ NO_ID = -(1 << 63)
 #: Different contexts in the sample that make an anchor frequent, at least.
 FREQUENT_LEAST = 50
 _BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-ROW = "mh long, ctx long, id long, tag int, start long, strings int"
-SPAN = "id long, tag int, start long, stop long"
+ROW = "mh long, ctx long, id long, tag long, start long, strings int"
+SPAN = "id long, tag long, start long, stop long"
 
 
 def seed_hashes(raw: np.ndarray) -> np.ndarray:
@@ -110,6 +110,16 @@ def _pieces(texts: list[bytes], min_length: int):
         yield lo, 0, texts[lo:]
 
 
+def copies(cols: list[np.ndarray], last: list | None = None) -> np.ndarray:
+    """Marks the rows equal to the one before them (at first to ``last``) in mh, ctx, id, tag
+    and start: the same place of a repeated row."""
+    out = np.zeros(len(cols[0]), bool)
+    if len(out):
+        out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:5]])
+        out[0] = last is not None and all(c[0] == x for c, x in zip(cols[:5], last, strict=True))
+    return out
+
+
 def first_rows(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """cols: mh, ctx, id, tag, start, .., sorted by (mh, ctx, id, start). Marks the rows that
     start a group of (mh, ctx), and those with the group's first (id, start)."""
@@ -221,7 +231,7 @@ def repeated_strings(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, le
 def _keys(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-            F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1)).cast("int").alias("tag"), text.alias("text")]
+            F.xxhash64(text).alias("tag"), text.alias("text")]
 
 
 def frequent_anchors(docs: DataFrame, min_length: int, sample: int, share: float) -> np.ndarray:
@@ -245,6 +255,8 @@ def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> Data
         """First rows of each kind, and the spans of the others."""
         order = np.lexsort((cols[3], cols[4], cols[2], cols[1], cols[0]))
         cols = [c[order] for c in cols]
+        again = copies(cols)
+        cols = [c[~again] for c in cols]
         _, keep = first_rows(cols)
         gone = [c[~keep] for c in cols]
         return [c[keep] for c in cols], (gone[2], gone[3], gone[4], gone[4] + gone[5] + min_length - 1)
@@ -280,7 +292,7 @@ def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> Data
                 out = [np.concatenate([c, s]) for c, s in zip(
                     cols[:6], [s_id * 31 + s_lo, zero, s_id, s_tag, s_lo, s_lo - s_hi], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(t)) for c, t in zip(out, "i8 i8 i8 i4 i8 i4".split(), strict=True)],
+                    [pa.array(c.astype(t)) for c, t in zip(out, "i8 i8 i8 i8 i8 i4".split(), strict=True)],
                     names=["mh", "ctx", "id", "tag", "start", "strings"])
 
     return docs.mapInArrow(run, ROW)
@@ -291,14 +303,19 @@ def resolve(rows: DataFrame, min_length: int) -> DataFrame:
     contexts, and the first ones of anchors that have several (``strings`` set)."""
     def run(batches):
         kept = None     # the last context's first row, and whether its anchor has another
+        last = None     # the last row
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = 0
-            if kept is not None:
-                cols, held = [np.concatenate([[k], c]) for k, c in zip(kept[0], cols, strict=True)], 1
             span = cols[5] < 0
             spans = [c[span] for c in cols]
             cols = [c[~span] for c in cols]
+            again = copies(cols, last)
+            if len(again):
+                last = [c[-1] for c in cols[:5]]
+            cols = [c[~again] for c in cols]
+            held = 0
+            if kept is not None:
+                cols, held = [np.concatenate([[k], c]) for k, c in zip(kept[0], cols, strict=True)], 1
             if not len(cols[0]):
                 yield _resolved(spans[2], spans[3], spans[4], spans[4] - spans[5], cols, min_length)
                 continue
@@ -334,7 +351,7 @@ def _resolved(ids, tags, start, stop, asked, min_length):
     ids, tags, start, stop = merged(ids, tags, start, stop)
     n, k = len(ids), len(asked[0])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([ids, asked[2]]).astype(np.int64)), pa.array(np.concatenate([tags, asked[3]]).astype(np.int32)),
+        [pa.array(np.concatenate([ids, asked[2]]).astype(np.int64)), pa.array(np.concatenate([tags, asked[3]]).astype(np.int64)),
          pa.array(np.concatenate([start, asked[4]]).astype(np.int64)),
          pa.array(np.concatenate([stop, asked[4] + asked[5] + min_length - 1]).astype(np.int64)),
          pa.array(np.concatenate([np.zeros(n, np.int64), asked[0]]).astype(np.int64)),
@@ -350,7 +367,8 @@ def asked_texts(docs: DataFrame, asked: DataFrame, max_contexts: int, min_length
     marked = asked.join(full, F.col("mh") == F.col("f_mh"), "left").select(
         "id", "tag", F.struct("start", "stop", "mh", F.col("f_mh").isNotNull().alias("full")).alias("c"))
     per_doc = marked.groupBy("id", "tag").agg(F.collect_list("c").alias("cs"))
-    joined = docs.join(per_doc, ["id", "tag"])
+    # One row of a repeated one: dealt out as the join needs it, so texts are shuffled once.
+    joined = docs.dropDuplicates(["id", "tag"]).join(per_doc, ["id", "tag"])
 
     def run(batches):
         for batch, texts in text_slices(batches, 2):
@@ -369,12 +387,12 @@ def asked_texts(docs: DataFrame, asked: DataFrame, max_contexts: int, min_length
                         for o, v in zip(out, (c["mh"], i, t, c["start"], 0, text[c["start"]:c["stop"]]), strict=True):
                             o.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()),
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
                  pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.binary())],
                 names=["mh", "id", "tag", "start", "ctx", "context"])
 
     found = stored(joined.select("id", "tag", "text", "cs").mapInArrow(
-        run, "mh long, id long, tag int, start long, ctx long, context binary"), "contexts")
+        run, "mh long, id long, tag long, start long, ctx long, context binary"), "contexts")
     strings = found.where("context is null").select("mh", "ctx", "id", "tag", "start", F.lit(1).alias("strings"))
     return found.where("context is not null").drop("ctx"), strings
 
@@ -399,7 +417,7 @@ def compared(found: DataFrame, min_length: int) -> DataFrame:
         text, offset = repeated_strings([r[4] for r in rows], ids, starts, min_length)
         at = starts[text] + offset
         out = merged(ids[text], tags[text], at, at + min_length)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(out, "i8 i4 i8 i8".split(), strict=True)],
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(out, "i8 i8 i8 i8".split(), strict=True)],
                                           names=["id", "tag", "start", "stop"])
 
     dealt = found.repartition("mh").sortWithinPartitions("mh").select("mh", "id", "tag", "start", "context")

@@ -239,6 +239,22 @@ def test_remove_repeats_in_small_batches(messy, messy_rows, monkeypatch):
     assert counted(got, *REPEAT_COLS) == brute_repeats(messy_rows, 100)
 
 
+def test_remove_repeats_looks_at_a_repeated_row_once(spark, monkeypatch):
+    from tests.llm.conftest import PASSAGE, as_docs
+    rows = [(None, f"Start {PASSAGE} end of it.")] * 300 + [(7, f"Another start {PASSAGE} tail.")] * 300 \
+        + [(8, f"Third {PASSAGE}"), (None, f"Start {PASSAGE} in another text without id.")]
+    seen, compared = [], suffix_dedup.compared
+
+    def watched(found, min_length):
+        seen.append(counted(found, "mh", "id", "tag", "start"))
+        return compared(found, min_length)
+
+    monkeypatch.setattr(suffix_dedup, "compared", watched)
+    got = suffix_dedup.remove_repeats(as_docs(spark, rows).repartition(7), min_length=100)
+    assert counted(got, *REPEAT_COLS) == brute_repeats(rows, 100)
+    assert seen[0] and set(seen[0].values()) == {1}
+
+
 def test_remove_repeats_empty(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
