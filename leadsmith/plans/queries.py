@@ -585,7 +585,7 @@ def q_stream_ingest(spark, sf_dir):
 
 
 def q_stream_keep_first(spark, sf_dir):
-    """One row per user while the watermark holds (keys only: which
+    """One row per user (keys only: which
     repeat survives inside a batch is not defined)."""
     run = scratch_path(spark, "stream_keep_first")
     source = f"{sf_dir.rstrip('/')}/events.parque[t]"  # a glob: the file source wants one

@@ -6,9 +6,10 @@ micro-batch runs the contact clean-up against the current master and appends
 the survivors. The master is a folder partitioned by a hash bucket of the key
 (``bucket=``): a batch reads only the buckets its keys fall into.
 
-S2: ``dropDuplicatesWithinWatermark`` keeps one row per key while the
-watermark holds the key's state; every micro-batch then drops the keys that
-are in the table already, so a repeat in any later batch adds nothing.
+S2: into a table, every micro-batch keeps one row per key and drops the keys that
+are in the table already, so a repeat in any later batch adds nothing and no event
+is too late. ``streaming_keep_first`` gives a stream instead: one row per key while
+the watermark holds the key's state, without what is older than the watermark.
 
 Both are safe to repeat: a batch that runs again after a failure finds its
 rows in the table.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsmith.operators.dedupe import anti_master
+from leadsmith.operators.dedupe import anti_master, keep_first
 
 #: Buckets of a master table written by this module.
 BUCKETS = 64
@@ -83,29 +84,34 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
     query.awaitTermination()
 
 
+def _as_timestamp(stream: DataFrame, event_time: str) -> DataFrame:
+    if isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
+        stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return stream
+
+
 def streaming_keep_first(stream: DataFrame, keys: Sequence[str], event_time: str,
                          delay: str = "1 day") -> DataFrame:
     """Drop repeats of ``keys`` that arrive while the watermark holds the
     first one. ``TIMESTAMP_NTZ`` event times are cast to ``TIMESTAMP`` first
     (watermarks need the latter)."""
-    ts_type = stream.schema[event_time].dataType
-    if isinstance(ts_type, T.TimestampNTZType):
-        stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+    return _as_timestamp(stream, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def keep_first_to_table(stream: DataFrame, keys: Sequence[str], event_time: str, table_path: str,
-                        checkpoint_path: str, delay: str = "1 day") -> None:
-    """S2 into a parquet table: one row per key over all micro-batches."""
+                        checkpoint_path: str) -> None:
+    """S2 into a parquet table: one row per key over all micro-batches, however late
+    it comes; of a key's rows in one micro-batch the earliest. ``TIMESTAMP_NTZ``
+    event times are stored as ``TIMESTAMP``."""
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = keep_first(batch, keys, event_time).persist()
         try:
             known = _known(batch.sparkSession, table_path, batch.schema, keys, batch)
             _append(anti_master(batch, known, keys), keys, table_path)
         finally:
             batch.unpersist()
 
-    q = (streaming_keep_first(stream, keys, event_time, delay).writeStream.foreachBatch(run_batch)
+    q = (_as_timestamp(stream, event_time).writeStream.foreachBatch(run_batch)
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
     q.awaitTermination()
 

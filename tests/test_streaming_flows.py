@@ -59,6 +59,20 @@ def test_streaming_keep_first_over_batches(spark, tmp_path):
         assert got.count() == got.distinct().count() == df.select("user_id").distinct().count()
 
 
+def test_streaming_keep_first_of_late_keys(spark, tmp_path):
+    land, out = str(tmp_path / "events"), str(tmp_path / "out")
+    # One file per micro-batch; users 3 to 5 first occur in later files, days back.
+    for k, part in enumerate(([(1, "2024-03-20", 1), (2, "2024-03-19", 2)], [(3, "2024-03-21", 1), (4, "2024-03-22", 2)],
+                              [(5, "2024-03-02", 3), (6, "2024-03-01", 3)], [(7, "2024-02-01", 4), (8, "2023-01-01", 5)])):
+        df = spark.createDataFrame(part, "event_id long, d string, user_id long")
+        df = df.selectExpr("event_id", "cast(d AS timestamp_ntz) AS ts", "user_id")
+        df.coalesce(1).write.mode("append").parquet(land)
+        for run in ("ck1", "ck2") if k == 3 else ("ck1",):      # a replay adds nothing
+            stream = landed_files(spark, land, df.schema, max_files_per_trigger=1)
+            keep_first_to_table(stream, ["user_id"], "ts", out, str(tmp_path / run))
+    assert rows(spark.read.parquet(out), "event_id", "user_id") == [(1, 1), (2, 2), (6, 3), (7, 4), (8, 5)]
+
+
 def test_daily_run_master_is_idempotent(spark):
     master = spark.createDataFrame(
         [], "company string, person string, email string, gender string, first_name string, last_name string")
