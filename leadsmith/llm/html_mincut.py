@@ -9,7 +9,8 @@ blocks of the page at once.
 
 Defined results: null and empty pages have an empty text; unclosed and stray
 tags are tolerated, a tag cut off by the end of the page is no text; character
-references are decoded once; line breaks (``br``) are white space; repeated rows
+references are decoded once; the text of buttons and selections is side text, that
+of math, svg and object elements belongs to its surroundings; line breaks (``br``) are white space; repeated rows
 get equal results; other columns of the input are ignored.
 """
 
@@ -36,11 +37,21 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body center dd detail
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup
     option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe svg math select button object".split())
+RAW_TAGS = frozenset("script style textarea title".split())
+#: Elements that count only if they are closed; a start tag without its end tag is passed over.
+PAIRED_TAGS = frozenset("""noscript template iframe button select svg math object desc metadata annotation
+    annotation-xml""".split())
+#: Those of them whose text is not shown (some within another element only).
+HIDDEN_TAGS = {"noscript": "", "template": "", "iframe": "", "desc": "svg", "metadata": "svg", "annotation": "math",
+               "annotation-xml": "math"}
+PAIR = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)
+    |<(/?)({"|".join(sorted(PAIRED_TAGS, reverse=True))})(?=[\s/>])(?:[^"'>]|"[^"]*"|'[^']*')*>?""", re.DOTALL | re.IGNORECASE | re.VERBOSE)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 CLOSE_LIMIT = frozenset("ul ol menu dl table tr select".split())
-SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Parts of a line whose text is a block of its own.
+CONTROL_TAGS = frozenset("button select".split())
+SIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset button select option optgroup".split())
 MAIN_TAGS = frozenset("article main".split())
 SIDE_NAMES = frozenset("""ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner
     sidebar side aside menu nav navbar navigation navi footer foot header masthead topbar breadcrumb breadcrumbs
@@ -77,6 +88,22 @@ def _evidence(tag: str, attributes: str, main: bool, named: bool, side: int) ->
     return main or tag in MAIN_TAGS, named or bool(names & MAIN_NAMES), side
 
 
+def pairs_of(page: str) -> dict[int, int]:
+    """Where the elements of ``PAIRED_TAGS`` begin and end; a start tag without an end tag is not in it."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for m in PAIR.finditer(page):
+        if not m[3]:
+            continue
+        tag = m[3].lower()
+        if not m[2]:
+            if not m[0].endswith("/>"):
+                begun.setdefault(tag, []).append(m.start())
+        elif begun.get(tag):
+            out[begun[tag].pop()] = m.end()
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     # An entry of the stack: tag, node, evidence, whether in a link.
@@ -85,13 +112,14 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = nodes = at = 0
+    pairs: dict[int, int] | None = None
 
     def flush():
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
             top = len(stack) - 1
-            while top and stack[top][0] not in BLOCK_TAGS:
+            while top and stack[top][0] not in BLOCK_TAGS and stack[top][0] not in CONTROL_TAGS:
                 top -= 1
             tag, node, main, named, side, _ = stack[top]
             out.append(Block(text, node, stack[max(top - 1, 0)][1], main, named, side,
@@ -120,7 +148,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS or tag in CONTROL_TAGS:
                 flush()
             if open_tags.get(tag):
                 size = len(stack) - 1
@@ -132,14 +160,31 @@ def blocks_of(page: str) -> list[Block]:
             break
         if tag in RAW_TAGS and not m[3].endswith("/"):
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            if tag in BLOCK_TAGS or tag in ("button", "select", "textarea"):
+            if tag == "textarea" or tag in BLOCK_TAGS and not open_tags.get("svg"):
                 flush()
             at = close.end() if close else end
             continue
+        if tag in PAIRED_TAGS:
+            if tag in CONTROL_TAGS:
+                flush()
+            if pairs is None:
+                pairs = pairs_of(page)
+            if stop not in pairs:
+                continue
+            if tag in HIDDEN_TAGS and (not HIDDEN_TAGS[tag] or open_tags.get(HIDDEN_TAGS[tag])):
+                at = max(at, pairs[stop])
+                continue
+        elif open_tags.get("svg") or open_tags.get("math"):
+            if tag == "text":
+                parts.append(" ")
+            if m[3].endswith("/"):
+                continue
         if tag in BLOCK_TAGS:
             flush()
             if open_tags.get("p") and tag != "p" or tag == "p" and open_tags.get("p"):
                 _close(stack, {"p"}, pop_to)
+            if open_tags.get("option") and tag not in ("option", "optgroup"):
+                _close(stack, {"option", "optgroup"}, pop_to)
             if tag in CLOSED_BY and any(open_tags.get(t) for t in CLOSED_BY[tag]):
                 _close(stack, CLOSED_BY[tag], pop_to)
         if tag in VOID_TAGS:

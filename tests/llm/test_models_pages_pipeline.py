@@ -125,6 +125,31 @@ def test_naming_habits():
     assert main_text(page) == "The title\nText one.\nPoint a\nPoint b"
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "iframe", "noscript", "template"])
+def test_unclosed_tags_lose_no_text(tag):
+    first, second = "First words of the text, a sentence.", "Second words of the text, a sentence."
+    for extra in ("", " class='menu ad'", "/"):
+        for before, inside in ((f"<{tag}{extra}>", ""), ("", f"<{tag}{extra}>")):
+            for after in ("", f"<footer><{tag}>x</{tag}></footer>"):
+                page = (f"<html><body><div>{before}</div>{before}<article><p>{first}</p>{inside}<p>{inside}{second}</p>"
+                        f"</article>{after}</body></html>")
+                assert main_text(page) == f"{first}\n{second}", page
+
+
+def test_text_of_embedded_elements():
+    page = """<article><p>The sum <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> is shown here.</p>
+    <object data="a.pdf"><param name="x"><p>The fallback of an object, a sentence.</p></object>
+    <p>An icon <svg class="menu"><title>Icon</title><desc>drawn</desc><path d="M0"/><text>A</text></svg> within a sentence.</p>
+    <p>Text one. <button class="copy">Copy</button></p><p>Pick <select><option>Red<option>Blue</select></p>
+    <select><option>Left<option>Right<p>Behind an unclosed selection, a sentence.</p>
+    <iframe src="x">No frames.</iframe><template><p>Hidden one, a sentence.</p><template></template></template>
+    <noscript>Enable it.</noscript><p>The end of it.</p></article>"""
+    assert main_text(page) == ("The sum x=2 is shown here.\nThe fallback of an object, a sentence.\n"
+                               "An icon A within a sentence.\nText one.\nPick\n"
+                               "Behind an unclosed selection, a sentence.\nThe end of it.")
+    assert main_text("<button>" * 30_000 + "<iframe 'x" * 30_000 + "<p>Still a sentence of the page, at the end.") is not None
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>one long sentence of plain page text.</p>"),
             (1, "u", PAGE), (5, "u", "<nav><a>x</a></nav><p cla")]
