@@ -9,7 +9,9 @@ when shards come or go.
 
 The placement needs only the number of keys per ring cell (a fixed number of
 cells), so the walk is done on that small table; the rows themselves are ranked
-inside their cell and joined with the resulting segments.
+inside their cell and joined with the resulting segments. A cell with many rows (all
+rows of one id share a cell) is ranked in parts, by a hash of size and text; each
+part's ranks begin where the parts before it end.
 
 Defined results: a null text has no bytes, a null id is a key of its own (all
 null ids share a ring position), repeated rows are placed like separate rows,
@@ -32,6 +34,8 @@ from pyspark.sql.window import Window
 
 #: Rows that one record of a repeated row expands to at a time.
 COPIES_PER_CHUNK = 10_000
+#: Rows of a cell that make another part of it.
+ROWS_PER_PART = 10_000
 
 
 def ring_points(shards: Sequence[int], vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +105,14 @@ def shard_rows(df: DataFrame, shards: int | Sequence[int] = 16, id_col: str = "d
               df.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments = walk(counts, owners, cells_per_arc,
                     shard_bounds(sum(counts.values()), names, capacity_factor))
+    parts = np.ones(len(points) * cells_per_arc, np.int64)
+    for c, n in counts.items():
+        parts[c] = -(-n // ROWS_PER_PART)
+
+    @F.pandas_udf(T.IntegerType())
+    def part_of_cell(cells: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series((h.to_numpy().view(np.uint64) % parts[cells.to_numpy()].astype(np.uint64)).astype(np.int32))
+
     plan = spark.createDataFrame(segments, "p_cell int, p_lo long, p_hi long, shard int, base long")
 
     rows = (df.select(F.col(id_col).alias("id"),
@@ -108,12 +120,21 @@ def shard_rows(df: DataFrame, shards: int | Sequence[int] = 16, id_col: str = "d
                       F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"))
             .groupBy("id", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("cell", ring_cell(F.xxhash64("id"))))
-    in_cell = Window.partitionBy("cell").orderBy("id", "size", "crc").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("lo", F.sum("n").over(in_cell) - F.col("n"))
+    whole = not (parts > 1).any()
+    rows = rows.withColumn("part", F.lit(0) if whole else part_of_cell("cell", F.xxhash64("size", "crc")))
+    in_part = (Window.partitionBy("cell", "part").orderBy("id", "size", "crc")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.withColumn("lo", F.sum("n").over(in_part) - F.col("n"))
+    if not whole:
+        # One row per part: at most the rows of the table / ROWS_PER_PART, and one per cell.
+        before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        begins = (rows.groupBy("cell", "part").agg(F.sum("n").alias("m"))
+                  .select("cell", "part", (F.sum("m").over(before) - F.col("m")).alias("begin")))
+        ranked = ranked.join(begins, ["cell", "part"]).withColumn("lo", F.col("lo") + F.col("begin"))
     chunks = (ranked.select("id", "size", "crc", "cell", "lo", "n",
                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1,
                                                  F.lit(COPIES_PER_CHUNK).cast("long"))).alias("at"))
-              .repartition("id", "at"))
+              .repartition("id", "size", "crc", "at"))
     each = chunks.select(
         "id", "size", "crc", "cell",
         F.explode(F.sequence(F.col("lo") + F.col("at"),

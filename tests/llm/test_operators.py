@@ -51,6 +51,24 @@ def test_sharding_repeated_rows_and_empty_table(spark, no_docs, monkeypatch):
     assert shard_rows(no_docs, 16).count() == 0
 
 
+def test_sharding_splits_the_rows_of_one_id(spark, monkeypatch):
+    from tests.llm.conftest import as_docs
+    rows = [(None, f"text {i}") for i in range(600)] + [(None, "again")] * 200 + [(i, f"t{i}") for i in range(400)]
+    monkeypatch.setattr("leadsmith.llm.sharding.ROWS_PER_PART", 50)
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = shard_rows(as_docs(spark, rows), 16).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
+        (i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(1200 // 16))
+    tasks = Counter(r["task"] for r in got if r["doc_id"] is None and r["text_crc32"] != zlib.crc32(b"again"))
+    assert len(tasks) > 1 and max(tasks.values()) < 0.8 * 600
+
+
 def test_walk_equals_key_by_key_insertion():
     rng = np.random.default_rng(1)
     _, owners = ring_points(range(5), 6)
