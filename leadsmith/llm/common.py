@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,3 +117,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     rows = (texts.join(F.broadcast(picked.select("id", "label")), F.col("__id") == F.col("id"))
             .select("id", "text", "label"))
     return rows, n
+
+
+def ranked(df: DataFrame, order: list[Column], rows: str | None = None) -> DataFrame:
+    """``df`` with ``rank``, its place from 0 on in the order given: the rows are dealt
+    by ranges of the order, counted in each range, and begin where the ranges before
+    them end. A record may stand for as many rows as its column ``rows`` tells; its
+    rank is then that of its first row. The order should name all that tells records
+    apart, as equal keys share a range."""
+    dealt = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+             .select("*", F.spark_partition_id().alias("__range"),
+                     (F.col(rows).cast("long") if rows else F.lit(1).cast("long")).alias("__rows")))
+    schema = with_fields(dealt.schema.fields, "__at long")
+
+    def run(batches):
+        at = 0
+        for batch in batches:
+            ends = at + np.cumsum(batch.column("__rows").to_numpy())
+            if len(ends):
+                at = int(ends[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ends - batch.column("__rows").to_numpy(), pa.int64())],
+                names=[*batch.schema.names, "__at"])
+
+    placed = stored(dealt.mapInArrow(run, schema), "ranked")
+    # One number for each range: as many as there are shuffle partitions.
+    sizes = sorted((r["__range"], r["n"]) for r in placed.groupBy("__range").agg(F.sum("__rows").alias("n")).collect())
+    begins, at = [], 0
+    for k, n in sizes:
+        begins.append((k, at))
+        at += n
+    begin = df.sparkSession.createDataFrame(begins, "__of int, __begin long")
+    return (placed.join(F.broadcast(begin), F.col("__range") == F.col("__of"))
+            .select(*df.columns, (F.col("__begin") + F.col("__at")).alias("rank")))
+
+
+def copies(df: DataFrame, rows: str, chunk: int = 10_000) -> DataFrame:
+    """A row ``__copy`` (0, 1, ..) for each of the ``rows`` that a record stands for,
+    dealt out in chunks, so that no task writes all copies of a record."""
+    each = (df.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(rows) - 1, F.lit(chunk).cast("long"))))
+            .repartition(*[F.col(c) for c in df.columns], F.col("__from")))
+    return each.withColumn("__copy", F.explode(F.sequence(
+        F.col("__from"), F.least(F.col("__from") + chunk, F.col(rows)) - 1))).drop("__from")

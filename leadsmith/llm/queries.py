@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 
 from leadsmith.llm import quality_mil, toxicity
 from leadsmith.llm.bpe import encode_documents
+from leadsmith.llm.collocations import collocations
 from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
 from leadsmith.llm.fingerprints import edited_pairs, edited_text, share, sketch_text, with_sketch
 from leadsmith.llm.html_mincut import extract
 from leadsmith.llm.license_scan import scan_licenses
+from leadsmith.llm.packing import pack_documents
+from leadsmith.llm.resampling import importance_resample
 from leadsmith.llm.simhash import hex_digits, near_duplicates
 from leadsmith.llm.sharding import shard_rows
 from leadsmith.llm.suffix_dedup import remove_repeats
 
 #: The rank file and pattern of the encoding query; parameters of the operator.
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+#: The vocabulary of the packing query.
+PACK_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +98,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    out = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_VOCABULARY), public_tokenizers.PATTERN)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_toxicity, op3_licenses, op4_simhash, op5_suffix_dedup, op6_fingerprints, op7_quality, op8_bpe,
-    op9_html, op10_decontamination)}
+    op9_html, op10_decontamination, op11_resampling, op12_collocations, op13_packing)}
