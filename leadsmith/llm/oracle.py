@@ -91,20 +91,32 @@ FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 
 OP12 = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, """ + _LOWER.format("coalesce(text, '')") + r""" AS t FROM documents),
-piece AS (SELECT lang, UNNEST(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
-w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM piece),
-total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
-f AS (SELECT lang, k, array_to_string(ws[i + 1 : i + k], ' ') AS p, count(*) AS f
-      FROM w, range(1, 6) AS t(k), range(len(ws) - k + 1) AS u(i) GROUP BY ALL),
+piece AS (SELECT lang, row_number() OVER () AS q, p
+          FROM (SELECT lang, UNNEST(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+w AS (SELECT lang, q, UNNEST(regexp_extract_all(p, '[^\x20\x09]+')) AS word, generate_subscripts(regexp_extract_all(p, '[^\x20\x09]+'), 1) AS i
+      FROM piece),
+total AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4,
+             lead(word, 4) OVER o AS w5 FROM w WINDOW o AS (PARTITION BY q ORDER BY i)),
+f AS (SELECT lang, k, p, count(*) AS f FROM (
+        SELECT lang, 1 AS k, word AS p FROM g UNION ALL
+        SELECT lang, 2, word || ' ' || w2 FROM g UNION ALL
+        SELECT lang, 3, word || ' ' || w2 || ' ' || w3 FROM g UNION ALL
+        SELECT lang, 4, word || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM g UNION ALL
+        SELECT lang, 5, word || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM g)
+      WHERE p IS NOT NULL GROUP BY ALL),
 c AS (SELECT lang, k, p, f, string_split(p, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
 longer AS (SELECT lang, array_to_string(ws[i + 1 : i + m], ' ') AS p, max(f) AS longer
            FROM c, range(2, k) AS t(m), range(k - m + 1) AS u(i) GROUP BY ALL),
 kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * f),
-cuts AS (SELECT lang, p, f AS a, j, array_to_string(ws[1 : j], ' ') AS front, array_to_string(ws[j + 1 :], ' ') AS back
+-- One key for language and phrase: joins on the language alone would pair all its phrases.
+part AS (SELECT lang || chr(10) || p AS key, f FROM f WHERE f >= 100 AND k < 5),
+cuts AS (SELECT lang, p, f AS a, j, lang || chr(10) || array_to_string(ws[1 : j], ' ') AS front,
+                lang || chr(10) || array_to_string(ws[j + 1 :], ' ') AS back
          FROM kept, range(1, k) AS t(j)),
 scored AS (SELECT cuts.lang, cuts.p, a, j, x.f AS l, y.f AS r, n,
                   ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
-           FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.p = front JOIN f AS y ON y.lang = cuts.lang AND y.p = back
+           FROM cuts JOIN part AS x ON x.key = front JOIN part AS y ON y.key = back
            JOIN total ON total.lang = cuts.lang),
 cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
