@@ -5,8 +5,9 @@ together, so an id names its language too. The texts are stored as ids; a -1 sta
 for every word that is too rare and for every break between pieces. Pairs of
 neighbouring ids are counted in tiles: the tile of the most frequent ids is an
 array addressed by the pair itself and counted with ``bincount``; the others hold few
-of their pairs, which are sorted and counted as coordinates. What the tasks have
-counted is summed in Spark.
+of their pairs, which are sorted and counted as coordinates. The tasks hand their
+coordinates on in parts, by a hash of the pair; each part is summed by one task, and
+there are as many parts as keep it small.
 
 The pairs that are frequent enough are ranked again and become ids themselves; with
 the ids of the words after them they form the next pairs, and so on up to the
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leadsmith.llm.common import ranked, stored, text_slices, worker_memory
+from leadsmith.llm.common import discard, ranked, stored, stored_at, text_slices, worker_memory
 
 #: A-Z become a-z, a tab becomes a space, everything that ends a piece a line feed.
 PIECES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x09 else
@@ -40,7 +41,11 @@ PIECES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 0x09 else
 #: Distinct words that a task counts before it hands them on.
 WORDS_HELD = 300_000
 #: Pairs of a task that are sorted and counted at a time.
-PAIRS_HELD = 4_000_000
+PAIRS_HELD = 1_000_000
+#: Words of the corpus for each part that the counted pairs are dealt to.
+WORDS_PER_PART = 2_000_000
+#: Pairs in one row that a task hands on.
+PAIRS_PER_ROW = 65_536
 #: The tile of the most frequent ids is as wide and as high.
 TILE = 1_024
 
@@ -71,8 +76,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return lead.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def encoded(docs: DataFrame, words: DataFrame, text_col: str, lang_col: str, head_words: int) -> DataFrame:
-    """``ids`` (signed integers of eight bytes) of every text with a pair of frequent words."""
+def encoded(docs: DataFrame, words: DataFrame, text_col: str, lang_col: str, head_words: int, kind: str) -> DataFrame:
+    """The ``ids`` of every text, as signed integers of a ``kind``."""
     head = words.where(F.col("rank") < head_words).select("lang", "word", "rank").toArrow()
     key, langs = uuid.uuid4().hex, head.column("lang").to_pylist()
     text_of, ranks = pa.array(head.column("word").combine_chunks(), pa.large_string()), head.column("rank").to_numpy()
@@ -103,7 +108,7 @@ def encoded(docs: DataFrame, words: DataFrame, text_col: str, lang_col: str, hea
                     ids += found
                     ids.append(-1)
                 names.append(lang)
-                all_ids.append(np.array(ids, "<i8").tobytes())
+                all_ids.append(np.array(ids, kind).tobytes())
                 unknown.append(others)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array(all_ids, pa.binary()),
@@ -122,7 +127,7 @@ def encoded(docs: DataFrame, words: DataFrame, text_col: str, lang_col: str, hea
         for batch in batches:
             filled = []
             for ids, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids, "<i8").copy()
+                ids = np.frombuffer(ids, kind).copy()
                 places = np.flatnonzero(ids == -2)
                 ids[places] = -1
                 for k in known or ():
@@ -176,32 +181,68 @@ def pair_places(starts: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         else np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
 
 
-def pair_counts(corpus: DataFrame, n: int) -> DataFrame:
-    """``(a, b, f)``: how often the phrase ``a`` of n words is followed by the word ``b``."""
+def id_kind(n: int) -> str:
+    """The integers that ids below n and the -1 are stored in."""
+    return "<i4" if n < 1 << 31 else "<i8"
+
+
+def pair_counts(corpus: DataFrame, n: int, kinds: tuple[str, str], parts: int, min_count: int) -> DataFrame:
+    """``(a, b, f)``: how often the phrase ``a`` of n words is followed by the word ``b``,
+    if it is ``min_count`` times. ``kinds``: the integers of the ids and of the starts."""
+    ids_kind, starts_kind = kinds
+
     def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "f"])
+        """The pairs, dealt to the parts, as binaries of sorted coordinates."""
+        a, b, f = found
+        with np.errstate(over="ignore"):
+            mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        part = ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        a, b, f, part = a[order], b[order], f[order], part[order]
+        cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), np.arange(0, len(part), PAIRS_PER_ROW)]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[lo])], pa.int32()), pa.array([a[lo:hi].astype(starts_kind).tobytes()], pa.binary()),
+                 pa.array([b[lo:hi].astype(ids_kind).tobytes()], pa.binary()),
+                 pa.array([f[lo:hi].astype("<i8").tobytes()], pa.binary())], names=["part", "a", "b", "f"])
 
     def run(batches):
         counter = PairCounter(TILE)
         for batch in batches:
             some_a, some_b = [], []
             for row in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(0)[row].as_buffer(), "<i8")
-                starts = ids if n == 1 else np.frombuffer(batch.column(1)[row].as_buffer(), "<i8")
+                ids = np.frombuffer(batch.column(0)[row].as_buffer(), ids_kind)
+                starts = ids if n == 1 else np.frombuffer(batch.column(1)[row].as_buffer(), starts_kind)
                 at = pair_places(starts, ids, n)
                 some_a.append(starts[at])
                 some_b.append(ids[at + n])
-            if some_a and (found := counter.add(np.concatenate(some_a), np.concatenate(some_b))):
-                yield rows(found)
-        yield rows(counter.sparse())
-        yield rows(counter.inside())
+            if some_a and (found := counter.add(np.concatenate(some_a).astype(np.int64), np.concatenate(some_b).astype(np.int64))):
+                yield from rows(found)
+        for found in (counter.sparse(), counter.inside()):
+            if len(found[0]):
+                yield from rows(found)
+
+    def total(part: pa.Table) -> pa.Table:
+        a, b, f = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(c)])
+                   for c, kind in (("a", starts_kind), ("b", ids_kind), ("f", "<i8")))
+        order = np.lexsort((b, a))
+        a, b, f = a[order].astype(np.int64), b[order].astype(np.int64), f[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        f = np.add.reduceat(f, first)
+        able = f >= min_count
+        return pa.table({"a": pa.array(a[first][able], pa.int64()), "b": pa.array(b[first][able], pa.int64()),
+                         "f": pa.array(f[able], pa.int64())})
 
-    return corpus.mapInArrow(run, "a long, b long, f long").groupBy("a", "b").agg(F.sum("f").alias("f"))
+    return (corpus.mapInArrow(run, "part int, a binary, b binary, f binary")
+            .groupBy("part").applyInArrow(total, "a long, b long, f long"))
 
 
-def with_starts(corpus: DataFrame, phrases: DataFrame, n: int, n_phrases: int, block_phrases: int) -> DataFrame:
-    """``(ids, starts)``: the rank of the frequent phrase of n + 1 words that begins at
-    each place, or -1; rows without any go. One pass for each block of phrases."""
+def with_starts(corpus: DataFrame, path: str, phrases: DataFrame, n: int, kinds: tuple[str, str], n_phrases: int,
+                block_phrases: int) -> tuple[DataFrame, str]:
+    """``(ids, starts)`` and its folder: the rank of the frequent phrase of n + 1 words that
+    begins at each place, or -1; rows without any go. One pass for each block of
+    phrases; a pass replaces the table of the one before."""
+    spark, (ids_kind, before_kind), new_kind = corpus.sparkSession, kinds, id_kind(n_phrases)
     blocks = -(-n_phrases // block_phrases)
     for k in range(blocks):
         lo = k * block_phrases
@@ -218,9 +259,9 @@ def with_starts(corpus: DataFrame, phrases: DataFrame, n: int, n_phrases: int, b
             for batch in batches:
                 out_ids, out_before, out_new = [], [], []
                 for row in range(batch.num_rows):
-                    ids = np.frombuffer(batch.column(0)[row].as_buffer(), "<i8")
-                    before = ids if n == 1 else np.frombuffer(batch.column(1)[row].as_buffer(), "<i8")
-                    new = np.frombuffer(batch.column(2)[row].as_buffer(), "<i8").copy() if k else np.full(len(ids), -1, "<i8")
+                    ids = np.frombuffer(batch.column(0)[row].as_buffer(), ids_kind)
+                    before = ids if n == 1 else np.frombuffer(batch.column(1)[row].as_buffer(), before_kind)
+                    new = np.frombuffer(batch.column(2)[row].as_buffer(), new_kind).copy() if k else np.full(len(ids), -1, new_kind)
                     at = pair_places(before, ids, n)
                     if len(at):
                         x, y = before[at], ids[at + n]
@@ -241,23 +282,29 @@ def with_starts(corpus: DataFrame, phrases: DataFrame, n: int, n_phrases: int, b
                                                  names=["ids", "starts", "new"])
 
         columns = ["ids", "starts", "new"] if k else ["ids"] if n == 1 else ["ids", "starts"]
-        corpus = stored(corpus.select(*columns).mapInArrow(run, "ids binary, starts binary, new binary"), "starts")
-    return corpus.select("ids", F.col("new").alias("starts"))
+        corpus, new_path = stored_at(corpus.select(*columns).mapInArrow(run, "ids binary, starts binary, new binary"), "starts")
+        discard(spark, path)
+        path = new_path
+    return corpus.select("ids", F.col("new").alias("starts")), path
 
 
 def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col: str, lang_col: str,
                      head_words: int, block_phrases: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, n)`` and ``(lang, words, f)`` of all phrases of 1 to ``max_words`` words
     that occur ``min_count`` times."""
-    counts = stored(word_counts(docs, text_col, lang_col), "words")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    spark = docs.sparkSession
+    counts, counts_path = stored_at(word_counts(docs, text_col, lang_col), "words")
+    totals = stored(counts.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     words = stored(ranked(counts.where(F.col("f") >= min_count), [F.col("f").desc(), F.col("lang"), F.col("word")]), "ranked_words")
+    discard(spark, counts_path)
+    parts = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // WORDS_PER_PART))
     vocabulary = words.select(F.col("rank").alias("b"), F.col("word").alias("next"))
-    corpus = stored(encoded(docs, words, text_col, lang_col, head_words), "ids")
+    ids_kind = kind = id_kind(words.count())
+    corpus, path = stored_at(encoded(docs, words, text_col, lang_col, head_words, ids_kind), "ids")
     level = words.select("lang", F.array("word").alias("words"), "f", "rank")
     levels = [level]
     for n in range(1, max_words):
-        pairs = pair_counts(corpus, n).where(F.col("f") >= min_count)
+        pairs = pair_counts(corpus, n, (ids_kind, kind), parts, min_count)
         level = stored(ranked(
             pairs.join(level.select(F.col("rank").alias("a"), "lang", "words"), "a").join(vocabulary, "b")
             .select("lang", F.concat("words", F.array("next")).alias("words"), "f", "a", "b"),
@@ -267,7 +314,9 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col:
             break
         levels.append(level)
         if n + 1 < max_words:
-            corpus = with_starts(corpus, level, n, found, block_phrases)
+            corpus, path = with_starts(corpus, path, level, n, (ids_kind, kind), found, block_phrases)
+            kind = id_kind(found)
+    discard(spark, path)
     whole = levels[0].select("lang", "words", "f")
     for more in levels[1:]:
         whole = whole.unionByName(more.select("lang", "words", "f"))

@@ -65,9 +65,20 @@ def lead_columns(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str,
 def stored(df: DataFrame, *name: str) -> DataFrame:
     """Write ``df`` as a parquet table below the shared checkpoint folder and
     read it back: cuts the lineage in a way that survives lost executors."""
+    return stored_at(df, *name)[0]
+
+
+def stored_at(df: DataFrame, *name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the table's folder."""
     path = scratch_path(df.sparkSession, "llm", *name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing will read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: int,
