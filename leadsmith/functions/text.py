@@ -182,11 +182,8 @@ WS_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028
 
 
 def deobfuscate(c: ColumnOrName) -> Column:
-    """The eight ``[at]``/``dot`` rules in order, then white-space collapse."""
-    col = _c(c)
-    for pattern, repl in DEOBFUSCATION_RULES:
-        col = F.regexp_replace(col, "(?i)" + pattern.replace(r"\s", WS_CLASS), repl)
-    return F.regexp_replace(col, WS_CLASS + "+", " ")
+    """White space collapsed, then the eight ``[at]``/``dot`` rules in order."""
+    return _rules(_c(c), False)
 
 
 _BASIC_ENTITIES = [
@@ -294,11 +291,14 @@ def clean_text(c: ColumnOrName, exact: bool = True) -> Column:
 
 
 def _rules(col: Column, only_spaced: bool) -> Column:
+    # Collapsed first: a rule that begins with white space then looks at one blank, not
+    # at each end of a long run. No rule leaves two blanks in a row.
+    col = F.regexp_replace(col, WS_CLASS + "+", " ")
     for pattern, repl in DEOBFUSCATION_RULES:
         if only_spaced and any("\\" + b in pattern for b in "[({"):
             continue
-        col = F.regexp_replace(col, "(?i)" + pattern.replace(r"\s", WS_CLASS), repl)
-    return F.regexp_replace(col, WS_CLASS + "+", " ")
+        col = F.regexp_replace(col, "(?i)" + pattern.replace(r"\s", " "), repl)
+    return col
 
 
 def deobfuscate_guarded(c: ColumnOrName) -> Column:
@@ -332,9 +332,11 @@ def email_matches(c: ColumnOrName) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-SCRIPT_RE = r"(?is)<script\b.*?</script\s*>"
-STYLE_RE = r"(?is)<style\b.*?</style\s*>"
-COMMENT_RE = r"(?s)<!--.*?-->"
+# Without an end tag the rest of the page belongs to the script, as in a browser; so no
+# start is searched to the end of the page more than once.
+SCRIPT_RE = r"(?is)<script\b.*?(?:</script\s*+>|\z)"
+STYLE_RE = r"(?is)<style\b.*?(?:</style\s*+>|\z)"
+COMMENT_RE = r"(?s)<!--.*?(?:-->|\z)"
 TAG_RE = r"(?s)<[^<>]+>"  # stops at the next "<": a stray "<" costs no scan to the end
 
 

@@ -2,23 +2,18 @@
 
 Addresses and attribute values are found with Java patterns; whatever depends
 on the structure of a page (labels, cards, posting fields, scripts) is stated
-with array functions on the page's nodes (``functions.html``). Findings are
+on what one scan of the page returns (``functions.html``). Findings are
 rows ``(<id cols>, source, email)``.
 """
 
 from __future__ import annotations
 
-import json as _json
-import sys
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark import cloudpickle as _cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from leadsmith.functions.html import attr, first_node, has_classes, html_nodes, inside, node_text
+from leadsmith.functions.html import card_links, page_parts, posting_texts
 from leadsmith.functions.text import (
     _c,
     clean_text,
@@ -31,24 +26,25 @@ from leadsmith.functions.text import (
     with_visible_text,
 )
 from leadsmith.operators.filters import non_empty_link
-from leadsmith.sources.lookups import CARD_LINK_CLASSES, CARD_TAG, EMAIL_PATTERN, LABEL_PATTERN
+from leadsmith.sources.lookups import CARD_LINK_CLASSES, CARD_TAG, EMAIL_PATTERN, LABEL_PATTERN, ZERO_WIDTH
 
 # An attribute's value is written "..", '..' or bare.
 MAILTO_RE = r"""(?is)\bhref\s*=\s*("\s*mailto:[^"]*"|'\s*mailto:[^']*'|mailto:[^\s"'<>]*)"""
 ANCHOR_HREF_RE = r"""(?is)<a\b[^<>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
-CF_TAG_RE = r"""(?is)<(?:a|span)\b[^<>]*__cf_email__[^<>]*>"""
+CF_TAG_RE = r"""(?is)<(?:a|span)\b(?=[^<>]*+>)[^<>]*__cf_email__[^<>]*+>"""
 CF_ATTR_RE = r"""(?is)data-cfemail\s*=\s*["']\s*([^"'\s]*)"""
 # Pages without any of these hold no label, JSON-LD or iframe finding.
 STRUCTURE_RE = r"(?i)ld\+json|<iframe|e-?mail|kontakt|contact|impressum"
+# A text without any of these holds no address, not even one written out in words.
+MAY_HOLD_ADDRESS_RE = r"(?i)@|&|\bat\b|[" + "".join(ZERO_WIDTH) + "]"
 
 
 def _attribute_value(written: Column) -> Column:
     return unescape_basic(F.regexp_replace(written, r"""^(["'])(.*)\1$""", "$2"))
 
 
-def page_nodes(html: Column) -> Column:
-    """The nodes of pages that may hold a structural finding; none for others."""
-    return html_nodes(F.when(html.rlike(STRUCTURE_RE), html))
+_parts = page_parts(LABEL_PATTERN)
+_card_links = card_links(CARD_TAG, CARD_LINK_CLASSES)
 
 
 # --------------------------------------------------------------------------- E1
@@ -109,52 +105,37 @@ def cfemail_emails(html: Column) -> Column:
 
 # --------------------------------------------------------------------------- E5
 
+# A JSON string; a key with the string under it, a key alone, or a string alone.
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+JSON_TOKEN_RE = rf"(?s){_JSON_STRING}(?:\s*+:(?:\s*+{_JSON_STRING})?+)?+"
+JSON_KEYED_RE = rf"(?s)^({_JSON_STRING})\s*+:\s*+({_JSON_STRING})$"
 
-def _strings(value, key=None):
-    if isinstance(value, str):
-        yield key, value
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            yield from _strings(v, k)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _strings(v)
-
-
-def _json_strings(scripts: pa.Array) -> pa.Array:
-    """String values of the JSON texts in each script body of a page, with the key
-    they stand under; from the first broken text on, the rest of that body is
-    skipped."""
-    out, decoder = [], _json.JSONDecoder()
-    for bodies in scripts.to_pylist():
-        found = []
-        for body in bodies or ():
-            at = 0
-            while at < len(body):
-                if body[at].isspace():
-                    at += 1
-                    continue
-                try:
-                    value, at = decoder.raw_decode(body, at)
-                    found.extend({"key": k, "value": v} for k, v in _strings(value))
-                except (ValueError, RecursionError):
-                    break
-        out.append(found)
-    return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))
-
-
-_cloudpickle.register_pickle_by_value(sys.modules[__name__])
-_json_strings.__annotations__ = {"scripts": pa.Array, "return": pa.Array}
-json_strings = F.arrow_udf(_json_strings, T.ArrayType(T.StructType([
-    T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
-
-
-def jsonld_bodies(nodes: Column) -> Column:
-    """The ``ld+json`` script bodies of a page."""
-    scripts = F.filter(nodes, lambda n: (n["tag"] == "script")
-                       & F.contains(F.lower(F.coalesce(attr(n, "type"), F.lit(""))), F.lit("ld+json"))
-                       & (n["last"] > n["at"]))
-    return F.transform(scripts, lambda n: F.get(nodes, n["at"] + 1)["text"])
+
+def _json_decoded(literal: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(literal), "$", "string")
+
+
+def json_strings(bodies: Column) -> Column:
+    """``(key, value)``: the strings with ``@`` in the JSON texts of each script body of
+    a page, with the key that they directly stand under. A text counts if it parses as
+    a VARIANT; from the first broken one on, the rest of its body is skipped. The
+    strings of a text that parses are found by a pattern that never goes back."""
+    def whole(texts):
+        broken = F.array_position(F.transform(texts, lambda t: F.try_parse_json(t).isNull()), True)
+        return F.when(broken == 0, texts).otherwise(F.slice(texts, F.lit(1), (broken - 1).cast("int")))
+
+    texts = F.flatten(F.transform(bodies, whole))
+    # Few texts hold an address at all: plain, or with a written-out code point.
+    texts = F.filter(texts, lambda t: F.contains(t, F.lit("@")) | F.contains(t, F.lit("\\u")))
+    tokens = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(JSON_TOKEN_RE), F.lit(0))))
+    tokens = F.filter(tokens, lambda t: ~F.endswith(t, F.lit(":")) & (F.contains(t, F.lit("@")) | F.contains(t, F.lit("\\u"))))
+
+    def pair(t):
+        key = F.regexp_extract(t, JSON_KEYED_RE, 1)
+        return F.struct(F.when(key != "", _json_decoded(key)).alias("key"),
+                        _json_decoded(F.when(key != "", F.regexp_extract(t, JSON_KEYED_RE, 2)).otherwise(t)).alias("value"))
+
+    return F.filter(F.transform(tokens, pair), lambda s: F.contains(s["value"], F.lit("@")))
 
 
 def jsonld_emails(strings: Column) -> Column:
@@ -167,10 +148,11 @@ def jsonld_emails(strings: Column) -> Column:
 
 
 def with_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Adds ``__nodes`` and ``__json``: a page's nodes and JSON-LD strings, each
-    computed once per row. Pages that can hold no structural finding have none."""
-    staged = pages.select("*", page_nodes(F.col(html_col)).alias("__nodes"))
-    return staged.select("*", json_strings(jsonld_bodies(F.col("__nodes"))).alias("__json"))
+    """Adds ``__nodes`` (a page's iframes and label segments) and ``__json`` (its JSON-LD
+    strings), from one scan of the page. Pages that can hold no structural finding have
+    none."""
+    staged = pages.select("*", _parts(F.when(F.col(html_col).rlike(STRUCTURE_RE), F.col(html_col))).alias("__nodes"))
+    return staged.select("*", json_strings(F.col("__nodes")["json"]).alias("__json"))
 
 
 # --------------------------------------------------------------------------- E6 / E10
@@ -184,10 +166,8 @@ def label_emails(nodes: Column) -> Column:
     """Addresses in the element around each text that holds a contact label,
     whatever its length; the element's text is cleaned like any other (T1, without
     the compatibility forms that the text of the page covers)."""
-    labels = F.filter(nodes, lambda n: (n["tag"] == "#text") & n["text"].rlike(LABEL_PATTERN))
-    parents = F.array_distinct(F.transform(labels, lambda n: n["parent"]))
-    segments = F.transform(parents, lambda p: clean_text(
-        node_text(nodes, F.when(p >= 0, F.get(nodes, p)), " "), exact=False))
+    segments = F.transform(F.filter(nodes["segments"], lambda t: F.rlike(t, F.lit(MAY_HOLD_ADDRESS_RE))),
+                           lambda t: clean_text(t, exact=False))
     return F.array_distinct(F.flatten(F.transform(segments, text_emails)))
 
 
@@ -197,8 +177,7 @@ def label_emails(nodes: Column) -> Column:
 def iframe_links(nodes: Column, base_url: Column, domain: Column, limit: int | None = None) -> Column:
     """Resolved same-host iframe URLs in document order; with a ``limit``
     the first ones only."""
-    srcs = F.transform(F.filter(nodes, lambda n: n["tag"] == "iframe"),
-                       lambda n: strip_ws(F.coalesce(attr(n, "src"), F.lit(""))))
+    srcs = F.transform(nodes["iframes"], strip_ws)
     resolved = F.transform(F.filter(srcs, lambda s: s != ""), lambda s: resolve_url(base_url, s))
     found = F.filter(resolved, lambda u: same_host(u, domain))
     return found if limit is None else F.slice(found, 1, limit)
@@ -339,50 +318,21 @@ POSTING_FIELDS = ["project_name", "project_description", "company", "person", "e
 def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
     """E8 + T3 + P10: the marked link inside every project card, in page order, absolute."""
-    nodes = F.col("__nodes")
-    cards = F.filter(nodes, lambda n: n["tag"] == CARD_TAG)
-    hrefs = F.transform(cards, lambda c: attr(first_node(
-        inside(nodes, c), lambda n: (n["tag"] == "a") & has_classes(n, CARD_LINK_CLASSES)), "href"))
-    return (listing.select(id_col, url_col, html_nodes(html_col).alias("__nodes"))
-            .select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
+    hrefs = _card_links(F.col(html_col))
+    return (listing.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
             .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
                     resolve_url(F.col(url_col), F.col("href")).alias("link")))
 
 
-def _field(nodes: Column, block: tuple[list[str], str, bool], target: tuple[str, str, str, bool] | None) -> Column:
-    """The element that holds a field, or null."""
-    classes, holds, every = block
-
-    def is_block(n):
-        found = (n["tag"] == "div") & has_classes(n, classes)
-        return found & F.contains(F.lower(node_text(nodes, n)), F.lit(holds.lower())) if holds else found
-
-    def is_target(n):
-        tag, name, value, whole = target
-        v = attr(n, name)
-        return (n["tag"] == tag) & ((v == value) if whole else F.startswith(v, F.lit(value)))
-
-    found = F.filter(nodes, is_block)
-    if not every:
-        found = F.slice(found, 1, 1)
-    if target is not None:
-        found = F.flatten(F.transform(found, lambda b: F.filter(inside(nodes, b), is_target)))
-    return F.get(found, F.lit(0))
-
-
 def posting_fields(pages: DataFrame, spec=POSTING_FIELD_SPEC, url_col: str = "url",
                    html_col: str = "html") -> DataFrame:
     """E9 + W4: ``(url, project_name, project_description, company, person,
     email)`` from detail pages; per field the first non-empty variant. Of a
     person's second variant only the first line counts."""
-    staged = pages.select(F.col(url_col).alias("url"), html_nodes(html_col).alias("__nodes"))
-    nodes = F.col("__nodes")
-    # Staged: elements first, then their texts, so neither is computed twice.
     names = [f"__{field}_{variant}" for field, variant, _, _ in spec]
-    found = staged.select("url", "__nodes", *(
-        _field(nodes, block, target).alias(n) for n, (_, _, block, target) in zip(names, spec, strict=True)))
-    found = found.select("url", *(F.when(F.col(n).isNotNull(), node_text(nodes, F.col(n))).alias(n) for n in names))
+    staged = pages.select(F.col(url_col).alias("url"), posting_texts(list(spec))(F.col(html_col)).alias("__texts"))
+    found = staged.select("url", *(F.col("__texts")[k].alias(n) for k, n in enumerate(names)))
     cols = [F.col("url")]
     for field in POSTING_FIELDS:
         texts = []
