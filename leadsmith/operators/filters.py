@@ -63,30 +63,70 @@ def drop_any_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
 
 # --------------------------------------------------------------------------- P4 / P6
 
+# Lengths of the character runs that terms are found by: a term is keyed on runs of the
+# longest of these that it can hold.
+GRAM_CLASSES = (1, 2, 4, 8, 16)
+
+
+def _grams(value: Column, k: Column) -> Column:
+    """All runs of ``k`` characters of a value (none if it is shorter)."""
+    starts = F.when(F.length(value) >= k, F.sequence(F.lit(1), F.length(value) - k + 1))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(value, i, k))
+
+
+def term_index(terms: DataFrame, term_column: str = "term") -> DataFrame:
+    """``(__term, __k, __gram)``: every distinct term once, keyed on one of its runs of
+    ``__k`` characters: the one that the fewest terms of that class hold."""
+    t = terms.select(norm_str(term_column).alias("__term")).where(F.col("__term") != "").distinct()
+    k = F.lit(GRAM_CLASSES[0])
+    for c in GRAM_CLASSES[1:]:
+        k = F.when(F.length("__term") >= c, F.lit(c)).otherwise(k)
+    runs = t.withColumn("__k", k).select("__term", "__k", F.explode(F.array_distinct(_grams(F.col("__term"), F.col("__k")))).alias("__gram"))
+    held = runs.groupBy("__k", "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    return (runs.join(held, ["__k", "__gram"]).groupBy("__term", "__k")
+            .agg(F.min(F.struct("__n", "__gram")).alias("__least")).select("__term", "__k", F.col("__least.__gram").alias("__gram")))
+
+
+def term_candidates(values: DataFrame, value_col: str, index: DataFrame) -> DataFrame:
+    """``(value, __term)`` pairs that share the term's run: the value's runs, of the
+    lengths that the index has, meet the index. Not yet the pairs that match."""
+    classes = index.agg(F.array_sort(F.collect_set("__k"))).scalar()
+    runs = (values.select(value_col, F.explode(classes).alias("__k"))
+            .select(value_col, "__k", F.explode(F.array_distinct(_grams(F.col(value_col), F.col("__k")))).alias("__gram")))
+    return runs.join(index, ["__k", "__gram"]).select(value_col, "__term")
+
+
+def _term_hits(keyed: DataFrame, terms: DataFrame, term_column: str) -> DataFrame:
+    """The distinct ``__row_value`` that contain a term of the table."""
+    pairs = term_candidates(keyed.select("__row_value").where(F.col("__row_value").isNotNull()).distinct(),
+                            "__row_value", term_index(terms, term_column))
+    return pairs.where(F.contains(F.col("__row_value"), F.col("__term"))).select("__row_value").distinct()
+
+
+def _has_term(value: Column, terms: Sequence[str]) -> Column:
+    pattern = literal_alternation(_normalised(terms))
+    return F.coalesce(value.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+
 
 def exclude_terms(df: DataFrame, column: str, terms: DataFrame | Sequence[str],
                   term_column: str = "term") -> DataFrame:
     """Drop rows whose ``column`` contains any term (case-insensitive
     substring, terms taken literally). Null values are kept."""
-    value = norm_str(column)
     if not isinstance(terms, DataFrame):
-        pattern = literal_alternation(_normalised(terms))
-        return df.where(~F.coalesce(value.rlike(pattern), F.lit(False))) if pattern else df
-    # A value that contains a term contains the term's first k characters, k being
-    # the length of the shortest term: values meet the terms on their k-grams (one
-    # per character, whatever the list), then the whole term is looked for.
-    t = terms.select(norm_str(term_column).alias("__term")).where(F.col("__term") != "").distinct()
-    k = t.agg(F.min(F.length("__term"))).first()[0]
-    if k is None:
-        return df
-    heads = t.select("__term", F.left("__term", F.lit(k)).alias("__gram"))
-    v = F.col("__row_value")
-    keyed = df.withColumn("__row_value", value)
-    grams = F.transform(F.sequence(F.lit(1), F.length(v) - k + 1), lambda i: F.substr(v, i, F.lit(k)))
-    hits = (keyed.select("__row_value").where(F.length(v) >= k).distinct()
-            .select("__row_value", F.explode(F.array_distinct(grams)).alias("__gram"))
-            .join(heads, "__gram").where(F.contains(v, F.col("__term"))).select("__row_value").distinct())
-    return keyed.join(hits, "__row_value", "left_anti").drop("__row_value")
+        return df.where(~_has_term(norm_str(column), terms))
+    keyed = df.withColumn("__row_value", norm_str(column))
+    return keyed.join(_term_hits(keyed, terms, term_column), "__row_value", "left_anti").drop("__row_value")
+
+
+def with_term_flag(df: DataFrame, column: str, terms: DataFrame | Sequence[str], flag: str,
+                   term_column: str = "term") -> DataFrame:
+    """All rows, with ``flag`` true for those that ``exclude_terms`` would drop."""
+    if not isinstance(terms, DataFrame):
+        return df.withColumn(flag, _has_term(norm_str(column), terms))
+    keyed = df.withColumn("__row_value", norm_str(column))
+    hits = _term_hits(keyed, terms, term_column).withColumn("__hit", F.lit(True))
+    return (keyed.join(hits, "__row_value", "left").withColumn(flag, F.coalesce("__hit", F.lit(False)))
+            .select(*df.columns, flag))
 
 
 # --------------------------------------------------------------------------- P5
@@ -99,18 +139,40 @@ def _split_blocklist(terms: Sequence[str]) -> tuple[list[str], list[str]]:
     return full, domains
 
 
-def domain_suffixes(domain: Column, boundary: bool) -> Column:
-    """All suffixes a blocklist term may equal.
-
-    ``boundary=False``: every character suffix (literal ``endswith``);
-    ``boundary=True``: only label suffixes (``a.b.c`` -> ``a.b.c, b.c, c``).
-    """
+def domain_suffixes(domain: Column, lengths: Column, boundary: bool) -> Column:
+    """The suffixes of a domain that have one of the ``lengths`` of the terms, so as
+    many as there are lengths, however long the value; with ``boundary`` only those
+    that begin a label."""
+    n = F.length(domain)
+    able = F.filter(lengths, lambda k: k <= n)
     if boundary:
-        parts = F.split(domain, r"\.")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
-    return F.when(F.length(domain) > 0, F.transform(F.sequence(F.lit(1), F.length(domain)),
-                                                    lambda i: F.substr(domain, i)))
+        able = F.filter(able, lambda k: (k == n) | (F.substr(domain, n - k, F.lit(1)) == "."))
+    return F.transform(able, lambda k: F.right(domain, k))
+
+
+def _is_blocked(email: Column, blocklist: Sequence[str], boundary: bool) -> Column:
+    domain = email_domain_last(email)
+    full, domains = _split_blocklist(blocklist)
+    hit = email.isin(full) if full else F.lit(False)
+    if domains:
+        listed = F.array(*(F.lit(d) for d in domains))
+        suffix = F.concat(F.lit("."), domain) if boundary else domain
+        hit = hit | F.exists(listed, lambda d: F.endswith(suffix, F.concat(F.lit("."), d) if boundary else d))
+    return F.coalesce(hit, F.lit(False))
+
+
+def _blocked_keys(keyed: DataFrame, blocklist: DataFrame, term_column: str, boundary: bool) -> tuple[DataFrame, DataFrame]:
+    """The blocked addresses, and those of the ``__domain`` values that are blocked."""
+    t = blocklist.select(norm_str(term_column).alias("__t")).where(F.col("__t") != "")
+    full = t.where(F.col("__t").contains("@")).select(F.col("__t").alias("__email")).distinct()
+    ends = (t.where(~F.col("__t").contains("@"))
+            .select(F.regexp_replace("__t", r"^\.+", "").alias("__suffix")).where(F.col("__suffix") != "").distinct())
+    lengths = ends.agg(F.collect_set(F.length("__suffix"))).scalar()
+    domains = (keyed.select("__domain").where(F.col("__domain").isNotNull()).distinct()
+               .select("__domain", lengths.alias("__lengths"))
+               .select("__domain", F.explode(domain_suffixes(F.col("__domain"), F.col("__lengths"), boundary)).alias("__suffix"))
+               .join(ends, "__suffix", "left_semi").select("__domain").distinct())
+    return full, domains
 
 
 def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[str],
@@ -123,27 +185,26 @@ def email_blocklist(df: DataFrame, column: str, blocklist: DataFrame | Sequence[
     Null e-mails are kept.
     """
     email = norm_str(column)
-    domain = email_domain_last(email)
     if not isinstance(blocklist, DataFrame):
-        full, domains = _split_blocklist(blocklist)
-        hit = email.isin(full) if full else F.lit(False)
-        if domains:
-            listed = F.array(*(F.lit(d) for d in domains))
-            suffix = F.concat(F.lit("."), domain) if boundary else domain
-            hit = hit | F.exists(listed, lambda d: F.endswith(suffix, F.concat(F.lit("."), d) if boundary else d))
-        return df.where(~F.coalesce(hit, F.lit(False)))
-
+        return df.where(~_is_blocked(email, blocklist, boundary))
     # Equi anti-joins: Spark picks the join from the list's size in bytes.
-    t = blocklist.select(norm_str(term_column).alias("__t")).where(F.col("__t") != "")
-    full_t = t.where(F.col("__t").contains("@")).select(F.col("__t").alias("__email")).distinct()
-    dom_t = (t.where(~F.col("__t").contains("@"))
-             .select(F.regexp_replace("__t", r"^\.+", "").alias("__suffix")).where(F.col("__suffix") != "").distinct())
-    keyed = df.withColumn("__email", email).withColumn("__domain", domain)
-    kept = keyed.join(full_t, "__email", "left_anti")
-    exploded = (kept.select("__domain").where(F.col("__domain").isNotNull()).distinct()
-                .select("__domain", F.explode(domain_suffixes(F.col("__domain"), boundary)).alias("__suffix")))
-    blocked = exploded.join(dom_t, "__suffix", "left_semi").select("__domain").distinct()
-    return kept.join(blocked, "__domain", "left_anti").drop("__email", "__domain")
+    keyed = df.withColumn("__email", email).withColumn("__domain", email_domain_last(email))
+    full, domains = _blocked_keys(keyed, blocklist, term_column, boundary)
+    return (keyed.join(full, "__email", "left_anti").join(domains, "__domain", "left_anti")
+            .drop("__email", "__domain"))
+
+
+def with_blocked_flag(df: DataFrame, column: str, blocklist: DataFrame | Sequence[str], flag: str,
+                      term_column: str = "term", boundary: bool = False) -> DataFrame:
+    """All rows, with ``flag`` true for those that ``email_blocklist`` would drop."""
+    email = norm_str(column)
+    if not isinstance(blocklist, DataFrame):
+        return df.withColumn(flag, _is_blocked(email, blocklist, boundary))
+    keyed = df.withColumn("__email", email).withColumn("__domain", email_domain_last(email))
+    full, domains = _blocked_keys(keyed, blocklist, term_column, boundary)
+    return (keyed.join(full.withColumn("__whole", F.lit(True)), "__email", "left")
+            .join(domains.withColumn("__end", F.lit(True)), "__domain", "left")
+            .withColumn(flag, F.coalesce("__whole", "__end", F.lit(False))).select(*df.columns, flag))
 
 
 # --------------------------------------------------------------------------- P7 / P9 / P10
@@ -172,6 +233,12 @@ def drop_incomplete(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return where_in_place(df, complete)
 
 
+def missing_fields(required: Sequence[str]) -> Column:
+    """The names of the required fields that are null or blank."""
+    return F.filter(F.array(*(F.when(F.col(c).isNull() | (F.trim(F.col(c)) == ""), F.lit(c)) for c in required)),
+                    lambda name: name.isNotNull())
+
+
 def valid_domain(c) -> Column:
     """Non-empty and containing a dot."""
     col = _c(c)
