@@ -10,11 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from leadsmith.functions.text import email_domain_first, literal_alternation, norm_str, normalize_domain, normalize_url
-from leadsmith.operators.audit import contact_funnel, posting_funnel
+from leadsmith.functions.text import email_domain_first, normalize_domain, normalize_url
+from leadsmith.operators.audit import (
+    contact_steps,
+    domain_steps,
+    funnel,
+    observation_row,
+    observed,
+    posting_steps,
+    record_steps,
+)
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.enrich import enrich_contacts
 from leadsmith.operators.extract import POSTING_FIELDS, posting_fields, posting_links
@@ -23,8 +31,11 @@ from leadsmith.operators.filters import (
     drop_incomplete,
     email_blocklist,
     exclude_terms,
+    missing_fields,
     recency_filter,
     valid_domain,
+    with_blocked_flag,
+    with_term_flag,
 )
 from leadsmith.operators.mailbox import best_hits, site_findings
 from leadsmith.operators.outbox import DEFAULT_TEMPLATE, build_outbox
@@ -48,11 +59,61 @@ def common_mailbox(contacts: DataFrame, domain_master: DataFrame, pages: DataFra
     df = anti_master(df, domain_master, "domain")
     df = keep_first(df, "domain", order_col)
     df = df.select("domain", normalize_domain("domain").alias("search_domain"))
-    df = df.where(valid_domain("search_domain"))
-    found = site_findings(df.select(F.col("search_domain").alias("domain")), captured_pages(pages),
-                          extra_paths=extra_paths)
-    best = best_hits(found, local_parts).withColumnRenamed("domain", "search_domain")
-    return df.join(best, "search_domain", "left").select("domain", "email_common")
+    return _mailboxes(df.where(valid_domain("search_domain")), pages, local_parts, extra_paths)
+
+
+def flagged_domains(contacts: DataFrame, domain_master: DataFrame,
+                    bad_list: Sequence[str] | DataFrame = DOMAIN_BAD_LIST, email_col: str = "email") -> DataFrame:
+    """C5 up to the search, nothing dropped: one row per domain with its contacts
+    (``n``), ``search_domain`` and what the steps say: ``listed``, ``known``, ``valid``."""
+    per = contacts.select(email_domain_first(email_col).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    known = _known_keys(domain_master, "domain")
+    per = with_term_flag(per, "domain", bad_list, "listed")
+    per = per.join(known, per["domain"].eqNullSafe(known["__known_key"]), "left").drop("__known_key")
+    return per.select("domain", "n", "listed", F.coalesce("__known", F.lit(False)).alias("known"),
+                      normalize_domain("domain").alias("search_domain")) \
+        .withColumn("valid", valid_domain("search_domain"))
+
+
+def search_domains(contacts: DataFrame, domain_master: DataFrame, out_root: str,
+                   bad_list: Sequence[str] | DataFrame = DOMAIN_BAD_LIST, email_col: str = "email") -> dict[str, DataFrame]:
+    """C5 up to the search, with its audit. The flagged domains are written once below
+    ``out_root`` and counted in that pass. Returns ``ready`` ``(domain, search_domain)``,
+    ``rejected`` ``(domain, n)``: the new domains that are not valid (P9) and their
+    contacts, and ``funnel``."""
+    steps = domain_steps()
+    found, seen = observed(flagged_domains(contacts, domain_master, bad_list, email_col), steps)
+    domains = _written(found, f"{out_root.rstrip('/')}/domains")
+    new = domains.where(~F.col("listed") & ~F.col("known"))
+    return {"ready": new.where(F.col("valid")).select("domain", "search_domain"),
+            "rejected": new.where(~F.col("valid")).select("domain", "n"),
+            "funnel": observation_row(contacts.sparkSession, seen, steps)}
+
+
+def mailbox_run(contacts: DataFrame, domain_master: DataFrame, pages: DataFrame, out_root: str,
+                local_parts=LOCAL_PARTS, bad_list: Sequence[str] | DataFrame = DOMAIN_BAD_LIST,
+                email_col: str = "email", extra_paths: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """C5 with its audit: ``mailboxes`` (the rows of ``common_mailbox``), and ``rejected``
+    and ``funnel`` of ``search_domains``."""
+    found = search_domains(contacts, domain_master, out_root, bad_list, email_col)
+    return {"mailboxes": _mailboxes(found["ready"], pages, local_parts, extra_paths),
+            "rejected": found["rejected"], "funnel": found["funnel"]}
+
+
+def _mailboxes(ready: DataFrame, pages: DataFrame, local_parts, extra_paths: Sequence[str]) -> DataFrame:
+    hits = site_findings(ready.select(F.col("search_domain").alias("domain")), captured_pages(pages), extra_paths=extra_paths)
+    best = best_hits(hits, local_parts).withColumnRenamed("domain", "search_domain")
+    return ready.join(best, "search_domain", "left").select("domain", "email_common")
+
+
+def _known_keys(master: DataFrame, key: str) -> DataFrame:
+    return master.select(F.col(key).alias("__known_key")).distinct().withColumn("__known", F.lit(True))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """A step's result as a table: written once, read by all that need it."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # ---------------------------------------------------------------------------- C1
@@ -74,17 +135,35 @@ def clean_contacts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIS
     return keep_first(df, key, order_col, normalize_key=normalize_key).select(*dict.fromkeys([*cols, key]))
 
 
+def flagged_contacts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIST, key: str = "email",
+                     order_col: str = "ingest_seq", columns: Sequence[str] | None = None) -> DataFrame:
+    """C1 with nothing dropped: one row per address, the first one's columns (in
+    ``row``), its rows (``n``) and what the steps say: ``known``, ``blocked``. All flags
+    stand after the plan's one shuffle of rows, so a single pass gives result and audit."""
+    cols = list(columns) if columns is not None else [c for c in CONTACT_COLS if c in new.columns] or new.columns
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([*cols, key])])
+    per = new.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.min_by(row, F.struct(order_col)).alias("row"))
+    known = _known_keys(master, key)
+    per = per.join(known, per["__key"].eqNullSafe(known["__known_key"]), "left").drop("__known_key")
+    return (with_blocked_flag(per.withColumn("known", F.coalesce("__known", F.lit(False))), "__key", blocklist, "blocked")
+            .select("row", "n", "known", "blocked"))
+
+
+def audited_contacts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIST, key: str = "email",
+                     order_col: str = "ingest_seq", columns: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
+    """C1 and its funnel (A1) in one pass: the rows of ``clean_contacts``, and the
+    observation of ``contact_steps``, filled when they are written."""
+    flagged, seen = observed(flagged_contacts(new, master, blocklist, key, order_col, columns), contact_steps())
+    return flagged.where(~F.col("known") & ~F.col("blocked")).select("row.*"), seen
+
+
 def contact_funnel_counts(new: DataFrame, master: DataFrame, blocklist=CONTACT_BLOCKLIST,
                           key: str = "email") -> DataFrame:
-    """A1 for C1, in the reference's step order (duplicates, known, excluded)."""
-    per_key = new.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    m = master.select(F.col(key).alias("__mk")).distinct().withColumn("known", F.lit(True))
-    flagged = per_key.join(m, per_key[key].eqNullSafe(m["__mk"]), "left").drop("__mk")
-    passing = email_blocklist(per_key.select(key), key, blocklist) \
-        .select(F.col(key).alias("__pk")).withColumn("__pass", F.lit(True))
-    flagged = (flagged.join(passing, flagged[key].eqNullSafe(passing["__pk"]), "left")
-               .withColumn("blocked", F.col("__pass").isNull()).drop("__pk", "__pass"))
-    return contact_funnel(flagged)
+    """A1 for C1 alone, in the reference's step order (duplicates, known, excluded)."""
+    per = new.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    known = _known_keys(master, key)
+    per = per.join(known, per[key].eqNullSafe(known["__known_key"]), "left").withColumnRenamed("__known", "known")
+    return funnel(with_blocked_flag(per, key, blocklist, "blocked"), contact_steps())
 
 
 # ---------------------------------------------------------------------------- C2
@@ -93,13 +172,27 @@ def clean_postings(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "pr
     return exclude_terms(drop_any_null(raw), title_col, title_terms)
 
 
-def posting_funnel_counts(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
+def flagged_postings(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
+    """C2 with nothing dropped: every raw row (``row``) with ``complete`` and ``excluded``,
+    by the rules of ``clean_postings``, for a list of terms and for a table."""
     complete = F.lit(True)
     for c in raw.columns:
         complete = complete & F.col(c).isNotNull()
-    pattern = literal_alternation([t.strip().lower() for t in title_terms])
-    excluded = F.coalesce(norm_str(title_col).rlike(pattern), F.lit(False))
-    return posting_funnel(raw, complete, excluded)
+    packed = raw.select(F.struct(*[F.col(c) for c in raw.columns]).alias("row"), complete.alias("complete"),
+                        F.col(title_col).alias("__title"))
+    return with_term_flag(packed, "__title", title_terms, "excluded").drop("__title")
+
+
+def audited_postings(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> tuple[DataFrame, Observation]:
+    """C2 and its funnel (A1) in one pass: the rows of ``clean_postings``, and the
+    observation of ``posting_steps``, filled when they are written."""
+    flagged, seen = observed(flagged_postings(raw, title_terms, title_col), posting_steps())
+    return flagged.where(F.col("complete") & ~F.col("excluded")).select("row.*"), seen
+
+
+def posting_funnel_counts(raw: DataFrame, title_terms=TITLE_TERMS, title_col: str = "project_name") -> DataFrame:
+    """A1 for C2 alone."""
+    return funnel(flagged_postings(raw, title_terms, title_col), posting_steps())
 
 
 # ---------------------------------------------------------------------------- C3 / C4 / C7
@@ -163,6 +256,15 @@ def new_postings(listing: DataFrame, pages: DataFrame, period: int | None = None
     return drop_incomplete(fields, RAW_COLS)
 
 
+def audited_new_postings(listing: DataFrame, pages: DataFrame, period: int | None = None,
+                         as_of=None) -> tuple[DataFrame, Observation]:
+    """C6 up to P7, and why records failed: the rows of ``new_postings``, and the
+    observation of ``record_steps`` over the required fields, filled in the same pass."""
+    fields = posting_fields(listed_details(listing, pages, period, as_of)).select(*RAW_COLS)
+    flagged, seen = observed(fields.withColumn("missing", missing_fields(RAW_COLS)), record_steps(RAW_COLS))
+    return flagged.where(F.size("missing") == 0).drop("missing"), seen
+
+
 def collect_postings(new: DataFrame, raw_base: DataFrame, sort: bool = True) -> DataFrame:
     """U1 of the new complete records into the accumulated raw postings table."""
     return accumulate_merge(raw_base.select(*RAW_COLS), new.select(*RAW_COLS), sort=sort)
@@ -178,17 +280,24 @@ def daily_run(listing: DataFrame, pages: DataFrame, raw_base: DataFrame, agency_
               title_terms=TITLE_TERMS, blocklist=CONTACT_BLOCKLIST,
               template: str = DEFAULT_TEMPLATE) -> dict[str, DataFrame]:
     """C6 collect (postings and agencies) -> C2 postings -> C1 contacts -> C3
-    enrich -> C4 master, C7 outbox. The new records are extracted and written once
-    below ``out_root``; every result reads them from there. Returns the results by
-    name; the caller writes them, sorted if wanted."""
-    spark = listing.sparkSession
-    path = f"{out_root.rstrip('/')}/new_postings"
-    found = new_postings(listing, pages, period, as_of)
-    found.write.mode("errorifexists").parquet(path)
-    new = spark.read.schema(found.schema).parquet(path)
-    raw = collect_postings(new, raw_base, sort=False)
-    contacts = clean_contacts(raw.select("url", *AGENCY_COLS), master, blocklist, order_col="url")
+    enrich -> C4 master, C7 outbox, with the audit (A1) of each clean-up. The new
+    records, the raw table, the postings and the contacts are written once below
+    ``out_root`` and counted in that pass; every result reads them from there. Returns
+    the results by name and the audits: ``record_funnel`` (P7: records without a
+    field), ``posting_funnel`` and ``contact_funnel``. The caller writes the others, sorted
+    if wanted."""
+    spark, root = listing.sparkSession, out_root.rstrip("/")
+    found, records = audited_new_postings(listing, pages, period, as_of)
+    new = _written(found, f"{root}/new_postings")
+    raw = _written(collect_postings(new, raw_base, sort=False), f"{root}/raw")
+    kept, posted = audited_postings(raw, title_terms)
+    postings = _written(kept, f"{root}/postings")
+    first, met = audited_contacts(raw.select("url", *AGENCY_COLS), master, blocklist, order_col="url")
+    contacts = _written(first, f"{root}/contacts")
     enriched = enrich(contacts, name_gender)
     return {"raw": raw, "agencies": collect_agencies(new, agency_base, sort=False),
-            "postings": clean_postings(raw, title_terms), "contacts": contacts, "enriched": enriched,
-            "master": append_master(master, enriched), "outbox": outbox(enriched, template)}
+            "postings": postings, "contacts": contacts, "enriched": enriched,
+            "master": append_master(master, enriched), "outbox": outbox(enriched, template),
+            "record_funnel": observation_row(spark, records, record_steps(RAW_COLS)),
+            "posting_funnel": observation_row(spark, posted, posting_steps()),
+            "contact_funnel": observation_row(spark, met, contact_steps())}

@@ -7,7 +7,7 @@ the lists marked as fixed values are shared. Views for the driver tables are pre
 
 from __future__ import annotations
 
-from leadsmith.sources.lookups import CONTACT_BLOCKLIST, CONTACT_PATHS, DEOBFUSCATION_RULES, LOCAL_PARTS
+from leadsmith.sources.lookups import CONTACT_BLOCKLIST, CONTACT_PATHS, DEOBFUSCATION_RULES, DOMAIN_BAD_LIST, LOCAL_PARTS
 
 EMAIL_RE = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 
@@ -613,3 +613,59 @@ UNION ALL SELECT ingest_seq, company, person, email FROM {CC} WHERE ingest_seq %
 SELECT page_id, length(html) AS n FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 11 <> 0
 """,
 })
+
+
+# ============================================================================ audits in the pass that writes
+_DAY_KEYS = f"""
+(SELECT email, count(*) AS n, email IN (SELECT email FROM {MASTER}) AS known, {_DR_BLOCKED} AS blocked
+ FROM (SELECT DISTINCT {FIELDS} FROM {COLLECTED}) GROUP BY email)
+"""
+_DAY_RECORDS = f"(SELECT * FROM {POSTINGS} WHERE listing % 10 <= 7)"
+_MAIL_DOMAINS = f"""
+(SELECT domain, count(*) AS n, coalesce({" OR ".join(f"contains(domain, {q(t)})" for t in DOMAIN_BAD_LIST)}, false) AS listed,
+        coalesce(domain IN (SELECT d FROM ({SITES}) WHERE s_acctbal < 0), false) AS known, coalesce(contains(domain, '.'), false) AS valid
+ FROM (SELECT d AS domain FROM ({SITES}) UNION ALL SELECT d FROM ({SITES}) WHERE r = 0
+       UNION ALL SELECT 'jobs.aplitrak.com' FROM ({SITES}) WHERE s_acctbal > 9000
+       UNION ALL SELECT CASE c_custkey % 3 WHEN 0 THEN 'intranet' || (c_custkey % 5) WHEN 1 THEN NULL
+                             ELSE lower(c_mktsegment) || '.example' END FROM customer)
+ GROUP BY domain)
+"""
+
+
+def _contact_steps(keys: str) -> str:
+    return f"""
+SELECT CAST(sum(n) AS BIGINT) AS input, CAST(sum(n - 1) AS BIGINT) AS duplicates, count(*) FILTER (WHERE known) AS already_known,
+       count(*) FILTER (WHERE NOT known AND blocked) AS excluded,
+       CAST(sum(n - 1) + count(*) FILTER (WHERE known) + count(*) FILTER (WHERE NOT known AND blocked) AS BIGINT) AS removed,
+       count(*) FILTER (WHERE NOT known AND NOT blocked) AS "left"
+FROM {keys}
+"""
+
+
+SQL.update({
+    "audited_contacts": SQL["clean_contacts"],
+    "audited_contacts_funnel": SQL["contact_funnel"],
+    "audited_postings": SQL["clean_postings"],
+    "audited_postings_funnel": SQL["posting_funnel"],
+    "daily_run_contact_funnel": _contact_steps(_DAY_KEYS),
+    "daily_run_posting_funnel": f"""
+SELECT count(*) AS input, 0::BIGINT AS incomplete, count(*) FILTER (WHERE {POSTING_EXCLUDED}) AS excluded,
+       count(*) FILTER (WHERE NOT {POSTING_EXCLUDED}) AS "left"
+FROM (SELECT DISTINCT {FIELDS} FROM {COLLECTED})
+""",
+    "daily_run_record_funnel": f"""
+SELECT count(*) AS input, {", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS without_{c}" for c in FIELDS.split(", "))},
+       count(*) FILTER (WHERE company IS NULL) AS removed, count(*) FILTER (WHERE company IS NOT NULL) AS "left"
+FROM {_DAY_RECORDS}
+""",
+    "mailbox_funnel": f"""
+SELECT CAST(sum(n) AS BIGINT) AS input, CAST(coalesce(sum(n) FILTER (WHERE listed), 0) AS BIGINT) AS excluded,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT listed AND known), 0) AS BIGINT) AS already_known,
+       CAST(coalesce(sum(n - 1) FILTER (WHERE NOT listed AND NOT known), 0) AS BIGINT) AS duplicates,
+       count(*) FILTER (WHERE NOT listed AND NOT known AND NOT valid) AS invalid,
+       CAST(sum(n) - count(*) FILTER (WHERE NOT listed AND NOT known AND valid) AS BIGINT) AS removed,
+       count(*) FILTER (WHERE NOT listed AND NOT known AND valid) AS "left"
+FROM {_MAIL_DOMAINS}
+""",
+    "rejected_domains": f"SELECT domain, n FROM {_MAIL_DOMAINS} WHERE NOT listed AND NOT known AND NOT valid",
+})

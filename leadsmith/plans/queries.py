@@ -23,6 +23,7 @@ from leadsmith.functions.text import (
     url_host,
     with_visible_text,
 )
+from leadsmith.operators.audit import contact_steps, observation_row, posting_steps
 from leadsmith.operators.dedupe import anti_master, keep_first
 from leadsmith.operators.enrich import enrich_contacts, gender_lookup
 from leadsmith.operators.extract import (
@@ -54,6 +55,8 @@ from leadsmith.operators.tables import accumulate_merge, append_union, apply_cha
 from leadsmith.plans.flows import (
     RAW_COLS,
     append_master,
+    audited_contacts,
+    audited_postings,
     clean_contacts,
     clean_postings,
     collect_agencies,
@@ -63,6 +66,7 @@ from leadsmith.plans.flows import (
     daily_run,
     new_postings,
     posting_funnel_counts,
+    search_domains,
     url_state_create,
     url_state_update,
 )
@@ -667,6 +671,67 @@ REGISTRY.update({
     "daily_run_agencies": _daily_run("agencies"),
     "daily_run_postings": _daily_run("postings"),
     "daily_run_outbox": _daily_run("outbox"),
+    "daily_run_record_funnel": _daily_run("record_funnel"),
+    "daily_run_posting_funnel": _daily_run("posting_funnel"),
+    "daily_run_contact_funnel": _daily_run("contact_funnel"),
+})
+
+
+def _new_contacts(spark, sf_dir):
+    """Contacts, those of one company twice, and the master."""
+    c = _contacts(spark, sf_dir)
+    repeats = c.where(F.col("company") == "BUILDING").withColumn(
+        "ingest_seq", F.col("ingest_seq") + F.lit(1_000_000_000))
+    return c.unionByName(repeats), c.where(F.col("company") == "AUTOMOBILE").select("email")
+
+
+def q_audited_contacts(spark, sf_dir):
+    """C1 with A1 in one pass: the rows."""
+    return audited_contacts(*_new_contacts(spark, sf_dir), CONTACT_BLOCKLIST_Q)[0]
+
+
+def q_audited_contacts_funnel(spark, sf_dir):
+    """C1 with A1 in one pass: what was observed while the rows were written."""
+    rows, seen = audited_contacts(*_new_contacts(spark, sf_dir), CONTACT_BLOCKLIST_Q)
+    rows.write.parquet(scratch_path(spark, "audited_contacts"))
+    return observation_row(spark, seen, contact_steps())
+
+
+def _title_terms(spark):
+    return spark.createDataFrame([(f" {t.upper()}",) for t in POSTING_TERMS] + [(" ",), (None,)], "term string")
+
+
+def q_audited_postings(spark, sf_dir):
+    """C2 with A1 in one pass, the terms given as a table: the rows."""
+    return audited_postings(part_postings(spark, sf_dir), _title_terms(spark))[0]
+
+
+def q_audited_postings_funnel(spark, sf_dir):
+    """C2 with A1 in one pass, the terms given as a table: what was observed."""
+    rows, seen = audited_postings(part_postings(spark, sf_dir), _title_terms(spark))
+    rows.write.parquet(scratch_path(spark, "audited_postings"))
+    return observation_row(spark, seen, posting_steps())
+
+
+def _search_domains(name):
+    def run(spark, sf_dir):
+        odd = _contacts(spark, sf_dir).select(
+            F.col("ingest_seq").alias("seq"),
+            F.when(F.col("ingest_seq") % 3 == 0, F.concat(F.lit("a@Intranet"), (F.col("ingest_seq") % 5).cast("string")))
+            .when(F.col("ingest_seq") % 3 == 1, F.lit("no address")).otherwise(F.col("email")).alias("email"))
+        return search_domains(site_contacts(spark, sf_dir).unionByName(odd), site_domain_master(spark, sf_dir),
+                              scratch_path(spark, "search_domains"))[name]
+    run.__doc__ = f"C5 up to the search, over contacts with and without a usable domain: its {name} table."
+    return run
+
+
+REGISTRY.update({
+    "audited_contacts": q_audited_contacts,
+    "audited_contacts_funnel": q_audited_contacts_funnel,
+    "audited_postings": q_audited_postings,
+    "audited_postings_funnel": q_audited_postings_funnel,
+    "mailbox_funnel": _search_domains("funnel"),
+    "rejected_domains": _search_domains("rejected"),
 })
 
 
