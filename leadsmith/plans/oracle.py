@@ -669,3 +669,5 @@ FROM {_MAIL_DOMAINS}
 """,
     "rejected_domains": f"SELECT domain, n FROM {_MAIL_DOMAINS} WHERE NOT listed AND NOT known AND NOT valid",
 })
+
+SQL["url_state_buckets"] = SQL["url_state"]

@@ -51,6 +51,7 @@ from leadsmith.operators.filters import (
 from leadsmith.operators.mailbox import best_candidate, candidates, frontier
 from leadsmith.operators.outbox import build_outbox
 from leadsmith.operators.score import keyword_scores
+from leadsmith.operators.state import state_create, state_load, state_update
 from leadsmith.operators.tables import accumulate_merge, append_union, apply_changes, delete_keys
 from leadsmith.plans.flows import (
     RAW_COLS,
@@ -635,26 +636,42 @@ REGISTRY.update({
 })
 
 
-def q_url_state(spark, sf_dir):
-    """The URL state table in versions: the first from the pages, the second
-    from a batch of upserts and deletes, the third from a batch that touches one
-    new column only; what the second added is still there."""
-    root = scratch_path(spark, "url_state")
-    url_state_create(root, _url_state(spark, sf_dir))
+def _url_batches(spark, sf_dir):
+    """Two batches on the URL state: upserts and deletes; then new columns only."""
     ev = read_parquet(spark, sf_dir, "events").where(F.col("event_type") == "error").select("user_id")
     pages = read_parquet(spark, sf_dir, "pages").select("page_id", "url")
     dels = pages.join(ev, pages.page_id == ev.user_id, "left_semi").select("url")
-    url_state_update(root, changes=_url_changes(spark, sf_dir), deletes=dels, columns=EVENT_COLUMNS)
     flags = pages.where(F.col("page_id") % 3 == 0).select(
         F.col("page_id").alias("seq"), "url", F.lit("flag01").alias("column"),
         F.col("page_id").cast("string").alias("value"))
     checks = pages.where(F.col("page_id") % 5 == 0).select(
         F.col("page_id").alias("seq"), "url", F.lit("url_checked").alias("column"),
         F.when(F.col("page_id") % 2 == 0, "true").otherwise("maybe").alias("value"))
-    url_state_update(root, changes=flags.unionByName(checks), columns=["flag01", "url_checked"])
+    return [dict(changes=_url_changes(spark, sf_dir), deletes=dels, columns=EVENT_COLUMNS),
+            dict(changes=flags.unionByName(checks), columns=["flag01", "url_checked"])]
+
+
+def q_url_state(spark, sf_dir):
+    """The URL state table in versions: the first from the pages, the second
+    from a batch of upserts and deletes, the third from a batch that touches one
+    new column only; what the second added is still there."""
+    root = scratch_path(spark, "url_state")
+    url_state_create(root, _url_state(spark, sf_dir))
+    for batch in _url_batches(spark, sf_dir):
+        url_state_update(root, **batch)
     return load_latest(spark, root)[0]
 
 
+def q_url_state_buckets(spark, sf_dir):
+    """C9 on a table of buckets (U4-U6): the same batches, each rewriting the buckets
+    that its keys fall into."""
+    root = scratch_path(spark, "url_state_buckets")
+    state_create(root, _url_state(spark, sf_dir), buckets=32)
+    for batch in _url_batches(spark, sf_dir):
+        state_update(root, **batch)
+    return state_load(spark, root)
+
+
 def _daily_run(name):
     def run(spark, sf_dir):
         raw = _raw_base(spark, sf_dir)
@@ -667,6 +684,7 @@ def _daily_run(name):
 
 REGISTRY.update({
     "url_state": q_url_state,
+    "url_state_buckets": q_url_state_buckets,
     "daily_run": _daily_run("master"),
     "daily_run_agencies": _daily_run("agencies"),
     "daily_run_postings": _daily_run("postings"),
