@@ -32,17 +32,24 @@ def _normalised(terms: Sequence[str]) -> list[str]:
 # --------------------------------------------------------------------------- P2
 
 
+def recency_days(period: int, as_of: str | _dt.date) -> tuple[_dt.date, _dt.date]:
+    """First and last day of a period: the as-of day (0), the day before (1), or the
+    last 7 days (7)."""
+    if period not in RECENCY_PERIODS:
+        raise ValueError(f"period must be one of {RECENCY_PERIODS}, got {period!r}")
+    day = _dt.date.fromisoformat(str(as_of))
+    first = {0: day, 1: day - _dt.timedelta(days=1), 7: day - _dt.timedelta(days=7)}[period]
+    return first, first if period == 1 else day
+
+
 def recency_filter(df: DataFrame, ts_col: str, period: int, as_of: str | _dt.date) -> DataFrame:
     """Rows of the as-of day (0), the day before (1), or the last 7 days (7).
 
     ``as_of`` is always a parameter (never the wall clock); edges are inclusive.
     The predicate is a range on ``ts`` itself so it reaches the parquet scan.
     """
-    if period not in RECENCY_PERIODS:
-        raise ValueError(f"period must be one of {RECENCY_PERIODS}, got {period!r}")
-    day = _dt.date.fromisoformat(str(as_of))
-    start = {0: day, 1: day - _dt.timedelta(days=1), 7: day - _dt.timedelta(days=7)}[period]
-    end = day + _dt.timedelta(days=1) if period != 1 else day
+    start, last = recency_days(period, as_of)
+    end = last + _dt.timedelta(days=1)
     ts = F.col(ts_col)
     # Bounds are built from text and cast to the column's own type: no Python
     # time zone is involved (TIMESTAMP_NTZ stays wall-clock, TIMESTAMP uses

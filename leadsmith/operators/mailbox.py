@@ -166,3 +166,21 @@ def best_candidate(domains: DataFrame, findings: DataFrame, local_parts=LOCAL_PA
     """``best_hits`` for every domain of ``domains``; null where none was found."""
     return domains.select(domain_col).distinct().join(
         best_hits(findings, local_parts, domain_col), domain_col, "left")
+
+
+def domain_addresses(findings: DataFrame, domain_col: str = "domain", url_col: str = "url", email_col: str = "email",
+                     source_col: str = "source") -> DataFrame:
+    """A2: ``(domain, email, n_pages, sources)``: every address found for a domain. A group
+    is one address of one domain, so a free-mail domain is split by its addresses."""
+    return (findings.groupBy(domain_col, email_col)
+            .agg(F.count_distinct(url_col).alias("n_pages"), F.array_sort(F.collect_set(source_col)).alias("sources")))
+
+
+def domain_summary(findings: DataFrame, domain_col: str = "domain", url_col: str = "url", email_col: str = "email",
+                   source_col: str = "source") -> DataFrame:
+    """A2: ``(domain, n_addresses, n_pages, n_sources)``. Distinct counts of several
+    columns are two aggregates in Spark: the first over (domain, value), which splits a
+    domain with many values, the second counts what is left."""
+    return findings.groupBy(domain_col).agg(
+        F.count_distinct(email_col).alias("n_addresses"), F.count_distinct(url_col).alias("n_pages"),
+        F.count_distinct(source_col).alias("n_sources"))

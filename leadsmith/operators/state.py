@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadsmith.operators.dedupe import anti_master
 from leadsmith.operators.tables import apply_changes, delete_keys
 from leadsmith.session import scratch_path
 
@@ -120,3 +121,23 @@ def state_update(root: str, changes: DataFrame | None = None, deletes: DataFrame
     out.write.partitionBy(*LAYOUT).parquet(staged)
     put_buckets(spark, staged, out.schema, root, buckets, touched)
     return touched
+
+
+def state_replace(root: str, rows: DataFrame, keys: Sequence[str], buckets: int = 256) -> list[int]:
+    """Put rows in the place of those with their keys (null equals null), in a table that
+    is made if there is none. Returns the touched buckets."""
+    spark = rows.sparkSession
+    try:
+        table = _stored(spark, root)
+    except FileNotFoundError:
+        laid_out(rows, keys, buckets).write.mode("errorifexists").partitionBy(*LAYOUT).parquet(root)
+        return list(range(buckets))
+    buckets = _bucket_count(spark, root)
+    touched = sorted(r[0] for r in rows.select(bucket_of(keys, buckets).alias("b")).distinct().collect())
+    if touched:
+        old = table.where((F.col("of") == buckets) & F.col("bucket").isin(touched)).drop(*LAYOUT)
+        out = laid_out(anti_master(old, rows, keys).unionByName(rows, allowMissingColumns=True), keys, buckets)
+        staged = scratch_path(spark, "state_replace")
+        out.write.partitionBy(*LAYOUT).parquet(staged)
+        put_buckets(spark, staged, out.schema, root, buckets, touched)
+    return touched

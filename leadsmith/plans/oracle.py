@@ -671,3 +671,39 @@ FROM {_MAIL_DOMAINS}
 })
 
 SQL["url_state_buckets"] = SQL["url_state"]
+
+
+# ============================================================================ layouts, rejects, findings per domain
+_MASTERED = f"(SELECT ingest_seq, company, person, CASE WHEN ingest_seq % 11 <> 0 THEN email END AS email FROM {CC})"
+_DOMAIN_FOUND = f"(SELECT DISTINCT d AS domain, page_id, email FROM {GIVEN} g JOIN ({SITES}) s ON g.page_id // 10 = s.k)"
+
+
+def _rejects_sql(line: str) -> str:
+    fits = "ingest_seq % 13 <> 0 AND ingest_seq % 17 <> 0"
+    return f"""
+SELECT CASE WHEN {fits} THEN ingest_seq END AS ingest_seq, CASE WHEN {fits} THEN company END AS company,
+       CASE WHEN {fits} THEN email END AS email, CASE WHEN NOT ({fits}) THEN {line} END AS line
+FROM (SELECT *, CASE WHEN ingest_seq % 13 = 0 THEN 'x' ELSE '' END || ingest_seq AS no FROM {CC})
+"""
+
+
+SQL.update({
+    "stream_earliest": """
+SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
+""",
+    "bucketed_master": f"""
+SELECT * FROM {_MASTERED} WHERE company = 'AUTOMOBILE'
+UNION ALL
+SELECT * FROM {_MASTERED} e WHERE NOT EXISTS (
+  SELECT 1 FROM {_MASTERED} m WHERE m.company = 'AUTOMOBILE' AND m.email IS NOT DISTINCT FROM e.email)
+""",
+    "domain_addresses": f"SELECT domain, email, count(DISTINCT page_id) AS n_pages FROM {_DOMAIN_FOUND} GROUP BY domain, email",
+    "domain_summary": f"""
+SELECT domain, count(DISTINCT email) AS n_addresses, count(DISTINCT page_id) AS n_pages FROM {_DOMAIN_FOUND} GROUP BY domain
+""",
+    "recency_by_day": SQL["recency_7"],
+    "load_csv_rejects": _rejects_sql("no || ',' || company || ',' || email || CASE WHEN ingest_seq % 17 = 0 THEN ',more' ELSE '' END"),
+    "load_json_rejects": _rejects_sql(
+        "'{\"ingest_seq\": ' || no || ', \"company\": \"' || company || '\", \"email\": \"' || email || "
+        "CASE WHEN ingest_seq % 17 = 0 THEN '\"' ELSE '\"}' END"),
+})

@@ -48,7 +48,8 @@ from leadsmith.operators.filters import (
     exclude_terms,
     recency_filter,
 )
-from leadsmith.operators.mailbox import best_candidate, candidates, frontier
+from leadsmith.operators.mailbox import best_candidate, candidates, domain_addresses, domain_summary, frontier
+from leadsmith.operators.master import append_to_master, not_in_master, open_master
 from leadsmith.operators.outbox import build_outbox
 from leadsmith.operators.score import keyword_scores
 from leadsmith.operators.state import state_create, state_load, state_update
@@ -86,17 +87,21 @@ from leadsmith.sources.derived import (
 )
 from leadsmith.sources.io import (
     NA_WORDS,
+    append_by_day,
     append_rows,
     captured_pages,
     load_latest,
     load_or_create,
+    load_period,
     load_table,
+    load_with_rejects,
     read_parquet,
     read_text_table,
     with_blank_nulls,
     write_version,
 )
 from leadsmith.streaming.ingest import (
+    earliest_to_table,
     ingest_contacts,
     landed_files,
     keep_first_to_table,
@@ -601,38 +606,48 @@ def q_stream_keep_first(spark, sf_dir):
 
 
 def _split_files(spark, sf_dir, name, columns, key):
-    """A table as four landed files, dealt by a key: one micro-batch each."""
+    """A table as landed files dealt by a key, and how many of them are a quarter."""
     path = scratch_path(spark, "landed", name)
     df = read_parquet(spark, sf_dir, name).select(*columns)
-    for part in range(4):
-        df.where(F.pmod(F.xxhash64(key), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
-    return path, df.schema
+    each = max(1, df.rdd.getNumPartitions())
+    df.repartition(4 * each, key).write.parquet(path)
+    return path, df.schema, each
 
 
 def q_stream_ingest_batches(spark, sf_dir):
-    """S1 over several micro-batches: as ``stream_ingest``, one file per trigger.
+    """S1 over several micro-batches: as ``stream_ingest``, a quarter of the files per trigger.
     Which document an address comes from depends on the batches, so addresses only."""
     run = scratch_path(spark, "stream_ingest_batches")
-    path, schema = _split_files(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
+    path, schema, files = _split_files(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
     ingest_contacts(spark, path, schema, f"{run}/master", f"{run}/checkpoint", _clean_addresses, _found_addresses,
-                    max_files_per_trigger=1)
+                    max_files_per_trigger=files)
     return spark.read.parquet(f"{run}/master").select("email", "domain")
 
 
 def q_stream_keep_first_batches(spark, sf_dir):
     """S2 over several micro-batches: users whose events are spread over all files."""
     run = scratch_path(spark, "stream_keep_first_batches")
-    path, schema = _split_files(spark, sf_dir, "events", ["event_id", "ts", "user_id"], "event_id")
-    stream = landed_files(spark, path, schema, max_files_per_trigger=1)
+    path, schema, files = _split_files(spark, sf_dir, "events", ["event_id", "ts", "user_id"], "event_id")
+    stream = landed_files(spark, path, schema, max_files_per_trigger=files)
     keep_first_to_table(stream, ["user_id"], "ts", f"{run}/out", f"{run}/checkpoint")
     return spark.read.parquet(f"{run}/out").select("user_id")
 
 
+def q_stream_earliest(spark, sf_dir):
+    """S2 with a state store, over several micro-batches: each user's earliest event."""
+    run = scratch_path(spark, "stream_earliest")
+    path, schema, files = _split_files(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type"], "event_id")
+    stream = landed_files(spark, path, schema, max_files_per_trigger=files)
+    earliest_to_table(stream, ["user_id"], ["ts", "event_id"], f"{run}/out", f"{run}/checkpoint", buckets=8)
+    return state_load(spark, f"{run}/out").select("user_id", "event_id", "event_type")
+
+
 REGISTRY.update({
     "stream_ingest": q_stream_ingest,
     "stream_keep_first": q_stream_keep_first,
     "stream_ingest_batches": q_stream_ingest_batches,
     "stream_keep_first_batches": q_stream_keep_first_batches,
+    "stream_earliest": q_stream_earliest,
 })
 
 
@@ -862,3 +877,74 @@ REGISTRY.update({
     "append_rows": q_append_rows,
     "admitted_pages": q_admitted_pages,
 })
+
+
+def q_bucketed_master(spark, sf_dir):
+    """J1 + C4 on a laid-out master: contacts, some without an address, that it lacks are
+    appended; the master afterwards."""
+    run = scratch_path(spark, "bucketed_master")
+    name = f"master_{run.rsplit('/', 1)[-1]}"
+    c = _contacts(spark, sf_dir).withColumn("email", F.when(F.col("ingest_seq") % 11 != 0, F.col("email")))
+    open_master(spark, name, f"{run}/table", c.schema, "email", 16)
+    append_to_master(c.where(F.col("company") == "AUTOMOBILE"), name, "email", 16)
+    # The batch is written before it is appended: the plan reads the table that it adds to.
+    not_in_master(c, spark.table(name), "email").write.parquet(f"{run}/new")
+    append_to_master(spark.read.schema(c.schema).parquet(f"{run}/new"), name, "email", 16)
+    return spark.table(name)
+
+
+def _site_found(spark, sf_dir):
+    """The sites' findings, a page's own domain preferred (A3)."""
+    return extract_page_findings(_site_pages(spark, sf_dir).withColumn("domain", _site_domain()), prefer_same_domain=True,
+                                 with_iframes=False)
+
+
+def q_domain_addresses(spark, sf_dir):
+    """A2: every address found for a site's domain, and on how many pages."""
+    return domain_addresses(_site_found(spark, sf_dir)).select("domain", "email", "n_pages")
+
+
+def q_domain_summary(spark, sf_dir):
+    """A2: how many addresses and pages a site's domain has."""
+    return domain_summary(_site_found(spark, sf_dir)).select("domain", "n_addresses", "n_pages")
+
+
+def q_recency_by_day(spark, sf_dir):
+    """P2 on events stored by day: the period's folders only."""
+    path = scratch_path(spark, "events_by_day")
+    append_by_day(read_parquet(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), path, "ts")
+    return load_period(spark, path, PERIOD, AS_OF).select("event_id", "user_id", "event_type")
+
+
+def _broken_files(spark, sf_dir, fmt):
+    """Contacts as lines of text, some of them broken."""
+    path = scratch_path(spark, f"broken_{fmt}")
+    c, k = _contacts(spark, sf_dir).select("ingest_seq", "company", "email"), F.col("ingest_seq")
+    number = F.when(k % 13 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
+    if fmt == "csv":
+        line = F.concat_ws(",", number, "company", "email", F.when(k % 17 == 0, F.lit("more")))
+    else:
+        line = F.concat(F.lit('{"ingest_seq": '), number, F.lit(', "company": "'), F.col("company"), F.lit('", "email": "'),
+                        F.col("email"), F.when(k % 17 == 0, F.lit('"')).otherwise(F.lit('"}')))
+    c.select(line.alias("value")).write.text(path)
+    return load_with_rejects(spark, path, T.StructType.fromDDL("ingest_seq long, company string, email string"), fmt, header=False)
+
+
+def _loaded(fmt):
+    def run(spark, sf_dir):
+        rows, rejects = _broken_files(spark, sf_dir, fmt)
+        return rows.select("ingest_seq", "company", "email", F.lit(None).cast("string").alias("line")).unionByName(
+            rejects.select(F.lit(None).cast("long").alias("ingest_seq"), F.lit(None).cast("string").alias("company"),
+                           F.lit(None).cast("string").alias("email"), "line"))
+    run.__doc__ = f"L1: {fmt} lines that fit the schema, and the broken ones as they are."
+    return run
+
+
+REGISTRY.update({
+    "bucketed_master": q_bucketed_master,
+    "domain_addresses": q_domain_addresses,
+    "domain_summary": q_domain_summary,
+    "recency_by_day": q_recency_by_day,
+    "load_csv_rejects": _loaded("csv"),
+    "load_json_rejects": _loaded("json"),
+})

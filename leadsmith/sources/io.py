@@ -57,6 +57,29 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return with_blank_nulls(df, na_words)
 
 
+#: Column in which Spark keeps a line that does not fit the schema.
+BROKEN = "_corrupt_record"
+
+
+def load_with_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", na_words: Sequence[str] = (),
+                      header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """L1 without losing lines: the rows that fit the schema (as ``load_table``), and the
+    others as ``(file, line)``. JSON and CSV; together they are all records of the files."""
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"only csv and json keep broken records, not {fmt!r}")
+    reader = (spark.read.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN))
+    if fmt == "csv":
+        # Every column is parsed, whatever is selected: a line is broken or not.
+        reader = reader.option("header", str(header).lower()).option("escape", '"').option("columnPruning", "false")
+    read = reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("__file"))
+    rows = with_blank_nulls(read.where(F.col(BROKEN).isNull()).select(*(F.col(f.name) for f in schema.fields)), na_words)
+    # Spark refuses to read the broken records alone: the test also looks at a column, and is always true of it.
+    a_column = F.length(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit(""))) >= 0
+    rejects = read.where(F.col(BROKEN).isNotNull() & a_column).select(F.col("__file").alias("file"), F.col(BROKEN).alias("line"))
+    return rows, rejects
+
+
 def with_blank_nulls(df: DataFrame, na_words: Sequence[str] = ()) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -127,6 +150,24 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet",
     w.save(path)
 
 
+# --------------------------------------------------------------------------- by day
+
+
+def append_by_day(df: DataFrame, path: str, ts_col: str, day_col: str = "day") -> None:
+    """L4 for captured rows: appended in one folder for each day of ``ts_col``."""
+    (df.withColumn(day_col, F.to_date(ts_col)).hint("rebalance", day_col)
+     .write.mode("append").partitionBy(day_col).parquet(path))
+
+
+def load_period(spark: SparkSession, path: str, period: int, as_of, day_col: str = "day") -> DataFrame:
+    """P2 on such a table: only the folders of the period's days are read."""
+    from leadsmith.operators.filters import recency_days
+    first, last = recency_days(period, as_of)
+    table = spark.read.parquet(path)
+    day = F.col(day_col)
+    return table.where((day >= F.lit(first)) & (day <= F.lit(last))).drop(day_col)
+
+
 # --------------------------------------------------------------------------- L5
 
 

@@ -10,6 +10,8 @@ S2: into a table, every micro-batch keeps one row per key and drops the keys tha
 are in the table already, so a repeat in any later batch adds nothing and no event
 is too late. ``streaming_keep_first`` gives a stream instead: one row per key while
 the watermark holds the key's state, without what is older than the watermark.
+``earliest_to_table`` keeps the earliest row of each key over all batches, with a
+state store.
 
 Both are safe to repeat: a batch that runs again after a failure finds its
 rows in the table.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadsmith.operators.dedupe import anti_master, keep_first
+from leadsmith.operators.state import state_replace
 
 #: Buckets of a master table written by this module.
 BUCKETS = 64
@@ -116,6 +119,39 @@ def keep_first_to_table(stream: DataFrame, keys: Sequence[str], event_time: str,
     q.awaitTermination()
 
 
+#: Keeps the state of a stream on the executors' disks and in the checkpoint folder.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def earliest_to_table(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], table_root: str,
+                      checkpoint_path: str, buckets: int = 64) -> None:
+    """S2, defined over all micro-batches: of each key the row with the smallest
+    ``order_by``, whenever it comes. The state store holds the smallest row of each key;
+    a micro-batch hands on the keys whose row has changed, and they replace theirs in
+    the state table (``operators.state``), in the buckets that they touch. No event is
+    too late, so none is dropped. The state grows with the number of keys."""
+    spark = stream.sparkSession
+    others = [c for c in stream.columns if c not in keys]
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*[F.col(c) for c in order_by]))
+    rows = stream.groupBy(*keys).agg(first.alias("__row"))
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        state_replace(table_root, batch.select(*keys, *(F.col("__row")[c].alias(c) for c in others)), keys, buckets)
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        query = (rows.writeStream.foreachBatch(run_batch).outputMode("update")
+                 .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
 def landed_files(spark: SparkSession, path: str, schema: T.StructType, base_path: str | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A streaming read of parquet files under ``path`` (a folder, or a file
