@@ -1,12 +1,17 @@
 """Document fingerprints as threshold-scaled sketches, in DataFrame functions only.
 
-A sketch keeps every distinct shingle hash in the lowest ``fraction`` of the
-hash range, and the ``at_least`` smallest ones where that leaves fewer, so short
-texts keep all of theirs. Sketches of parts merge by union. The share of a document's
-shingles that another one holds is estimated on the hashes below the lower of
-both documents' limits, however unequal they are. Where none of the own hashes is
-below it the sketches tell nothing: ``containment`` is then the value given as
-``unknown``, and ``share`` counts on the texts instead.
+A sketch (``with_scaled_sketch``) is a limit and every distinct shingle hash of 32 bits up
+to it. The limit is a fixed fraction of the hash range; where that leaves fewer than
+``floor`` hashes it is the hash of that number, and a text with no more shingles keeps
+all of them under the highest limit. As a sketch states up to where it is complete,
+sketches of parts or of documents merge (``merge_sketches``, ``merged``): the lower limit,
+and the hashes of both up to it. The share of a document's shingles that another one
+holds is estimated on the hashes up to the lower of both limits, however unequal the
+documents are (``contained_share``). Where none of the own hashes is below it the
+sketches tell nothing, and the value given as ``unknown`` is returned.
+
+``with_sketch``, ``containment`` and ``share`` are the earlier form with 64-bit hashes in
+plain arrays, which do not state their limit and so do not merge.
 
 Defined results: a null text counts as empty; a text of fewer words than a
 shingle is one shingle; without words the fingerprint is empty, which is like
@@ -61,6 +66,68 @@ def with_sketch(df: DataFrame, text: str, out: str, fraction: float = FRACTION,
             .drop("__h", "__s", "__l"))
 
 
+#: The scaled sketch keeps this share of the range of 32-bit hashes, and at least so many.
+SCALE, FLOOR, TOP = 1 / 4, 64, (1 << 32) - 1
+
+
+def with_scaled_sketch(df: DataFrame, text: str, out: str, fraction: float = SCALE, floor: int = FLOOR) -> DataFrame:
+    """Adds ``out``: ``limit`` and the sorted ``hashes`` up to it of column ``text``."""
+    limit = int(TOP * fraction)
+    staged = (df.withColumn("__h", word_hashes(text)).withColumn("__s", shingles("__h"))
+              .withColumn("__s", F.transform("__s", lambda h: h.bitwiseAND(F.lit(TOP))))
+              .withColumn("__l", F.array_sort(F.array_distinct(F.filter("__s", lambda h: h <= limit))))
+              .withColumn("__all", F.when(F.size("__l") < floor, F.array_sort(F.array_distinct("__s")))))
+    sketch = F.struct(
+        F.when(F.size("__l") >= floor, F.lit(limit)).when(F.size("__all") <= floor, F.lit(TOP))
+        .otherwise(F.get("__all", F.lit(floor - 1))).cast("long").alias("limit"),
+        F.when(F.size("__l") >= floor, F.col("__l")).otherwise(F.slice("__all", 1, floor)).alias("hashes"))
+    return staged.withColumn(out, sketch).drop("__h", "__s", "__l", "__all")
+
+
+def merge_sketches(a: str, b: str) -> Column:
+    """The sketch of what two sketches were made of, taken together."""
+    limit = F.least(F.col(a)["limit"], F.col(b)["limit"])
+    both = F.concat(F.col(a)["hashes"], F.col(b)["hashes"])
+    return _once(limit, lambda top: F.struct(
+        top.alias("limit"), F.array_sort(F.array_distinct(F.filter(both, lambda h: h <= top))).alias("hashes")))
+
+
+def merged(df: DataFrame, keys: list[str], sketch: str = "sketch") -> DataFrame:
+    """``keys`` and the merged ``sketch`` of each group. The hashes are made distinct one by
+    one before they are gathered, so copies of a document weigh nothing."""
+    limits = df.groupBy(*keys).agg(F.min(F.col(sketch)["limit"]).alias("__limit"))
+    of = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    each = df.select(*of, F.explode(F.col(sketch)["hashes"]).alias("__hash")).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return (limits.join(each, cond & (F.col("__hash") <= F.col("__limit")), "left").groupBy(*keys, "__limit")
+            .agg(F.array_sort(F.collect_list("__hash")).alias("__hashes"))
+            .select(*keys, F.struct(F.col("__limit").alias("limit"), F.col("__hashes").alias("hashes")).alias(sketch)))
+
+
+def contained_share(own: str, other: str, unknown: Column | None = None) -> Column:
+    """Estimated share of ``own``'s shingles that ``other`` holds too; ``unknown`` (null if not
+    given) where none of ``own``'s hashes is up to the common limit."""
+    mine, theirs = F.col(own), F.col(other)
+    below = _once(F.least(mine["limit"], theirs["limit"]), lambda top: F.filter(mine["hashes"], lambda h: h <= top))
+    return (F.when(mine == theirs, F.lit(1.0))
+            .when((F.size(mine["hashes"]) == 0) | (F.size(theirs["hashes"]) == 0), F.lit(0.0))
+            .otherwise(_once(below, lambda m: F.when(F.size(m) == 0, F.lit(None).cast("double") if unknown is None else unknown)
+                             .otherwise(F.size(F.array_intersect(m, theirs["hashes"])) / F.size(m)))))
+
+
+def sketch_string(sketch: str) -> Column:
+    """Limit and hashes, four bytes each, in base64; empty for a text without words."""
+    def digits(h):
+        return F.lpad(F.hex(h), 8, "0")
+
+    s = F.col(sketch)
+    return F.when(F.size(s["hashes"]) == 0, "").otherwise(F.base64(F.unhex(F.concat(
+        digits(s["limit"]), F.array_join(F.transform(s["hashes"], digits), "")))))
+
+
 def sketch_text(sketch: str) -> Column:
     """Hashes as fixed-width hexadecimal numbers in ascending order."""
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h.bitwiseXOR(F.lit(LOWEST))), 16, "0"))), ",")
@@ -91,50 +158,56 @@ def share(own: str, other: str, own_text: str, other_text: str) -> Column:
     return containment(own, other, unknown=exact)
 
 
-def _range_number(id_col: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` are below the id, in two steps of about
+def _range_number(place: Column, cuts: list[Column]) -> Column:
+    """How many of the sorted ``cuts`` are below the place, in two steps of about
     the square root of their number each."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*(F.lit(c) for c in cuts[::step]))
-    fine = F.array(*(F.array(*(F.lit(c) for c in cuts[i:i + step])) for i in range(0, len(cuts), step)))
-    block = F.size(F.filter(coarse, lambda c: c < id_col))
-    return F.when(block == 0, 0).otherwise(
-        (block - 1) * step + F.size(F.filter(F.element_at(fine, block), lambda c: c < id_col)))
+    coarse = F.array(*cuts[::step])
+    fine = F.array(*(F.array(*cuts[i:i + step]) for i in range(0, len(cuts), step)))
+    return _once(place, lambda p: _once(F.size(F.filter(coarse, lambda c: c < p)), lambda block: F.when(block == 0, 0).otherwise(
+        (block - 1) * step + F.size(F.filter(F.element_at(fine, block), lambda c: c < p)))))
+
+
+#: Characters of a text that decide its range beside the id.
+PLACE_CHARS = 32
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 4_000,
-                 max_ranges: int = 4_096) -> DataFrame:
-    """``(id, text, sketch, next_text, next_sketch)`` in descending order of ids.
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 1_000,
+                 max_ranges: int = 65_536,
+                 sketch: Callable[[DataFrame, str, str], DataFrame] = with_sketch) -> DataFrame:
+    """``(id, text, sketch, next_text, next_sketch)`` in descending order of (id, text).
 
-    The ids alone are split into ranges of about ``rows_per_range`` rows (at most
-    ``max_ranges`` ranges; larger ones spill while they are sorted). Texts are
-    shuffled once, by range; the first row of each range is also added to the
-    end of the range before it, so every row finds its successor in its range."""
+    Rows are split into ranges of about ``rows_per_range`` by id and the beginning of
+    the text, so the rows of one id are split too (at most ``max_ranges`` ranges; larger
+    ones spill while they are sorted). Texts are shuffled once, by range; the first row of
+    each range is also added to the end of the range before it, so every row finds its
+    successor in its range. ``sketch`` adds a sketch of a text column."""
     spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).alias("id"))
-    ranges = max(1, min(max_ranges, -(-ids.count() // rows_per_range)))
-    heads = sorted(r["m"] for r in ids.where(F.col("id").isNotNull()).repartitionByRange(ranges, "id")
-                   .groupBy(F.spark_partition_id()).agg(F.max("id").alias("m")).collect())
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    # Range k holds the ids above heads[k-1] up to heads[k]; range 0 also null ids.
-    cuts = heads[:-1]
-    rows = rows.withColumn("range", _range_number(F.col("id"), cuts)).withColumn("extra", F.lit(False))
-    ends = [(h, k + 1 if k + 1 < len(heads) else 0) for k, h in enumerate(heads)]
-    if ends:
-        kind = docs.schema[id_col].dataType.simpleString()
-        last = spark.createDataFrame(ends, f"head {kind}, to int")
-        copies = (rows.join(F.broadcast(last), F.col("id") == F.col("head"))
-                  .select("id", "text", F.col("to").alias("range"), F.lit(True).alias("extra")))
-    else:  # only null ids: one range whose first row follows its last one
-        copies = (rows.orderBy(F.col("text").desc()).limit(1)
-                  .select("id", "text", F.lit(0).alias("range"), F.lit(True).alias("extra")))
+    # Places in ascending order; a null id stands below all others, as in Spark's order of structs.
+    place = F.struct("id", F.left("text", F.lit(PLACE_CHARS)).alias("head"))
+    places = rows.select(place.alias("p"))
+    ranges = max(1, min(max_ranges, -(-places.count() // rows_per_range)))
+    tops = [r["m"] for r in places.repartitionByRange(ranges, "p").groupBy(F.spark_partition_id().alias("k"))
+            .agg(F.max("p").alias("m")).orderBy("m").collect()]
+    kind = docs.schema[id_col].dataType
+    cuts = [F.struct(F.lit(t["id"]).cast(kind).alias("id"), F.lit(t["head"]).alias("head")) for t in tops]
+    # Range k holds the places above tops[k-1] up to tops[k].
+    rows = rows.withColumn("range", _range_number(place, cuts[:-1])).withColumn("extra", F.lit(False))
+    # The highest row of range k follows the lowest one of range k + 1; that of the last range, the lowest of all.
+    # Few rows stand at the top of a range: their places, one for each range, are known.
+    known = spark.createDataFrame([(t["id"], t["head"]) for t in tops], f"__id {kind.simpleString()}, __head string")
+    at_top = rows.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("__id")) & (place["head"] == F.col("__head")))
+    firsts = (at_top.groupBy("range").agg(F.max(F.struct("id", "text")).alias("__top"))
+              .select(F.col("__top")["id"].alias("id"), F.col("__top")["text"].alias("text"),
+                      F.pmod(F.col("range") + 1, F.lit(max(len(tops), 1))).alias("range"), F.lit(True).alias("extra")))
     by = ["extra", F.col("id").desc_nulls_last(), F.col("text").desc()]
     order = Window.partitionBy("range").orderBy(*by)
     # Sketches are made of rows that are dealt out and sorted, so none is shuffled or spilled.
-    dealt = rows.unionByName(copies).repartition("range").sortWithinPartitions("range", *by)
-    return (with_sketch(dealt, "text", "sketch")
+    dealt = rows.unionByName(firsts).repartition("range").sortWithinPartitions("range", *by)
+    return (sketch(dealt, "text", "sketch")
             .select("*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))
             .where(~F.col("extra")).select(F.col("id").alias(id_col), "text", "sketch", "next_text", "next_sketch"))
 

@@ -11,7 +11,7 @@ from leadsmith.llm.bpe import encode_documents
 from leadsmith.llm.collocations import collocations
 from leadsmith.llm.common import crc_of_id, table
 from leadsmith.llm.decontaminate import contamination
-from leadsmith.llm.fingerprints import edited_pairs, edited_text, share, sketch_text, with_sketch
+from leadsmith.llm.fingerprints import contained_share, edited_pairs, edited_text, sketch_string, with_scaled_sketch
 from leadsmith.llm.html_mincut import extract
 from leadsmith.llm.license_scan import scan_licenses
 from leadsmith.llm.packing import pack_documents
@@ -60,14 +60,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = edited_pairs(table(spark, sf_dir, "documents")).withColumn("edited", edited_text("text", "next_text"))
-    pairs = with_sketch(pairs, "edited", "edited_sketch")
+    pairs = edited_pairs(table(spark, sf_dir, "documents"), sketch=with_scaled_sketch)
+    pairs = with_scaled_sketch(pairs.withColumn("edited", edited_text("text", "next_text")), "edited", "edited_sketch")
+    none_seen = F.lit(0.0)
     return pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                        sketch_text("sketch").alias("fingerprint"),
-                        sketch_text("edited_sketch").alias("edited_fingerprint"),
-                        share("sketch", "edited_sketch", "text", "edited").alias("near_edited"),
-                        share("sketch", "next_sketch", "text", "next_text").alias("near_next"))
+                        sketch_string("sketch").alias("fingerprint"),
+                        sketch_string("edited_sketch").alias("edited_fingerprint"),
+                        contained_share("sketch", "edited_sketch", none_seen).alias("near_edited"),
+                        contained_share("sketch", "next_sketch", none_seen).alias("near_next"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,3 +430,89 @@ def test_contamination(spark, messy_rows, no_docs, block):
     assert contamination(no_docs, items).count() == 0
     none = contamination(as_docs(spark, rows), items.limit(0))
     assert none.where("contaminated or n_hit > 0").count() == 0 and none.count() == len(rows)
+
+
+# ---------------------------------------------------------------- scaled sketches
+
+def brute_sketch(text, fraction=1 / 4, floor=64):
+    words = [w for w in re.split(r"[ \t-\r]+", text or "") if w]
+    top = (1 << 32) - 1
+
+    def hashed(value):
+        return fingerprints_xxhash(value) & top
+
+    word = [fingerprints_xxhash_string(w) for w in words]
+    all_ = sorted({hashed(word[i:i + 5]) for i in range(len(word) - 4)} if len(word) >= 5 else {hashed(word)} if word else set())
+    limit = int(top * fraction)
+    low_ = [h for h in all_ if h <= limit]
+    if len(low_) >= floor:
+        return limit, low_
+    return (top, all_) if len(all_) <= floor else (all_[floor - 1], all_[:floor])
+
+
+def fingerprints_xxhash_string(word):
+    return xxhash.xxh64_intdigest(word.encode(), seed=42)
+
+
+def fingerprints_xxhash(values):
+    """Spark's ``xxhash64`` of longs, one after another (also of an array of longs): each
+    seeds the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(int(v).to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def test_scaled_sketch_equals_brute_force(messy, messy_rows):
+    got = fingerprints.with_scaled_sketch(messy, "text", "sketch").select("doc_id", "text", "sketch")
+    want = {(i, t): brute_sketch(t) for i, t in messy_rows}
+    for r in got.collect():
+        assert (r["sketch"]["limit"], r["sketch"]["hashes"]) == want[r["doc_id"], r["text"]]
+    import base64
+    strings = got.select("doc_id", "text", fingerprints.sketch_string("sketch").alias("f")).collect()
+    for r in strings:
+        limit, hashes = want[r["doc_id"], r["text"]]
+        assert base64.b64decode(r["f"]) == (b"".join(x.to_bytes(4, "big") for x in [limit, *hashes]) if hashes else b"")
+    long = [r for r in strings if r["text"] and len(r["text"]) > 50]
+    assert sum(len(r["f"]) for r in long) < 0.3 * sum(len(r["text"].encode()) for r in long)
+
+
+def test_merged_sketches_estimate_containment(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        a, b = ([f"{c}{i}" for i in rng.integers(0, 10**9, n)] for c, n in (("a", 84), ("b", 200)))
+        x = b[20:120]
+        c = [f"c{i}" for i in rng.integers(0, 10**9, 3_000)] + b[:60]
+        rows.append((k, *(" ".join(w) for w in (a, b, x, c))))
+    df = spark.createDataFrame(rows, "k int, a string, b string, x string, c string")
+    for c in "abxc":
+        df = fingerprints.with_scaled_sketch(df, c, f"k_{c}")
+    df = df.withColumn("ab", fingerprints.merge_sketches("k_a", "k_b")).withColumn("abc", fingerprints.merge_sketches("ab", "k_c"))
+    near = {f"{x}_{y}": fingerprints.contained_share(x, y).alias(f"{x}_{y}") for x, y in
+            (("k_x", "k_b"), ("k_x", "ab"), ("k_x", "abc"), ("k_b", "ab"), ("k_b", "k_c"), ("k_a", "k_b"), ("ab", "k_b"))}
+    got = df.select(*near.values()).collect()
+    mean = {n: sum(r[n] for r in got) / len(got) for n in near}
+    assert mean["k_x_k_b"] == mean["k_x_ab"] == mean["k_x_abc"] == mean["k_b_ab"] == 1.0 and mean["k_a_k_b"] == 0.0
+    assert abs(mean["k_b_k_c"] - 56 / 196) < 0.05 and abs(mean["ab_k_b"] - 196 / 276) < 0.05
+    # The order of merging does not matter, nor does merging a sketch with itself.
+    again = df.select("ab", fingerprints.merge_sketches("k_b", "k_a").alias("ba"), fingerprints.merge_sketches("ab", "k_b").alias("abb")).collect()
+    assert all(r["ab"] == r["ba"] and r["ab"]["hashes"] == r["abb"]["hashes"] for r in again)
+    long = df.select("k", F.explode(F.array("k_a", "k_b", "k_c", "k_b")).alias("sketch"))
+    groups = {r["k"]: r["sketch"] for r in fingerprints.merged(long, ["k"]).collect()}
+    assert groups == {r["k"]: r["abc"] for r in df.select("k", "abc").collect()}
+
+
+def test_merged_sketches_of_groups_without_words(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, ""), (2, None), (2, "x")], "k int, t string")
+    got = {r["k"]: r["sketch"]["hashes"] for r in fingerprints.merged(fingerprints.with_scaled_sketch(df, "t", "sketch"), ["k"]).collect()}
+    assert len(got[None]) == 1 and got[1] == [] and len(got[2]) == 1
+
+
+def test_edited_pairs_split_the_rows_of_one_id(spark):
+    from tests.llm.conftest import as_docs
+    rows = [(None, f"{k:03d} text") for k in range(60)] + [(5, f"{k:03d} more") for k in range(60)] + [(9, "same")] * 20
+    got = fingerprints.edited_pairs(as_docs(spark, rows), rows_per_range=10, sketch=fingerprints.with_scaled_sketch)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    assert counted(got, "doc_id", "text", "next_text") == Counter(
+        (*order[k], order[(k + 1) % len(order)][1]) for k in range(len(order)))
