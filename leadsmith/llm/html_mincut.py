@@ -1,11 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page is cut into blocks at block-level tags. A linear classifier on markup and
-wording gives each block a cost for either label; they become the capacities of
-its edges to the terminals. Neighbouring blocks, and consecutive blocks under
-the same element or its parent, are joined by smoothness edges that weaken with
-their distance in the tree. The minimum cut (Dinic's maximum flow) labels all
-blocks of the page at once.
+A page is cut into blocks at block-level tags. A linear classifier on a block's own
+words (how many, how many of them in links, a sentence's end, a heading) gives it a
+cost for either label; they become the capacities of its edges to the terminals.
+What the page's tree says comes in by smoothness edges. Neighbouring blocks, and
+consecutive blocks under the same element or its parent, are joined by edges that
+weaken with their distance in the tree. Regions of the page (an article, a menu, an
+element named as an advert) are nodes of the graph too: each is tied to the terminal
+that its markup speaks for and joined to the blocks inside it, so it draws them to its
+side, and is itself overruled where many of them speak against a mere name. The
+minimum cut (Dinic's maximum flow) labels all blocks and regions of the page at once.
+
+The classifier is fitted to the pages at hand: a logistic regression on the blocks that
+lie in an article, or in a menu, form, footer or comment area, of a bounded sample of
+pages (``SAMPLE_PAGES``, by the hash of the id), drawn to the stated weights where
+there are few. Its odds are kept below those of the regions that markup makes certain.
 
 Defined results: null and empty pages have an empty text; unclosed and stray
 tags are tolerated, a tag cut off by the end of the page is no text; character
@@ -18,9 +27,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +71,30 @@ SIDE_NAMES = frozenset("""ad ads advert advertisement adverts advertising sponso
 COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
 MAIN_NAMES = frozenset("article content main post entry story text body".split())
 
-#: Classifier weights (log-odds for content), and the weight of smoothness.
-BIAS, IN_MAIN, IN_MAIN_NAME, IN_SIDE, LINKS, WORDS, SENTENCE, HEADING = -0.5, 4.0, 1.5, -7.0, -3.0, 0.5, 0.8, 0.3
+#: Words that say where or how an element stands or is made up, not what it is about.
+NEUTRAL_NAMES = frozenset("""left right top bottom upper lower inner outer box container wrapper wrap area section block
+    site page global primary secondary bar link links list item items menu group row col column small large fixed sticky
+    mobile desktop content contents text body title label button form icon posts articles entries thread""".split())
+
+#: Log-odds for content of a block by its own words, drawn to when the classifier is fitted:
+#: bias, log of the number of words, share of words in links, a sentence's end, a heading.
+WEIGHTS = (-0.5, 0.5, -3.0, 0.8, 0.3)
+#: A block's own odds lie within; the regions that tags make certain pull harder.
+OWN_MOST = 3.0
+#: Pull of a region on a block inside it: an article, an element named as content, a side element.
+IN_MAIN, IN_MAIN_NAME, IN_SIDE = 4.0, 1.5, 7.0
+#: What it costs to overrule a region known by its tag, and one known by its name only.
+BY_TAG, BY_NAME = 1e6, 20.0
 SMOOTHNESS = 0.6
+#: Pages whose blocks the classifier is fitted to, and the weight of the stated weights against them.
+SAMPLE_PAGES, PRIOR_BLOCKS = 2_000, 200.0
 
 
 class Block:
+    """A block: its text, element and the element around that, whether it is a heading, how
+    many of its characters are in links, and its regions: ``main``, ``named`` (numbers of
+    elements, 0: none) and ``side`` (the innermost two, outermost first)."""
+
     __slots__ = ("text", "node", "parent", "main", "named", "side", "heading", "linked")
 
     def __init__(self, text, node, parent, main, named, side, heading, linked):
@@ -74,18 +102,27 @@ class Block:
         self.main, self.named, self.side, self.heading, self.linked = main, named, side, heading, linked
 
 
-def _evidence(tag: str, attributes: str, main: bool, named: bool, side: int) -> tuple[bool, bool, int]:
-    names: set[str] = set()
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            names.update(x.lower() for x in NAME_PART.findall(m[2] or m[3] or m[4] or ""))
-    if main:    # an article's own header holds its title
-        names -= {"header", "head"}
+def _whole_names(attributes: str) -> list[set[str]]:
+    """The words of each class, id and role of an element."""
+    return [{x.lower() for x in NAME_PART.findall(name)}
+            for m in ATTRIBUTE.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").split()]
+
+
+def _evidence(tag: str, attributes: str, main: int) -> tuple[bool, bool, float]:
+    """Whether an element is an article, is named as content, and how surely it is a side
+    element (0: not). A name counts if all its words speak of the side, so neither
+    ``share-price`` nor ``promo-story`` does."""
+    names = _whole_names(attributes) if attributes else []
     if tag in SIDE_TAGS or (tag == "header" and not main):
-        side += 1
-    elif names & COMMENT_NAMES or (names & SIDE_NAMES and tag not in ("html", "body", "main", "article", "header")):
-        side += 1
-    return main or tag in MAIN_TAGS, named or bool(names & MAIN_NAMES), side
+        side = BY_TAG
+    else:
+        found = [n for n in names if n & SIDE_NAMES and n <= SIDE_NAMES | NEUTRAL_NAMES]
+        if main:    # an article's own header holds its title
+            found = [n for n in found if not n <= {"header", "head"} | NEUTRAL_NAMES]
+        comments = any(n & COMMENT_NAMES for n in found)
+        whole_page = tag in ("html", "body", "main", "article", "header")
+        side = BY_TAG if comments else BY_NAME if found and not whole_page else 0.0
+    return tag in MAIN_TAGS, any(n & MAIN_NAMES for n in names), side
 
 
 def pairs_of(page: str) -> dict[int, int]:
@@ -104,10 +141,11 @@ def pairs_of(page: str) -> dict[int, int]:
     return out
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order."""
-    # An entry of the stack: tag, node, evidence, whether in a link.
-    stack = [("", 0, False, False, 0, False)]
+def blocks_of(page: str) -> tuple[list[Block], dict[int, float]]:
+    """Text blocks in page order, and how surely each side region is one."""
+    # An entry of the stack: tag, node, regions (main, named, side), whether in a link.
+    stack = [("", 0, 0, 0, (), False)]
+    sure: dict[int, float] = {}
     open_tags: dict[str, int] = {}
     out: list[Block] = []
     parts: list[str] = []
@@ -193,11 +231,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         nodes += 1
         _, _, main, named, side, link = stack[-1]
-        main, named, side = _evidence(tag, m[3], main, named, side)
-        stack.append((tag, nodes, main, named, side, link or tag == "a"))
+        is_main, is_named, is_side = _evidence(tag, m[3], main)
+        if is_side:
+            sure[nodes] = is_side
+            side = (*side[-1:], nodes)
+        stack.append((tag, nodes, nodes if is_main and not main else main, nodes if is_named else named, side, link or tag == "a"))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
-    return out
+    return out, sure
 
 
 def _close(stack, tags, pop_to):
@@ -210,11 +251,67 @@ def _close(stack, tags, pop_to):
             return
 
 
-def log_odds(b: Block) -> float:
+def features(b: Block) -> tuple[float, ...]:
     words = b.text.count(" ") + 1
-    return (BIAS + IN_MAIN * b.main + IN_MAIN_NAME * b.named + IN_SIDE * min(b.side, 2)
-            + LINKS * min(b.linked / len(b.text), 1.0) * (not b.main)
-            + WORDS * math.log1p(min(words, 60)) + SENTENCE * (b.text[-1] in ".!?…。") + HEADING * b.heading)
+    return (1.0, math.log1p(min(words, 60)), min(b.linked / len(b.text), 1.0) * (not b.main),
+            float(b.text[-1] in ".!?…。"), float(b.heading))
+
+
+def log_odds(b: Block, weights: tuple[float, ...] = WEIGHTS) -> float:
+    """The classifier's odds for content from the block's own words."""
+    z = sum(w * x for w, x in zip(weights, features(b), strict=True))
+    return max(-OWN_MOST, min(OWN_MOST, z))
+
+
+def fitted(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression drawn to ``WEIGHTS``, both labels of equal weight; ``rows`` are
+    the ``features`` of blocks. Newton's method from the stated weights."""
+    w = prior = np.array(WEIGHTS)
+    if not labels.any() or labels.all():
+        return WEIGHTS
+    share = np.where(labels, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        slope = rows.T @ (share * (labels - p)) - PRIOR_BLOCKS * (w - prior)
+        curve = (rows * (share * p * (1 - p))[:, None]).T @ rows + PRIOR_BLOCKS * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(w.tolist())
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> tuple[float, ...]:
+    """The classifier's weights, from the blocks of about ``SAMPLE_PAGES`` pages whose
+    region a tag makes certain. At most a few numbers for each kind of block are collected:
+    the features are counted, not listed."""
+    n = pages.select(id_col).count()
+    picked = pages.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) < SAMPLE_PAGES / max(n, 1) * (1 << 30))
+
+    def run(batches):
+        counts: Counter = Counter()
+        for _, texts in text_slices(batches, 0):
+            for page in texts:
+                blocks, sure = blocks_of(page.decode())
+                for b in blocks:
+                    by_tag = bool(b.side) and max(sure[r] for r in b.side) == BY_TAG
+                    if by_tag or (b.main and not b.side):
+                        _, words, linked, end, heading = features(b)
+                        counts[round(words, 1), round(linked, 1), end, heading, not by_tag] += 1
+        rows = list(counts.items())
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[j] for k, _ in rows], pa.float64()) for j in range(4)),
+             pa.array([k[4] for k, _ in rows], pa.bool_()), pa.array([v for _, v in rows], pa.int64())],
+            names=["words", "linked", "sentence", "heading", "content", "n"])
+
+    found = (picked.select(html_col).mapInArrow(run, "words double, linked double, sentence double, heading double, content boolean, n long")
+             .groupBy("words", "linked", "sentence", "heading", "content").agg(F.sum("n").alias("n"))
+             .orderBy("words", "linked", "sentence", "heading", "content").toPandas())
+    if not len(found):
+        return WEIGHTS
+    rows = np.column_stack([np.ones(len(found)), found[["words", "linked", "sentence", "heading"]].to_numpy(float)])
+    times = found["n"].to_numpy()
+    return fitted(np.repeat(rows, times, axis=0), np.repeat(found["content"].to_numpy(bool), times))
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -297,24 +394,50 @@ def content_side(to_content: list[float], to_side: list[float], edges: list[tupl
                 v = to[path.pop() ^ 1]
 
 
-def main_text(page: str) -> str:
-    blocks = blocks_of(page)
+def labels_of(page: str, weights: tuple[float, ...] = WEIGHTS) -> list[tuple[str, float, bool]]:
+    """The blocks of a page: text, the classifier's odds, and the label of the minimum cut."""
+    blocks, sure = blocks_of(page)
     if not blocks:
-        return ""
-    odds = [max(-30.0, min(30.0, log_odds(b))) for b in blocks]
-    keep = content_side([math.log1p(math.exp(z)) for z in odds], [math.log1p(math.exp(-z)) for z in odds],
-                        smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+        return []
+    odds = [log_odds(b, weights) for b in blocks]
+    to_content = [math.log1p(math.exp(z)) for z in odds]
+    to_side = [math.log1p(math.exp(-z)) for z in odds]
+    edges = smoothness(blocks)
+    # The regions' nodes come after the blocks: an article or a named element is drawn to
+    # content, a side element away from it.
+    number: dict[tuple[str, int], int] = {}
+
+    def region(kind, node, for_content, for_side):
+        if (kind, node) not in number:
+            number[kind, node] = len(to_content)
+            to_content.append(for_content)
+            to_side.append(for_side)
+        return number[kind, node]
+
+    for i, b in enumerate(blocks):
+        if b.main:
+            edges.append((i, region("main", b.main, BY_TAG, 0.0), IN_MAIN))
+        if b.named:
+            edges.append((i, region("named", b.named, BY_NAME, 0.0), IN_MAIN_NAME))
+        for node in b.side:
+            edges.append((i, region("side", node, 0.0, sure[node]), IN_SIDE))
+    keep = content_side(to_content, to_side, edges)
+    return [(b.text, z, k) for b, z, k in zip(blocks, odds, keep, strict=False)]
+
+
+def main_text(page: str, weights: tuple[float, ...] = WEIGHTS) -> str:
+    return "\n".join(text for text, _, kept in labels_of(page, weights) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` of every page."""
+    weights = fit(pages, id_col, html_col)
     lead = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"))
     kinds = [f.dataType.simpleString() for f in lead.schema.fields]
 
     def run(batches):
         for batch, texts in text_slices(batches, 2):
-            found = [main_text(t.decode()) for t in texts]
+            found = [main_text(t.decode(), weights) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()),
                  pa.array([len(t) for t in found], pa.int64())], names=[id_col, url_col, "text", "n_chars"])

@@ -218,3 +218,56 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     used = {r["id"] for r in usable_labels(labels, "toxic", 3, 1).collect()}
     assert used == {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+
+
+# ---------------------------------------------------------------- regions and the fitted classifier
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><h1>T</h1><div class="share-price"><p>The price rose by two per cent on Monday.</p></div></article>',
+     "T\nThe price rose by two per cent on Monday."),
+    ('<div class="promo-story"><p>A story that was the only text of the page, long enough.</p></div>',
+     "A story that was the only text of the page, long enough."),
+    ('<article><p>Intro text of it.</p><div class="comment-quote"><p>As one of them said, it is so.</p></div></article>',
+     "Intro text of it.\nAs one of them said, it is so."),
+    ('<article><p>Results follow here.</p><table class="search-results"><tr><td>alpha</td><td>12</td></tr></table></article>',
+     "Results follow here.\nalpha\n12"),
+    ('<article><p>Text of it.</p><div class="ad">Buy this now, it is cheap.</div><div id="comments-list"><p>Nice, thanks.</p></div></article>',
+     "Text of it."),
+    ('<div class="nav-bar"><p>Home is where we are.</p></div><article><p>x</p><p>y z.</p></article><div class="cookie notice">We use them.</div>',
+     "x\ny z."),
+])
+def test_a_name_counts_as_a_whole(page, text):
+    assert main_text(page) == text
+
+
+def test_many_paragraphs_overrule_a_name_but_no_tag():
+    paragraphs = "".join(f"<p>This is a longer sentence of number {k} in the only text there is.</p>" for k in range(30))
+    assert main_text(f'<div class="promo">{paragraphs}</div>').count("\n") == 29
+    assert main_text('<div class="promo"><p>Buy two of them today, it is cheap.</p></div>') == ""
+    assert main_text(f"<aside>{paragraphs}</aside>") == "" and main_text(f'<div class="comments">{paragraphs}</div>') == ""
+
+
+def test_the_cut_decides_labels_of_the_given_pages():
+    import duckdb
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    labels = [x for (page,) in pages for x in html_mincut.labels_of(page)]
+    changed = [(z, kept) for _, z, kept in labels if (z > 0) != kept]
+    assert len(changed) > 0.05 * len(labels)     # sentences of adverts and footers go
+    short = html_mincut.labels_of("<article><p>x</p><p><a href=/>All of it is a link</a></p><p>The text of it.</p></article>")
+    assert all(kept for *_, kept in short) and short[0][1] < 0
+
+
+def test_the_classifier_is_fitted_and_drawn_to_the_stated_weights(spark):
+    rng = np.random.default_rng(2)
+    rows = np.column_stack([np.ones(60_000), rng.uniform(0, 4, 60_000), rng.uniform(0, 1, 60_000), rng.integers(0, 2, 60_000), np.zeros(60_000)])
+    true = np.array([-2.0, 1.5, -2.0, 1.0, 0.0])
+    labels = rng.uniform(size=60_000) < 1 / (1 + np.exp(-rows @ true))
+    got = np.array(html_mincut.fitted(rows, labels))
+    assert np.abs(got[1:4] - true[1:4]).max() < 0.15
+    few = np.array(html_mincut.fitted(rows[:20], labels[:20]))
+    assert np.abs(few - np.array(html_mincut.WEIGHTS)).max() < 0.1
+    assert html_mincut.fitted(rows[:5], np.ones(5, bool)) == html_mincut.WEIGHTS
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    weights = html_mincut.fit(pages)
+    assert weights == html_mincut.fit(pages.repartition(7)) and weights != html_mincut.WEIGHTS
+    assert html_mincut.fit(pages.limit(0)) == html_mincut.WEIGHTS
