@@ -7,9 +7,9 @@ tells how far the search may jump without missing an occurrence. At shift 0 the
 block's bucket lists the patterns that end in it, and their words are compared
 directly.
 
-The patterns are handled in blocks of at most ``block_windows`` windows, so a
-task holds a bounded table however large the benchmark is; the documents are
-scanned once per block.
+The patterns are handled in blocks of at most ``block_windows`` windows, one after the
+other, so the driver and a task hold a bounded table however large the benchmark is;
+the documents are scanned once per block, and of each scan only the hits are written.
 
 Defined results: null and empty texts have no words and are clean; items
 without words have no window; a window that occurs in several items counts for
@@ -132,25 +132,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``carry`` columns, ``hit_spans`` (word ranges, sorted) and ``hit_items``."""
     windows = stored(benchmark_windows(benchmark, window, item_col, item_text_col), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    parts = []
-    for b in range(blocks):
+
+    def patterns(b: int) -> dict[tuple[bytes, ...], list[str]]:
         # At most about block_windows windows (hash-dealt): a bounded pattern table.
         mine = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        items = {tuple(r["words"].split(b" ")): r["item_ids"] for r in
-                 ({"words": bytes(r["words"]), "item_ids": list(r["item_ids"])} for r in mine.collect())}
-        parts.append(_scan_block(docs, items, id_col, text_col, carry))
+        return {tuple(bytes(r["words"]).split(b" ")): list(r["item_ids"]) for r in mine.toLocalIterator()}
+
     if blocks == 1:
-        hits = parts[0]
-    else:
-        keys = [id_col, *carry, "__key", "n_words"]
-        union = parts[0].select("*", F.lit(0).alias("__b"))
-        for b, p in enumerate(parts[1:], 1):
-            union = union.unionByName(p.select("*", F.lit(b).alias("__b")))
-        hits = (union.groupBy(*keys).agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
-                                         F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items"),
-                                         F.count_if(F.col("__b") == 0).alias("__n"))
-                .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__copy", "__n"))
-    return _finish(hits, id_col, carry)
+        return _finish(_scan_block(docs, patterns(0), id_col, text_col, carry), id_col, carry)
+    # One block after the other: its patterns are in the driver and the tasks only while
+    # its hits are written, under two hashes of the row's id and text.
+    keys = ["__k1", "__k2"]
+    keyed = docs.select("*", F.xxhash64(id_col, text_col).alias("__k1"),
+                        F.xxhash64(F.lit("row"), text_col, id_col).alias("__k2"))
+    found = None
+    for b in range(blocks):
+        part = stored(_scan_block(keyed, patterns(b), id_col, text_col, tuple(keys))
+                      .where(F.size("hit_items") > 0).select(*keys, "hit_spans", "hit_items"), "hits")
+        found = part if found is None else found.unionByName(part)
+    # Repeated rows have written the same hits; a set keeps them once.
+    hits = (found.groupBy(*keys).agg(F.flatten(F.collect_set("hit_spans")).alias("hit_spans"),
+                                     F.array_distinct(F.flatten(F.collect_set("hit_items"))).alias("hit_items")))
+    every = _scan_block(keyed, {}, id_col, text_col, (*carry, *keys)).drop("hit_spans", "hit_items")
+    none = {"hit_spans": F.array().cast(hits.schema["hit_spans"].dataType), "hit_items": F.array().cast("array<string>")}
+    return _finish(every.join(hits, keys, "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()}), id_col, carry)
 
 
 def _scan_block(docs, items, id_col, text_col, carry):
@@ -172,7 +177,7 @@ def _scan_block(docs, items, id_col, text_col, carry):
                  pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))],
                 names=[*(f.name for f in fields), "n_words", "hit_spans", "hit_items"])
 
-    lead, kept, text_at = lead_columns(docs, id_col, text_col, carry, F.xxhash64(F.col(text_col)).alias("__key"))
+    lead, kept, text_at = lead_columns(docs, id_col, text_col, carry)
     fields = lead.schema.fields[:kept]
     return lead.mapInArrow(run, with_fields(fields, "n_words long, hit_spans array<struct<lo: int, hi: int>>, hit_items array<string>"))
 
