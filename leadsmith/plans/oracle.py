@@ -707,3 +707,5 @@ SELECT domain, count(DISTINCT email) AS n_addresses, count(DISTINCT page_id) AS
         "'{\"ingest_seq\": ' || no || ', \"company\": \"' || company || '\", \"email\": \"' || email || "
         "CASE WHEN ingest_seq % 17 = 0 THEN '\"' ELSE '\"}' END"),
 })
+
+SQL["create_and_replace"] = f"SELECT ingest_seq, company, person, email FROM {CC}"

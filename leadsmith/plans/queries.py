@@ -948,3 +948,14 @@ REGISTRY.update({
     "load_csv_rejects": _loaded("csv"),
     "load_json_rejects": _loaded("json"),
 })
+
+
+def q_create_and_replace(spark, sf_dir):
+    """L2 + L3 over the whole table: created empty, then replaced by all contacts."""
+    root = scratch_path(spark, "created_whole")
+    empty, version = load_or_create(spark, root, T.StructType.fromDDL(CONTACT_SCHEMA))
+    write_version(append_union(empty, _contacts(spark, sf_dir)), root, version + 1)
+    return load_or_create(spark, root, T.StructType.fromDDL(CONTACT_SCHEMA))[0]
+
+
+REGISTRY["create_and_replace"] = q_create_and_replace

@@ -22,26 +22,22 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadsmith.operators.dedupe import anti_master, keep_first
-from leadsmith.operators.state import state_replace
+from leadsmith.operators.state import bucket_of, state_replace
 
-#: Buckets of a master table written by this module.
+#: Buckets of a table written by this module, if the caller names no number: with more, a
+#: batch of few keys reads less; the number must stay the same for a table.
 BUCKETS = 64
 
 
-def key_bucket(keys: Sequence[str]) -> Column:
-    """Hash bucket of a key (null keys have one too)."""
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
 def _known(spark: SparkSession, table_path: str, schema: T.StructType, keys: Sequence[str],
-           batch: DataFrame) -> DataFrame:
-    """Keys of the table in the buckets that the batch touches (at most BUCKETS)."""
-    buckets = sorted(r[0] for r in batch.select(key_bucket(keys).alias("b")).distinct().collect())
+           batch: DataFrame, buckets: int) -> DataFrame:
+    """Keys of the table in the buckets that the batch touches (at most all of them)."""
+    touched = sorted(r[0] for r in batch.select(bucket_of(keys, buckets).alias("b")).distinct().collect())
     empty = spark.createDataFrame([], T.StructType([schema[k] for k in keys]))
     try:
         table = spark.read.option("basePath", table_path).schema(
@@ -50,11 +46,12 @@ def _known(spark: SparkSession, table_path: str, schema: T.StructType, keys: Seq
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty
-    return table.where(F.col("bucket").isin(buckets)).select(*keys)
+    return table.where(F.col("bucket").isin(touched)).select(*keys)
 
 
-def _append(rows: DataFrame, keys: Sequence[str], table_path: str) -> None:
-    (rows.withColumn("bucket", key_bucket(keys)).repartition("bucket")
+def _append(rows: DataFrame, keys: Sequence[str], table_path: str, buckets: int) -> None:
+    # Rebalanced: Spark splits a large bucket over several writers and joins small ones.
+    (rows.withColumn("bucket", bucket_of(keys, buckets)).hint("rebalance", "bucket")
      .write.mode("append").partitionBy("bucket").parquet(table_path))
 
 
@@ -62,7 +59,7 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
                     checkpoint_path: str, clean: Callable[[DataFrame, DataFrame], DataFrame],
                     prepare: Callable[[DataFrame], DataFrame] | None = None,
                     key: str = "email", max_files_per_trigger: int | None = None,
-                    base_path: str | None = None) -> None:
+                    base_path: str | None = None, buckets: int = BUCKETS) -> None:
     """Run the incremental ingest until the landed files are consumed.
 
     ``prepare`` turns landed rows into contact rows (for example an
@@ -75,8 +72,8 @@ def ingest_contacts(spark: SparkSession, source_path: str, schema: T.StructType,
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()     # prepared once; a lost part is computed again
         try:
-            master = _known(batch.sparkSession, master_path, batch.schema, [key], batch)
-            _append(clean(batch, master).withColumn("batch_id", F.lit(batch_id).cast("long")), [key], master_path)
+            master = _known(batch.sparkSession, master_path, batch.schema, [key], batch, buckets)
+            _append(clean(batch, master).withColumn("batch_id", F.lit(batch_id).cast("long")), [key], master_path, buckets)
         finally:
             batch.unpersist()
 
@@ -102,15 +99,15 @@ def streaming_keep_first(stream: DataFrame, keys: Sequence[str], event_time: str
 
 
 def keep_first_to_table(stream: DataFrame, keys: Sequence[str], event_time: str, table_path: str,
-                        checkpoint_path: str) -> None:
+                        checkpoint_path: str, buckets: int = BUCKETS) -> None:
     """S2 into a parquet table: one row per key over all micro-batches, however late
     it comes; of a key's rows in one micro-batch the earliest. ``TIMESTAMP_NTZ``
     event times are stored as ``TIMESTAMP``."""
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         batch = keep_first(batch, keys, event_time).persist()
         try:
-            known = _known(batch.sparkSession, table_path, batch.schema, keys, batch)
-            _append(anti_master(batch, known, keys), keys, table_path)
+            known = _known(batch.sparkSession, table_path, batch.schema, keys, batch, buckets)
+            _append(anti_master(batch, known, keys), keys, table_path, buckets)
         finally:
             batch.unpersist()
 
