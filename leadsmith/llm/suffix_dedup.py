@@ -49,6 +49,8 @@ BATCH_BYTES = 1 << 19
 NO_ID = -(1 << 63)
 #: Different contexts in the sample that make an anchor frequent, at least.
 FREQUENT_LEAST = 50
+#: Contexts that a task remembers from one piece of text to the next.
+SEEN_MOST = 50_000
 _BYTE_HASH = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 ROW = "mh long, ctx long, id long, tag long, start long, strings int"
 SPAN = "id long, tag long, start long, stop long"
@@ -130,6 +132,45 @@ def first_rows(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return lead, (ids == ids[head]) & (start == start[head])
 
 
+class Seen:
+    """Where the contexts that repeat inside a piece of text stand first, as far as a task has
+    met them: of a context that stands in every piece, a task hands on the rows that
+    come before the one it has handed on, not one for each piece."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.known = np.zeros(0, np.int64)
+
+    def later(self, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Marks the rows that come after an equal context handed on, and those that are
+        that very place of a repeated row."""
+        after, same = np.zeros(len(cols[0]), bool), np.zeros(len(cols[0]), bool)
+        at = np.searchsorted(self.known, cols[1])
+        at[at == len(self.known)] = 0
+        maybe = np.flatnonzero(self.known[at] == cols[1]) if len(self.known) else at[:0]
+        for k in maybe.tolist():
+            key, place = (int(cols[0][k]), int(cols[1][k])), (int(cols[2][k]), int(cols[4][k]), int(cols[3][k]))
+            best = self.first.get(key)
+            if best is None:
+                continue
+            if place[:2] > best[:2]:
+                after[k] = True
+            elif place == best:
+                same[k] = True
+            elif place[:2] < best[:2]:
+                self.first[key] = place
+        return after, same
+
+    def add(self, cols: list[np.ndarray]) -> None:
+        """Remember rows that are handed on."""
+        room = SEEN_MOST - len(self.first)
+        if not room or not len(cols[0]):
+            return
+        for mh, ctx, i, tag, start in zip(*(c[:room].tolist() for c in cols[:5]), strict=True):
+            self.first.setdefault((mh, ctx), (i, start, tag))
+        self.known = np.sort(np.array([ctx for _, ctx in self.first], np.int64))
+
+
 def merged(ids, tags, start, stop):
     """Union of spans per document."""
     order = np.lexsort((start, tags, ids))
@@ -251,17 +292,24 @@ def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> Data
     """Contexts of ``docs(id, tag, text)``: rows with strings > 0 are the first of
     their kind in a run of texts (of ``frequent`` anchors: single strings); spans of
     the others follow with strings = -length."""
-    def collapsed(cols):
+    def collapsed(cols, seen):
         """First rows of each kind, and the spans of the others."""
         order = np.lexsort((cols[3], cols[4], cols[2], cols[1], cols[0]))
         cols = [c[order] for c in cols]
         again = copies(cols)
         cols = [c[~again] for c in cols]
-        _, keep = first_rows(cols)
-        gone = [c[~keep] for c in cols]
-        return [c[keep] for c in cols], (gone[2], gone[3], gone[4], gone[4] + gone[5] + min_length - 1)
+        lead, keep = first_rows(cols)
+        after, same = seen.later(cols)
+        gone = [c[(~keep | after) & ~same] for c in cols]
+        if not keep.all():
+            repeats = np.add.reduceat(~keep, np.flatnonzero(lead)) > 0
+            new = np.flatnonzero(lead)[repeats & ~(after | same)[lead]]
+            seen.add([c[new] for c in cols])
+        hand_on = keep & ~after & ~same
+        return [c[hand_on] for c in cols], (gone[2], gone[3], gone[4], gone[4] + gone[5] + min_length - 1)
 
     def run(batches):
+        seen, seen_strings = Seen(), Seen()
         digest = xxhash.xxh3_64_intdigest
         for batch, texts in text_slices(batches, 2, PIECE_BYTES):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -273,7 +321,7 @@ def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> Data
                 doc, at, strings, mh = contexts(np.frombuffer(joined, np.uint8), ends, min_length)
                 ctx = np.array([digest(joined[a:b]) for a, b in zip(at.tolist(), (at + strings + min_length - 1).tolist(),
                                                                     strict=True)], np.uint64).view(np.int64)
-                cols, gone = collapsed([mh, ctx, ids[first + doc], tags[first + doc], at - begins[doc] + offset, strings, at])
+                cols, gone = collapsed([mh, ctx, ids[first + doc], tags[first + doc], at - begins[doc] + offset, strings, at], seen)
                 many = np.isin(cols[0], frequent)
                 if many.any():
                     few, more = [c[~many] for c in cols], [c[many] for c in cols]
@@ -283,7 +331,7 @@ def context_rows(docs: DataFrame, min_length: int, frequent: np.ndarray) -> Data
                     single = [np.array([f(joined[b:b + min_length]) for b in begin], np.uint64).view(np.int64)
                               for f in (xxhash.xxh64_intdigest, digest)]
                     single, repeats = collapsed([*single, more[2][row], more[3][row], more[4][row] + step,
-                                                 np.ones(len(row), np.int64), more[6][row] + step])
+                                                 np.ones(len(row), np.int64), more[6][row] + step], seen_strings)
                     cols = [np.concatenate(c) for c in zip(few, single, strict=True)]
                     gone = tuple(np.concatenate(c) for c in zip(gone, repeats, strict=True))
                 s_id, s_tag, s_lo, s_hi = merged(*gone)

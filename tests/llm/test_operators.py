@@ -516,3 +516,20 @@ def test_edited_pairs_split_the_rows_of_one_id(spark):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
     assert counted(got, "doc_id", "text", "next_text") == Counter(
         (*order[k], order[(k + 1) % len(order)][1]) for k in range(len(order)))
+
+
+def test_a_passage_of_every_piece_is_handed_on_once_per_task(spark, monkeypatch):
+    passage = " ".join(f"common{i}" for i in range(40))
+    rng = np.random.default_rng(9)
+    rows = [(int(i), f"{passage} own text {i} {passage}") for i in rng.permutation(400)] + [(7, f"{passage} own text 7 {passage}")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    sent = {}
+    for most in (0, 100_000):
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 4_000)
+        monkeypatch.setattr(suffix_dedup, "SEEN_MOST", most)
+        keyed = docs.select(*suffix_dedup._keys("doc_id", "text"))
+        handed = suffix_dedup.context_rows(keyed, 100, np.zeros(0, np.int64)).where("strings > 0")
+        sent[most] = handed.groupBy("mh", "ctx").count().agg(F.max("count")).first()[0]
+        assert counted(suffix_dedup.remove_repeats(docs, min_length=100), *cols) == brute_repeats(rows, 100)
+    assert sent[0] > 40 and sent[100_000] <= 12      # a running minimum of 400 ids in random order
