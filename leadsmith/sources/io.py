@@ -64,7 +64,8 @@ BROKEN = "_corrupt_record"
 def load_with_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", na_words: Sequence[str] = (),
                       header: bool = True) -> tuple[DataFrame, DataFrame]:
     """L1 without losing lines: the rows that fit the schema (as ``load_table``), and the
-    others as ``(file, line)``. JSON and CSV; together they are all records of the files."""
+    others as ``(file, line)``. JSON and CSV; together they are all records of the files
+    (a JSON line that is an array stands for as many records as it holds)."""
     if fmt not in ("csv", "json"):
         raise ValueError(f"only csv and json keep broken records, not {fmt!r}")
     reader = (spark.read.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]))
@@ -73,9 +74,10 @@ def load_with_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt:
         # Every column is parsed, whatever is selected: a line is broken or not.
         reader = reader.option("header", str(header).lower()).option("escape", '"').option("columnPruning", "false")
     read = reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("__file"))
-    rows = with_blank_nulls(read.where(F.col(BROKEN).isNull()).select(*(F.col(f.name) for f in schema.fields)), na_words)
-    # Spark refuses to read the broken records alone: the test also looks at a column, and is always true of it.
+    # Spark refuses to look at the broken records alone: the test also reads a column, and is always true of it.
     a_column = F.length(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit(""))) >= 0
+    fits = read.where(F.col(BROKEN).isNull() & a_column)
+    rows = with_blank_nulls(fits.select(*(F.col(f.name) for f in schema.fields)), na_words)
     rejects = read.where(F.col(BROKEN).isNotNull() & a_column).select(F.col("__file").alias("file"), F.col(BROKEN).alias("line"))
     return rows, rejects
 

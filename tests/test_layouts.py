@@ -40,7 +40,7 @@ def test_the_master_is_joined_without_an_exchange(spark, tmp_path, no_broadcast,
     new = spark.createDataFrame([(f"a{k}", k) for k in range(200)] + [(None, 7), ("a3", 8)], schema)
     got = not_in_master(new, spark.table(name), "email")
     assert rows(got) == rows(anti_master(new, spark.table(name), "email"))
-    plan = _plan(got).split("== Initial Plan ==")[-1]
+    plan = _plan(got).split("\n+- == Initial Plan ==")[0]      # as it was run
     assert "SortMergeJoin" in plan and "SelectedBucketsCount: 8 out of 8" in plan
     # One of the batch's rows; the look for a null key needs a single number of the master.
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
@@ -62,11 +62,11 @@ def test_a_period_reads_its_days_only(spark, tmp_path):
 @pytest.mark.parametrize("fmt", ["csv", "json"])
 def test_no_line_is_lost(spark, tmp_path, fmt):
     lines = {"csv": ["k,v", "1,a", "x,b", "2,", "3,c,d", '4,"e,f"', "5"],
-             "json": ['{"k": 1, "v": "a"}', '{"k": "x", "v": "b"}', '{"k": 2, "v": " "}', '{"k": 3', '{"k": 4, "v": "e,f"}', "[]x"]}[fmt]
+             "json": ['{"k": 1, "v": "a"}', '{"k": "x", "v": "b"}', '{"k": 2, "v": " "}', '{"k": 3', '{"k": 4, "v": "e,f"}', "no json"]}[fmt]
     (tmp_path / "f").write_text("\n".join(lines) + "\n")
     kept, rejects = load_with_rejects(spark, str(tmp_path / "f"), T.StructType.fromDDL("k long, v string"), fmt)
     assert rows(kept) == [(1, "a"), (2, None), (4, "e,f")]
-    want = {"csv": ["x,b", "3,c,d", "5"], "json": ['{"k": "x", "v": "b"}', '{"k": 3', "[]x"]}[fmt]
+    want = {"csv": ["x,b", "3,c,d", "5"], "json": ['{"k": "x", "v": "b"}', '{"k": 3', "no json"]}[fmt]
     assert sorted(r.line for r in rejects.select("line").collect()) == sorted(want)
     assert kept.select("v").count() == 3 and rejects.count() == 3 and rejects.first().file.endswith("/f")
     with pytest.raises(ValueError):
