@@ -52,12 +52,16 @@ _card_links = card_links(CARD_TAG, CARD_LINK_CLASSES)
 
 def scan_emails(df: DataFrame, text_col: str, keep: Sequence[str], source: str = "raw",
                 with_pos: bool = False) -> DataFrame:
-    """Every generic address match, lower-cased; ``pos`` is the 1-based match order."""
+    """Every generic address match, lower-cased; ``pos`` is the 1-based match order.
+    The generators are outer ones, so that no text is searched twice (see
+    ``extract_page_findings``)."""
     if with_pos:
-        return (df.select(*keep, F.posexplode(email_matches(text_col)).alias("pos", "email"))
+        return (df.select(*keep, F.posexplode_outer(email_matches(text_col)).alias("pos", "email"))
+                .where(F.col("email").isNotNull())
                 .select(*keep, (F.col("pos") + 1).alias("pos"), F.lit(source).alias("source"),
                         F.lower("email").alias("email")))
-    return (df.select(*keep, F.explode(email_matches(text_col)).alias("email"))
+    return (df.select(*keep, F.explode_outer(email_matches(text_col)).alias("email"))
+            .where(F.col("email").isNotNull())
             .select(*keep, F.lit(source).alias("source"), F.lower("email").alias("email")))
 
 
@@ -187,7 +191,7 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html") -> DataFrame:
     """E8 + T3 + P10: every anchor ``href`` in document order, made absolute."""
     hrefs = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_HREF_RE), F.lit(1)), _attribute_value)
-    return (pages.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
+    return (pages.select(id_col, url_col, F.posexplode_outer(hrefs).alias("pos", "href"))
             .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
                     resolve_url(F.col(url_col), F.col("href")).alias("link")))
@@ -247,10 +251,12 @@ def extract_page_findings(pages: DataFrame, id_col: str = "page_id", url_col: st
     staged = _staged_pages(pages, id_col, url_col, html_col, domain_col, keep, exact_text)
     extra = ["iframes"] if with_iframes else []
     suffix = F.concat(F.lit("@"), F.col(domain_col))
+    # Outer generators: for the others Spark would test the arrays for rows beforehand,
+    # below the projection, and so read every page twice.
     rows = (staged.select(id_col, *keep, url_col, domain_col, "text_len", *extra, "__any_same",
-                          F.explode("__src").alias("__s"))
+                          F.explode_outer("__src").alias("__s"))
             .select(id_col, *keep, url_col, domain_col, "text_len", *extra,
-                    "__any_same", F.col("__s.source").alias("source"), F.explode("__s.emails").alias("email"))
+                    "__any_same", F.col("__s.source").alias("source"), F.explode_outer("__s.emails").alias("email"))
             .where(F.col("email").isNotNull() & (F.col("email") != "")))
     if prefer_same_domain:
         rows = rows.where(~F.col("__any_same") | F.col("email").endswith(suffix))
@@ -319,7 +325,7 @@ def posting_links(listing: DataFrame, id_col: str = "page_id", url_col: str = "u
                   html_col: str = "html") -> DataFrame:
     """E8 + T3 + P10: the marked link inside every project card, in page order, absolute."""
     hrefs = _card_links(F.col(html_col))
-    return (listing.select(id_col, url_col, F.posexplode(hrefs).alias("pos", "href"))
+    return (listing.select(id_col, url_col, F.posexplode_outer(hrefs).alias("pos", "href"))
             .where(non_empty_link("href"))
             .select(id_col, (F.col("pos") + 1).alias("pos"),
                     resolve_url(F.col(url_col), F.col("href")).alias("link")))

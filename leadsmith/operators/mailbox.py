@@ -140,7 +140,8 @@ def site_findings(domains: DataFrame, pages: DataFrame, exact_text: bool = True,
     frame_pages = pages.select(normalize_url("url").alias("frame_url"), "html")
     framed = frame_items.join(frame_pages, "frame_url")
     staged_frames = _staged_pages(framed, "frame_url", "frame_url", "html", "domain", ["tier", "url"], exact_text)
-    frame_found = staged_frames.select("domain", "tier", "url", F.explode(kept_emails("domain")).alias("email"))
+    frame_found = (staged_frames.select("domain", "tier", "url", F.explode_outer(kept_emails("domain")).alias("email"))
+                   .where(F.col("email").isNotNull()))
     return own.unionByName(frame_found)
 
 
