@@ -74,6 +74,9 @@ def drop_any_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFra
 # longest of these that it can hold.
 GRAM_CLASSES = (1, 2, 4, 8, 16)
 
+# Size of the bitmap of all terms' runs, a power of two: 2 MB of bits.
+RUN_BITS = 1 << 24
+
 
 def _grams(value: Column, k: Column) -> Column:
     """All runs of ``k`` characters of a value (none if it is shorter)."""
@@ -90,17 +93,37 @@ def term_index(terms: DataFrame, term_column: str = "term") -> DataFrame:
         k = F.when(F.length("__term") >= c, F.lit(c)).otherwise(k)
     runs = t.withColumn("__k", k).select("__term", "__k", F.explode(F.array_distinct(_grams(F.col("__term"), F.col("__k")))).alias("__gram"))
     held = runs.groupBy("__k", "__gram").agg(F.count(F.lit(1)).alias("__n"))
-    return (runs.join(held, ["__k", "__gram"]).groupBy("__term", "__k")
+    # Spark takes exploded runs to be as small as the terms: without the hint it broadcasts them.
+    return (runs.hint("merge").join(held, ["__k", "__gram"]).groupBy("__term", "__k")
             .agg(F.min(F.struct("__n", "__gram")).alias("__least")).select("__term", "__k", F.col("__least.__gram").alias("__gram")))
 
 
+def _run_bits(index: DataFrame) -> DataFrame:
+    """``(__word, __bits)``: a bitmap of the index's runs by hash, at most ``RUN_BITS / 64``
+    rows however many terms there are."""
+    return (index.select(_run_bit().alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bit").bitwiseAND(63).cast("int"))).alias("__bits")))
+
+
+def _run_bit() -> Column:
+    return F.xxhash64("__k", "__gram").bitwiseAND(RUN_BITS - 1)
+
+
 def term_candidates(values: DataFrame, value_col: str, index: DataFrame) -> DataFrame:
     """``(value, __term)`` pairs that share the term's run: the value's runs, of the
-    lengths that the index has, meet the index. Not yet the pairs that match."""
+    lengths that the index has, meet the index. Not yet the pairs that match.
+
+    Only the runs whose bit is in the index's bitmap are shuffled, with the value's hash
+    in place of the value; values of one hash share their pairs."""
+    hashed = values.select(value_col, F.xxhash64(value_col).alias("__hash"))
     classes = index.agg(F.array_sort(F.collect_set("__k"))).scalar()
-    runs = (values.select(value_col, F.explode(classes).alias("__k"))
-            .select(value_col, "__k", F.explode(F.array_distinct(_grams(F.col(value_col), F.col("__k")))).alias("__gram")))
-    return runs.join(index, ["__k", "__gram"]).select(value_col, "__term")
+    runs = (hashed.select("__hash", value_col, F.explode(classes).alias("__k"))
+            .select("__hash", "__k", F.explode(F.array_distinct(_grams(F.col(value_col), F.col("__k")))).alias("__gram"))
+            .withColumn("__bit", _run_bit()).withColumn("__word", F.shiftright("__bit", 6))
+            .join(F.broadcast(_run_bits(index)), "__word")
+            .where(F.getbit("__bits", F.col("__bit").bitwiseAND(63).cast("int")) == 1).select("__hash", "__k", "__gram"))
+    pairs = runs.hint("merge").join(index, ["__k", "__gram"]).select("__hash", "__term")
+    return hashed.join(pairs, "__hash").select(value_col, "__term")
 
 
 def _term_hits(keyed: DataFrame, terms: DataFrame, term_column: str) -> DataFrame:

@@ -115,6 +115,43 @@ def test_one_short_term_leaves_the_others_their_own_postings(spark):
     assert exclude_terms(values, "v", terms.limit(0)).count() == 302
 
 
+def _broadcast_after_explode(df):
+    """The exploding nodes of the plan as it was run whose rows a broadcast takes as they are."""
+    df.collect()
+    found, broadcast, below = [], None, None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*("))
+        broadcast = None if broadcast is not None and depth <= broadcast else broadcast
+        below = None if below is not None and depth <= below else below
+        if "BroadcastExchange" in line:
+            broadcast, below = depth, None
+        elif broadcast is not None and below is None and re.search(r"[- ]Exchange ", line):
+            below = depth
+        elif broadcast is not None and below is None and "Generate explode" in line:
+            found.append(line.strip())
+    return found
+
+
+@pytest.fixture
+def small_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100k")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_runs_of_terms_and_values_are_not_broadcast(spark, small_broadcast):
+    """Few values and more terms: Spark takes the values' runs to be as small as the values."""
+    values = spark.createDataFrame([(" ".join(f"w{i:03d}v{k:04d}" for k in range(60)),) for i in range(40)] + [(None,)], "v string").repartition(2)
+    terms = spark.createDataFrame([(f"w{i:03d}v{i % 100:04d}",) for i in range(4_000) if i % 7], "term string").repartition(2)
+    kept = exclude_terms(values, "v", terms)
+    assert _broadcast_after_explode(kept) == []
+    text = [r["v"] for r in values.collect()]
+    listed = [r["term"] for r in terms.collect()]
+    assert rows(kept) == sorted([(v,) for v in text if v is None or not any(t in v for t in listed)], key=lambda r: (r[0] is None, str(r[0])))
+
+
 @pytest.mark.parametrize("boundary", [False, True])
 def test_a_long_value_has_as_many_suffixes_as_terms_have_lengths(spark, boundary):
     values = ["x" * N, "y." * 300_000 + "bad.example", "a@sub.bad.example", "a@notbad.example", None, "a@b.c"]
