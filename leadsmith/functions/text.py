@@ -116,7 +116,8 @@ def _remove_dot_segments(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(x))))
     last = F.element_at(segs, -1)
     folded = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.concat(F.lit("/"), F.array_join(folded, "/"))
+    plain = F.startswith(path, F.lit("/")) & ~F.contains(path, F.lit("/."))     # no dot segment: as it is
+    return F.when(plain, path).otherwise(F.concat(F.lit("/"), F.array_join(folded, "/")))
 
 
 def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:

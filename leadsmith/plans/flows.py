@@ -247,7 +247,8 @@ def listed_details(listing: DataFrame, pages: DataFrame, period: int | None = No
     if period is not None:
         listing = recency_filter(listing, listed_col, period, as_of)
     links = posting_links(listing).select(normalize_url("link").alias("__link"))
-    return pages.join(links, normalize_url(pages["url"]) == links["__link"], "left_semi")
+    # Spark takes a page's exploded links to be as small as the page: without the hint it broadcasts them all.
+    return pages.join(links.hint("shuffle_hash"), normalize_url(pages["url"]) == links["__link"], "left_semi")
 
 
 def new_postings(listing: DataFrame, pages: DataFrame, period: int | None = None, as_of=None) -> DataFrame:

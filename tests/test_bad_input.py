@@ -11,6 +11,7 @@ from leadsmith.functions import html
 from leadsmith.functions.text import deobfuscate, strip_markup
 from leadsmith.operators.extract import json_strings, label_emails, with_nodes
 from leadsmith.operators.filters import email_blocklist, exclude_terms, term_candidates, term_index
+from leadsmith.plans.flows import listed_details
 from tests.conftest import rows
 
 N = 1_000_000
@@ -127,7 +128,7 @@ def _broadcast_after_explode(df):
             broadcast, below = depth, None
         elif broadcast is not None and below is None and re.search(r"[- ]Exchange ", line):
             below = depth
-        elif broadcast is not None and below is None and "Generate explode" in line:
+        elif broadcast is not None and below is None and "Generate " in line:
             found.append(line.strip())
     return found
 
@@ -152,6 +153,18 @@ def test_runs_of_terms_and_values_are_not_broadcast(spark, small_broadcast):
     assert rows(kept) == sorted([(v,) for v in text if v is None or not any(t in v for t in listed)], key=lambda r: (r[0] is None, str(r[0])))
 
 
+def test_links_of_listing_pages_are_not_broadcast(spark, small_broadcast):
+    def listing(page):
+        return "".join(f'<search-project-card><a class="small fw-semibold link-warning" href="/p/{page}-{k}">'
+                       "</a></search-project-card>" for k in range(20))
+    board = "https://projects.example/"
+    pages = spark.createDataFrame([(f"{board}p/{i}-{k}", "x") for i in range(30) for k in range(0, 40, 5)], "url string, html string").repartition(2)
+    found = listed_details(spark.createDataFrame([(i, f"{board}?page={i}", listing(i)) for i in range(20)],
+                                                 "page_id long, url string, html string").repartition(2), pages)
+    assert _broadcast_after_explode(found) == []
+    assert rows(found, "url") == sorted((f"{board}p/{i}-{k}",) for i in range(20) for k in range(0, 20, 5))
+
+
 @pytest.mark.parametrize("boundary", [False, True])
 def test_a_long_value_has_as_many_suffixes_as_terms_have_lengths(spark, boundary):
     values = ["x" * N, "y." * 300_000 + "bad.example", "a@sub.bad.example", "a@notbad.example", None, "a@b.c"]
